@@ -145,7 +145,7 @@ WITH toks AS (
 )
 SELECT suite, method_seq, pos, token,
        list_transform(generate_series(0, 7),
-         j -> CAST(('0x' || substr(md5(concat(token, CAST(j AS VARCHAR))), 1, 8)) AS UBIGINT) / 4294967296.0) AS vec
+         lambda j: CAST(('0x' || substr(md5(concat(token, CAST(j AS VARCHAR))), 1, 8)) AS UBIGINT) / 4294967296.0) AS vec
 FROM toks"""
 
 
