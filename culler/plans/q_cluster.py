@@ -1 +1,233 @@
-"""Placeholder; filled in below."""
+"""Queries for clustering over F2."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from culler.operators import cluster as C
+from culler.operators import quality as Q
+from culler.operators import vectors as V
+from culler.plans.fixtures import method_vectors, round6
+from culler.plans.q_vectors import KDIST_SQL, z_sql
+from culler.plans.registry import register
+
+KNEE_SQL = f"""{KDIST_SQL},
+c0 AS (SELECT suite, metric, kdist AS y, row_number() OVER (PARTITION BY suite, metric ORDER BY kdist) - 1 AS s,
+              count(*) OVER w AS n, min(kdist) OVER w AS ymin, max(kdist) OVER w AS ymax
+       FROM kd WINDOW w AS (PARTITION BY suite, metric)),
+c1 AS (SELECT *, s / (n - 1) - (y - ymin) / (ymax - ymin) AS D, n - 1 - s AS r FROM c0 WHERE n > 1 AND ymax > ymin),
+c2 AS (SELECT *, coalesce(lag(D) OVER wr, D) AS pD, coalesce(lead(D) OVER wr, D) AS nD, lead(D) OVER wr AS next_D
+       FROM c1 WINDOW wr AS (PARTITION BY suite, metric ORDER BY r)),
+c3 AS (SELECT *, (D >= pD AND D >= nD) AS is_max, (D <= pD AND D <= nD) AS is_min FROM c2),
+fm AS (SELECT suite, metric, min(r) AS r0 FROM c3 WHERE is_max GROUP BY ALL),
+c4 AS (SELECT c3.*, CASE WHEN is_min THEN 0.0 WHEN is_max THEN D - {C.KNEE_S} / (n - 1) END AS thr_val,
+              CASE WHEN is_max THEN r END AS thr_idx FROM c3 JOIN fm USING (suite, metric) WHERE r >= r0),
+c5 AS (SELECT *, last_value(thr_val IGNORE NULLS) OVER wr2 AS thr, last_value(thr_idx IGNORE NULLS) OVER wr2 AS t_idx
+       FROM c4 WINDOW wr2 AS (PARTITION BY suite, metric ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+hit AS (SELECT suite, metric, arg_min(t_idx, r) AS t_idx, any_value(n) AS n FROM c5 WHERE r <= n - 2 AND next_D < thr GROUP BY ALL),
+kn AS (SELECT h.suite, h.metric, c0.y AS knee_y FROM hit h JOIN c0 ON h.suite = c0.suite AND h.metric = c0.metric
+       AND c0.s = h.n - 1 - h.t_idx),
+pc AS (SELECT suite, metric, quantile_cont(kdist, 0.9) AS p90, quantile_cont(kdist, 0.95) AS p95 FROM kd GROUP BY ALL),
+eps AS (SELECT pc.suite, pc.metric, kn.knee_y,
+               CASE WHEN coalesce(kn.knee_y, p90) = 0 THEN p95 ELSE coalesce(kn.knee_y, p90) END AS eps
+        FROM pc LEFT JOIN kn USING (suite, metric))"""
+
+
+def _z(spark, sf):
+    return V.standardize(method_vectors(spark, sf))
+
+
+def _eps(spark, sf, z=None):
+    z = _z(spark, sf) if z is None else z
+    return C.optimal_eps(V.kth_neighbour_distance(z, vec="z"))
+
+
+@register("knee", f"{KNEE_SQL} SELECT suite, metric, round(knee_y, 6) AS knee_y FROM kn")
+def q_knee(spark, sf):
+    kd = V.kth_neighbour_distance(_z(spark, sf), vec="z")
+    k = C.knee(kd.select("suite", "metric", F.col("kdist").alias("y")), ["suite", "metric"])
+    return k.select("suite", "metric", round6("knee_y").alias("knee_y"))
+
+
+@register("optimal_eps", f"{KNEE_SQL} SELECT suite, metric, round(eps, 6) AS eps FROM eps")
+def q_optimal_eps(spark, sf):
+    return _eps(spark, sf).select("suite", "metric", round6("eps").alias("eps"))
+
+
+@register("eps_join", f"""{KNEE_SQL}
+SELECT p.suite, d.metric, p.a, CAST(count(*) AS BIGINT) AS n_neighbours FROM pairs p
+JOIN (SELECT suite, metric, eps FROM eps) d ON p.suite = d.suite
+WHERE (d.metric = 'cosine' AND (p.a = p.b OR p.cosine <= d.eps)) OR (d.metric = 'euclidean' AND (p.a = p.b OR p.euclidean <= d.eps))
+   OR (d.metric = 'manhattan' AND (p.a = p.b OR p.manhattan <= d.eps))
+GROUP BY p.suite, d.metric, p.a""")
+def q_eps_join(spark, sf):
+    """Size of each item's eps-neighbourhood (inclusive, self counted) per metric
+    at the optimal eps — the pairs themselves are never materialised."""
+    z = _z(spark, sf)
+    eps = _eps(spark, sf, z)
+    n_cfg = len(C.DBSCAN_SETTINGS)
+    metrics = list(V.BK.METRICS)
+    from culler.operators import blocks as BK
+    arr = eps.groupBy("suite").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric")).alias("p"), "eps"))),
+        lambda s: s["eps"]).alias("e1"))
+    # one eps per (metric, setting) slot; only setting 0 (factor 1) is read back
+    arr = arr.select("suite", F.flatten(F.transform("e1", lambda e: F.array_repeat(e, n_cfg))).alias("eps"))
+    base = z.select("suite", "method_seq", "z").join(arr, "suite")
+    deg = BK.run_pairs(base, ["suite"], C._dbscan_kernel(metrics, n_cfg, "z", "degree"), "suite {suite}, cell int, a long, v long")
+    deg = deg.filter(F.col("cell") % n_cfg == 0).groupBy("suite", "cell", "a").agg(F.sum("v").alias("n"))
+    met = F.element_at(F.array(*[F.lit(m) for m in metrics]), (F.col("cell") / n_cfg).cast("int") + 1)
+    return deg.select("suite", met.alias("metric"), "a", F.col("n").cast("long").alias("n_neighbours"))
+
+
+def _dbscan(spark, sf):
+    z = _z(spark, sf)
+    return C.dbscan_grid(z, _eps(spark, sf, z))
+
+
+@register("dbscan")
+def q_dbscan(spark, sf):
+    """K1: labels of the first setting (optimal eps, max(2, n // 10)) per suite and metric."""
+    lab = _dbscan(spark, sf).filter(F.col("cfg") == 0)
+    return lab.select("suite", "metric", "method_seq", "cluster")
+
+
+@register("dbscan_search")
+def q_dbscan_search(spark, sf):
+    """K4: chosen setting and its labels per suite and metric."""
+    chosen, _ = C.dbscan_search(_dbscan(spark, sf))
+    return chosen.select("suite", "metric", "cfg", round6("eps").alias("eps"), "min_samples", "method_seq", "cluster")
+
+
+@register("outlier_rate_gate")
+def q_outlier_rate_gate(spark, sf):
+    """Outlier % and acceptance of every DBSCAN setting."""
+    _, st = C.dbscan_search(_dbscan(spark, sf))
+    return st.select("suite", "metric", "cfg", "n_clusters", "n_outliers", round6("outlier_pct").alias("outlier_pct"), "accepted")
+
+
+# ---------------- elbow on a data-derived inertia table ----------------
+
+INERTIA_SQL = f"""
+WITH {z_sql()},
+nn AS (SELECT suite, count(*) AS n, least(10, count(*) // 3) AS max_k FROM z GROUP BY suite),
+ks AS (SELECT suite, unnest(generate_series(2, max_k)) AS k FROM nn WHERE max_k >= 2),
+g AS (SELECT zl.suite, ks.k, zl.cluster % ks.k AS grp, zl.dim, zl.z FROM zl JOIN ks USING (suite)),
+mu AS (SELECT suite, k, grp, dim, avg(z) AS m FROM g GROUP BY ALL),
+inert AS (SELECT g.suite, g.k, sum((g.z - mu.m) * (g.z - mu.m)) AS inertia FROM g JOIN mu USING (suite, k, grp, dim) GROUP BY ALL),
+dw AS (SELECT *, lead(inertia, 1) OVER w - inertia AS d1,
+              (lead(inertia, 2) OVER w - lead(inertia, 1) OVER w) - (lead(inertia, 1) OVER w - inertia) AS d2
+       FROM inert WINDOW w AS (PARTITION BY suite ORDER BY k))"""
+
+
+def _inertia_table(spark, sf):
+    """Inertia of the grouping (label % k) for k = 2..min(10, n // 3) — a table
+    derived from the data that the elbow rule reads like k-means inertias."""
+    z = _z(spark, sf)
+    sizes = z.groupBy("suite").agg(F.count("*").alias("n")).withColumn(
+        "max_k", F.least(F.lit(10), F.floor(F.col("n") / 3)).cast("int"))
+    ks = sizes.filter("max_k >= 2").select("suite", F.explode(F.sequence(F.lit(2), F.col("max_k"))).alias("k"))
+    g = z.join(ks, "suite").withColumn("grp", F.col("cluster") % F.col("k"))
+    cents = V.centroids(g, "z", ["suite", "k", "grp"])
+    return V.inertia(g, cents, "z", ["suite", "k", "grp"], ["suite", "k"])
+
+
+@register("elbow_k", f"""{INERTIA_SQL},
+cnt AS (SELECT suite, count(*) AS m, max(k) AS max_k FROM inert GROUP BY suite),
+best AS (SELECT suite, arg_min(k, -d2) AS k_at FROM dw WHERE d2 IS NOT NULL GROUP BY suite)
+SELECT cnt.suite, CAST(CASE WHEN m > 2 THEN least(k_at + 2, max_k) ELSE 3 END AS BIGINT) AS k FROM cnt LEFT JOIN best USING (suite)""")
+def q_elbow_k(spark, sf):
+    e = C.elbow_k_from_inertia(_inertia_table(spark, sf))
+    return e.select("suite", F.col("k").cast("long").alias("k"))
+
+
+@register("diff_windows", f"{INERTIA_SQL} SELECT suite, CAST(k AS BIGINT) AS k, round(inertia, 6) AS inertia, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM dw")
+def q_diff_windows(spark, sf):
+    """First and second differences of the inertia series (lead windows)."""
+    from pyspark.sql import Window
+    t = _inertia_table(spark, sf)
+    w = Window.partitionBy("suite").orderBy("k")
+    i1, i2 = F.lead("inertia", 1).over(w), F.lead("inertia", 2).over(w)
+    return t.select("suite", F.col("k").cast("long").alias("k"), round6("inertia").alias("inertia"),
+                    round6(i1 - F.col("inertia")).alias("d1"), round6((i2 - i1) - (i1 - F.col("inertia"))).alias("d2"))
+
+
+# ---------------- k-means, hierarchical, linkage, grid, PCA ----------------
+
+@register("kmeans")
+def q_kmeans(spark, sf):
+    """K6: labels of the elbow-chosen k (best of 10 restarts by inertia)."""
+    lab, _ = C.kmeans_auto(_z(spark, sf))
+    return lab
+
+
+@register("hierarchical")
+def q_hierarchical(spark, sf):
+    """Agglomerative labels per metric's linkage, k from the elbow."""
+    z = _z(spark, sf)
+    _, k = C.kmeans_auto(z)
+    out = None
+    for m in Q.METRICS:
+        h = C.hierarchical(z, k, m).withColumn("metric", F.lit(m))
+        out = h if out is None else out.unionByName(h)
+    return out.select("suite", "metric", "method_seq", "cluster", "exact")
+
+
+@register("linkage_table")
+def q_linkage_table(spark, sf):
+    """Merge tree (cosine -> average) of the raw vectors, 5 levels from the root."""
+    return C.linkage_table(method_vectors(spark, sf), "cosine")
+
+
+@register("dendrogram_data")
+def q_dendrogram_data(spark, sf):
+    """The merge trees for cosine and euclidean."""
+    m = method_vectors(spark, sf)
+    return C.linkage_table(m, "cosine").unionByName(C.linkage_table(m, "euclidean"))
+
+
+def cluster_grid(spark, sf):
+    """K0: 3 algorithms x 3 metrics on standardized vectors with quality per cell."""
+    z = _z(spark, sf).cache()
+    eps = _eps(spark, sf, z)
+    db, _ = C.dbscan_search(C.dbscan_grid(z, eps))
+    km, k = C.kmeans_auto(z)
+    hier = {m: C.hierarchical(z, k, m) for m in Q.METRICS}
+    cells = [(a, m) for a in Q.ALGORITHMS for m in Q.METRICS]
+    cols = []
+    lab = z.select("suite", "method_seq", "z")
+    for i, (a, m) in enumerate(cells):
+        if a == "dbscan":
+            src = db.filter(F.col("metric") == m).select("suite", "method_seq", "cluster")
+        elif a == "kmeans":
+            src = km
+        else:
+            src = hier[m].select("suite", "method_seq", "cluster")
+        lab = lab.join(src.withColumnRenamed("cluster", f"c{i}"), ["suite", "method_seq"], "left")
+        cols.append(F.coalesce(F.col(f"c{i}"), F.lit(-1)).cast("int"))
+    lab = lab.withColumn("labels", F.array(*cols))
+    runs = Q.silhouette_grid(lab, cells)
+    return runs, lab, cells
+
+
+@register("cluster_grid")
+def q_cluster_grid(spark, sf):
+    runs, _, _ = cluster_grid(spark, sf)
+    return runs.select("suite", "algorithm", "metric", "n_clusters", "n_outliers", round6("quality").alias("quality"))
+
+
+@register("pca_2d")
+def q_pca_2d(spark, sf):
+    """2-D projection of the raw vectors per suite."""
+    p = V.pca_2d(method_vectors(spark, sf))
+    return p.select("suite", "method_seq", round6("x").alias("x"), round6("y").alias("y"))
+
+
+@register("scatter_pca")
+def q_scatter_pca(spark, sf):
+    """PCA coordinates with the given labels (outliers flagged)."""
+    m = method_vectors(spark, sf, outliers=True)
+    p = V.pca_2d(m)
+    return p.join(m.select("suite", "method_seq", "cluster"), ["suite", "method_seq"]).select(
+        "suite", "method_seq", round6("x").alias("x"), round6("y").alias("y"), "cluster",
+        (F.col("cluster") == -1).alias("outlier"))

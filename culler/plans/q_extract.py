@@ -205,7 +205,7 @@ def q_method_header(spark, sf):
 
 @register("lookback_windows", _exp("""
 SELECT path, CAST(line_start AS BIGINT) AS method_seq,
-       (lang_id = 3 AND ((NOT helper AND ord = 1) OR (helper AND prev_helper = FALSE))) AS documented
+       coalesce(lang_id = 3 AND ((NOT helper AND ord = 1) OR (helper AND prev_helper = FALSE)), FALSE) AS documented
 FROM em WHERE lang_id IN (3, 6)"""))
 def q_lookback(spark, sf):
     m = X.extract_methods(src_files(spark, sf), ["go", "ruby"])

@@ -1 +1,100 @@
-"""Placeholder; filled in below."""
+"""Sources and sinks as round trips: write with Spark to a fresh folder under the
+shared checkpoint location, read back, and report what was read (S1, S3-S8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from culler.operators import extract as X
+from culler.operators import report as R
+from culler.operators import select as S
+from culler.operators import transform as T
+from culler.plans.fixtures import F1_SQL, F3_SQL, src_files, suite_methods
+from culler.plans.q_extract import EXP_SQL, KEEP
+from culler.plans.q_select import rr_sql
+from culler.plans.registry import register
+from culler.sources import files as SRC
+from culler.sources import sinks as SNK
+
+
+@register("scan_files", f"SELECT path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM ({F3_SQL})")
+def q_scan_files(spark, sf):
+    """Source files written as text, read back whole (UTF-8)."""
+    out = SNK.scratch_dir(spark, "files")
+    src_files(spark, sf).select("path", F.col("content").alias("value")).write.mode("overwrite").partitionBy("path").text(out)
+    back = SRC.scan_files(spark, out, trailing_newline=True)
+    return back.select("path", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@register("sink_extracted", f"SELECT suite, CAST(count(*) AS BIGINT) AS n_records FROM ({F1_SQL}) GROUP BY suite")
+def q_sink_extracted(spark, sf):
+    """Extracted records written as JSON lines per suite; records per suite read back."""
+    out = SNK.scratch_dir(spark, "extracted")
+    SNK.sink_extracted(suite_methods(spark, sf), out)
+    back = spark.read.json(out)
+    return back.groupBy("suite").agg(F.count("*").cast("long").alias("n_records"))
+
+
+@register("scan_methods_json", f"SELECT name, CAST(strlen(code) AS BIGINT) AS code_bytes FROM ({F1_SQL})")
+def q_scan_methods_json(spark, sf):
+    """S3: read ``{name, code}`` records with the fixed schema."""
+    out = SNK.scratch_dir(spark, "methods")
+    SNK.sink_extracted(suite_methods(spark, sf), out)
+    back = SRC.scan_methods_json(spark, out)
+    return back.select("name", F.octet_length("code").cast("long").alias("code_bytes"))
+
+
+@register("sink_results", f"""
+SELECT 'features' AS part, suite, CAST(count(*) AS BIGINT) AS n_rows FROM ({F1_SQL}) GROUP BY suite
+UNION ALL SELECT 'profiles', suite, CAST(count(DISTINCT cluster) AS BIGINT) FROM ({F1_SQL}) GROUP BY suite""")
+def q_sink_results(spark, sf):
+    """Result parts (features, cluster profiles) written per suite and read back."""
+    out = SNK.scratch_dir(spark, "results")
+    feat = R.features(suite_methods(spark, sf)).drop("code")
+    SNK.sink_results({"features": feat, "profiles": R.cluster_profile(feat)}, out)
+    res = None
+    for part in ["features", "profiles"]:
+        c = spark.read.json(f"{out}/{part}").groupBy("suite").agg(F.count("*").cast("long").alias("n_rows")).select(
+            F.lit(part).alias("part"), F.col("suite").cast("string").alias("suite"), "n_rows")
+        res = c if res is None else res.unionByName(c)
+    return res
+
+
+@register("sink_selection", f"""
+SELECT suite, CASE WHEN cluster = -1 THEN 'outliers' ELSE concat('cluster_', cluster) END AS category,
+       CAST(count(*) AS BIGINT) AS method_count FROM ({rr_sql(10)}) GROUP BY ALL""")
+def q_sink_selection(spark, sf):
+    """Selection categories written and read back."""
+    out = SNK.scratch_dir(spark, "selection")
+    cats = S.selection_categories(S.select_round_robin(suite_methods(spark, sf), 10))
+    SNK.sink_selection(cats, out)
+    back = spark.read.json(out)
+    return back.select(F.col("suite").cast("string").alias("suite"), "category", F.col("method_count").cast("long").alias("method_count"))
+
+
+@register("export_by_cluster", f"SELECT suite, CAST(cluster AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS n FROM ({F1_SQL}) GROUP BY ALL")
+def q_export_by_cluster(spark, sf):
+    """Members written one folder per (suite, cluster), counted back."""
+    out = SNK.scratch_dir(spark, "clusters")
+    SNK.export_by_cluster(R.group_collect(suite_methods(spark, sf)), out)
+    back = spark.read.json(out)
+    return back.groupBy(F.col("suite").cast("string").alias("suite"), F.col("cluster").cast("long").alias("cluster")).agg(
+        F.count("*").cast("long").alias("n"))
+
+
+@register("sink_commented", f"""
+WITH {EXP_SQL}, tests AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_start) AS r FROM em WHERE NOT helper),
+files AS (SELECT DISTINCT path FROM tests WHERE r > {KEEP})
+SELECT regexp_replace(f.path, '(\\.[^./]+)$', '_commented\\1') AS target,
+       CAST(len(string_split(f.content, chr(10))) AS BIGINT) AS n_lines
+FROM ({F3_SQL}) f JOIN files USING (path)""")
+def q_sink_commented(spark, sf):
+    """Commented copies written per file and read back whole."""
+    files = X.detect_language(src_files(spark, sf))
+    tests = X.filter_mocks(X.filter_tests(X.extract_methods(files)))
+    picks = S.select_round_robin(tests.withColumn("cluster", F.lit(-1)), KEEP)
+    lines = T.comment_out(X.explode_lines(files), tests, picks)
+    out = SNK.scratch_dir(spark, "commented")
+    SNK.sink_commented(lines, out)
+    back = spark.read.text(out, wholetext=True)
+    return back.select("target", F.size(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).cast("long").alias("n_lines"))
