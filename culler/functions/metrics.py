@@ -92,14 +92,13 @@ def method_calls(code: Column | str) -> Column:
 
 def _cognitive_sql(code_sql: str) -> str:
     opens, closes = _sql_count("l", "{"), _sql_count("l", "}")
-    new_lvl = f"greatest(0, acc.lvl + {opens} - {closes})"
-    weight = " + ".join(
-        f"IF(instr(lower(l), '{kw}') > 0, {w}, 0)" for kw, w in COGNITIVE_WEIGHTS.items()
-    )
+    weight = " + ".join(f"IF(instr(ll, '{kw}') > 0, {w}, 0)" for kw, w in COGNITIVE_WEIGHTS.items())
+    # the new level and the lower-cased line are bound once per line (one-element arrays)
     return (
         f"aggregate(split({code_sql}, '\\n', -1), named_struct('lvl', 0L, 'tot', 0L), "
-        f"(acc, l) -> named_struct('lvl', CAST({new_lvl} AS BIGINT), "
-        f"'tot', acc.tot + ({weight}) * (1 + {new_lvl})), acc -> CAST(acc.tot AS INT))"
+        f"(acc, l) -> transform(array(named_struct('nl', CAST(greatest(0, acc.lvl + {opens} - {closes}) AS BIGINT), "
+        f"'ll', lower(l))), b -> named_struct('lvl', b.nl, 'tot', acc.tot + "
+        f"({weight.replace('ll', 'b.ll')}) * (1 + b.nl)))[0], acc -> CAST(acc.tot AS INT))"
     )
 
 
@@ -109,16 +108,27 @@ def cognitive(code: str = "code") -> Column:
 
 
 def halstead(code: Column | str) -> Column:
-    """Halstead record (vocabulary, length, estimated_length, volume, difficulty, effort)."""
+    """Halstead record (vocabulary, length, estimated_length, volume, difficulty, effort).
+    Operator counts and operands are bound once (one-element array) and reused."""
     c = _col(code)
-    counts = [count_substr(c, op) for op in HALSTEAD_OPERATORS]
-    n1 = sum((F.when(k > 0, 1).otherwise(0) for k in counts), F.lit(0))
-    N1 = sum(counts, F.lit(0).cast("long"))
+    counts = F.array(*[count_substr(c, op) for op in HALSTEAD_OPERATORS])
     words = F.regexp_extract_all(c, F.lit(f"({WORD}+)"), 1)
     kw = F.array(*[F.lit(k) for k in HALSTEAD_KEYWORDS])
     operands = F.filter(words, lambda w: ~F.array_contains(kw, F.lower(w)))
-    n2 = F.size(F.array_distinct(operands))
-    N2 = F.size(operands)
+    bound = F.array(F.struct(counts.alias("cnt"), operands.alias("ops")))
+
+    def record(b):
+        n1 = F.size(F.filter(b["cnt"], lambda k: k > 0))
+        N1 = F.aggregate(b["cnt"], F.lit(0).cast("long"), lambda a, k: a + k)
+        n2 = F.size(F.array_distinct(b["ops"]))
+        N2 = F.size(b["ops"])
+        return F.transform(F.array(F.struct(n1.alias("u1"), N1.alias("t1"), n2.alias("u2"), N2.alias("t2"))), lambda v: _hal(v))[0]
+
+    return F.transform(bound, record)[0]
+
+
+def _hal(v: Column) -> Column:
+    n1, N1, n2, N2 = v["u1"], v["t1"], v["u2"], v["t2"]
     vocab = n1 + n2
     length = N1 + N2
     has = n2 > 0

@@ -44,26 +44,38 @@ def explode_lines(files: DataFrame) -> DataFrame:
 
 # ---------------- header detection ----------------
 
-def _header_field(field: str) -> Column:
-    expr = None
+def _header_index() -> Column:
+    """Index of the first header pattern (in rule order) the line matches, else NULL.
+    Only lines with ``(`` or ``def`` can be headers, so others skip the patterns."""
+    expr, idx = None, 0
     for lang, r in LR.RULES.items():
-        for rx, groups in r.headers:
+        for rx, _ in r.headers:
             cond = (F.col("language") == lang) & F.col("line").rlike(rx)
+            expr = F.when(cond, F.lit(idx)) if expr is None else expr.when(cond, F.lit(idx))
+            idx += 1
+    return F.when(F.col("line").contains("(") | F.col("line").contains("def"), expr)
+
+
+def _field_by_index(field: str) -> Column:
+    expr, idx = None, 0
+    for lang, r in LR.RULES.items():
+        for rx, groups in r.headers:
             val = F.regexp_extract("line", rx, groups[field]) if field in groups else F.lit("")
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+            expr = F.when(F.col("_hidx") == idx, val) if expr is None else expr.when(F.col("_hidx") == idx, val)
+            idx += 1
     return expr
 
 
 def with_headers(lines: DataFrame) -> DataFrame:
     """T6/E6-E12 head: per line the header fields when the line starts a method."""
-    out = lines
+    out = lines.withColumn("_hidx", _header_index())
     for f in FIELDS:
-        out = out.withColumn(f"h_{f}", _header_field(f))
+        out = out.withColumn(f"h_{f}", _field_by_index(f))
     reserved = F.array(*[F.lit(w) for w in LR.RESERVED])
     is_header = (F.col("h_name").isNotNull() & (F.col("h_name") != "")
                  & ~F.array_contains(reserved, F.col("h_name"))
                  & ~F.array_contains(reserved, F.coalesce(F.col("h_return_type"), F.lit(""))))
-    return out.withColumn("is_header", is_header)
+    return out.withColumn("is_header", F.coalesce(is_header, F.lit(False))).drop("_hidx")
 
 
 def _lang_case(values: dict[str, Column], default: Column) -> Column:
@@ -297,14 +309,11 @@ def mock_lines(methods: DataFrame) -> DataFrame:
 
 
 def strip_to_interactions(methods: DataFrame) -> DataFrame:
-    """Body replaced by the newline-joined subjects in line order; methods with
-    none keep an empty body."""
-    ml = mock_lines(methods).filter(F.col("subject") != "")
-    agg = ml.groupBy("path", "method_seq").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "subject"))), lambda s: s["subject"]), "\n")
-        .alias("stripped"))
-    return methods.join(agg, ["path", "method_seq"], "left").withColumn(
-        "body", F.coalesce("stripped", F.lit(""))).drop("stripped")
+    """Body replaced by the newline-joined subjects of its mock lines, in line
+    order; methods with none keep an empty body.  Row-local higher-order
+    functions: no explode, no join back."""
+    subjects = F.transform(F.filter(F.split("body", "\n", -1), lambda l: has_mock(l)), lambda l: mock_subject(l))
+    return methods.withColumn("body", F.array_join(F.filter(subjects, lambda s: s != ""), "\n"))
 
 
 def to_extracted(methods: DataFrame) -> DataFrame:
