@@ -92,13 +92,13 @@ def method_calls(code: Column | str) -> Column:
 
 def _cognitive_sql(code_sql: str) -> str:
     opens, closes = _sql_count("l", "{"), _sql_count("l", "}")
-    weight = " + ".join(f"IF(instr(ll, '{kw}') > 0, {w}, 0)" for kw, w in COGNITIVE_WEIGHTS.items())
+    weight = " + ".join(f"IF(instr(b.ll, '{kw}') > 0, {w}, 0)" for kw, w in COGNITIVE_WEIGHTS.items())
     # the new level and the lower-cased line are bound once per line (one-element arrays)
     return (
         f"aggregate(split({code_sql}, '\\n', -1), named_struct('lvl', 0L, 'tot', 0L), "
         f"(acc, l) -> transform(array(named_struct('nl', CAST(greatest(0, acc.lvl + {opens} - {closes}) AS BIGINT), "
         f"'ll', lower(l))), b -> named_struct('lvl', b.nl, 'tot', acc.tot + "
-        f"({weight.replace('ll', 'b.ll')}) * (1 + b.nl)))[0], acc -> CAST(acc.tot AS INT))"
+        f"({weight}) * (1 + b.nl)))[0], acc -> CAST(acc.tot AS INT))"
     )
 
 
