@@ -275,23 +275,25 @@ def truncate_tokens(toks: Column, max_length: int = MAX_TOKENS) -> Column:
 
 
 def hashing_embed(items: DataFrame, code: str = "code", dims: int = HASH_DIMS, max_length: int = MAX_TOKENS,
-                  out: str = "vec") -> DataFrame:
+                  out: str = "vec", keys: list[str] = ["suite", "method_seq"]) -> DataFrame:
     """B1 built-in embedder: signed feature hashing of the first ``max_length``
     tokens (bucket = md5 prefix mod dims, sign from the next hex digit), L2
-    normalised.  Native columns only: no UDF, no shuffle."""
-    toks = truncate_tokens(tokens(code), max_length)
-    pairs = F.transform(toks, lambda t: F.struct(
-        F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dims)).alias("b"),
-        F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s")))
-    # one pass over the tokens: add each token's sign into its bucket
-    raw = F.aggregate(F.col("_p"), F.array_repeat(F.lit(0.0), dims),
-                      lambda acc, p: F.transform(acc, lambda v, i: F.when(i == p["b"], v + p["s"]).otherwise(v)))
-    # bind the raw vector once (a one-element array's lambda variable) so the
-    # normalisation does not re-evaluate it per element
+    normalised.  Tokens are exploded and summed per (item, bucket) — a partial
+    aggregate, at most ``dims`` rows per item leave each map task — then each
+    vector is assembled from its bucket map.  Items without tokens get zeros."""
+    toks = items.select(*keys, F.explode(truncate_tokens(tokens(code), max_length)).alias("t"))
+    h = toks.select(*keys, F.md5("t").alias("h")).select(
+        *keys,
+        F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int").alias("b"),
+        F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s"))
+    per_bucket = h.groupBy(*keys, "b").agg(F.sum("s").alias("v"))
+    maps = per_bucket.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("_m"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: F.coalesce(F.col("_m")[j], F.lit(0.0)))
+    # bind the raw vector once (a one-element array's lambda variable) for the norm
     unit = F.transform(F.array(raw), lambda r: F.transform(
         r, lambda v: F.when(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x) > 0,
                             v / F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x))).otherwise(v)))[0]
-    return items.withColumn("_p", pairs).withColumn(out, unit).drop("_p")
+    return items.join(maps, keys, "left").withColumn(out, unit).drop("_m")
 
 
 def pool_cls(token_vecs: DataFrame, vec: str = "vec") -> DataFrame:
