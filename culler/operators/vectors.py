@@ -368,3 +368,75 @@ def get_embedder(name: str) -> Embedder:
     if name not in EMBEDDERS:
         raise ValueError(f"unknown embedder: {name}; known: {sorted(EMBEDDERS)}")
     return EMBEDDERS[name]()
+
+
+# ---------------- B11 similarity matrix summaries, J7 pair enumeration ----------------
+
+def _rowsum_kernel(metrics: tuple[str, ...], vec: str):
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        suite = pdf["suite"].iloc[0]
+        for qa, va, cb, vb in BK.directions(pdf, vec):
+            if len(qa) == 0 or len(cb) == 0:
+                continue
+            aseq, bseq = qa["method_seq"].to_numpy(), cb["method_seq"].to_numpy()
+            other = aseq[:, None] != bseq[None, :]
+            for m in metrics:
+                S = BK.similarity_from_distance(BK.distance_tile(va, vb, m), m)
+                Sm = np.where(other, S, np.nan)
+                cnt = other.sum(axis=1)
+                out.append(pd.DataFrame({"suite": suite, "metric": m, "a": aseq, "s": np.nansum(Sm, axis=1),
+                                         "mx": np.nanmax(np.where(other, S, -np.inf), axis=1), "n": cnt}))
+        if not out:
+            return pd.DataFrame({"suite": pd.Series(dtype=pdf["suite"].dtype), "metric": [], "a": [], "s": [], "mx": [], "n": []})
+        return pd.concat(out, ignore_index=True)
+
+    return kernel
+
+
+def similarity_summary(items: DataFrame, metrics: tuple[str, ...] = BK.METRICS, vec: str = "vec",
+                       block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
+    """B11 re-aimed: the pairwise similarity matrix of each suite reduced per row
+    (mean and max similarity to the other items), computed tile by tile — the
+    n x n matrix is never materialised."""
+    schema = "suite {suite}, metric string, a long, s double, mx double, n long"
+    part = BK.run_pairs(items.select("suite", "method_seq", vec), ["suite"], _rowsum_kernel(metrics, vec), schema, block_size)
+    return part.groupBy("suite", "metric", "a").agg(
+        (F.sum("s") / F.sum("n")).alias("mean_similarity"), F.max("mx").alias("max_similarity"))
+
+
+def pair_count(items: DataFrame, block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
+    """J7 re-aimed: how many unordered pairs the block-pair enumeration covers per
+    suite (each pair exactly once: n (n - 1) / 2) — without emitting them."""
+    rep = BK.replicate_pairs(BK.assign_blocks(items.select("suite", "method_seq"), ["suite"], block_size))
+    per_tile = rep.groupBy("suite", "lo", "hi").agg(
+        F.count_if(F.col("blk") == F.col("lo")).alias("na"), F.count_if(F.col("blk") == F.col("hi")).alias("nb"))
+    pairs = F.when(F.col("lo") == F.col("hi"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
+    return per_tile.groupBy("suite").agg(F.sum(pairs).cast("long").alias("pairs"))
+
+
+# ---------------- B13 approximate top-k at corpus scale ----------------
+
+LSH_BANDS = 8
+LSH_BITS = 6
+LSH_SEED = 7
+
+
+def ann_topk(items: DataFrame, k: int = TOPK_FIND, vec: str = "vec", bands: int = LSH_BANDS, bits: int = LSH_BITS,
+             block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
+    """Cosine top-k over the whole corpus (no suite key) with random-hyperplane
+    LSH: items sharing a band signature are candidates; each bucket goes through the
+    blocked kernel (a hot bucket becomes many bounded tiles), candidates are merged
+    over bands and re-ranked exactly.  Output (a, rank, b, score)."""
+    dims = len(items.select(vec).first()[0])
+    planes = np.random.default_rng(LSH_SEED).normal(size=(bands * bits, dims))
+    sig_bits = [F.when(dot(F.col(vec), F.array(*[F.lit(float(x)) for x in planes[i]])) >= 0, F.lit(1)).otherwise(F.lit(0))
+                for i in range(bands * bits)]
+    x = items.select("method_seq", vec, F.array(*sig_bits).alias("_sig"))
+    buckets = x.select("method_seq", vec, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(
+        "", F.slice(F.col("_sig"), b * bits + 1, bits).cast("array<string>")))).alias("band", "code"))
+    buckets = buckets.select(F.concat_ws(":", F.col("band").cast("string"), "code").alias("suite"), "method_seq", vec)
+    cand = topk_similar(buckets, k=k, metrics=("cosine",), vec=vec, block_size=block_size)
+    best = cand.groupBy("a", "b").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("a").orderBy(F.col("score").desc(), F.col("b"))
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a", "rank", "b", "score")

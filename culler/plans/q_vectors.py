@@ -415,3 +415,26 @@ def q_embedder_registry(spark, sf):
         e = V.get_embedder(name).embed(m).select("suite", "method_seq", F.lit(name).alias("embedder"), F.size("vec").alias("dims"))
         out = e if out is None else out.unionByName(e)
     return out
+
+
+@register("similarity_pairs", f"""{SIM_SQL}
+SELECT suite, metric, a, round(avg(score), 6) AS mean_similarity, round(max(score), 6) AS max_similarity
+FROM sims GROUP BY suite, metric, a""")
+def q_similarity_pairs(spark, sf):
+    """B11 re-aimed: each row of the pairwise similarity matrix reduced to its mean and max."""
+    s = V.similarity_summary(method_vectors(spark, sf), block_size=16)
+    return s.select("suite", "metric", "a", round6("mean_similarity").alias("mean_similarity"),
+                    round6("max_similarity").alias("max_similarity"))
+
+
+@register("self_pairs", f"SELECT suite, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM ({F2_SQL}) GROUP BY suite")
+def q_self_pairs(spark, sf):
+    """J7 re-aimed: pairs covered by the block-pair enumeration per suite (never emitted)."""
+    return V.pair_count(method_vectors(spark, sf), block_size=16)
+
+
+@register("ann_topk")
+def q_ann_topk(spark, sf):
+    """Corpus-wide approximate cosine top-5 (LSH bands + exact re-rank)."""
+    t = V.ann_topk(method_vectors(spark, sf))
+    return t.select("a", F.col("rank").cast("long").alias("rank"), "b", round6("score").alias("score"))

@@ -104,3 +104,11 @@ def test_hashing_embedder_unit_norm(spark):
 def test_registry_unknown(spark):
     with pytest.raises(ValueError):
         V.get_embedder("nope")
+
+
+def test_ann_recall_and_pair_count(spark):
+    df, data = make(spark, seed=9, suites=(40,), dim=6)
+    ann = {(r["a"], r["b"]) for r in V.ann_topk(df.drop("suite"), k=3, block_size=8).collect()}
+    exact = {(r["a"], r["b"]) for r in V.topk_similar(df, k=3, metrics=("cosine",)).collect()}
+    assert len(ann & exact) / len(exact) >= 0.5  # approximate: recall reported, not equality
+    assert V.pair_count(df, block_size=7).first()["pairs"] == 40 * 39 // 2
