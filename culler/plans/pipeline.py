@@ -16,6 +16,7 @@ from culler.operators import report as R
 from culler.operators import select as S
 from culler.operators import transform as T
 from culler.operators import vectors as V
+from culler.session import cut_lineage
 
 
 def prepare(files: DataFrame, full_tests: bool = False) -> dict[str, DataFrame]:
@@ -34,7 +35,9 @@ def cluster_grid(z: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str, st
     """K0: 3 algorithms x 3 metrics on standardized vectors ``z``; quality per cell."""
     eps = C.optimal_eps(V.kth_neighbour_distance(z, vec="z"))
     db, _ = C.dbscan_search(C.dbscan_grid(z, eps))
+    db = cut_lineage(db)  # read by three cells: materialise once
     km, k = C.kmeans_auto(z)
+    km = cut_lineage(km)
     cells = [(a, m) for a in Q.ALGORITHMS for m in Q.METRICS]
     lab = z.select("suite", "method_seq", "z")
     cols = []

@@ -188,26 +188,8 @@ def q_dendrogram_data(spark, sf):
 
 def cluster_grid(spark, sf):
     """K0: 3 algorithms x 3 metrics on standardized vectors with quality per cell."""
-    z = _z(spark, sf).cache()
-    eps = _eps(spark, sf, z)
-    db, _ = C.dbscan_search(C.dbscan_grid(z, eps))
-    km, k = C.kmeans_auto(z)
-    hier = {m: C.hierarchical(z, k, m) for m in Q.METRICS}
-    cells = [(a, m) for a in Q.ALGORITHMS for m in Q.METRICS]
-    cols = []
-    lab = z.select("suite", "method_seq", "z")
-    for i, (a, m) in enumerate(cells):
-        if a == "dbscan":
-            src = db.filter(F.col("metric") == m).select("suite", "method_seq", "cluster")
-        elif a == "kmeans":
-            src = km
-        else:
-            src = hier[m].select("suite", "method_seq", "cluster")
-        lab = lab.join(src.withColumnRenamed("cluster", f"c{i}"), ["suite", "method_seq"], "left")
-        cols.append(F.coalesce(F.col(f"c{i}"), F.lit(-1)).cast("int"))
-    lab = lab.withColumn("labels", F.array(*cols))
-    runs = Q.silhouette_grid(lab, cells)
-    return runs, lab, cells
+    from culler.plans.pipeline import cluster_grid as grid
+    return grid(_z(spark, sf).cache())
 
 
 @register("cluster_grid")
