@@ -30,6 +30,7 @@ def get_spark(cpus: int | str = "*", app: str = "culler", shuffle_partitions: in
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -59,3 +60,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``culler`` importable in Python workers (pandas kernels, plug-ins):
+    zip the package once per application and ``addPyFile`` it, which distributes it
+    to every executor through Spark itself."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_culler_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="culler-pkg-"), "culler.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, fs in os.walk(pkg):
+            for f in fs:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    sc._culler_shipped = True
