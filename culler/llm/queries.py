@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from culler.llm import chat, interleave, mix, secret_scan
+from culler.llm import backoff_lm, chat, interleave, mix, piece_bpe, qda, secret_scan
+from culler.llm.common import prepare
 from culler.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,8 +90,6 @@ FROM p GROUP BY conv_id
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, through a fresh blob ledger."""
-    from culler.llm.common import prepare
-
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     found = secret_scan.scan_versions(docs, secret_scan.new_ledger(spark))
@@ -98,3 +97,51 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_scan.span_string(F.col("findings"))
     return found.select(F.col("path").alias("doc_id"), *[n(k) for k in secret_scan.KINDS],
                         F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that aren't held out."""
+    stats = qda.document_statistics(read_table(spark, sf_dir, "documents"))
+    return qda.score_statistics(stats, qda.fit_labelled(stats, read_table(spark, sf_dir, "labels")))
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file that the production queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document and what they decode to."""
+    return piece_bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under the bigram counts of all other rows."""
+    return backoff_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+# c: counts over all rows, minus the row's own (a row doesn't vouch for itself)
+SQL["op10_backoff"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '\x00', ''), '{_W}') AS w FROM documents),
+u AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+b AS (SELECT r, w, i, lag(w) OVER (PARTITION BY r ORDER BY i) AS h FROM u),
+cu AS (SELECT w, count(*) AS c FROM u GROUP BY w),
+cb AS (SELECT h, w, count(*) AS c FROM b WHERE h IS NOT NULL GROUP BY h, w),
+ou AS (SELECT r, w, count(*) AS c FROM u GROUP BY r, w),
+ob AS (SELECT r, h, w, count(*) AS c FROM b WHERE h IS NOT NULL GROUP BY r, h, w),
+n AS (SELECT count(*) AS n FROM u),
+s AS (SELECT b.r, CASE WHEN b.h IS NOT NULL AND cb.c - ob.c > 0 THEN ln((cb.c - ob.c) / (ch.c - oh.c)::DOUBLE)
+                       ELSE (CASE WHEN b.h IS NULL THEN 0 ELSE ln(0.4) END)
+                            + CASE WHEN cw.c - ow.c > 0 THEN ln((cw.c - ow.c) / n::DOUBLE) ELSE ln(0.4) - ln(n::DOUBLE) END END AS x,
+             (b.h IS NOT NULL AND cb.c - ob.c > 0)::INT AS hit
+      FROM b CROSS JOIN n JOIN cu cw ON cw.w = b.w JOIN ou ow ON ow.r = b.r AND ow.w = b.w
+      LEFT JOIN cu ch ON ch.w = b.h LEFT JOIN ou oh ON oh.r = b.r AND oh.w = b.h
+      LEFT JOIN cb ON cb.h = b.h AND cb.w = b.w LEFT JOIN ob ON ob.r = b.r AND ob.h = b.h AND ob.w = b.w)
+SELECT d.doc_id, count(s.r) AS n_words, coalesce(sum(s.hit), 0)::BIGINT AS n_bigrams_seen, round(sum(s.x), 4) AS log_score
+FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id
+"""
