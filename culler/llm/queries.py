@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from culler.llm import backoff_lm, chat, interleave, mix, piece_bpe, qda, secret_scan
+from culler.llm import backoff_lm, chat, cross_polytope, embed_dedup, interleave, mix, piece_bpe, qda, secret_scan
 from culler.llm.common import prepare
 from culler.session import read_table
 
@@ -145,3 +145,26 @@ s AS (SELECT b.r, CASE WHEN b.h IS NOT NULL AND cb.c - ob.c > 0 THEN ln((cb.c -
 SELECT d.doc_id, count(s.r) AS n_words, coalesce(sum(s.hit), 0)::BIGINT AS n_bigrams_seen, round(sum(s.x), 4) AS log_score
 FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id
 """
+
+
+@query
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings: links of cosine 0.9 or more, and their components."""
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op2_embed_dedup"] = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e
+      WHERE v IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN v]) AND list_bool_or([x <> 0 FOR x IN v])),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM e JOIN r ON r.a = e.vec_id GROUP BY e.vec_id
+"""
+
+
+@query
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest other vectors of every 50th vector. Approximate, so tests measure its recall."""
+    return cross_polytope.nearest(read_table(spark, sf_dir, "embeddings"))
