@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from culler.llm import backoff_lm, chat, cross_polytope, embed_dedup, interleave, mix, piece_bpe, qda, secret_scan
+from culler.llm import backoff_lm, bbit_minhash, chat, cross_polytope, embed_dedup, interleave, mix, piece_bpe, qda, secret_scan
 from culler.llm.common import prepare
 from culler.session import read_table
 
@@ -168,3 +168,24 @@ FROM e JOIN r ON r.a = e.vec_id GROUP BY e.vec_id
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest other vectors of every 50th vector. Approximate, so tests measure its recall."""
     return cross_polytope.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: components of links of similarity 0.85 or more."""
+    return bbit_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+# bytes are compared in DuckDB's lower(): only A-Z may change, so translate() does it
+SQL["op7_minhash"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS w
+                     FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+      FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id
+      JOIN n nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
