@@ -41,6 +41,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MIN = 6
+#: Findings are broadcast up to this measured size.
+BROADCAST_BYTES = 32 << 20
 
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob string, rule_version int, findings {FINDINGS}"
@@ -97,22 +99,30 @@ def span_string(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
 
+def _bounded(hits: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``hits``, to be broadcast if their rows, measured now, need no more than ``limit`` bytes."""
+    size = hits.agg(F.sum(200 + 40 * F.size("__findings"))).first()[0] or 0
+    return F.broadcast(hits) if size <= limit else hits
+
+
 def redact(docs: DataFrame, ledger: str) -> DataFrame:
-    """Replaces each secret by ``<kind>`` in the texts of ``docs`` (doc_id, text, further columns kept):
-    the document stays, the secret goes. Texts without findings come back as they are."""
+    """Replaces each secret by ``<kind>`` in the texts of ``docs`` (doc_id, text, further columns kept): the document
+    stays, the secret goes. Texts without findings come back as they are. The findings (of the few texts that
+    have any) are broadcast if they are measured to be small, else joined by blob."""
     prepare(docs.sparkSession)
     found = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"), ledger)
-    hits = found.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings")).dropDuplicates(["__blob"])
-    joined = docs.withColumn("__of", blob_of(F.col("text"))).join(hits, F.col("__of") == F.col("__blob"), "left")
-    # spans may overlap (a token's value may be hexadecimal): a span that starts inside an earlier one is cut to its rest
+    hits = found.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
+    hits = _bounded(written(hits.dropDuplicates(["__blob"]), "secret-redactions"))
+    joined = docs.join(hits, blob_of(F.col("text")) == F.col("__blob"), "left")
+    none = F.array().cast(FINDINGS)
+    # spans may overlap (a value may be hexadecimal): of a span that starts inside an earlier one only the rest goes
     state = F.aggregate(
-        F.coalesce("__findings", F.array().cast(FINDINGS)),
+        F.coalesce("__findings", none),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, f: F.when(f["end"] <= s["at"], s).otherwise(F.struct(
-            F.concat(s["out"], F.when(f["start"] > s["at"], F.substring(F.col("text"), s["at"] + 1, f["start"] - s["at"])).otherwise(F.lit("")),
-                     F.when(f["start"] >= s["at"], F.concat(F.lit("<"), f["kind"], F.lit(">"))).otherwise(F.lit(""))).alias("out"),
+            F.concat(s["out"], F.when(f["start"] >= s["at"], F.concat(
+                F.substring(F.col("text"), s["at"] + 1, f["start"] - s["at"]), F.lit("<"), f["kind"], F.lit(">"))).otherwise(F.lit(""))).alias("out"),
             f["end"].alias("at"))),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))),
-    )
+        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
     text = F.when(F.col("__findings").isNull(), F.col("text")).otherwise(state)
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
