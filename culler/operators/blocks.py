@@ -53,6 +53,17 @@ def run_pairs(items: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame]
     return rep.groupBy(*keys, "lo", "hi").applyInPandas(kernel, schema)
 
 
+def run_queries(items: DataFrame, queries: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+                block_size: int = DEFAULT_BLOCK, seq: str = "method_seq") -> DataFrame:
+    """The kernel on (asked items, one block of candidates): ``queries`` (keys, seq) go to all blocks of their
+    group, every item stays in its own block, so the group is moved once."""
+    blocked = assign_blocks(items, keys, block_size, seq)
+    asked = blocked.join(queries.select(*keys, seq), [*keys, seq], "left_semi")
+    asked = asked.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("asked", F.lit(True))
+    rows = blocked.withColumn("asked", F.lit(False)).unionByName(asked)
+    return rows.groupBy(*keys, "blk").applyInPandas(kernel, schema.replace("{suite}", key_type(items)))
+
+
 # ---------------- numpy tiles ----------------
 
 def stack(col: pd.Series) -> np.ndarray:
@@ -91,6 +102,10 @@ def split_tile(pdf: pd.DataFrame, vec: str = "vec"):
 
 def directions(pdf: pd.DataFrame, vec: str = "vec") -> Iterator[tuple[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray]]:
     """(queries, their vectors, candidates, their vectors) for both directions of a tile."""
+    if "asked" in pdf:
+        q, c = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+        yield q, stack(q[vec]), c, stack(c[vec])
+        return
     a, b, same = split_tile(pdf, vec)
     va, vb = stack(a[vec]), stack(b[vec])
     yield a, va, b, vb

@@ -34,7 +34,8 @@ ELBOW_MAX_K = 10
 KMEANS_SEED = 42
 KMEANS_RESTARTS = 10
 ELBOW_RESTARTS = 5
-KMEANS_MAX_ITER = 20
+# Squared move below which a centroid stands still (rounding of the means' sums).
+CENTROID_TOL = 1e-20
 HIER_EXACT_MAX = 512
 
 
@@ -150,24 +151,23 @@ def _dbscan_kernel(metrics: list[str], n_cfg: int, vec: str, phase: str):
     return kernel
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest vertex id per component: label propagation over both edge
     directions plus pointer jumping (label <- label of label), until stable.
-    Lineage is cut with reliable checkpoints every few rounds."""
+    Every round is a reliable checkpoint."""
     und = edges.select(*keys, "a", "v").unionByName(edges.select(*keys, F.col("v").alias("a"), F.col("a").alias("v")))
     lab = vertices.select(*keys, "a", F.col("a").alias("l"))
-    for rnd in range(max_rounds):
+    while True:
         nb = und.join(lab.withColumnRenamed("a", "v").withColumnRenamed("l", "lv"), keys + ["v"]).groupBy(*keys, "a").agg(
             F.min("lv").alias("m"))
         new = lab.join(nb, keys + ["a"], "left").select(*keys, "a", F.least("l", F.coalesce("m", "l")).alias("l"))
         jump = new.join(new.select(*keys, F.col("a").alias("l"), F.col("l").alias("ll")), keys + ["l"], "left").select(
             *keys, "a", F.least("l", F.coalesce("ll", "l")).alias("l"))
-        jump = cut_lineage(jump) if rnd % 2 == 1 else jump.cache()
-        changed = jump.join(lab.withColumnRenamed("l", "old"), keys + ["a"]).filter(F.col("l") != F.col("old")).limit(1).count()
+        jump = cut_lineage(jump)
+        stable = jump.join(lab.withColumnRenamed("l", "old"), keys + ["a"]).filter(F.col("l") != F.col("old")).isEmpty()
         lab = jump
-        if changed == 0:
-            break
-    return lab
+        if stable:
+            return lab
 
 
 def dbscan_grid(z: DataFrame, eps: DataFrame, metrics: list[str] = list(BK.METRICS), vec: str = "z",
@@ -184,7 +184,7 @@ def dbscan_grid(z: DataFrame, eps: DataFrame, metrics: list[str] = list(BK.METRI
                 .withColumn("e", F.col("eps") * F.col("factor"))
                 .withColumn("min_samples", F.when(F.col("div").isNull(), F.lit(2)).otherwise(
                     F.greatest(F.lit(2), F.floor(F.col("n") / F.col("div")))).cast("long")))
-    settings = settings.cache()
+    settings = cut_lineage(settings)
     eps_arr = settings.groupBy("suite").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("cell", "e"))), lambda s: s["e"]).alias("eps"))
     base = z.select("suite", "method_seq", vec).join(eps_arr, "suite")
@@ -243,25 +243,25 @@ def _init_centroids(z: DataFrame, runs: DataFrame, vec: str) -> DataFrame:
     return pick.select("suite", "k", "run", (F.col("r") - 1).cast("int").alias("cluster"), F.col(vec).alias("centroid"))
 
 
-def kmeans_runs(z: DataFrame, runs: DataFrame, vec: str = "z", max_iter: int = KMEANS_MAX_ITER, tol: float = 1e-4):
-    """Lloyd iterations for every run (suite, k, run) at once.  Returns
+def kmeans_runs(z: DataFrame, runs: DataFrame, vec: str = "z"):
+    """Lloyd iterations for every run (suite, k, run) at once, until no centroid moves.  Each
+    iteration lowers the inertia of an unfinished run, so the loop ends.  Returns
     (assignments: suite, k, run, method_seq, cluster, sq_dist; inertia: suite, k, run, inertia)."""
     cents = cut_lineage(_init_centroids(z, runs, vec))
-    items = z.select("suite", "method_seq", vec).join(runs, "suite").cache()
+    items = cut_lineage(z.select("suite", "method_seq", vec).join(runs, "suite"))
     keys = ["suite", "k", "run"]
-    for it in range(max_iter):
+    while True:
         j = items.join(cents, keys).withColumn("_d", V.sq_dist(F.col(vec), F.col("centroid")))
         assign = j.groupBy(*keys, "method_seq").agg(F.min_by("cluster", F.struct("_d", "cluster")).alias("cluster"))
         new = V.centroids(assign.join(items, keys + ["method_seq"]), vec, keys + ["cluster"]).select(*keys, "cluster", "centroid")
         # empty clusters keep their previous centroid
         new = cents.join(new.withColumnRenamed("centroid", "nc"), keys + ["cluster"], "left").select(
             *keys, "cluster", F.coalesce("nc", "centroid").alias("centroid"))
-        # reliable checkpoint every few rounds bounds the lineage; cache in between
-        new = cut_lineage(new) if it % 5 == 4 else new.cache()
+        new = cut_lineage(new)
         shift = new.join(cents.withColumnRenamed("centroid", "oc"), keys + ["cluster"]).agg(
             F.max(V.sq_dist(F.col("centroid"), F.col("oc"))).alias("m")).first()["m"]
         cents = new
-        if shift is None or shift <= tol:
+        if shift is None or shift <= CENTROID_TOL:
             break
     j = items.join(cents, keys).withColumn("_d", V.sq_dist(F.col(vec), F.col("centroid")))
     assign = j.groupBy(*keys, "method_seq").agg(

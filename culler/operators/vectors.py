@@ -7,21 +7,25 @@ goes through the blocked kernels in ``blocks``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from culler.operators import blocks as BK
+from culler.session import cut_lineage
 
 # Default number of neighbours found and the number kept in the result document.
 TOPK_FIND = 5
 TOPK_KEEP = 3
-# Token budget per snippet for the built-in embedder (most models: 512).
+# Default of the explicit truncation operator (most model windows: 512); the hashing embedder has no window.
 MAX_TOKENS = 512
 HASH_DIMS = 64
 
@@ -96,14 +100,15 @@ def _topk_kernel(k: int, metrics: tuple[str, ...], vec: str):
                 S = BK.similarity_from_distance(BK.distance_tile(va, vb, m), m)
                 S[aseq[:, None] == bseq[None, :]] = -np.inf  # self excluded by id (V3)
                 kk = min(k, len(bseq))
-                # order: similarity desc, then candidate id asc
-                order = np.lexsort((np.broadcast_to(bseq, S.shape), -S), axis=1)[:, :kk]
-                rows = np.repeat(np.arange(len(aseq)), kk)
-                cols = order.ravel()
-                sc = S[rows, cols]
-                keep = np.isfinite(sc)
-                out.append(pd.DataFrame({"suite": suite, "metric": m, "a": aseq[rows[keep]],
-                                         "b": bseq[cols[keep]], "score": sc[keep]}))
+                # all candidates at or above the kk-th similarity, then order: similarity desc, candidate id asc
+                least = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
+                rows, cols = np.nonzero((S >= least[:, None]) & np.isfinite(S))
+                order = np.lexsort((bseq[cols], -S[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                first = np.searchsorted(rows, rows)
+                keep = np.arange(len(rows)) - first < kk
+                rows, cols = rows[keep], cols[keep]
+                out.append(pd.DataFrame({"suite": suite, "metric": m, "a": aseq[rows], "b": bseq[cols], "score": S[rows, cols]}))
         if not out:
             return pd.DataFrame({"suite": pd.Series(dtype=pdf["suite"].dtype), "metric": [], "a": [], "b": [], "score": []})
         return pd.concat(out, ignore_index=True)
@@ -112,12 +117,17 @@ def _topk_kernel(k: int, metrics: tuple[str, ...], vec: str):
 
 
 def topk_similar(items: DataFrame, k: int = TOPK_FIND, metrics: tuple[str, ...] = BK.METRICS, vec: str = "vec",
-                 block_size: int = BK.DEFAULT_BLOCK, suite_type: str = "string") -> DataFrame:
+                 block_size: int = BK.DEFAULT_BLOCK, queries: DataFrame | None = None) -> DataFrame:
     """Per item its k most similar other items per metric: (suite, metric, a, rank, b, score).
-    Ties: higher similarity first, then smaller id."""
+    Ties: higher similarity first, then smaller id.  With ``queries`` (suite, method_seq) only those
+    items are asked: they go to every block of their suite, and every other item stays in its own."""
     base = items.select("suite", "method_seq", vec)
     schema = "suite {suite}, metric string, a long, b long, score double"
-    cand = BK.run_pairs(base, ["suite"], _topk_kernel(k, metrics, vec), schema, block_size)
+    kernel = _topk_kernel(k, metrics, vec)
+    if queries is None:
+        cand = BK.run_pairs(base, ["suite"], kernel, schema, block_size)
+    else:
+        cand = BK.run_queries(base, queries, ["suite"], kernel, schema, block_size)
     w = Window.partitionBy("suite", "metric", "a").orderBy(F.col("score").desc(), F.col("b"))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -138,7 +148,7 @@ def _kdist_kernel(metrics: tuple[str, ...], vec: str):
                 same = aseq[:, None] == cb["method_seq"].to_numpy()[None, :]
                 D[same] = 0.0  # self at distance 0 (counted as first neighbour)
                 kk = int(min(kq.max(), D.shape[1]))
-                part = np.sort(D, axis=1)[:, :kk]
+                part = np.partition(D, kk - 1, axis=1)[:, :kk]
                 out.append(pd.DataFrame({"suite": suite, "metric": m, "a": np.repeat(aseq, kk), "d": part.ravel(),
                                          "k": np.repeat(kq, kk)}))
         if not out:
@@ -156,7 +166,7 @@ def neighbour_k(n: Column) -> Column:
 
 
 def kth_neighbour_distance(items: DataFrame, metrics: tuple[str, ...] = BK.METRICS, vec: str = "z",
-                           block_size: int = BK.DEFAULT_BLOCK, suite_type: str = "string") -> DataFrame:
+                           block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
     """Per item and metric the distance to its k-th nearest item, self counted first."""
     sizes = items.groupBy("suite").agg(F.count("*").alias("n"))
     base = items.select("suite", "method_seq", vec).join(sizes, "suite").withColumn("k", neighbour_k(F.col("n")))
@@ -199,7 +209,7 @@ def inertia(labeled: DataFrame, cents: DataFrame, vec: str = "vec", keys: list[s
 
 # ---------------- B16 covariance, B15 PCA ----------------
 
-def _partial_scatter(dims: int, suite_type: str):
+def _partial_scatter():
     def fn(it):
         for pdf in it:
             if len(pdf) == 0:
@@ -211,14 +221,14 @@ def _partial_scatter(dims: int, suite_type: str):
     return fn
 
 
-def covariance(items: DataFrame, vec: str = "vec", suite_type: str = "string") -> DataFrame:
+def covariance(items: DataFrame, vec: str = "vec") -> DataFrame:
     """Sample covariance matrix per suite as (suite, i, j, cov).  Each partition
     emits its partial centred scatter matrix per suite (map-side combine), then the
     partials are summed per suite: the data is read once, no pair rows."""
     st = suite_stats(items, vec)
     c = items.join(st.select("suite", "mean", "n"), "suite").select(
         "suite", F.transform(F.col(vec), lambda x, i: x - F.col("mean")[i]).alias("c"))
-    part = c.mapInPandas(_partial_scatter(0, suite_type), f"suite {BK.key_type(items)}, m array<double>, cnt long")
+    part = c.mapInPandas(_partial_scatter(), f"suite {BK.key_type(items)}, m array<double>, cnt long")
     tot = part.select("suite", array_to_vector("m").alias("m"), "cnt").groupBy("suite").agg(
         Summarizer.sum(F.col("m")).alias("m"), F.sum("cnt").alias("cnt"))
     flat = tot.select("suite", "cnt", F.posexplode(vector_to_array("m")).alias("p", "s"))
@@ -228,7 +238,7 @@ def covariance(items: DataFrame, vec: str = "vec", suite_type: str = "string") -
         F.when(F.col("cnt") > 1, F.col("s") / (F.col("cnt") - 1)).alias("cov"))
 
 
-def _pca_kernel(suite_type: str):
+def _pca_kernel():
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         d = int(pdf["i"].max()) + 1
         C = np.zeros((d, d))
@@ -249,13 +259,13 @@ def _pca_kernel(suite_type: str):
     return fn
 
 
-def pca_2d(items: DataFrame, vec: str = "vec", suite_type: str = "string") -> DataFrame:
+def pca_2d(items: DataFrame, vec: str = "vec") -> DataFrame:
     """Two principal components of the centred raw vectors per suite.  The
     eigen problem is d x d per suite (bounded by the dimension, not the data);
     sign convention: the largest-magnitude loading is positive."""
-    cov = covariance(items, vec, suite_type)
+    cov = covariance(items, vec)
     comps = cov.groupBy("suite").applyInPandas(
-        _pca_kernel(suite_type), f"suite {BK.key_type(items)}, pc1 array<double>, pc2 array<double>, ev1 double, ev2 double")
+        _pca_kernel(), f"suite {BK.key_type(items)}, pc1 array<double>, pc2 array<double>, ev1 double, ev2 double")
     st = suite_stats(items, vec)
     j = items.join(st.select("suite", "mean"), "suite").join(comps, "suite")
     cvec = F.transform(F.col(vec), lambda x, i: x - F.col("mean")[i])
@@ -274,26 +284,44 @@ def truncate_tokens(toks: Column, max_length: int = MAX_TOKENS) -> Column:
     return F.slice(toks, 1, max_length)
 
 
-def hashing_embed(items: DataFrame, code: str = "code", dims: int = HASH_DIMS, max_length: int = MAX_TOKENS,
-                  out: str = "vec", keys: list[str] = ["suite", "method_seq"]) -> DataFrame:
-    """B1 built-in embedder: signed feature hashing of the first ``max_length``
-    tokens (bucket = md5 prefix mod dims, sign from the next hex digit), L2
-    normalised.  Tokens are exploded and summed per (item, bucket) — a partial
-    aggregate, at most ``dims`` rows per item leave each map task — then each
-    vector is assembled from its bucket map.  Items without tokens get zeros."""
-    toks = items.select(*keys, F.explode(truncate_tokens(tokens(code), max_length)).alias("t"))
-    h = toks.select(*keys, F.md5("t").alias("h")).select(
-        *keys,
-        F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int").alias("b"),
-        F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s"))
-    per_bucket = h.groupBy(*keys, "b").agg(F.sum("s").alias("v"))
-    maps = per_bucket.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("_m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: F.coalesce(F.col("_m")[j], F.lit(0.0)))
-    # bind the raw vector once (a one-element array's lambda variable) for the norm
-    unit = F.transform(F.array(raw), lambda r: F.transform(
-        r, lambda v: F.when(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x) > 0,
-                            v / F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x))).otherwise(v)))[0]
-    return items.join(maps, keys, "left").withColumn(out, unit).drop("_m")
+class _TokenBuckets(dict):
+    """token -> (bucket, sign); starts anew when it holds a million tokens."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __missing__(self, token: bytes) -> tuple[int, float]:
+        if len(self) >= 1_000_000:
+            self.clear()
+        h = hashlib.md5(token).hexdigest()
+        v = self[token] = (int(h[:8], 16) % self.dims, 1.0 if int(h[8], 16) < 8 else -1.0)
+        return v
+
+
+def hashing_embed(items: DataFrame, code: str = "code", dims: int = HASH_DIMS, max_length: int | None = None,
+                  out: str = "vec") -> DataFrame:
+    """B1 built-in embedder: signed feature hashing of all tokens (bucket = md5 prefix mod dims, sign from the
+    next hex digit), L2 normalised; ``max_length`` truncates only when a caller asks for it.  A map over Arrow
+    batches that appends one column: no shuffle and no join back.  Items without tokens get zeros."""
+    schema = T.StructType([f for f in items.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    keep = [f.name for f in schema.fields[:-1]]
+
+    def run(batches):
+        buckets = _TokenBuckets(dims)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(code)).to_pylist()
+            v = np.zeros((len(texts), dims))
+            for i, text in enumerate(texts):
+                toks = (text or "").encode("utf-8", "surrogatepass").split()[:max_length]
+                if toks:
+                    at, sign = zip(*map(buckets.__getitem__, toks))
+                    v[i] = np.bincount(at, weights=sign, minlength=dims)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = np.divide(v, norm, out=v, where=norm > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(list(v), pa.list_(pa.float64()))],
+                                             names=[*keep, out])
+
+    return items.mapInArrow(run, schema)
 
 
 def pool_cls(token_vecs: DataFrame, vec: str = "vec") -> DataFrame:
@@ -324,7 +352,7 @@ class Embedder:
 
 
 class HashingEmbedder(Embedder):
-    def __init__(self, dims: int = HASH_DIMS, max_length: int = MAX_TOKENS):
+    def __init__(self, dims: int = HASH_DIMS, max_length: int | None = None):
         self.dims, self.max_length = dims, max_length
 
     def embed(self, df, text_col="code", out="vec"):
@@ -339,7 +367,7 @@ class PandasEmbedder(Embedder):
         self.load, self.batch_rows = load, batch_rows
 
     def embed(self, df, text_col="code", out="vec"):
-        load, text = self.load, text_col
+        load, text, rows = self.load, text_col, self.batch_rows
         from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
         schema = StructType(df.schema.fields + [StructField(out, ArrayType(DoubleType()))])
 
@@ -348,11 +376,11 @@ class PandasEmbedder(Embedder):
             for pdf in it:
                 if len(pdf) == 0:
                     continue
-                m = np.asarray(encode(pdf[text].fillna("").tolist()), dtype=np.float64)
-                yield pdf.assign(**{out: list(m)})
+                for at in range(0, len(pdf), rows):
+                    part = pdf.iloc[at : at + rows]
+                    m = np.asarray(encode(part[text].fillna("").tolist()), dtype=np.float64)
+                    yield part.assign(**{out: list(m)})
 
-        spark = df.sparkSession
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(self.batch_rows))
         return df.mapInPandas(fn, schema)
 
 
@@ -422,21 +450,37 @@ LSH_BITS = 6
 LSH_SEED = 7
 
 
+def lsh_planes(n: int, dims: int, seed: int = LSH_SEED) -> np.ndarray:
+    """n hyperplanes: standard normal components, rounded so that SQL can state them."""
+    return np.random.default_rng(seed).normal(size=(n, dims)).round(6)
+
+
 def ann_topk(items: DataFrame, k: int = TOPK_FIND, vec: str = "vec", bands: int = LSH_BANDS, bits: int = LSH_BITS,
              block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
-    """Cosine top-k over the whole corpus (no suite key) with random-hyperplane
-    LSH: items sharing a band signature are candidates; each bucket goes through the
-    blocked kernel (a hot bucket becomes many bounded tiles), candidates are merged
-    over bands and re-ranked exactly.  Output (a, rank, b, score)."""
-    dims = len(items.select(vec).first()[0])
-    planes = np.random.default_rng(LSH_SEED).normal(size=(bands * bits, dims))
-    sig_bits = [F.when(dot(F.col(vec), F.array(*[F.lit(float(x)) for x in planes[i]])) >= 0, F.lit(1)).otherwise(F.lit(0))
-                for i in range(bands * bits)]
-    x = items.select("method_seq", vec, F.array(*sig_bits).alias("_sig"))
-    buckets = x.select("method_seq", vec, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat_ws(
-        "", F.slice(F.col("_sig"), b * bits + 1, bits).cast("array<string>")))).alias("band", "code"))
-    buckets = buckets.select(F.concat_ws(":", F.col("band").cast("string"), "code").alias("suite"), "method_seq", vec)
+    """Cosine top-k over the whole corpus (no suite key) with random-hyperplane LSH: items sharing a
+    band signature are candidates; each bucket goes through the blocked kernel (a hot bucket becomes many
+    bounded tiles), candidates are merged over bands and re-ranked exactly.  A band has 2 ** ``bits`` buckets:
+    raise ``bits`` with the logarithm of the corpus to keep buckets small, and ``bands`` to keep the recall.
+    Items whose buckets hold fewer than k others are compared with all items.  Output (a, rank, b, score)."""
+    items = cut_lineage(items.select("method_seq", vec))
+    first = items.first()
+    if first is None:
+        return items.select(F.col("method_seq").alias("a"), F.lit(0).alias("rank"), F.col("method_seq").alias("b"), F.lit(0.0).alias("score"))
+    planes = lsh_planes(bands * bits, len(first[vec]))
+    sig_bits = [F.when(dot(F.col(vec), F.array(*[F.lit(float(x)) for x in p])) >= 0, F.lit("1")).otherwise(F.lit("0")) for p in planes]
+    codes = F.array(*[F.concat(F.lit(f"{b}:"), *sig_bits[b * bits:(b + 1) * bits]) for b in range(bands)])
+    buckets = items.select(F.explode(codes).alias("suite"), "method_seq", vec)
     cand = topk_similar(buckets, k=k, metrics=("cosine",), vec=vec, block_size=block_size)
-    best = cand.groupBy("a", "b").agg(F.max("score").alias("score"))
     w = Window.partitionBy("a").orderBy(F.col("score").desc(), F.col("b"))
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a", "rank", "b", "score")
+
+    def best(c: DataFrame) -> DataFrame:
+        merged = c.groupBy("a", "b").agg(F.max("score").alias("score"))
+        return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a", "rank", "b", "score")
+
+    found = cut_lineage(best(cand))
+    full = found.filter(F.col("rank") == k).select(F.col("a").alias("method_seq"))
+    short = cut_lineage(items.select("method_seq").join(full, "method_seq", "left_anti").withColumn("suite", F.lit("all")))
+    if short.isEmpty():
+        return found
+    rest = topk_similar(items.withColumn("suite", F.lit("all")), k=k, metrics=("cosine",), vec=vec, block_size=block_size, queries=short)
+    return found.join(short.select(F.col("method_seq").alias("a")), "a", "left_anti").unionByName(rest.select("a", "rank", "b", "score"))

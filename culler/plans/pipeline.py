@@ -49,7 +49,8 @@ def cluster_grid(z: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str, st
         else:
             src = C.hierarchical(z, k, m).select("suite", "method_seq", "cluster")
         lab = lab.join(src.withColumnRenamed("cluster", f"c{i}"), ["suite", "method_seq"], "left")
-        cols.append(F.coalesce(F.col(f"c{i}"), F.lit(-1)).cast("int"))
+        lost = F.raise_error(F.concat(F.lit(f"no {a}/{m} label for item "), F.col("method_seq").cast("string")))
+        cols.append(F.coalesce(F.col(f"c{i}"), lost.cast("int")).cast("int"))
     lab = lab.withColumn("labels", F.array(*cols)).drop(*[f"c{i}" for i in range(len(cells))])
     return Q.silhouette_grid(lab, cells), lab, cells
 

@@ -146,11 +146,14 @@ def q_join_complete_loc(spark, sf):
         st, ["suite", "method_seq"]).select("suite", "method_seq", "lines_of_code", F.col("stripped_lines").cast("long").alias("stripped_lines"))
 
 
-NAMEKEY_SQL = "substr(code, 1, 2)"
+# names that several methods share, made from the whole text
+NAMES = 40
+NAMEKEY_SQL = f"concat('n', CAST(('0x' || substr(md5(code), 1, 8)) AS BIGINT) % {NAMES})"
 
 
 def _by_name(spark, sf, last: bool):
-    m = suite_methods(spark, sf).withColumn("name_key", F.substring("code", 1, 2))
+    m = suite_methods(spark, sf).withColumn(
+        "name_key", F.concat(F.lit("n"), F.conv(F.substring(F.md5("code"), 1, 8), 16, 10).cast("long") % NAMES))
     order = F.col("method_seq").desc() if last else F.col("method_seq")
     w = Window.partitionBy("suite", "name_key").orderBy(order)
     pick = m.withColumn("r", F.row_number().over(w)).filter("r = 1").select("suite", "name_key", "method_seq")

@@ -145,9 +145,9 @@ def q_top_report(spark, sf):
     """First 5 items of each suite with their first 3 cosine neighbours."""
     m = method_vectors(spark, sf)
     w = Window.partitionBy("suite").orderBy("method_seq")
-    firsts = m.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("suite", F.col("method_seq").alias("a"))
-    t = V.topk_similar(m, k=3, metrics=("cosine",), vec="vec")
-    return t.join(firsts, ["suite", "a"]).select("suite", "a", F.col("rank").cast("long").alias("rank"), "b", round6("score").alias("score"))
+    firsts = m.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("suite", "method_seq")
+    t = V.topk_similar(m, k=3, metrics=("cosine",), vec="vec", queries=firsts)
+    return t.select("suite", "a", F.col("rank").cast("long").alias("rank"), "b", round6("score").alias("score"))
 
 
 # ---------------- k-th neighbour distances on standardized vectors ----------------
@@ -342,7 +342,7 @@ WITH f AS ({F1_SQL}),
 t AS (SELECT f.suite, f.method_seq, x.tok, x.i FROM f, unnest(regexp_extract_all(f.code, '\\S+')) WITH ORDINALITY AS x(tok, i)),
 h AS (SELECT suite, method_seq, CAST(('0x' || substr(md5(tok), 1, 8)) AS UBIGINT) % {V.HASH_DIMS} AS dim,
              CASE WHEN CAST(('0x' || substr(md5(tok), 9, 1)) AS INTEGER) < 8 THEN 1.0 ELSE -1.0 END AS s
-      FROM t WHERE i <= {V.MAX_TOKENS}),
+      FROM t),
 g AS (SELECT suite, method_seq, dim, sum(s) AS v FROM h GROUP BY ALL),
 nn AS (SELECT suite, method_seq, sqrt(sum(v * v)) AS nrm FROM g GROUP BY ALL)
 SELECT g.suite, g.method_seq, CAST(g.dim AS BIGINT) AS dim, round(g.v / nn.nrm, 6) AS value
@@ -398,14 +398,19 @@ def _toy_model():
     return encode
 
 
-@register("embedder_plugin")
+_TOY_SQL = """[ln(1 + length(code)), ln(1 + len(regexp_extract_all(code, '\\S+'))),
+   ln(1 + length(code) - length(replace(code, chr(10), '')) + 1), ln(1 + len(regexp_extract_all(code, '[0-9]')))]"""
+
+
+@register("embedder_plugin", f"SELECT suite, method_seq, list_transform({_TOY_SQL}, lambda x: round(x, 6)) AS vec FROM ({F1_SQL})")
 def q_embedder_plugin(spark, sf):
     """UF1: a user model plugged in through mapInPandas."""
     e = V.PandasEmbedder(_toy_model).embed(suite_methods(spark, sf).select("suite", "method_seq", "code"))
-    return e.select("suite", "method_seq", "vec")
+    return e.select("suite", "method_seq", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
-@register("embedder_registry")
+@register("embedder_registry", f"""SELECT suite, method_seq, embedder, CASE embedder WHEN 'toy' THEN 4 ELSE {V.HASH_DIMS} END AS dims
+FROM ({F1_SQL}), (VALUES ('toy'), ('hashing')) e(embedder)""")
 def q_embedder_registry(spark, sf):
     """B2: embedders looked up by name; every registered one embeds the same items."""
     V.register_embedder("toy", lambda: V.PandasEmbedder(_toy_model))
@@ -422,7 +427,7 @@ SELECT suite, metric, a, round(avg(score), 6) AS mean_similarity, round(max(scor
 FROM sims GROUP BY suite, metric, a""")
 def q_similarity_pairs(spark, sf):
     """B11 re-aimed: each row of the pairwise similarity matrix reduced to its mean and max."""
-    s = V.similarity_summary(method_vectors(spark, sf), block_size=16)
+    s = V.similarity_summary(method_vectors(spark, sf))
     return s.select("suite", "metric", "a", round6("mean_similarity").alias("mean_similarity"),
                     round6("max_similarity").alias("max_similarity"))
 
@@ -430,10 +435,24 @@ def q_similarity_pairs(spark, sf):
 @register("self_pairs", f"SELECT suite, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM ({F2_SQL}) GROUP BY suite")
 def q_self_pairs(spark, sf):
     """J7 re-aimed: pairs covered by the block-pair enumeration per suite (never emitted)."""
-    return V.pair_count(method_vectors(spark, sf), block_size=16)
+    return V.pair_count(method_vectors(spark, sf))
+
+
+def _planes_sql() -> str:
+    """The hyperplanes as a literal list of lists."""
+    return "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in p) + "]" for p in V.lsh_planes(V.LSH_BANDS * V.LSH_BITS, 64)) + "]"
 
 
-@register("ann_topk")
+@register("ann_topk", f"""
+WITH v AS (SELECT method_seq, vec FROM ({F2_SQL})),
+s AS (SELECT method_seq, vec, list_transform({_planes_sql()}, lambda p: CASE WHEN list_dot_product(vec, p::DOUBLE[]) >= 0 THEN '1' ELSE '0' END) AS bits FROM v),
+b AS (SELECT method_seq, vec, i AS band, array_to_string(bits[i * {V.LSH_BITS} + 1:(i + 1) * {V.LSH_BITS}], '') AS code FROM s, range({V.LSH_BANDS}) r(i)),
+c AS (SELECT DISTINCT x.method_seq AS a, y.method_seq AS b, list_cosine_similarity(x.vec, y.vec) AS score
+      FROM b x JOIN b y ON x.band = y.band AND x.code = y.code AND x.method_seq <> y.method_seq),
+short AS (SELECT v.method_seq FROM v LEFT JOIN c ON c.a = v.method_seq GROUP BY v.method_seq HAVING count(c.b) < {V.TOPK_FIND}),
+allc AS (SELECT a, b, score FROM c WHERE a NOT IN (SELECT method_seq FROM short)
+         UNION ALL SELECT x.method_seq, y.method_seq, list_cosine_similarity(x.vec, y.vec) FROM v x JOIN short USING (method_seq) JOIN v y ON x.method_seq <> y.method_seq)
+SELECT a, rank, b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM allc) WHERE rank <= {V.TOPK_FIND}""")
 def q_ann_topk(spark, sf):
     """Corpus-wide approximate cosine top-5 (LSH bands + exact re-rank)."""
     t = V.ann_topk(method_vectors(spark, sf))
