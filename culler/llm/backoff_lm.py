@@ -49,6 +49,17 @@ _KEYS = "batch int, part int, grams binary, counts binary"
 _TOTALS = "batch int, part int, totals binary"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of ``x``, all first bytes first: small numbers and sorted hashes leave long runs, which the
+    shuffle's own compression then packs."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 def _batch_grams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order: (hashes in a row, number per text)."""
     flat, sizes = word_hashes(texts, lower=False)
@@ -64,22 +75,20 @@ def _grams_of(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     grams = _batch_grams(pdf["text"].tolist())
     distinct, counts = np.unique(np.concatenate([g for g, _ in grams]), return_counts=True)
     cuts = np.searchsorted(_part(distinct, parts), np.arange(parts + 1))
-    rows = [(int(pdf["batch"].iloc[0]), p, distinct[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes())
+    rows = [(int(pdf["batch"].iloc[0]), p, _planes(distinct[a:b]), _planes(counts[a:b].astype(np.uint32)))
             for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     return pd.DataFrame(rows, columns=["batch", "part", "grams", "counts"])
 
 
 def _totals_of(pdf: pd.DataFrame) -> pd.DataFrame:
     """The partition's count table, joined back to the rows that it came from."""
-    grams = [np.frombuffer(g, dtype=np.uint64) for g in pdf["grams"]]
-    counts = [np.frombuffer(c, dtype=np.uint32) for c in pdf["counts"]]
+    grams = [_from_planes(g, np.uint64) for g in pdf["grams"]]
+    counts = [_from_planes(c, np.uint32) for c in pdf["counts"]]
     keys, place = np.unique(np.concatenate(grams), return_inverse=True)
     table = np.zeros(len(keys), dtype=np.int64)
     np.add.at(table, place, np.concatenate(counts).astype(np.int64))
     answers = np.split(table[place], np.cumsum([len(g) for g in grams])[:-1])
-    # most totals are small: four bytes unless one needs eight
-    packed = [a.astype(np.uint32).tobytes() if not len(a) or a.max() < 2**32 else a.tobytes() for a in answers]
-    return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": packed})
+    return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": [_planes(a) for a in answers]})
 
 
 def _scores_of(docs: pd.DataFrame, totals: pd.DataFrame, words: int, parts: int, leave_out: bool) -> pd.DataFrame:
@@ -93,8 +102,7 @@ def _scores_of(docs: pd.DataFrame, totals: pd.DataFrame, words: int, parts: int,
     distinct, place = np.unique(np.concatenate([uni, bi]), return_inverse=True)
     sizes = np.diff(np.searchsorted(_part(distinct, parts), np.arange(parts + 1)))
     answers = dict(zip(totals["part"], totals["totals"]))
-    total = np.concatenate([np.frombuffer(answers[p], dtype=np.uint32 if len(answers[p]) == 4 * n else np.int64).astype(np.int64)
-                            for p, n in enumerate(sizes) if n])
+    total = np.concatenate([_from_planes(answers[p], np.int64) for p, n in enumerate(sizes) if n])
     doc1, doc2 = np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)
     c = total[place]
     if leave_out:
