@@ -1,6 +1,6 @@
 """Per-language rule sets (D2-D5, §2.3) as data.
 
-Each language has: file extensions, a header pattern per line (Java regex,
+Each language has: file extensions, header patterns over the whole file (Java regex,
 groups named in ``groups``), test markers, mock filters (literal substrings or
 regexes), a comment symbol and an optional mock-subject pattern.  A user adds a
 language with ``register_language`` (UF2); ``rules_frame`` exposes all rules
@@ -27,22 +27,19 @@ class LangRules:
     block: str  # "brace", "indent" or "end"
     subject_patterns: list[str] = field(default_factory=list)  # first hit wins; empty -> trimmed line
     subject_on_stripped: bool = False
-    access_rule: str = "keyword"  # keyword | java | go | python | javascript
-    default_access: str = "public"
-    lookback: int = 0  # lines scanned above the header for a "documented" comment
+    acts_as: str = ""  # a plug-in language that follows another's rules for attributes and visibility
 
 
 # ---- fixed values that must equal the reference's for equal results ----
 # Test markers, mock filters and mock-subject patterns per language, as stated by
-# the reference's rule sets (header patterns below are our own line-level forms).
+# the reference's rule sets (header patterns below are our own forms over the whole file).
 PY_MOCK_REGEX = [
     r"@\s*patch\b", r"@\s*mock\.patch\b", r"\bpatch\s*\(", r"\bmock\.patch\s*\(", r"\bMock\s*\(",
     r"unittest\.mock\.patch\b", r"unittest\.mock\.Mock\b", r"\.assert_called_with\b", r"\.assert_called_once_with\b",
     r"\.assert_any_call\b", r"\.assert_has_calls\b", r"\.assert_not_called\b", r"\.return_value\b", r"\.side_effect\b",
     r"\.spec\b", r"with\s+patch\b", r"with\s+mock\.patch\b",
 ]
-PY_SUBJECT = (r"(?:self\.)?([a-zA-Z_][a-zA-Z0-9_.]*?)\s*"
-              r"(?=\.assert_|\.return_value|\.side_effect|\.spec|=|\.call_args|\.assert_not_called)")
+PY_SUBJECT = r"(?:self\.)?([a-zA-Z_][a-zA-Z0-9_.]*?)\s*(?=\.assert_|\.return_value|\.side_effect|\.spec|=|\.call_args|\.assert_not_called)"
 JAVA_SUBJECT = r"\.perform\s*\((?:[a-zA-Z0-9_.]*\.)?((?:get|post|put|delete|patch|head|options)\s*\(.*?\))"
 CSHARP_MOCKS = ["new Mock<", ".Setup(", ".Verify(", ".Returns(", ".Throws(", "It.IsAny<", ".Object", "[Mock]", ".CallBase"]
 JAVA_MOCKS = [".mock(", "@Mock", "verify(", "doReturn(", ".thenReturn(", "mock.", "mock_", "Mock.", "Mock<", "Bean", "mockMvc"]
@@ -63,65 +60,89 @@ RUBY_TESTS = [r"def test_", r"it\s+[\"']", r"describe\s+[\"']", r"context\s+[\"'
 # Extension -> language.
 EXTENSIONS = {".cs": "csharp", ".py": "python", ".java": "java", ".js": "javascript", ".php": "php", ".rb": "ruby",
               ".go": "go"}
+# Characters above a method that are searched for its doc block.
+DOC_WINDOW = {"php": 500, "javascript": 200}
+# Lines above a method whose first one that isn't blank decides whether it is documented.
+DOC_LINES = {"go": 5, "ruby": 10}
 # -------------------------------------------------------------------------
 
 # Words that are statements, not method names.
 RESERVED = ["if", "for", "while", "switch", "catch", "return", "new", "else", "do", "try", "using", "lock", "foreach",
             "function", "throw", "typeof", "await", "yield", "case", "sizeof"]
 
-_MODS_JAVA = r"((?:(?:public|private|protected|static|final|abstract|synchronized|default)\s+)*)"
-_MODS_CS = r"((?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract)\s+)*)"
-_MODS_PHP = r"((?:(?:public|private|protected|static|final|abstract)\s+)*)"
+# Parts of the header patterns. They run over a whole file, so white space may hold line ends; possessive
+# quantifiers keep them linear.
+_NOT_RESERVED = r"(?!(?:" + "|".join(RESERVED) + r")\b)"
+_PARAMS = r"([^(){};]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^(){};]*+)*+)"
+_JS_PARAMS = r"([^()]*+(?:\([^()]*+\)[^()]*+)*+)"
+_GENERIC = r"<[^<>(){};]*+(?:<[^<>(){};]*+(?:<[^<>(){};]*+>[^<>(){};]*+)*+>[^<>(){};]*+)*+>"
+_TYPE = _NOT_RESERVED + r"([\w.]++(?:\s*+" + _GENERIC + r")?+\??+(?:\s*+\[[\s,]*+\])*+)"
+_NAME = _NOT_RESERVED + r"(\w+)"
+_FRESH = r"(?<![\w.$@)\]>])"  # not in the middle of a name, a member access or an indexed or generic expression
+_MODS_JAVA = r"((?:(?:public|private|protected|static|final|abstract|synchronized|default)\s+)*+)"
+_MODS_CS = r"((?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract)\s+)*+)"
+_MODS_PHP = r"((?:(?:public|private|protected|static|final|abstract)\s+)*+)"
+_ANNOTATIONS = r"((?:@\w+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\))?+\s*+)*+)"
+_CS_ATTRIBUTES = r"((?:\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]\s*+)*+)"
+_DECORATORS = r"((?:@[^\n]*+\n(?:(?![ \t]*+(?:@|def\b|async\b|class\b))[^\n]*+\n)*+[ \t]*+)*+)"
 
 RULES: dict[str, LangRules] = {
     "python": LangRules(
         "python", [".py"],
-        [(r"^(\s*)def\s+([A-Za-z_]\w*)\s*\((.*)\)\s*(?:->\s*(.*?))?\s*:", {"name": 2, "params": 3, "return_type": 4})],
-        PY_TESTS, PY_MOCK_REGEX, True, "#", "indent", [PY_SUBJECT], False, "python"),
+        [(r"(?m)^([ \t]*+)" + _DECORATORS + r"def\s+([A-Za-z_]\w*)\s*\(([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+)\)\s*(?:->\s*([^:\n]+?)\s*)?:",
+          {"indent": 1, "attrs": 2, "name": 3, "params": 4, "return_type": 5})],
+        PY_TESTS, PY_MOCK_REGEX, True, "#", "indent", [PY_SUBJECT], False),
     "java": LangRules(
         "java", [".java"],
-        [(r"^\s*" + _MODS_JAVA + r"([\w<>\[\],.?]+)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[\w\s,.]+)?\s*\{",
-          {"modifiers": 1, "return_type": 2, "name": 3, "params": 4})],
-        JAVA_TESTS, JAVA_MOCKS, False, "//", "brace", [JAVA_SUBJECT], True, "java", "package"),
+        [(_FRESH + _ANNOTATIONS + _MODS_JAVA + r"(?:" + _GENERIC + r"\s*+)?+" + _TYPE + r"\s+" + _NAME + r"\s*\(" + _PARAMS
+          + r"\)\s*(?:throws\s+[\w\s,.]+?)?\s*\{",
+          {"attrs": 1, "modifiers": 2, "return_type": 3, "name": 4, "params": 5})],
+        JAVA_TESTS, JAVA_MOCKS, False, "//", "brace", [JAVA_SUBJECT], True),
     "csharp": LangRules(
         "csharp", [".cs"],
-        [(r"^\s*" + _MODS_CS + r"([\w<>\[\],.?]+)\s+(\w+)\s*\(([^)]*)\)\s*\{",
-          {"modifiers": 1, "return_type": 2, "name": 3, "params": 4})],
+        [(_FRESH + _CS_ATTRIBUTES + _MODS_CS + _TYPE + r"\s+" + _NAME + r"\s*(?:" + _GENERIC + r"\s*)?\(" + _PARAMS + r"\)\s*(?:where\s[^{};]*+)?\{",
+          {"attrs": 1, "modifiers": 2, "return_type": 3, "name": 4, "params": 5})],
         CSHARP_TESTS, CSHARP_MOCKS, False, "//", "brace"),
     "go": LangRules(
         "go", [".go"],
-        [(r"^\s*func\s+(?:\(([^)]*)\)\s+)?(\w+)\s*\(([^)]*)\)\s*(.*?)\s*\{", {"receiver": 1, "name": 2, "params": 3,
-                                                                              "return_type": 4})],
-        GO_TESTS, GO_MOCKS, False, "//", "brace", access_rule="go", lookback=5),
+        [(r"(?m)^[ \t]*+func\s+(?:\(([^)]*)\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?\(" + _PARAMS + r"\)\s*(\([^{}]*?\)|[^{}()\n]*?)\s*\{",
+          {"receiver": 1, "name": 2, "params": 3, "return_type": 4})],
+        GO_TESTS, GO_MOCKS, False, "//", "brace"),
     "javascript": LangRules(
         "javascript", [".js"],
-        [(r"^\s*(?:it|test|describe)\s*\(\s*[\"']([^\"']*)[\"']\s*,\s*(?:async\s+)?(?:\(([^)]*)\)|function\s*\(([^)]*)\))\s*(?:=>)?\s*\{",
-          {"name": 1, "params": 2}),
-         (r"^\s*((?:(?:async|static)\s+)*)function\s+(\w+)\s*\(([^)]*)\)\s*\{", {"modifiers": 1, "name": 2, "params": 3}),
-         (r"^\s*(?:const\s+|let\s+|var\s+)?(\w+)\s*=\s*(async\s+)?\(([^)]*)\)\s*=>\s*\{", {"name": 1, "modifiers": 2, "params": 3}),
-         (r"^\s*((?:(?:async|static)\s+)*)(\w+)\s*\(([^)]*)\)\s*\{", {"modifiers": 1, "name": 2, "params": 3})],
-        JS_TESTS, JS_MOCKS, False, "//", "brace", access_rule="javascript"),
+        [(r"(?m)^[ \t]*+(?:it|test|describe)\s*\(\s*[\"'`]([^\"'`]*)[\"'`]\s*,\s*(?:async\s+)?(?:\(" + _JS_PARAMS + r"\)|function\s*\(" + _JS_PARAMS
+          + r"\))\s*(?:=>)?\s*\{", {"name": 1, "params": 2}),
+         (r"(?m)^[ \t]*+((?:(?:async|static|export)\s+)*)function\s+(\w+)\s*\(" + _JS_PARAMS + r"\)\s*\{", {"modifiers": 1, "name": 2, "params": 3}),
+         (r"(?m)^[ \t]*+(?:const\s+|let\s+|var\s+)?(\w+)\s*=\s*(async\s+)?\(" + _JS_PARAMS + r"\)\s*=>\s*\{", {"name": 1, "modifiers": 2, "params": 3}),
+         (r"(?m)^[ \t]*+((?:(?:async|static)\s+)*)" + _NAME + r"\s*\(" + _JS_PARAMS + r"\)\s*\{", {"modifiers": 1, "name": 2, "params": 3})],
+        JS_TESTS, JS_MOCKS, False, "//", "brace"),
     "php": LangRules(
         "php", [".php"],
-        [(r"^\s*" + _MODS_PHP + r"function\s+&?\s*(\w+)\s*\(([^)]*)\)\s*(?::\s*(\??[\w\\]+))?\s*\{",
+        [(r"(?<![\w$>])" + _MODS_PHP + r"function\s+&?\s*(\w+)\s*\(" + _PARAMS + r"\)\s*(?::\s*(\??[\w\\|]+))?\s*\{",
           {"modifiers": 1, "name": 2, "params": 3, "return_type": 4})],
         PHP_TESTS, PHP_MOCKS, False, "//", "brace"),
     "ruby": LangRules(
         "ruby", [".rb"],
-        [(r"^\s*((?:private|protected|public)\s+)?def\s+(?:self\.)?(\w+[?!]?)\s*(?:\((.*)\))?", {"modifiers": 1, "name": 2,
-                                                                                              "params": 3})],
-        RUBY_TESTS, RUBY_MOCKS, False, "#", "end", lookback=10),
+        [(r"(?m)^[ \t]*+((?:private|protected|public)\s+)?def\s+(?:self\.)?(\w+[?!]?)[ \t]*(?:\(" + _PARAMS + r"\))?",
+          {"modifiers": 1, "name": 2, "params": 3})],
+        RUBY_TESTS, RUBY_MOCKS, False, "#", "end"),
 }
 
 
+def with_language(rules: LangRules, table: dict[str, LangRules] | None = None) -> dict[str, LangRules]:
+    """The rule table with one language added; its extensions are taken from the languages that had them."""
+    kept = {k: r for k, r in (table or RULES).items() if k == rules.language or not set(r.extensions) <= set(rules.extensions)}
+    return kept | {rules.language: rules}
+
+
 def register_language(rules: LangRules) -> None:
     """UF2: add (or replace) a language; its extensions take over detection."""
     RULES[rules.language] = rules
 
 
-def extension_map() -> dict[str, str]:
+def extension_map(table: dict[str, LangRules] | None = None) -> dict[str, str]:
     out = {}
-    for r in RULES.values():
+    for r in (table or RULES).values():
         for e in r.extensions:
             out[e] = r.language
     return out

@@ -1,37 +1,41 @@
-"""Method extraction from source files (S1, S2, E1-E16, P1-P4, W4) as Spark jobs
-over a line table: ``posexplode(split(content, '\\n'))`` and windows partitioned
-by file path.  A file is the unit of every window (a source file is bounded);
-nothing is keyed on a whole suite.
-
-Spans:
-* brace languages: brace events in file order get their nesting level; at one
-  level opens and closes alternate, so the close matching an open is simply the
-  next event of the same (path, level) — one ``lead`` window, any depth (V5).
-* Python: a def ends before the next non-blank line indented at most as much;
-  defs inside another def are not methods; decorators above belong to it.
-* Ruby: the first line at or after ``def`` holding the word ``end``.
-Lines are assigned to methods with a running "last method start" window, so the
-body is gathered by an equi-grouping, not by an interval join.
+"""Method extraction from source files (S1, S2, E1-E16, P1-P4, W4) on the file row.
+
+A file is one row and stays one row until its methods are exploded: no shuffle, no join, no line table.
+1. Header patterns run over the whole text and put a mark before and after every header, so a header may
+   span lines, carry its attributes inline or above, and have its ``{`` on a line of its own.
+2. The text falls apart into tokens at the marks and at what can close a method (braces, lines, ``end``),
+   and one fold over the tokens tracks the nesting and emits the methods' ranges.
+   Only outermost methods count, as the ranges of a left-to-right search never overlap: a ``describe`` holds
+   its ``it`` calls, a function the functions inside.  Each has its whole body at any depth.
+   * brace languages: from the header to the brace that closes the one it opened (V5);
+   * Python: to the last non-blank line before one that is indented no deeper than the ``def``;
+   * Ruby: to the first word ``end`` after ``def``.
+3. Fields come from the header's own text; doc comments from the lines or characters above.
+
+Braces in string literals and comments count as braces.  A method's key is (suite, path, method_seq);
+``method_seq`` is its ordinal in the file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from culler.functions import lang_rules as LR
 from culler.functions.text import clean_code, strip_ws
 
-FIELDS = ["name", "params", "return_type", "modifiers", "receiver"]
+# Marks before and after a header; such characters in a source file become blanks first.
+HEAD, REST = "\x01", "\x02"
+_RANGE = "array<struct<s:int,e:int,ls:int,le:int,head:string>>"
 
 
 # ---------------- S2 / E1 ----------------
 
-def detect_language(files: DataFrame, path: str = "path") -> DataFrame:
+def detect_language(files: DataFrame, path: str = "path", rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
     """Lower-cased extension -> language; unknown extension -> NULL language
     (callers route those to a rejects frame instead of failing the job)."""
     ext = F.lower(F.regexp_extract(F.col(path), r"(\.[^./]+)$", 1))
-    m = F.create_map(*[x for e, l in LR.extension_map().items() for x in (F.lit(e), F.lit(l))])
+    m = F.create_map(*[x for e, l in LR.extension_map(rules).items() for x in (F.lit(e), F.lit(l))])
     return files.withColumn("ext", ext).withColumn("language", m[F.col("ext")])
 
 
@@ -42,217 +46,228 @@ def explode_lines(files: DataFrame) -> DataFrame:
         "suite", "path", "language", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-# ---------------- header detection ----------------
+# ---------------- headers ----------------
 
-def _header_index() -> Column:
-    """Index of the first header pattern (in rule order) the line matches, else NULL.
-    Only lines with ``(`` or ``def`` can be headers, so others skip the patterns."""
-    expr, idx = None, 0
-    for lang, r in LR.RULES.items():
-        for rx, _ in r.headers:
-            cond = (F.col("language") == lang) & F.col("line").rlike(rx)
-            expr = F.when(cond, F.lit(idx)) if expr is None else expr.when(cond, F.lit(idx))
-            idx += 1
-    return F.when(F.col("line").contains("(") | F.col("line").contains("def"), expr)
+def _lang_case(values: dict[str, Column], default: Column) -> Column:
+    expr = None
+    for lang, v in values.items():
+        expr = F.when(F.col("language") == lang, v) if expr is None else expr.when(F.col("language") == lang, v)
+    return expr.otherwise(default) if expr is not None else default
 
 
-def _field_by_index(field: str) -> Column:
-    expr, idx = None, 0
-    for lang, r in LR.RULES.items():
+def _any_header(r: LR.LangRules) -> str:
+    return "|".join(f"(?:{rx})" for rx, _ in r.headers)
+
+
+def _marked(rules: dict[str, LR.LangRules]) -> Column:
+    """The text with every header between HEAD and REST."""
+    text = F.translate("content", HEAD + REST, "  ")
+    return _lang_case({k: F.regexp_replace(text, F.lit(f"({_any_header(r)})"), F.lit(f"{HEAD}$1{REST}")) for k, r in rules.items()}, text)
+
+
+def _field(rules: dict[str, LR.LangRules], name: str, head: Column) -> Column:
+    """A field of a header: the group of the first pattern that matches it."""
+    out = {}
+    for k, r in rules.items():
+        expr = None
         for rx, groups in r.headers:
-            val = F.regexp_extract("line", rx, groups[field]) if field in groups else F.lit("")
-            expr = F.when(F.col("_hidx") == idx, val) if expr is None else expr.when(F.col("_hidx") == idx, val)
-            idx += 1
-    return expr
+            hit = head.rlike(rf"\A(?:{rx})\z")
+            value = F.regexp_extract(head, rf"\A(?:{rx})\z", groups[name]) if name in groups else F.lit("")
+            if len(r.headers) == 1:
+                expr = value
+            else:
+                expr = F.when(hit, value) if expr is None else expr.when(hit, value)
+        out[k] = expr
+    return F.coalesce(_lang_case(out, F.lit("")), F.lit(""))
+
+
+def _newlines(t: Column) -> Column:
+    return F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"), F.lit("")))
+
+
+def method_headers(files: DataFrame, rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
+    """Every header of every file, nested ones too: (suite, path, line_no of the header proper, name)."""
+    rules = rules or LR.RULES
+    pieces = F.split(_marked(rules), HEAD, -1)
+    # lines before each piece: a running sum inside the row
+    counts = F.transform(pieces, _newlines)
+    before = F.aggregate(counts, F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    rows = _known(files, rules).select("suite", "path", "language", F.posexplode(F.arrays_zip(pieces.alias("piece"), F.slice(before, 1, F.size(pieces)).alias("line"))).alias("i", "p"))
+    rows = rows.filter("i > 0").withColumn("head", F.substring_index("p.piece", REST, 1))
+    return rows.select("suite", "path", (F.col("p.line") + _newlines(_field(rules, "attrs", F.col("head")))).alias("line_no"),
+                       _field(rules, "name", F.col("head")).alias("name"))
+
+
+def _known(files: DataFrame, rules: dict[str, LR.LangRules]) -> DataFrame:
+    if "language" not in files.columns:
+        files = detect_language(files, rules=rules)
+    return files.filter(F.col("language").isNotNull() & (F.length(F.trim("content")) > 0))
 
 
-def with_headers(lines: DataFrame) -> DataFrame:
-    """T6/E6-E12 head: per line the header fields when the line starts a method."""
-    out = lines.withColumn("_hidx", _header_index())
-    for f in FIELDS:
-        out = out.withColumn(f"h_{f}", _field_by_index(f))
-    reserved = F.array(*[F.lit(w) for w in LR.RESERVED])
-    is_header = (F.col("h_name").isNotNull() & (F.col("h_name") != "")
-                 & ~F.array_contains(reserved, F.col("h_name"))
-                 & ~F.array_contains(reserved, F.coalesce(F.col("h_return_type"), F.lit(""))))
-    return out.withColumn("is_header", F.coalesce(is_header, F.lit(False))).drop("_hidx")
+# ---------------- ranges ----------------
 
+def _tokens(cut: str, facts) -> Column:
+    """Header tokens and what lies between, cut after every match of ``cut``, as structs: head (is a header), rest
+    (the first token after one), text, n (characters), nl (line ends) and ``facts`` of the text."""
+    pieces = F.split("_marked", HEAD, -1)
+    token = lambda t, head, rest: F.struct(t.alias("text"), head.alias("head"), rest.alias("rest"), F.char_length(t).alias("n"),
+                                           _newlines(t).alias("nl"), *[c.alias(k) for k, c in facts(t).items()])
+    no, yes = F.lit(False), F.lit(True)
+    before = lambda p: F.transform(F.split(p, cut, -1), lambda t: token(t, no, no))
+    after = lambda p: F.transform(F.split(F.substr(p, F.instr(p, REST) + 1), cut, -1), lambda t, j: token(t, no, j == 0))
+    return F.flatten(F.transform(pieces, lambda p, i: F.when(i == 0, before(p)).otherwise(
+        F.concat(F.array(token(F.substring_index(p, REST, 1), yes, no)), after(p)))))
 
-def _lang_case(values: dict[str, Column], default: Column) -> Column:
-    expr = None
-    for lang, v in values.items():
-        expr = F.when(F.col("language") == lang, v) if expr is None else expr.when(F.col("language") == lang, v)
-    return expr.otherwise(default) if expr is not None else default
+
+_START = {"off": 0, "line": 1, "depth": 0, "open": -1, "s": 0, "ls": 0, "e": 0, "le": 0}
+
+
+def _state(s: Column, t: Column, starts: Column, ends: Column, out: Column, **v: Column) -> Column:
+    """The next state: positions advance, a method that starts sets s, ls and head, one that ends goes to out."""
+    v = {"off": s["off"] + t["n"], "line": s["line"] + t["nl"], "s": F.when(starts, s["off"]).otherwise(s["s"]),
+         "ls": F.when(starts, s["line"]).otherwise(s["ls"])} | v
+    return F.struct(*[v.get(k, s[k]).alias(k) for k in _START], F.when(starts, t["text"]).otherwise(s["head"]).alias("head"),
+                    F.when(ends, out).otherwise(s["out"]).alias("out"))
 
 
-# ---------------- spans ----------------
-
-def _brace_ends(lines: DataFrame) -> DataFrame:
-    """For each header line of a brace language: line and brace ordinal of the close
-    matching the first ``{`` on that line."""
-    braces = lines.select("path", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit("([{}])"), 1)).alias("k", "ch"))
-    w = Window.partitionBy("path").orderBy("line_no", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = braces.withColumn("depth", F.sum(F.when(F.col("ch") == "{", 1).otherwise(-1)).over(w))
-    ev = ev.withColumn("level", F.when(F.col("ch") == "{", F.col("depth") - 1).otherwise(F.col("depth")))
-    wl = Window.partitionBy("path", "level").orderBy("line_no", "k")
-    ev = ev.withColumn("close_line", F.lead("line_no").over(wl)).withColumn("close_k", F.lead("k").over(wl))
-    first_open = ev.filter(F.col("ch") == "{").groupBy("path", "line_no").agg(
-        F.min_by(F.struct("close_line", "close_k"), F.col("k")).alias("c"))
-    return first_open.select("path", "line_no", F.col("c.close_line").alias("end_line"), F.col("c.close_k").alias("end_k"))
-
-
-def _python_ends(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """Python: end = last non-blank line before the next non-blank line indented no
-    deeper than the def (or the file's last non-blank line)."""
-    nb = lines.filter(F.col("line").rlike(r"\S")).select(
-        "path", "line_no", (F.length("line") - F.length(F.ltrim("line"))).alias("indent"))
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    nb = nb.withColumn("prev_nb", F.max("line_no").over(w))
-    last_nb = nb.groupBy("path").agg(F.max("line_no").alias("last_nb"))
-    h = headers.select("path", F.col("line_no").alias("h_line"), F.col("indent").alias("h_indent"))
-    bound = (h.join(nb.select("path", F.col("line_no").alias("q"), F.col("indent").alias("qi"), "prev_nb"), "path")
-             .filter((F.col("q") > F.col("h_line")) & (F.col("qi") <= F.col("h_indent")))
-             .groupBy("path", "h_line").agg(F.min_by("prev_nb", "q").alias("end_line")))
-    return (h.join(bound, ["path", "h_line"], "left").join(last_nb, "path")
-            .select("path", F.col("h_line").alias("line_no"), F.coalesce("end_line", "last_nb").alias("end_line")))
-
-
-def _ruby_ends(lines: DataFrame) -> DataFrame:
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return lines.select("path", "line_no", F.first(F.when(F.col("line").rlike(r"\bend\b"), F.col("line_no")), ignorenulls=True)
-                        .over(w).alias("end_line"))
-
-
-def extract_methods(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
+def _emit(s: Column, e: Column, le: Column) -> Column:
+    return F.concat(s["out"], F.array(F.struct(s["s"].alias("s"), e.alias("e"), s["ls"].alias("ls"), le.alias("le"), s["head"].alias("head"))))
+
+
+def _ranges(cut: str, step, facts) -> Column:
+    zero = F.struct(*[F.lit(x).alias(k) for k, x in _START.items()], F.lit("").alias("head"), F.array().cast(_RANGE).alias("out"))
+    return F.aggregate(_tokens(cut, facts), zero, step, lambda s: F.when(s["open"] <= -2, _emit(s, s["e"], s["le"])).otherwise(s["out"]))
+
+
+def _brace_facts(t: Column) -> dict[str, Column]:
+    return {"by": F.when(t.endswith("{"), 1).when(t.endswith("}"), -1).otherwise(0)}
+
+
+def _brace_step(s: Column, t: Column) -> Column:
+    """Braces: ``open`` is the depth outside the running method, -1 without one."""
+    starts = t["head"] & (s["open"] == -1)
+    ends = ~t["head"] & (t["by"] == -1) & (s["open"] >= 0) & (s["depth"] - 1 == s["open"])
+    # a stray closing brace outside methods doesn't count
+    depth = F.when((s["open"] == -1) & (t["by"] < 0), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"] + t["by"])
+    return _state(s, t, starts, ends, _emit(s, s["off"] + t["n"], s["line"] + t["nl"]), depth=depth,
+                  open=F.when(starts, s["depth"]).when(ends, -1).otherwise(s["open"]))
+
+
+def _end_facts(t: Column) -> dict[str, Column]:
+    return {"by": t.rlike(r"\bend\z")}
+
+
+def _end_step(s: Column, t: Column) -> Column:
+    """Ruby: the first ``end`` closes; ``open`` is 0 inside a method."""
+    starts, ends = t["head"] & (s["open"] == -1), ~t["head"] & (s["open"] == 0) & t["by"]
+    return _state(s, t, starts, ends, _emit(s, s["off"] + t["n"], s["line"] + t["nl"]), open=F.when(starts, 0).when(ends, -1).otherwise(s["open"]))
+
+
+def _indent_facts(t: Column) -> dict[str, Column]:
+    stripped = F.regexp_replace(t, r"\s+\z", "")
+    return {"solid": t.rlike(r"\S"), "indent": F.char_length(F.regexp_extract(t, r"\A([ \t]*)", 1)), "last": F.char_length(stripped),
+            "last_nl": _newlines(stripped)}
+
+
+def _indent_step(s: Column, t: Column) -> Column:
+    """Python: ``open`` is -2 - the indent of the running method; e, le are the end of its last non-blank line."""
+    inside = s["open"] <= -2
+    ends = inside & t["solid"] & ~t["rest"] & (t["indent"] <= -2 - s["open"])
+    starts = t["head"] & (ends | ~inside)
+    goes_on = starts | (inside & ~ends & t["solid"])
+    return _state(s, t, starts, ends, _emit(s, s["e"], s["le"]), open=F.when(starts, -2 - t["indent"]).when(ends, -1).otherwise(s["open"]),
+                  e=F.when(goes_on, s["off"] + t["last"]).otherwise(s["e"]), le=F.when(goes_on, s["line"] + t["last_nl"]).otherwise(s["le"]))
+
+
+# what can close a method, and the fold, per block style
+_BLOCKS = {"brace": (r"(?<=[{}])", _brace_step, _brace_facts), "end": (r"(?<=\bend)\b", _end_step, _end_facts),
+           "indent": (r"(?<=\n)", _indent_step, _indent_facts)}
+
+
+def extract_methods(files: DataFrame, languages: list[str] | None = None, rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
     """Every method of every file: suite, path, language, method_seq, name, body,
     attributes, access_modifier, line_start, line_end, header_line, parameters, return_type.
-    ``files`` has suite, path, content and (optionally) language."""
-    if "language" not in files.columns:
-        files = detect_language(files)
-    files = files.filter(F.col("language").isNotNull() & (F.length(F.trim("content")) > 0))
+    ``files`` has suite, path, content and (optionally) language; ``rules`` replaces the rule table (UF2)."""
+    rules = rules or LR.RULES
+    files = _known(files, rules)
     if languages:
         files = files.filter(F.col("language").isin(languages))
-    lines = explode_lines(files)
-    wf = Window.partitionBy("path").orderBy("line_no")
-    rows_back = lambda k: wf.rowsBetween(-k, -1)
-    lines = (with_headers(lines)
-             .withColumn("indent", F.length("line") - F.length(F.ltrim("line")))
-             .withColumn("is_deco", _lang_case({"python": F.ltrim("line").startswith("@"),
-                                                "java": F.ltrim("line").startswith("@"),
-                                                "csharp": F.ltrim("line").startswith("[")}, F.lit(False)))
-             .withColumn("deco_grp", F.sum(F.when(F.col("is_deco"), 0).otherwise(1)).over(
-                 wf.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-             .withColumn("prev_line", F.lag("line").over(wf))
-             .withColumn("doc_first", F.first(F.when(F.col("line").rlike(r"\S"), F.trim("line")), ignorenulls=True)
-                         .over(rows_back(10)))
-             .withColumn("doc_first5", F.first(F.when(F.col("line").rlike(r"\S"), F.trim("line")), ignorenulls=True)
-                         .over(rows_back(5))))
-    lines = lines.cache()
-    heads = lines.filter("is_header")
-
-    # spans per block style
-    brace = heads.filter(F.col("language").isin([l for l, r in LR.RULES.items() if r.block == "brace"])).join(
-        _brace_ends(lines.filter(F.col("language").isin([l for l, r in LR.RULES.items() if r.block == "brace"]))),
-        ["path", "line_no"])
-    py_heads = heads.filter(F.col("language").isin([l for l, r in LR.RULES.items() if r.block == "indent"]))
-    py = py_heads.join(_python_ends(lines.filter(F.col("language").isin([l for l, r in LR.RULES.items() if r.block == "indent"])),
-                                    py_heads), ["path", "line_no"]).withColumn("end_k", F.lit(None).cast("int"))
-    rb_lines = lines.filter(F.col("language").isin([l for l, r in LR.RULES.items() if r.block == "end"]))
-    rb = heads.filter(F.col("language").isin([l for l, r in LR.RULES.items() if r.block == "end"])).join(
-        _ruby_ends(rb_lines), ["path", "line_no"]).withColumn("end_k", F.lit(None).cast("int"))
-    spans = brace.unionByName(py).unionByName(rb).filter(F.col("end_line").isNotNull())
-
-    # nested defs are not methods (Python): a header inside an earlier method's span
-    wp = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_outer_end", F.max("end_line").over(wp))
-    spans = spans.filter(~((F.col("language") == "python") & F.coalesce(F.col("_outer_end") >= F.col("line_no"), F.lit(False))))
-
-    # decorators / annotations / attributes directly above
-    decos = lines.filter("is_deco").groupBy("path", "deco_grp").agg(
-        F.min("line_no").alias("deco_start"),
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("t")))), lambda s: s["t"]).alias("deco_lines"))
-    spans = spans.join(decos.withColumn("deco_grp", F.col("deco_grp") + 1), ["path", "deco_grp"], "left")
-    m = spans.select(
-        "suite", "path", "language", F.col("line_no").alias("header_line"), "end_line", "end_k",
-        F.coalesce("deco_start", "line_no").alias("line_start"),
-        F.coalesce("deco_lines", F.array().cast("array<string>")).alias("deco_lines"),
-        F.col("h_name").alias("name"), F.coalesce("h_params", F.lit("")).alias("parameters"),
-        F.trim(F.coalesce("h_return_type", F.lit(""))).alias("return_type"),
-        F.coalesce("h_modifiers", F.lit("")).alias("modifiers"), F.coalesce("h_receiver", F.lit("")).alias("receiver"),
-        F.col("line").alias("header_text"), "prev_line", "doc_first", "doc_first5",
-    ).withColumn("method_seq", F.col("line_start").cast("long"))
-    m = m.withColumn("attributes", attributes()).withColumn("access_modifier", access_modifier())
-    body = method_bodies(lines, m)
-    return m.join(body, ["path", "method_seq"], "left").select(
-        "suite", "path", "language", "method_seq", "name", F.coalesce("body", F.lit("")).alias("body"), "attributes",
-        "access_modifier", "line_start", F.col("end_line").alias("line_end"), "header_line", "parameters", "return_type",
-        "header_text")
-
-
-def attributes() -> Column:
+    acts = {k: r.acts_as or k for k, r in rules.items()}
+    ranges = _lang_case({k: _ranges(*_BLOCKS[r.block]) for k, r in rules.items()}, F.array().cast(_RANGE))
+    up = _lang_case({k: F.lit(LR.DOC_LINES[a]) for k, a in acts.items() if a in LR.DOC_LINES}, F.lit(1))
+    window = _lang_case({k: F.lit(LR.DOC_WINDOW[a]) for k, a in acts.items() if a in LR.DOC_WINDOW}, F.lit(0))
+    marked = files.select("suite", "path", "language", F.translate("content", HEAD + REST, "  ").alias("_text"), _marked(rules).alias("_marked"))
+    # the arguments of the inner transform are bound once per file, not once per method
+    file = F.struct(F.col("_text").alias("text"), F.split("_text", "\n", -1).alias("lines"), up.alias("up"), window.alias("window"), ranges.alias("ranges"))
+
+    def method(f: Column, m: Column) -> Column:
+        above = F.slice(f["lines"], F.greatest(m["ls"] - f["up"], F.lit(1)), F.least(m["ls"] - 1, f["up"]))
+        first = F.filter(F.transform(above, lambda x: F.trim(x)), lambda x: x.rlike(r"\S"))
+        return F.struct(
+            m["ls"].alias("line_start"), m["le"].alias("line_end"), m["head"].alias("head"),
+            strip_ws(F.substring(f["text"], m["s"] + 1, m["e"] - m["s"])).alias("body"),
+            F.coalesce(F.try_element_at(first, F.lit(1)), F.lit("")).alias("doc_line"),
+            F.substring(f["text"], F.greatest(m["s"] - f["window"], F.lit(0)) + 1, F.least(m["s"], f["window"])).alias("doc"))
+
+    methods = F.flatten(F.transform(F.array(file), lambda f: F.transform(f["ranges"], lambda m: method(f, m))))
+    rows = marked.select("suite", "path", "language", F.posexplode(methods).alias("_i", "m"))
+    m = rows.select("suite", "path", "language", (F.col("_i") + 1).cast("long").alias("method_seq"), "m.*")
+    for f in ("name", "modifiers", "receiver", "attrs", "params", "return_type"):
+        m = m.withColumn(f, _field(rules, f, F.col("head")))
+    m = (m.withColumn("header_line", F.col("line_start") + _newlines(F.col("attrs")))
+         .withColumn("header_text", F.replace(F.col("head"), F.col("attrs"), F.lit("")))
+         .withColumn("parameters", _parameters(acts)).withColumn("return_type", F.trim("return_type")))
+    return m.withColumn("attributes", attributes(acts)).withColumn("access_modifier", access_modifier(acts)).select(
+        "suite", "path", "language", "method_seq", "name", "body", "attributes", "access_modifier", "line_start", "line_end", "header_line",
+        "parameters", "return_type", "header_text")
+
+
+def _as(acts: dict[str, str], values: dict[str, Column], default: Column) -> Column:
+    """``values`` by the language whose rules a language follows."""
+    return _lang_case({k: values[a] for k, a in acts.items() if a in values}, default)
+
+
+def _parameters(acts: dict[str, str]) -> Column:
+    """Python: the names, ``*args`` and ``**kwargs`` included, without annotations and defaults; others as written."""
+    p = F.regexp_replace("params", r"\"[^\"\n]*\"|'[^'\n]*'|#[^\n]*", "")
+    for _ in range(3):
+        p = F.regexp_replace(p, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "")
+    names = F.filter(F.transform(F.split(p, ",", -1), lambda x: F.regexp_extract(x, r"^\s*(\*{0,2}\w+)", 1)), lambda x: x != "")
+    return _as(acts, {"python": F.array_join(names, ", ")}, F.col("params"))
+
+
+def attributes(acts: dict[str, str]) -> Column:
     """Attributes per language."""
-    deco = F.col("deco_lines")
-    java_ann = F.flatten(F.transform(deco, lambda t: F.regexp_extract_all(t, F.lit(r"(@\w+(?:\([^)]*\))?)"), 1)))
-    cs_attr = F.flatten(F.transform(deco, lambda t: F.regexp_extract_all(t, F.lit(r"(\[[^\]]+\])"), 1)))
-    name = F.col("name")
-    go = F.filter(F.array(
-        F.when(F.col("receiver") != "", F.concat(F.lit("receiver: "), F.trim("receiver"))),
-        F.when(F.coalesce(F.col("doc_first5"), F.lit("")).startswith("//"), F.lit("// documented")),
-        F.when(name.startswith("Test"), F.lit("test")).when(name.startswith("Benchmark"), F.lit("benchmark"))
-        .when(name.startswith("Example"), F.lit("example"))), lambda x: x.isNotNull())
-    js = F.filter(F.array(
-        F.when(F.rtrim(F.coalesce("prev_line", F.lit(""))).endswith("*/"), F.lit("/**...*/")),
-        F.when(F.col("modifiers").contains("async"), F.lit("async")),
-        F.when(F.col("modifiers").contains("static"), F.lit("static"))), lambda x: x.isNotNull())
-    php_doc = F.when(F.coalesce(F.col("prev_line"), F.lit("")).contains("*/"),
-                     F.transform(F.regexp_extract_all(F.col("prev_line"), F.lit(r"@(\w+)"), 1), lambda t: F.concat(F.lit("@"), t))
-                     ).otherwise(F.array().cast("array<string>"))
-    php = F.concat(php_doc, F.filter(F.array(
-        F.when(F.col("modifiers").contains("static"), F.lit("static")),
-        F.when(F.col("modifiers").contains("final"), F.lit("final")),
-        F.when(F.col("modifiers").contains("abstract"), F.lit("abstract"))), lambda x: x.isNotNull()))
-    ruby = F.filter(F.array(
-        F.when(F.coalesce(F.col("doc_first"), F.lit("")).startswith("#"), F.lit("# documented")),
-        F.when(name.endswith("?"), F.lit("predicate")).when(name.endswith("!"), F.lit("mutating"))), lambda x: x.isNotNull())
-    return _lang_case({"python": deco, "java": java_ann, "csharp": cs_attr, "go": go, "javascript": js, "php": php,
-                       "ruby": ruby}, F.array().cast("array<string>"))
-
-
-def access_modifier() -> Column:
+    name, mods, doc = F.col("name"), F.col("modifiers"), F.rtrim("doc")
+    found = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    python = F.filter(F.transform(F.split("attrs", r"\n(?=[ \t]*@)", -1), lambda t: strip_ws(t)), lambda t: t != "")
+    java = F.regexp_extract_all("attrs", F.lit(r"(@\w+(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?)"), 1)
+    csharp = F.regexp_extract_all("attrs", F.lit(r"(\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\])"), 1)
+    go = found(F.when(F.col("receiver") != "", F.concat(F.lit("receiver: "), F.trim("receiver"))),
+               F.when(F.col("doc_line").startswith("//"), F.lit("// documented")),
+               F.when(name.startswith("Test"), F.lit("test")).when(name.startswith("Benchmark"), F.lit("benchmark"))
+               .when(name.startswith("Example"), F.lit("example")))
+    javascript = found(F.when(F.regexp_replace(doc, r"\s+$", "").endswith("*/"), F.lit("/**...*/")), F.when(mods.contains("async"), F.lit("async")),
+                       F.when(mods.contains("static"), F.lit("static")))
+    block = F.regexp_extract(F.col("doc"), r"(?s)/\*\*((?:(?!\*/).)*+)\*/\s*$", 1)
+    php = F.concat(F.transform(F.regexp_extract_all(block, F.lit(r"@(\w+)"), 1), lambda t: F.concat(F.lit("@"), t)),
+                   found(F.when(mods.contains("static"), F.lit("static")), F.when(mods.contains("final"), F.lit("final")),
+                         F.when(mods.contains("abstract"), F.lit("abstract"))))
+    ruby = found(F.when(F.col("doc_line").startswith("#"), F.lit("# documented")),
+                 F.when(name.endswith("?"), F.lit("predicate")).when(name.endswith("!"), F.lit("mutating")))
+    return _as(acts, {"python": python, "java": java, "csharp": csharp, "go": go, "javascript": javascript, "php": php, "ruby": ruby},
+               F.array().cast("array<string>"))
+
+
+def access_modifier(acts: dict[str, str]) -> Column:
     """Visibility per language."""
     mods, name = F.col("modifiers"), F.col("name")
-    kw = lambda default, extra=(): (F.when(mods.contains("private"), "private")
-                                    .when(mods.contains("protected"), "protected")
-                                    .when(mods.contains("internal") if "internal" in extra else F.lit(False), "internal")
-                                    .otherwise(default))
-    java = F.when(mods.contains("public"), "public").when(mods.contains("private"), "private").when(
-        mods.contains("protected"), "protected").otherwise("package")
-    go = F.when(F.substring(name, 1, 1).rlike("^[A-Z]"), "public").otherwise("private")
-    py = F.when(name.startswith("__") & ~name.endswith("__"), "private").when(name.startswith("_"), "protected").otherwise("public")
-    return _lang_case({"csharp": kw("public", ("internal",)), "java": java, "go": go, "python": py,
-                       "javascript": F.lit("public"), "php": kw("public"), "ruby": kw("public")}, F.lit("public"))
-
-
-def method_bodies(lines: DataFrame, methods: DataFrame) -> DataFrame:
-    """Body text: lines line_start..line_end of each method, the last line cut at
-    the closing brace (brace languages) or after ``end`` (Ruby), then stripped."""
-    marks = methods.select("path", F.col("line_start").alias("line_no"),
-                           F.struct("method_seq", "end_line", "end_k").alias("mk"))
-    x = lines.select("path", "language", "line_no", "line").join(marks, ["path", "line_no"], "left")
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("cur", F.last("mk", ignorenulls=True).over(w)).filter(
-        F.col("cur").isNotNull() & (F.col("line_no") <= F.col("cur.end_line")))
-    pieces = F.split("line", r"(?<=[{}])", -1)
-    braces_before = lambda k: k + 1
-    cut = (F.when((F.col("line_no") == F.col("cur.end_line")) & F.col("cur.end_k").isNotNull(),
-                  F.array_join(F.slice(F.filter(pieces, lambda p: F.lit(True)), 1, braces_before(F.col("cur.end_k"))), ""))
-           .when((F.col("line_no") == F.col("cur.end_line")) & (F.col("language") == "ruby"),
-                 F.regexp_extract("line", r"^(.*?\bend)\b", 1))
-           .otherwise(F.col("line")))
-    x = x.withColumn("text", cut)
-    return x.groupBy("path", F.col("cur.method_seq").alias("method_seq")).agg(
-        strip_ws(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n"))
-        .alias("body"))
+    word = lambda *words: F.coalesce(*[F.when(mods.contains(w), F.lit(w)) for w in words], F.lit("public"))
+    java = F.coalesce(*[F.when(mods.contains(w), F.lit(w)) for w in ("public", "private", "protected")], F.lit("package"))
+    go = F.when(name.rlike("^[A-Z]"), "public").otherwise("private")
+    python = F.when(name.startswith("__") & ~name.endswith("__"), "private").when(name.startswith("_"), "protected").otherwise("public")
+    return _as(acts, {"csharp": word("private", "protected", "internal"), "java": java, "go": go, "python": python,
+                      "php": word("private", "protected"), "ruby": word("private", "protected")}, F.lit("public"))
 
 
 # ---------------- P1-P4, T1-T4 ----------------

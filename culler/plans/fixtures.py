@@ -86,6 +86,24 @@ CASE
    ELSE concat('def test_e', event_id, '~  allow(svc).to receive(:', event_type, ').and_return(', event_id % 10, ')~end~') END
 END"""
 
+# Other layouts of the same methods: every fifth test has its brace on a line of its own, or a wrapped signature;
+# every fifth after that has its attribute on the header's line.
+F3_LAYOUT_SQL = r"""
+CASE WHEN event_id % 7 = 0 THEN t
+ WHEN event_id % 5 = 0 THEN CASE user_id % 7
+   WHEN 0 THEN replace(t, '(self, m):', '(self,~        m: int = 3):')
+   WHEN 1 THEN replace(t, 'throws Exception {', 'throws Exception~{')
+   WHEN 2 THEN replace(t, '() {~', '()~{~')
+   WHEN 3 THEN replace(t, '(t *testing.T)', '(~  t *testing.T)')
+   WHEN 4 THEN replace(t, '() => {', '() =>~{')
+   WHEN 5 THEN replace(t, ': void {', ': void~{')
+   ELSE t END
+ WHEN event_id % 5 = 1 THEN CASE user_id % 7
+   WHEN 1 THEN replace(t, '@Test~public', '@Test public')
+   WHEN 2 THEN replace(t, '[Test]~public', '[Test] public')
+   ELSE t END
+ ELSE t END"""
+
 F3_LANG_SQL = (
     "CASE user_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'csharp' WHEN 3 THEN 'go' "
     "WHEN 4 THEN 'javascript' WHEN 5 THEN 'php' ELSE 'ruby' END"
@@ -98,8 +116,8 @@ def method_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         "user_id", "event_id", "event_type",
         (F.col("user_id") % 7).alias("lang_id"),
-        F.expr(F3_METHOD_TEXT_SQL).alias("method_text"),
-    )
+        F.expr(F3_METHOD_TEXT_SQL).alias("t"),
+    ).withColumn("method_text", F.expr(F3_LAYOUT_SQL)).drop("t")
 
 
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +134,8 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 F3_TEXTS_SQL = f"""
-SELECT user_id, event_id, event_type, user_id % 7 AS lang_id, {F3_METHOD_TEXT_SQL} AS method_text
-FROM events"""
+SELECT user_id, event_id, event_type, user_id % 7 AS lang_id, {F3_LAYOUT_SQL} AS method_text
+FROM (SELECT *, {F3_METHOD_TEXT_SQL} AS t FROM events)"""
 
 F3_SQL = f"""
 SELECT concat('u', user_id, {F3_EXT_SQL}) AS suite, concat('u', user_id, {F3_EXT_SQL}) AS path,

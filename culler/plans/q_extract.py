@@ -4,7 +4,8 @@ each event (its line offsets are known), with no parsing at all."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from culler.functions import lang_rules as LR
@@ -49,20 +50,26 @@ _SUBJECT_SQL = """CASE lang_id
   ELSE concat('allow(svc).to receive(:', event_type, ').and_return(', event_id % 10, ')') END"""
 
 # body line positions of mock lines in test methods (0-based within the body)
-_MOCK_POS_SQL = "CASE lang_id WHEN 0 THEN [0, 2, 6] WHEN 1 THEN [3] WHEN 2 THEN [2] ELSE [1] END"
+_MOCK_POS_SQL = ("list_transform(CASE lang_id WHEN 0 THEN [0, 2, 6] WHEN 1 THEN [3] WHEN 2 THEN [2] ELSE [1] END, "
+                 "lambda p: CASE WHEN p = 0 THEN 0 ELSE p + shift END)")
+# lines that a layout adds to a test before its body (brace or parameter on a line of its own) or takes (inline attribute)
+_SHIFT_SQL = """CASE WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 5 = 0 AND lang_id <= 5 THEN 1
+     WHEN event_id % 5 = 1 AND lang_id IN (1, 2) THEN -1 ELSE 0 END"""
 
 EXP_SQL = f"""
-t AS (SELECT *, event_id % 7 = 0 AS helper, strlen(method_text) - strlen(replace(method_text, '~', '')) AS nl
+t AS (SELECT *, event_id % 7 = 0 AS helper, {_SHIFT_SQL} AS shift, strlen(method_text) - strlen(replace(method_text, '~', '')) AS nl
       FROM ({F3_TEXTS_SQL})),
 pos AS (SELECT *, 1 + coalesce(sum(nl + 1) OVER (PARTITION BY user_id ORDER BY event_id
                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord,
-               lag(event_id % 7 = 0) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_helper FROM t),
+               lag(event_id % 7 = 0) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_helper,
+               lag(shift) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_shift FROM t),
 em AS (SELECT concat('u', user_id, {F3_EXT_SQL}) AS path, {F3_LANG_SQL} AS language, user_id, event_id, event_type, lang_id,
-              helper, ord, prev_helper, base + {_case(0)} AS line_start, base + {_case(1)} AS header_line, base + {_case(2)} AS line_end,
-              concat({_case(3, True)}, event_id) AS name, {_case(4, True)} AS parameters, {_case(5, True)} AS return_type,
+              helper, ord, prev_helper, prev_shift, shift, base + {_case(0)} AS line_start, base + {_case(1)} + least(shift, 0) AS header_line,
+              base + {_case(2)} + shift AS line_end, concat({_case(3, True)}, event_id) AS name,
+              CASE WHEN lang_id = 3 AND shift = 1 THEN concat(chr(10), '  t *testing.T') ELSE {_case(4, True)} END AS parameters, {_case(5, True)} AS return_type,
               {_case(6, True)} AS access_modifier,
-              CASE WHEN helper AND lang_id = 3 AND prev_helper = FALSE THEN '// documented'
+              CASE WHEN helper AND lang_id = 3 AND prev_helper = FALSE AND prev_shift = 0 THEN '// documented'
                    WHEN helper THEN ''
                    WHEN lang_id = 0 THEN concat('@patch("svc.', event_type, '")')
                    WHEN lang_id = 1 THEN '@Test' WHEN lang_id = 2 THEN '[Test]'
@@ -79,7 +86,7 @@ def _m_out(df, cols):
     return df.select(*cols)
 
 
-M_COLS_SQL = ("path, CAST(line_start AS BIGINT) AS method_seq, name, language, CAST(line_start AS INTEGER) AS line_start, "
+M_COLS_SQL = ("path, CAST(ord AS BIGINT) AS method_seq, name, language, CAST(line_start AS INTEGER) AS line_start, "
               "CAST(line_end AS INTEGER) AS line_end, access_modifier, parameters, return_type, attributes")
 
 
@@ -116,12 +123,12 @@ _span_query("indent_spans", ["python"])
 _span_query("ruby_spans", ["ruby"])
 
 
-@register("access_modifier", _exp("SELECT path, CAST(line_start AS BIGINT) AS method_seq, access_modifier FROM em"))
+@register("access_modifier", _exp("SELECT path, CAST(ord AS BIGINT) AS method_seq, access_modifier FROM em"))
 def q_access_modifier(spark, sf):
     return _methods(spark, sf).select("path", F.col("method_seq").cast("long").alias("method_seq"), "access_modifier")
 
 
-@register("line_range", _exp("SELECT path, CAST(line_start AS BIGINT) AS method_seq, CAST(line_start AS INTEGER) AS line_start, "
+@register("line_range", _exp("SELECT path, CAST(ord AS BIGINT) AS method_seq, CAST(line_start AS INTEGER) AS line_start, "
                              "CAST(line_end AS INTEGER) AS line_end FROM em"))
 def q_line_range(spark, sf):
     return _methods(spark, sf).select("path", F.col("method_seq").cast("long").alias("method_seq"),
@@ -153,19 +160,19 @@ def q_explode_lines(spark, sf):
     return X.explode_lines(files).select("path", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
-@register("filter_tests", _exp("SELECT path, CAST(line_start AS BIGINT) AS method_seq, name FROM em WHERE NOT helper"))
+@register("filter_tests", _exp("SELECT path, CAST(ord AS BIGINT) AS method_seq, name FROM em WHERE NOT helper"))
 def q_filter_tests(spark, sf):
     return X.filter_tests(_methods(spark, sf)).select("path", F.col("method_seq").cast("long").alias("method_seq"), "name")
 
 
-@register("filter_mocks", _exp("SELECT path, CAST(line_start AS BIGINT) AS method_seq, name FROM em WHERE NOT helper"))
+@register("filter_mocks", _exp("SELECT path, CAST(ord AS BIGINT) AS method_seq, name FROM em WHERE NOT helper"))
 def q_filter_mocks(spark, sf):
     m = X.filter_mocks(X.filter_tests(_methods(spark, sf)))
     return m.select("path", F.col("method_seq").cast("long").alias("method_seq"), "name")
 
 
 @register("filter_mock_lines", _exp(f"""
-SELECT path, CAST(line_start AS BIGINT) AS method_seq, CAST(p AS INTEGER) AS pos
+SELECT path, CAST(ord AS BIGINT) AS method_seq, CAST(p AS INTEGER) AS pos
 FROM em, unnest({_MOCK_POS_SQL}) AS u(p) WHERE NOT helper"""))
 def q_filter_mock_lines(spark, sf):
     ml = X.mock_lines(X.filter_tests(_methods(spark, sf)))
@@ -173,7 +180,7 @@ def q_filter_mock_lines(spark, sf):
 
 
 @register("strip_to_interactions", _exp(f"""
-SELECT path, CAST(line_start AS BIGINT) AS method_seq, name,
+SELECT path, CAST(ord AS BIGINT) AS method_seq, name,
        CASE WHEN lang_id = 0 THEN concat(event_type, chr(10), event_type) ELSE {_SUBJECT_SQL} END AS body
 FROM em WHERE NOT helper"""))
 def q_strip(spark, sf):
@@ -186,9 +193,9 @@ def _subject_query(key, lang, lid):
         ml = X.mock_lines(X.extract_methods(src_files(spark, sf), [lang])).filter(F.col("subject") != "")
         return ml.select("path", F.col("method_seq").cast("long").alias("method_seq"), F.col("pos").cast("int").alias("pos"), "subject")
 
-    pos = "p IN (2, 6)" if lid == 0 else "TRUE"
+    pos = "p <> 0" if lid == 0 else "TRUE"
     register(key, _exp(f"""
-SELECT path, CAST(line_start AS BIGINT) AS method_seq, CAST(p AS INTEGER) AS pos, {_SUBJECT_SQL} AS subject
+SELECT path, CAST(ord AS BIGINT) AS method_seq, CAST(p AS INTEGER) AS pos, {_SUBJECT_SQL} AS subject
 FROM em, unnest({_MOCK_POS_SQL}) AS u(p) WHERE NOT helper AND lang_id = {lid} AND {pos}"""))(q)
 
 
@@ -198,14 +205,13 @@ _subject_query("mock_subject_java", "java", 1)
 
 @register("method_header", _exp("SELECT path, CAST(header_line AS INTEGER) AS line_no, name FROM em"))
 def q_method_header(spark, sf):
-    files = X.detect_language(src_files(spark, sf))
-    h = X.with_headers(X.explode_lines(files)).filter("is_header")
-    return h.select("path", F.col("line_no").cast("int").alias("line_no"), F.col("h_name").alias("name"))
+    h = X.method_headers(src_files(spark, sf))
+    return h.select("path", F.col("line_no").cast("int").alias("line_no"), "name")
 
 
 @register("lookback_windows", _exp("""
-SELECT path, CAST(line_start AS BIGINT) AS method_seq,
-       coalesce(lang_id = 3 AND ((NOT helper AND ord = 1) OR (helper AND prev_helper = FALSE)), FALSE) AS documented
+SELECT path, CAST(ord AS BIGINT) AS method_seq,
+       coalesce(lang_id = 3 AND ((NOT helper AND ord = 1) OR (helper AND prev_helper = FALSE AND prev_shift = 0)), FALSE) AS documented
 FROM em WHERE lang_id IN (3, 6)"""))
 def q_lookback(spark, sf):
     m = X.extract_methods(src_files(spark, sf), ["go", "ruby"])
@@ -214,7 +220,7 @@ def q_lookback(spark, sf):
 
 
 @register("range_lines", _exp(f"""
-SELECT em.path, CAST(em.line_start AS BIGINT) AS method_seq, CAST(t.i AS INTEGER) AS line_no
+SELECT em.path, CAST(em.ord AS BIGINT) AS method_seq, CAST(t.i AS INTEGER) AS line_no
 FROM em JOIN ({F3_SQL}) f ON em.path = f.path, unnest(string_split(f.content, chr(10))) WITH ORDINALITY AS t(l, i)
 WHERE t.i BETWEEN em.line_start AND em.line_end"""))
 def q_range_lines(spark, sf):
@@ -248,19 +254,8 @@ def q_comment_out(spark, sf):
 
 @register("language_plugin", _exp("SELECT 'ecmascript' AS language, CAST(count(*) AS BIGINT) AS n_methods FROM em WHERE lang_id = 4"))
 def q_language_plugin(spark, sf):
-    """UF2: a user rule set registered at run time (here: the JavaScript rules under
-    another name, bound to ``.js``) is used by detection and extraction."""
-    import copy
-    saved = dict(LR.RULES)
-    try:
-        plug = copy.deepcopy(LR.RULES["javascript"])
-        plug.language = "ecmascript"
-        LR.RULES.pop("javascript")
-        LR.register_language(plug)
-        m = X.extract_methods(src_files(spark, sf))
-        stats = X.language_stats(m).filter(F.col("language") == "ecmascript")
-        # the plan captures the rules when it is built, so restoring them afterwards is safe
-        return stats.select("language", F.col("n_methods").cast("long").alias("n_methods"))
-    finally:
-        LR.RULES.clear()
-        LR.RULES.update(saved)
+    """UF2: a user rule set passed along (here: the JavaScript rules under another name, bound to
+    ``.js``) is used by detection and extraction."""
+    plug = dataclasses.replace(LR.RULES["javascript"], language="ecmascript", acts_as="javascript")
+    m = X.extract_methods(src_files(spark, sf), rules=LR.with_language(plug))
+    return X.language_stats(m).filter(F.col("language") == "ecmascript").select("language", F.col("n_methods").cast("long").alias("n_methods"))
