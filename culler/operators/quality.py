@@ -1,9 +1,9 @@
 """Clustering quality.
 
-Silhouette per grid cell without outliers.  One blocked pass computes, for
-every point, cell and cluster, the sum and count of distances to that
-cluster's members (all cells share one replication of the data); the score is
-then plain aggregation.  Guard (Q4): 0.0 when fewer than two labels, when the
+Silhouette per grid cell without outliers.  For every point, cell and cluster
+the sum and count of distances to that cluster's members: for cosine from the
+clusters' sums of unit vectors, else in one blocked pass (all cells share one
+replication of the data); the score is then plain aggregation.  Guard (Q4): 0.0 when fewer than two labels, when the
 labels are one cluster plus outliers, when fewer than two non-outliers, or when
 the silhouette is undefined (fewer than 2 or more than n-1 clusters).
 """
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ ALGORITHMS = ["dbscan", "kmeans", "hierarchical"]
 METRICS = ["cosine", "euclidean", "manhattan"]
 
 
-def _sil_kernel(cell_metrics: list[str], vec: str):
+def _sil_kernel(cell_metrics: list[str | None], vec: str):
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         suite = pdf["suite"].iloc[0]
@@ -33,6 +35,8 @@ def _sil_kernel(cell_metrics: list[str], vec: str):
             lb = np.stack(cb["labels"].to_numpy())
             cache = {}
             for c, m in enumerate(cell_metrics):
+                if m is None:
+                    continue
                 qmask = la[:, c] >= 0
                 if not qmask.any():
                     continue
@@ -54,15 +58,36 @@ def _sil_kernel(cell_metrics: list[str], vec: str):
     return kernel
 
 
+def _cosine_sums(base: DataFrame, cells: list[int], vec: str) -> DataFrame:
+    """Sums of cosine distances from each item to each cluster without pairs: the sum over a cluster of
+    1 - cos(x, y) is its size minus the unit vector of x times the sum of the cluster's unit vectors."""
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v))
+    unit = base.withColumn("_n", norm).select("suite", "method_seq", F.posexplode("labels").alias("cell", "lab"), F.transform(
+        vec, lambda v: F.when(F.col("_n") > 0, v / F.col("_n")).otherwise(F.lit(0.0))).alias("u")).filter(F.col("cell").isin(cells) & (F.col("lab") >= 0))
+    totals = unit.groupBy("suite", "cell", "lab").agg(Summarizer.sum(array_to_vector("u")).alias("_t"), F.count("*").alias("n"))
+    totals = totals.select("suite", "cell", "lab", vector_to_array("_t").alias("t"), "n")
+    along = F.aggregate(F.zip_with("u", "t", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return unit.drop("lab").join(totals, ["suite", "cell"]).select("suite", "cell", F.col("method_seq").alias("a"), "lab", (F.col("n") - along).alias("s"), "n")
+
+
 def silhouette_grid(labeled: DataFrame, cells: list[tuple[str, str]], vec: str = "z",
-                    block_size: int = BK.DEFAULT_BLOCK, suite_type: str = "string") -> DataFrame:
+                    block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
     """Quality per (suite, cell).  ``labeled`` has ``labels array<int>`` with one label
     per cell (same order as ``cells``, each ``(algorithm, metric)``)."""
-    metrics = [m for _, m in cells]
-    base = labeled.select("suite", "method_seq", vec, "labels")
-    schema = "suite {suite}, cell int, a long, lab int, s double, n long"
-    part = BK.run_pairs(base, ["suite"], _sil_kernel(metrics, vec), schema, block_size)
-    sums = part.groupBy("suite", "cell", "a", "lab").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    counts = label_counts(labeled, len(cells))
+    # the guard comes first: cells whose score is 0.0 by rule compute no distances
+    scored = counts.filter(~guarded()).groupBy("suite").agg(F.collect_set("cell").alias("_scored"))
+    base = labeled.select("suite", "method_seq", vec, "labels").join(scored, "suite").withColumn(
+        "labels", F.transform("labels", lambda l, i: F.when(F.array_contains("_scored", i), l).otherwise(F.lit(-1)))).drop("_scored")
+    linear = [i for i, (_, m) in enumerate(cells) if m == "cosine"]
+    sums = None
+    if linear:
+        sums = _cosine_sums(base, linear, vec)
+    if len(linear) < len(cells):
+        schema = "suite {suite}, cell int, a long, lab int, s double, n long"
+        part = BK.run_pairs(base, ["suite"], _sil_kernel([None if i in linear else m for i, (_, m) in enumerate(cells)], vec), schema, block_size)
+        pairs = part.groupBy("suite", "cell", "a", "lab").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        sums = pairs if sums is None else sums.unionByName(pairs)
     own_lab = labeled.select("suite", F.col("method_seq").alias("a"),
                              F.posexplode("labels").alias("cell", "own"))
     j = sums.join(own_lab, ["suite", "cell", "a"])
@@ -75,7 +100,6 @@ def silhouette_grid(labeled: DataFrame, cells: list[tuple[str, str]], vec: str =
            .when(F.greatest("ai", "bi") == 0, F.lit(0.0))
            .otherwise(F.try_divide(F.col("bi") - F.col("ai"), F.greatest("ai", "bi"))))
     score = per_point.groupBy("suite", "cell").agg(F.avg(s_i).alias("sil"))
-    counts = label_counts(labeled, len(cells))
     res = counts.join(score, ["suite", "cell"], "left")
     cell_df = labeled.sparkSession.createDataFrame(
         [(i, a, m) for i, (a, m) in enumerate(cells)], "cell int, algorithm string, metric string")
@@ -94,13 +118,17 @@ def label_counts(labeled: DataFrame, n_cells: int) -> DataFrame:
     )
 
 
-def quality_guard(sil):
-    """Q4: 0.0 whenever the silhouette is undefined for the labels."""
+def guarded():
+    """Q4: the labels leave the silhouette undefined."""
     distinct_all = F.col("n_clusters") + F.when(F.col("n_outliers") > 0, 1).otherwise(0)
     non_out = F.col("n_items") - F.col("n_outliers")
-    bad = ((distinct_all < 2) | ((distinct_all == 2) & (F.col("n_outliers") > 0)) | (non_out < 2)
-           | (F.col("n_clusters") < 2) | (F.col("n_clusters") > non_out - 1))
-    return F.when(bad, F.lit(0.0)).otherwise(F.coalesce(sil, F.lit(0.0)))
+    return ((distinct_all < 2) | ((distinct_all == 2) & (F.col("n_outliers") > 0)) | (non_out < 2)
+            | (F.col("n_clusters") < 2) | (F.col("n_clusters") > non_out - 1))
+
+
+def quality_guard(sil):
+    """Q4: 0.0 whenever the silhouette is undefined for the labels."""
+    return F.when(guarded(), F.lit(0.0)).otherwise(F.coalesce(sil, F.lit(0.0)))
 
 
 def best_clustering(runs: DataFrame) -> DataFrame:
