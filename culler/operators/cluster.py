@@ -10,9 +10,8 @@
   DBSCAN labels.  All 3 metrics x 6 settings run as one frame.
 * K5-K9 k-means: Lloyd iterations as DataFrame joins/aggregates keyed by
   (suite, k, restart); every k of the elbow scan and every restart run together.
-* K10/K11 agglomerative: per suite in numpy (Lance-Williams) when the suite is
-  at most ``HIER_EXACT_MAX`` items; larger suites are first reduced to that many
-  k-means micro-clusters (flagged ``exact = false``).
+* K10/K11 agglomerative: rounds that merge all mutually nearest clusters at once, each one blocked pass
+  over cluster sizes and sums.
 """
 
 from __future__ import annotations
@@ -36,7 +35,6 @@ KMEANS_RESTARTS = 10
 ELBOW_RESTARTS = 5
 # Squared move below which a centroid stands still (rounding of the means' sums).
 CENTROID_TOL = 1e-20
-HIER_EXACT_MAX = 512
 
 
 # ---------------- K3 knee, K2 optimal eps ----------------
@@ -314,141 +312,99 @@ def kmeans_auto(z: DataFrame, vec: str = "z") -> tuple[DataFrame, DataFrame]:
 
 # ---------------- K10/K11 agglomerative ----------------
 
-def _agglomerate(X: np.ndarray, w: np.ndarray, linkage: str, metric: str):
-    """Lance-Williams agglomeration; returns merges [(a, b, height, size)] with
-    scipy-style ids (leaves 0..n-1, merge i -> n+i).  ``w`` are point weights
-    (1 for exact runs, micro-cluster sizes otherwise)."""
-    n = len(X)
-    if metric == "manhattan":
-        D = np.abs(X[:, None, :] - X[None, :, :]).sum(-1)
-    elif metric == "cosine":
-        nr = np.linalg.norm(X, axis=1)
-        nr[nr == 0] = 1.0
-        D = np.clip(1.0 - (X / nr[:, None]) @ (X / nr[:, None]).T, 0.0, 2.0)
-    else:
-        sq = (X * X).sum(1)
-        D = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * X @ X.T, 0.0))
-    if linkage == "ward":
-        D = D * D
-    np.fill_diagonal(D, np.inf)
-    size = w.astype(np.float64).copy()
-    ids = list(range(n))
-    active = np.ones(n, dtype=bool)
-    merges = []
-    for step in range(n - 1):
-        flat = np.where(active[:, None] & active[None, :], D, np.inf)
-        i, j = np.unravel_index(np.argmin(flat), flat.shape)
-        if i > j:
-            i, j = j, i
-        h = D[i, j]
-        si, sj = size[i], size[j]
-        sk = size
-        if linkage == "average":
-            new = (si * D[i] + sj * D[j]) / (si + sj)
-        elif linkage == "complete":
-            new = np.maximum(D[i], D[j])
-        else:  # ward on squared distances
-            new = ((si + sk) * D[i] + (sj + sk) * D[j] - sk * h) / (si + sj + sk)
-        D[i, :] = new
-        D[:, i] = new
-        D[i, i] = np.inf
-        D[j, :] = np.inf
-        D[:, j] = np.inf
-        active[j] = False
-        size[i] = si + sj
-        merges.append((ids[i], ids[j], float(np.sqrt(h)) if linkage == "ward" else float(h), float(si + sj)))
-        ids[i] = n + step
-    return merges
-
-
-def _cut(merges, n: int, k: int) -> np.ndarray:
-    """Labels after undoing the last k-1 merges."""
-    parent = list(range(n + len(merges)))
-    for step, (a, b, _, _) in enumerate(merges[: max(0, n - k)]):
-        parent[a] = n + step
-        parent[b] = n + step
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    return np.array([root(i) for i in range(n)])
-
-
-def _hier_kernel(linkage: str, metric: str, vec: str):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("method_seq")
-        X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
-        w = pdf["w"].to_numpy() if "w" in pdf else np.ones(len(pdf))
-        k = int(pdf["k"].iloc[0])
-        merges = _agglomerate(X, w, linkage, metric)
-        roots = _cut(merges, len(X), min(k, len(X)))
-        return pd.DataFrame({"suite": pdf["suite"].to_numpy(), "method_seq": pdf["method_seq"].to_numpy(), "root": roots})
-
-    return fn
+def _nearest_cluster_kernel(linkage: str):
+    """The nearest other cluster of each cluster of a tile.  Distances are accumulated per dimension, so
+    that both directions of a pair give the same number."""
 
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for qa, va, cb, vb in BK.directions(pdf, "v"):
+            if len(qa) == 0 or len(cb) == 0:
+                continue
+            na, nb = qa["size"].to_numpy(dtype=float)[:, None], cb["size"].to_numpy(dtype=float)[None, :]
+            if linkage == "ward":
+                d = BK.distance_tile(va / na, vb / nb.T, "euclidean") * np.sqrt(2.0 * na * nb / (na + nb))
+            else:
+                along = np.zeros((len(va), len(vb)))
+                for k in range(va.shape[1]):
+                    along += va[:, k][:, None] * vb[:, k][None, :]
+                d = np.clip(1.0 - along / (na * nb), 0.0, 2.0)
+            a, b = qa["method_seq"].to_numpy(), cb["method_seq"].to_numpy()
+            d[a[:, None] == b[None, :]] = np.inf
+            least = d.min(axis=1)
+            # of equally near ones the smallest id
+            to = np.where(d == least[:, None], b[None, :], np.iinfo(np.int64).max).min(axis=1)
+            ok = np.isfinite(least)
+            out.append(pd.DataFrame({"suite": pdf["suite"].iloc[0], "a": a[ok], "b": to[ok], "d": least[ok]}))
+        if not out:
+            return pd.DataFrame({"suite": pd.Series(dtype=pdf["suite"].dtype), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"),
+                                 "d": pd.Series(dtype="float64")})
+        return pd.concat(out, ignore_index=True)
 
-HIER_LINKAGE = {"cosine": ("average", "euclidean"), "euclidean": ("ward", "euclidean"), "manhattan": ("complete", "manhattan")}
+    return kernel
 
 
-def hierarchical(z: DataFrame, k: DataFrame, metric: str, vec: str = "z") -> DataFrame:
-    """Agglomerative clustering to k clusters per suite: cosine -> average
-    linkage on Euclidean distance, euclidean -> ward, manhattan -> complete on L1
-    (V17).  Suites above ``HIER_EXACT_MAX`` items are first reduced to that many
-    k-means micro-clusters (exact = false)."""
-    linkage, dist = HIER_LINKAGE[metric]
-    sizes = z.groupBy("suite").agg(F.count("*").alias("n"))
-    x = z.select("suite", "method_seq", vec).join(k, "suite").join(sizes, "suite")
-    small = x.filter(F.col("n") <= HIER_EXACT_MAX).withColumn("w", F.lit(1.0))
-    schema = f"suite {BK.key_type(z)}, method_seq long, root long"
-    lab = small.groupBy("suite").applyInPandas(_hier_kernel(linkage, dist, vec), schema).withColumn("exact", F.lit(True))
-    big = x.filter(F.col("n") > HIER_EXACT_MAX)
-    if big.limit(1).count() > 0:
-        runs = big.select("suite").distinct().withColumn("k", F.lit(HIER_EXACT_MAX)).withColumn("run", F.lit(0))
-        assign, _, cents = kmeans_runs(big.select("suite", "method_seq", vec), runs, vec, max_iter=10)
-        cw = assign.groupBy("suite", "cluster").agg(F.count("*").alias("w"))
-        micro = cents.select("suite", "cluster", "centroid").join(cw, ["suite", "cluster"]).join(k, "suite").select(
-            "suite", F.col("cluster").cast("long").alias("method_seq"), F.col("centroid").alias(vec), F.col("w").cast("double"), "k")
-        mlab = micro.groupBy("suite").applyInPandas(_hier_kernel(linkage, dist, vec), schema)
-        big_lab = assign.select("suite", "method_seq", F.col("cluster").cast("long").alias("mc")).join(
-            mlab.withColumnRenamed("method_seq", "mc"), ["suite", "mc"]).select("suite", "method_seq", "root").withColumn(
-            "exact", F.lit(False))
-        lab = lab.unionByName(big_lab)
-    allab = lab
-    roots = allab.groupBy("suite", "root").agg(F.min("method_seq").alias("m"))
-    roots = roots.withColumn("cluster", (F.dense_rank().over(Window.partitionBy("suite").orderBy("m")) - 1).cast("int"))
-    return allab.join(roots, ["suite", "root"]).select("suite", "method_seq", "cluster", "exact")
-
-
-def _linkage_kernel(metric: str, vec: str):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("method_seq")
-        X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
-        linkage = "average" if metric == "cosine" else "ward"
-        merges = _agglomerate(X, np.ones(len(X)), linkage, "cosine" if metric == "cosine" else "euclidean")
-        n = len(X)
-        depth = {}
-        for step in range(len(merges) - 1, -1, -1):  # depth from the root
-            node = n + step
-            d = depth.get(node, 0)
-            a, b = merges[step][0], merges[step][1]
-            depth[a], depth[b] = d + 1, d + 1
-        rows = [(pdf["suite"].iloc[0], metric, s, int(a), int(b), h, int(sz), depth.get(n + s, 0))
-                for s, (a, b, h, sz) in enumerate(merges)]
-        return pd.DataFrame(rows, columns=["suite", "metric", "step", "left", "right", "height", "size", "depth"])
-
-    return fn
+def merge_tree(items: DataFrame, linkage: str, vec: str = "vec", block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
+    """All merges of an agglomerative clustering per suite: (suite, left, left_size, right, right_size, height).
+    A cluster is named by its smallest member; the merged one has the name ``left``.
+
+    ``ward`` (on Euclidean distance) and ``average`` (on cosine distance) are reducible, so in every round all pairs of
+    mutually nearest clusters merge at once and the tree is the one of merging the globally nearest pair each time.
+    Both distances follow from a cluster's size and vector sum (of unit vectors for cosine), so a round is one blocked
+    nearest-neighbour pass over clusters, whose number falls by a constant factor per round; no suite is a task."""
+    if linkage not in ("ward", "average"):
+        raise ValueError(f"no reducible summary for linkage: {linkage}")
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
+    v = F.col(vec) if linkage == "ward" else F.transform(vec, lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(F.lit(0.0)))
+    clusters = cut_lineage(items.withColumn("_n", norm).select("suite", "method_seq", F.lit(1).cast("long").alias("size"), v.alias("v")))
+    merges = None
+    while True:
+        near = BK.run_pairs(clusters, ["suite"], _nearest_cluster_kernel(linkage), "suite {suite}, a long, b long, d double", block_size)
+        near = cut_lineage(near.groupBy("suite", "a").agg(F.min(F.struct("d", "b")).alias("m")).select("suite", "a", "m.b", "m.d"))
+        back = near.select("suite", F.col("a").alias("b"), F.col("b").alias("a"))
+        pairs = near.filter(F.col("a") < F.col("b")).join(back, ["suite", "a", "b"], "left_semi")
+        side = lambda name: clusters.select("suite", F.col("method_seq").alias(name), F.struct("size", "v").alias(f"_{name}"))
+        done = cut_lineage(pairs.join(side("a"), ["suite", "a"]).join(side("b"), ["suite", "b"]))
+        if done.isEmpty():
+            break
+        new = done.select("suite", F.col("a").alias("left"), F.col("_a.size").alias("left_size"), F.col("b").alias("right"),
+                          F.col("_b.size").alias("right_size"), F.col("d").alias("height"))
+        merges = new if merges is None else merges.unionByName(new)
+        merged = done.select("suite", F.col("a").alias("method_seq"), (F.col("_a.size") + F.col("_b.size")).alias("size"),
+                             F.zip_with("_a.v", "_b.v", lambda x, y: x + y).alias("v"))
+        gone = done.select("suite", F.explode(F.array("a", "b")).alias("method_seq"))
+        clusters = cut_lineage(clusters.join(gone, ["suite", "method_seq"], "left_anti").unionByName(merged))
+    if merges is None:
+        merges = clusters.select("suite", F.col("method_seq").alias("left"), F.col("size").alias("left_size"), F.col("method_seq").alias("right"),
+                                 F.col("size").alias("right_size"), F.lit(0.0).alias("height")).filter("false")
+    return cut_lineage(merges)
+
+
+def hierarchical(z: DataFrame, k: DataFrame, vec: str = "z") -> DataFrame:
+    """K10 (euclidean -> ward): the tree without its last k - 1 merges, (suite, method_seq, cluster) with clusters
+    numbered by their smallest member.  ``k``: (suite, k)."""
+    merges = merge_tree(z, "ward", vec).join(k.select("suite", "k"), "suite")
+    last = Window.partitionBy("suite").orderBy(F.col("height").desc(), (F.col("left_size") + F.col("right_size")).desc(), "left")
+    top = merges.withColumn("_r", F.row_number().over(last)).filter((F.col("_r") < F.col("k")) & (F.col("_r") < ELBOW_MAX_K)).select("suite", "left", "right")
+    kept = merges.join(top, ["suite", "left", "right"], "left_anti").select("suite", F.col("left").alias("a"), F.col("right").alias("v"))
+    roots = connected_components(kept, z.select("suite", F.col("method_seq").alias("a")), ["suite"])
+    number = F.dense_rank().over(Window.partitionBy("suite").orderBy("l")) - 1
+    names = roots.select("suite", "l").distinct().withColumn("cluster", number.cast("int"))
+    return roots.join(names, ["suite", "l"]).select("suite", F.col("a").alias("method_seq"), "cluster")
 
 
 def linkage_table(vectors: DataFrame, metric: str = "cosine", vec: str = "vec", max_depth: int = 5) -> DataFrame:
-    """Merge tree of the raw vectors (cosine -> average linkage on cosine
-    distance, otherwise ward), truncated to ``max_depth`` levels from the root.
-    One suite per task, bounded by ``HIER_EXACT_MAX`` (larger suites are skipped
-    here; use ``hierarchical`` for their labels)."""
-    sizes = vectors.groupBy("suite").agg(F.count("*").alias("n"))
-    x = vectors.select("suite", "method_seq", vec).join(sizes.filter(F.col("n") <= HIER_EXACT_MAX), "suite").drop("n")
-    schema = (f"suite {BK.key_type(vectors)}, metric string, step long, left long, right long, height double, "
-              "size long, depth long")
-    t = x.groupBy("suite").applyInPandas(_linkage_kernel(metric, vec), schema)
-    return t.filter(F.col("depth") < max_depth)
+    """The merge tree of the raw vectors (cosine -> average linkage on cosine distance, otherwise ward) down to
+    ``max_depth`` levels from the root: suite, metric, depth, left, left_size, right, right_size, height, size.
+    Walked from the root by joins on (name, size), so only the levels asked for are read."""
+    merges = merge_tree(vectors, "average" if metric == "cosine" else "ward", vec).withColumn("size", F.col("left_size") + F.col("right_size"))
+    whole = vectors.groupBy("suite").agg(F.count("*").alias("size"))
+    level = merges.join(whole, ["suite", "size"]).withColumn("depth", F.lit(0))
+    out = level
+    for depth in range(1, max_depth):
+        level = cut_lineage(level)
+        below = level.select("suite", F.explode(F.array(F.struct(F.col("left").alias("left"), F.col("left_size").alias("size")),
+                                                        F.struct(F.col("right").alias("left"), F.col("right_size").alias("size")))).alias("c")).select("suite", "c.*")
+        level = merges.join(below, ["suite", "left", "size"]).withColumn("depth", F.lit(depth))
+        out = out.unionByName(level)
+    return out.select("suite", F.lit(metric).alias("metric"), "depth", "left", "left_size", "right", "right_size", "height", "size")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from culler.operators import blocks as BK
 from culler.operators import cluster as C
 from culler.operators import quality as Q
 from culler.operators import vectors as V
 from culler.plans.fixtures import method_vectors, round6
 from culler.plans.q_vectors import KDIST_SQL, z_sql
 from culler.plans.registry import register
+from culler.session import cut_lineage
 
 KNEE_SQL = f"""{KDIST_SQL},
 c0 AS (SELECT suite, metric, kdist AS y, row_number() OVER (PARTITION BY suite, metric ORDER BY kdist) - 1 AS s,
@@ -65,18 +67,13 @@ def q_eps_join(spark, sf):
     at the optimal eps — the pairs themselves are never materialised."""
     z = _z(spark, sf)
     eps = _eps(spark, sf, z)
-    n_cfg = len(C.DBSCAN_SETTINGS)
-    metrics = list(V.BK.METRICS)
-    from culler.operators import blocks as BK
-    arr = eps.groupBy("suite").agg(F.transform(F.array_sort(F.collect_list(F.struct(
-        F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric")).alias("p"), "eps"))),
-        lambda s: s["eps"]).alias("e1"))
-    # one eps per (metric, setting) slot; only setting 0 (factor 1) is read back
-    arr = arr.select("suite", F.flatten(F.transform("e1", lambda e: F.array_repeat(e, n_cfg))).alias("eps"))
+    metrics = list(BK.METRICS)
+    by_metric = F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric")).alias("p"), "eps")))
+    arr = eps.groupBy("suite").agg(F.transform(by_metric, lambda s: s["eps"]).alias("eps"))
     base = z.select("suite", "method_seq", "z").join(arr, "suite")
-    deg = BK.run_pairs(base, ["suite"], C._dbscan_kernel(metrics, n_cfg, "z", "degree"), "suite {suite}, cell int, a long, v long")
-    deg = deg.filter(F.col("cell") % n_cfg == 0).groupBy("suite", "cell", "a").agg(F.sum("v").alias("n"))
-    met = F.element_at(F.array(*[F.lit(m) for m in metrics]), (F.col("cell") / n_cfg).cast("int") + 1)
+    deg = BK.run_pairs(base, ["suite"], C._dbscan_kernel(metrics, 1, "z", "degree"), "suite {suite}, cell int, a long, v long")
+    deg = deg.groupBy("suite", "cell", "a").agg(F.sum("v").alias("n"))
+    met = F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("cell") + 1)
     return deg.select("suite", met.alias("metric"), "a", F.col("n").cast("long").alias("n_neighbours"))
 
 
@@ -163,14 +160,10 @@ def q_kmeans(spark, sf):
 
 @register("hierarchical")
 def q_hierarchical(spark, sf):
-    """Agglomerative labels per metric's linkage, k from the elbow."""
+    """Agglomerative labels (Ward), k from the elbow."""
     z = _z(spark, sf)
     _, k = C.kmeans_auto(z)
-    out = None
-    for m in Q.METRICS:
-        h = C.hierarchical(z, k, m).withColumn("metric", F.lit(m))
-        out = h if out is None else out.unionByName(h)
-    return out.select("suite", "metric", "method_seq", "cluster", "exact")
+    return C.hierarchical(z, k)
 
 
 @register("linkage_table")
@@ -189,7 +182,7 @@ def q_dendrogram_data(spark, sf):
 def cluster_grid(spark, sf):
     """K0: 3 algorithms x 3 metrics on standardized vectors with quality per cell."""
     from culler.plans.pipeline import cluster_grid as grid
-    return grid(_z(spark, sf).cache())
+    return grid(cut_lineage(_z(spark, sf)))
 
 
 @register("cluster_grid")

@@ -110,11 +110,53 @@ def test_elbow_rule(spark):
     assert got["b"] == 3
 
 
-@pytest.mark.parametrize("linkage", ["average", "complete", "ward"])
-def test_agglomerate_monotone(linkage):
+def greedy_heights(x, linkage):
+    """Heights of merging the nearest pair again and again, from the linkages' definitions on members."""
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) > 0, np.linalg.norm(x, axis=1, keepdims=True), 1.0)
+    groups, heights = [[i] for i in range(len(x))], []
+
+    def far(a, b):
+        if linkage == "average":
+            return float(np.mean([1 - unit[i] @ unit[j] for i in a for j in b]))
+        both = x[a + b]
+        spread = lambda g: ((x[g] - x[g].mean(axis=0)) ** 2).sum()
+        return float(np.sqrt(2 * (((both - both.mean(axis=0)) ** 2).sum() - spread(a) - spread(b))))
+
+    while len(groups) > 1:
+        d, i, j = min((far(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        heights.append(d)
+        groups[i] += groups.pop(j)
+    return heights
+
+
+@pytest.mark.parametrize("linkage", ["average", "ward"])
+def test_merge_tree_is_the_greedy_one(spark, linkage):
     rng = np.random.default_rng(0)
-    X = rng.normal(size=(20, 3))
-    merges = C._agglomerate(X, np.ones(20), linkage, "euclidean")
-    hs = [m[2] for m in merges]
-    assert len(merges) == 19 and all(b >= a - 1e-12 for a, b in zip(hs, hs[1:]))
-    assert len(set(C._cut(merges, 20, 4).tolist())) == 4
+    x = rng.normal(size=(24, 3)).round(2)
+    x[7] = x[3]
+    rows = [("s", i, [float(v) for v in r]) for i, r in enumerate(x)] + [("one", 0, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "suite string, method_seq long, vec array<double>")
+    got = sorted(r.height for r in C.merge_tree(df, linkage, block_size=10).collect())
+    assert got == pytest.approx(sorted(greedy_heights(x, linkage)), abs=1e-9)
+
+
+def test_large_suite_is_complete(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(172, 2)) + c for c in ((0, 0), (40, 0), (0, 40))])
+    df = spark.createDataFrame([("s", i, [float(v) for v in r]) for i, r in enumerate(x)], "suite string, method_seq long, z array<double>")
+    k = spark.createDataFrame([("s", 3)], "suite string, k int")
+    lab = {r.method_seq: r.cluster for r in C.hierarchical(df, k).collect()}
+    assert [lab[i] for i in range(516)] == [i // 172 for i in range(516)]
+
+
+def test_linkage_table_walks_from_the_root(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([("s", i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(20, 2)))],
+                               "suite string, method_seq long, vec array<double>")
+    tree = C.linkage_table(df, "euclidean", max_depth=3).collect()
+    assert {r.depth for r in tree} == {0, 1, 2} and [r["size"] for r in tree if r.depth == 0] == [20]
+    for r in tree:
+        assert r.left_size + r.right_size == r["size"]
+    below = sorted(r["size"] for r in tree if r.depth == 1)
+    root = next(r for r in tree if r.depth == 0)
+    assert below == sorted(n for n in (root.left_size, root.right_size) if n > 1)
