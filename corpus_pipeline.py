@@ -13,6 +13,9 @@ from culler.llm.common import prepare, written
 from culler.llm.queries import tokenizer_path
 from culler.session import read_table
 
+#: Stages on shingles of five words link from a similarity of 0.80; the 0.85 of ``bbit_minhash.PERCENT`` is op7's.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects; it learns from the labels of this input."""
@@ -21,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest id."""
-    return bbit_minhash.keep_one(docs)
+    """Keeps one document of each group of near-duplicates (similarity of ``NEAR_PERCENT`` or more), the one with the smallest id."""
+    return bbit_minhash.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ are counted with exclusive or and a bit count, and the chance agreement of 2**-B
 estimate is ``MARGIN`` standard errors or more below the threshold go; the rest are confirmed on full sets.
 
 A pair at the threshold of 0.85 shares no band in one case in 2 million, and its estimate falls below the margin
-in one in 300,000.
+in one in 300,000. At a threshold of 0.80 (the pipeline's stage) the bands miss one pair in 20,000.
 
 1. Documents of equal sets become one class (count, sum and exclusive or of the shingle hashes).
 2. In every bucket all classes are compared with the smallest one, the hub: work linear in the bucket.

@@ -179,6 +179,19 @@ def test_pipeline(spark):
     assert key(run) == key(docs)
 
 
+def test_pipeline_removes_near_copies_from_080(spark):
+    """Copies of a text of distinct words with some words in the middle replaced: similarities 0.96 to 0.74."""
+    base, rows, kept = [f"w{i}" for i in range(204)], [(0, " ".join(f"w{i}" for i in range(204)))], [0]
+    for i, n in enumerate((1, 14, 16, 18, 22, 26), 1):
+        rows.append((i, " ".join(base[:90] + [f"c{i}x{j}" for j in range(n)] + base[90 + n :])))
+        x, y = shingles(rows[0][1]), shingles(rows[i][1])
+        if 100 * len(x & y) < 80 * len(x | y):
+            kept.append(i)
+    out = [sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, frame(spark, [rows[0], r]), SF).collect()) for r in rows[1:]]
+    assert out == [[0, i] if i in kept else [0] for i in range(1, len(rows))]
+    assert 0 < len(kept) - 1 < len(rows) - 1
+
+
 def test_pipeline_on_no_rows(spark):
     docs = read_table(spark, SF, "documents").filter("false")
     for _, stage in corpus_pipeline.STAGES:
