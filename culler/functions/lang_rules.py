@@ -75,6 +75,12 @@ RESERVED = ["if", "for", "while", "switch", "catch", "return", "new", "else", "d
 _NOT_RESERVED = r"(?!(?:" + "|".join(RESERVED) + r")\b)"
 _PARAMS = r"([^(){};]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^(){};]*+)*+)"
 _JS_PARAMS = r"([^()]*+(?:\([^()]*+\)[^()]*+)*+)"
+# Go types hold balanced braces (interface{}, struct{ a int }) and function types; a result's braces follow these two words only.
+_GO_BRACES = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
+_GO_PARENS = r"\((?:[^(){};]++|" + _GO_BRACES + r"|\((?:[^(){};]++|" + _GO_BRACES + r")*+\))*+\)"
+_GO_PARAMS = r"((?:[^(){};]++|" + _GO_BRACES + r"|" + _GO_PARENS + r")*+)"
+_GO_WORD = r"(?:\b(?:interface|struct)\s*+" + _GO_BRACES + r"|(?!\b(?:interface|struct)\s*+\{)[^(){}\s;]|" + _GO_PARENS + r")"
+_GO_RESULT = r"((?:" + _GO_WORD + r"(?:[ \t]*+" + _GO_WORD + r")*+)?+)"
 _GENERIC = r"<[^<>(){};]*+(?:<[^<>(){};]*+(?:<[^<>(){};]*+>[^<>(){};]*+)*+>[^<>(){};]*+)*+>"
 _TYPE = _NOT_RESERVED + r"([\w.]++(?:\s*+" + _GENERIC + r")?+\??+(?:\s*+\[[\s,]*+\])*+)"
 _NAME = _NOT_RESERVED + r"(\w+)"
@@ -105,15 +111,18 @@ RULES: dict[str, LangRules] = {
         CSHARP_TESTS, CSHARP_MOCKS, False, "//", "brace"),
     "go": LangRules(
         "go", [".go"],
-        [(r"(?m)^[ \t]*+func\s+(?:\(([^)]*)\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?\(" + _PARAMS + r"\)\s*(\([^{}]*?\)|[^{}()\n]*?)\s*\{",
+        [(r"(?m)^[ \t]*+func\s+(?:\(([^)]*)\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?\(" + _GO_PARAMS + r"\)[ \t]*+" + _GO_RESULT + r"\s*\{",
           {"receiver": 1, "name": 2, "params": 3, "return_type": 4})],
         GO_TESTS, GO_MOCKS, False, "//", "brace"),
     "javascript": LangRules(
         "javascript", [".js"],
         [(r"(?m)^[ \t]*+(?:it|test|describe)\s*\(\s*[\"'`]([^\"'`]*)[\"'`]\s*,\s*(?:async\s+)?(?:\(" + _JS_PARAMS + r"\)|function\s*\(" + _JS_PARAMS
           + r"\))\s*(?:=>)?\s*\{", {"name": 1, "params": 2}),
-         (r"(?m)^[ \t]*+((?:(?:async|static|export)\s+)*)function\s+(\w+)\s*\(" + _JS_PARAMS + r"\)\s*\{", {"modifiers": 1, "name": 2, "params": 3}),
-         (r"(?m)^[ \t]*+(?:const\s+|let\s+|var\s+)?(\w+)\s*=\s*(async\s+)?\(" + _JS_PARAMS + r"\)\s*=>\s*\{", {"name": 1, "modifiers": 2, "params": 3}),
+         (r"(?m)^[ \t]*+((?:(?:async|static|export|default)\s+)*)function\s+(\w+)\s*\(" + _JS_PARAMS + r"\)\s*\{", {"modifiers": 1, "name": 2, "params": 3}),
+         (r"(?m)^[ \t]*+(?:export\s+)?(?:const\s+|let\s+|var\s+)?(?:[\w$]+\s*\.\s*)*+(\w+)\s*=\s*(async\s+)?(?:function\b\s*\*?\s*\w*\s*)?\(" + _JS_PARAMS
+          + r"\)\s*(?:=>\s*)?\{", {"name": 1, "modifiers": 2, "params": 3}),
+         (r"(?m)(?:^|(?<=[{,]))[ \t]*+(\w+)\s*:\s*(async\s+)?(?:function\b\s*\*?\s*\w*\s*)?\(" + _JS_PARAMS + r"\)\s*(?:=>\s*)?\{",
+          {"name": 1, "modifiers": 2, "params": 3}),
          (r"(?m)^[ \t]*+((?:(?:async|static)\s+)*)" + _NAME + r"\s*\(" + _JS_PARAMS + r"\)\s*\{", {"modifiers": 1, "name": 2, "params": 3})],
         JS_TESTS, JS_MOCKS, False, "//", "brace"),
     "php": LangRules(

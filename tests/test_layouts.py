@@ -169,3 +169,54 @@ def test_suite_of_two_files_has_unique_keys(spark):
     m = methods(spark, {"a.go": "func A() {}\nfunc B() {}\n", "b.go": "func A() {}\n"})
     rows = [(r.suite, r.path, r.method_seq) for r in m.collect()]
     assert len(rows) == 3 and len(set(rows)) == 3
+
+
+BRACED = {
+    "h.go": '''package h
+
+func A(v interface{}) error { return nil }
+func B(m map[string]interface{}, c chan struct{}, f func(int) (interface{}, error)) {
+	x := struct{}{}
+}
+func C() (interface{}, error) { return nil, nil }
+func D() interface{} {
+	return 1
+}
+func (s *S) E() map[string]struct{ a, b int } { return nil }
+func F() func(int) error { return nil }
+func stub(x int)
+func G() myinterface { return y }
+func H() { var a interface{} }
+''',
+    "i.js": '''const o = {
+  prop: function (a) {
+    return a;
+  },
+  arrow: async (b) => { c(); },
+};
+export const shared = (a, b) => {
+  return a;
+};
+module.exports.member = function (x) { return x; };
+K.prototype.run = async () => {
+  go();
+};
+export default function main() { }
+var old = function named() { if (x) { y(); } };
+''',
+}
+
+
+def test_braces_in_go_types_and_function_values_in_javascript(spark):
+    got = {(r.path, r.name): r for r in methods(spark, BRACED).collect()}
+    assert {k: (r.line_start, r.line_end) for k, r in got.items()} == {
+        ("h.go", "A"): (3, 3), ("h.go", "B"): (4, 6), ("h.go", "C"): (7, 7), ("h.go", "D"): (8, 10), ("h.go", "E"): (11, 11),
+        ("h.go", "F"): (12, 12), ("h.go", "G"): (14, 14), ("h.go", "H"): (15, 15),
+        ("i.js", "prop"): (2, 4), ("i.js", "arrow"): (5, 5), ("i.js", "shared"): (7, 9), ("i.js", "member"): (10, 10),
+        ("i.js", "run"): (11, 13), ("i.js", "main"): (14, 14), ("i.js", "old"): (15, 15),
+    }
+    assert {n: got["h.go", n].return_type for n in "ABCDEFGH"} == {
+        "A": "error", "B": "", "C": "(interface{}, error)", "D": "interface{}", "E": "map[string]struct{ a, b int }",
+        "F": "func(int) error", "G": "myinterface", "H": ""}
+    assert got["h.go", "A"].parameters == "v interface{}" and got["h.go", "D"].body.endswith("return 1\n}")
+    assert got["i.js", "prop"].parameters == "a" and got["i.js", "shared"].parameters == "a, b"
