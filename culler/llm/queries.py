@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from culler.llm import backoff_lm, bbit_minhash, chat, cross_polytope, embed_dedup, interleave, mix, piece_bpe, qda, secret_scan
+from culler.llm import backoff_lm, bbit_minhash, chat, cross_polytope, embed_dedup, importance, interleave, mix, piece_bpe, qda, secret_scan
 from culler.llm.common import prepare
 from culler.session import read_table
 
@@ -189,3 +189,10 @@ r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
 FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+@query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance resampling of all documents towards the benchmark's texts. DuckDB has no crc32."""
+    rows = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
