@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from culler.llm import backoff_lm, bbit_minhash, chat, cross_polytope, embed_dedup, importance, interleave, mix, piece_bpe, qda, secret_scan
+from culler.llm import backoff_lm, bbit_minhash, chat, cross_polytope, divergence, embed_dedup, importance, interleave, licence_scan, mix, piece_bpe, qda, secret_scan
 from culler.llm.common import prepare
 from culler.session import read_table
 
@@ -196,3 +196,44 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance resampling of all documents towards the benchmark's texts. DuckDB has no crc32."""
     rows = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and each source's own terms."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+# whole numbers throughout: // on HUGEINT
+SQL["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce((SELECT sum(c) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS n FROM g),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (n.n + 2 * v.v) AS p
+      FROM n JOIN k ON k.lang = n.lang JOIN v ON v.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+q AS (SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (k.c + 2)) // (v.n + 2 * v.v) AS q FROM k JOIN v ON v.lang = k.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+         FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.c > 0 AND p.p > q.q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary")::INTEGER AS rank
+      FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered licence notices in every document. The method's labels and score have no SQL."""
+    found = licence_scan.scan_licences(read_table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda b: b["first_word"])
+    names = lambda *lists: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda x: x["label"]) for c in lists]))), ",")
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), names("base").alias("base_labels"), names("base", "spans").alias("labels"), "score")
