@@ -28,6 +28,7 @@ class LangRules:
     subject_patterns: list[str] = field(default_factory=list)  # first hit wins; empty -> trimmed line
     subject_on_stripped: bool = False
     acts_as: str = ""  # a plug-in language that follows another's rules for attributes and visibility
+    literals: str = ""  # strings, characters, comments, ...: what stands in them opens, closes and declares nothing (no capturing group but named ones)
 
 
 # ---- fixed values that must equal the reference's for equal results ----
@@ -92,28 +93,46 @@ _ANNOTATIONS = r"((?:@\w+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\))?+\s*+)*+)"
 _CS_ATTRIBUTES = r"((?:\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]\s*+)*+)"
 _DECORATORS = r"((?:@[^\n]*+\n(?:(?![ \t]*+(?:@|def\b|async\b|class\b))[^\n]*+\n)*+[ \t]*+)*+)"
 
+# Literals and comments: one alternation per language, tried from left to right, so each is read in its own state.
+# Loops are unrolled and possessive; a quote that never closes matches nothing and stays an ordinary character.
+_DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_SLASHES = r"//[^\n]*+|/\*[\s\S]*?\*/"
+_JS_REGEX = (r"/(?<=(?:\A|[(,=:\[!&|?{;+*%~^\n-]|\breturn|\btypeof|\bcase|=>)[ \t]{0,16}/)(?![*/])"
+             r"[^/\\\[\n]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/")
+LITERALS = {
+    "python": r'"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""' + r"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''"
+              + r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'" + r"|#[^\n]*+|\\\n",
+    "java": r'"""[\s\S]*?(?<!\\)"""|' + "|".join((_DOUBLE, _SINGLE, _SLASHES)),
+    "csharp": r'"""[\s\S]*?"""|(?:\$@|@\$?)"[^"]*+(?:""[^"]*+)*+"|' + "|".join((_DOUBLE, _SINGLE, _SLASHES)),
+    "go": "`[^`]*+`|" + "|".join((_DOUBLE, _SINGLE, _SLASHES)),
+    "javascript": "|".join((_DOUBLE, _SINGLE, r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`", _SLASHES, _JS_REGEX)),
+    "php": (r"\A[\s\S]*?<\?(?:php\b|=)|\?>[\s\S]*?(?:<\?(?:php\b|=)|\z)|<<<[ \t]*+[\"']?(?<doc>\w+)[\"']?[ \t]*+\n[\s\S]*?\n[ \t]*+\k<doc>\b"
+            r'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"' + r"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'" + r"|#(?!\[)[^\n]*+|" + _SLASHES),
+}
+
 RULES: dict[str, LangRules] = {
     "python": LangRules(
         "python", [".py"],
         [(r"(?m)^([ \t]*+)" + _DECORATORS + r"def\s+([A-Za-z_]\w*)\s*\(([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+)\)\s*(?:->\s*([^:\n]+?)\s*)?:",
           {"indent": 1, "attrs": 2, "name": 3, "params": 4, "return_type": 5})],
-        PY_TESTS, PY_MOCK_REGEX, True, "#", "indent", [PY_SUBJECT], False),
+        PY_TESTS, PY_MOCK_REGEX, True, "#", "indent", [PY_SUBJECT], False, literals=LITERALS["python"]),
     "java": LangRules(
         "java", [".java"],
         [(_FRESH + _ANNOTATIONS + _MODS_JAVA + r"(?:" + _GENERIC + r"\s*+)?+" + _TYPE + r"\s+" + _NAME + r"\s*\(" + _PARAMS
           + r"\)\s*(?:throws\s+[\w\s,.]+?)?\s*\{",
           {"attrs": 1, "modifiers": 2, "return_type": 3, "name": 4, "params": 5})],
-        JAVA_TESTS, JAVA_MOCKS, False, "//", "brace", [JAVA_SUBJECT], True),
+        JAVA_TESTS, JAVA_MOCKS, False, "//", "brace", [JAVA_SUBJECT], True, literals=LITERALS["java"]),
     "csharp": LangRules(
         "csharp", [".cs"],
         [(_FRESH + _CS_ATTRIBUTES + _MODS_CS + _TYPE + r"\s+" + _NAME + r"\s*(?:" + _GENERIC + r"\s*)?\(" + _PARAMS + r"\)\s*(?:where\s[^{};]*+)?\{",
           {"attrs": 1, "modifiers": 2, "return_type": 3, "name": 4, "params": 5})],
-        CSHARP_TESTS, CSHARP_MOCKS, False, "//", "brace"),
+        CSHARP_TESTS, CSHARP_MOCKS, False, "//", "brace", literals=LITERALS["csharp"]),
     "go": LangRules(
         "go", [".go"],
         [(r"(?m)^[ \t]*+func\s+(?:\(([^)]*)\)\s*)?(\w+)\s*(?:\[[^\]]*\]\s*)?\(" + _GO_PARAMS + r"\)[ \t]*+" + _GO_RESULT + r"\s*\{",
           {"receiver": 1, "name": 2, "params": 3, "return_type": 4})],
-        GO_TESTS, GO_MOCKS, False, "//", "brace"),
+        GO_TESTS, GO_MOCKS, False, "//", "brace", literals=LITERALS["go"]),
     "javascript": LangRules(
         "javascript", [".js"],
         [(r"(?m)^[ \t]*+(?:it|test|describe)\s*\(\s*[\"'`]([^\"'`]*)[\"'`]\s*,\s*(?:async\s+)?(?:\(" + _JS_PARAMS + r"\)|function\s*\(" + _JS_PARAMS
@@ -123,13 +142,14 @@ RULES: dict[str, LangRules] = {
           + r"\)\s*(?:=>\s*)?\{", {"name": 1, "modifiers": 2, "params": 3}),
          (r"(?m)(?:^|(?<=[{,]))[ \t]*+(\w+)\s*:\s*(async\s+)?(?:function\b\s*\*?\s*\w*\s*)?\(" + _JS_PARAMS + r"\)\s*(?:=>\s*)?\{",
           {"name": 1, "modifiers": 2, "params": 3}),
-         (r"(?m)^[ \t]*+((?:(?:async|static)\s+)*)" + _NAME + r"\s*\(" + _JS_PARAMS + r"\)\s*\{", {"modifiers": 1, "name": 2, "params": 3})],
-        JS_TESTS, JS_MOCKS, False, "//", "brace"),
+         (r"(?m)(?:^|(?<=[{};,]))[ \t]*+((?:(?:async|static|get|set)\s+)*)(?:\*\s*)?" + _NOT_RESERVED + r"(#?[\w$]+)\s*\(" + _JS_PARAMS + r"\)\s*\{",
+          {"modifiers": 1, "name": 2, "params": 3})],
+        JS_TESTS, JS_MOCKS, False, "//", "brace", literals=LITERALS["javascript"]),
     "php": LangRules(
         "php", [".php"],
         [(r"(?<![\w$>])" + _MODS_PHP + r"function\s+&?\s*(\w+)\s*\(" + _PARAMS + r"\)\s*(?::\s*(\??[\w\\|]+))?\s*\{",
           {"modifiers": 1, "name": 2, "params": 3, "return_type": 4})],
-        PHP_TESTS, PHP_MOCKS, False, "//", "brace"),
+        PHP_TESTS, PHP_MOCKS, False, "//", "brace", literals=LITERALS["php"]),
     "ruby": LangRules(
         "ruby", [".rb"],
         [(r"(?m)^[ \t]*+((?:private|protected|public)\s+)?def\s+(?:self\.)?(\w+[?!]?)[ \t]*(?:\(" + _PARAMS + r"\))?",

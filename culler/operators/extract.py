@@ -1,18 +1,23 @@
 """Method extraction from source files (S1, S2, E1-E16, P1-P4, W4) on the file row.
 
 A file is one row and stays one row until its methods are exploded: no shuffle, no join, no line table.
-1. Header patterns run over the whole text and put a mark before and after every header, so a header may
+1. Literals and comments are read from left to right, each in its own state (strings, characters, templates, text
+   blocks, heredocs, regular expressions, comments), and what could open, close or end something in them is put
+   out of sight, one character for one.
+2. Header patterns run over the whole text and put a mark before and after every header, so a header may
    span lines, carry its attributes inline or above, and have its ``{`` on a line of its own.
-2. The text falls apart into tokens at the marks and at what can close a method (braces, lines, ``end``),
+3. The text falls apart into tokens at the marks and at what can close a method (braces, lines, ``end``),
    and one fold over the tokens tracks the nesting and emits the methods' ranges.
    Only outermost methods count, as the ranges of a left-to-right search never overlap: a ``describe`` holds
    its ``it`` calls, a function the functions inside.  Each has its whole body at any depth.
-   * brace languages: from the header to the brace that closes the one it opened (V5);
-   * Python: to the last non-blank line before one that is indented no deeper than the ``def``;
+   * brace languages: from the header to the brace that closes the one it opened (V5); a body that never closes
+     gives no method and costs none of the methods after its header;
+   * Python: to the last logical line with code before one that is indented no deeper than the ``def``; lines inside brackets
+     and text blocks, after a backslash and with nothing but a comment end nothing;
    * Ruby: to the first word ``end`` after ``def``.
-3. Fields come from the header's own text; doc comments from the lines or characters above.
+4. Fields come from the header's own text; doc comments from the lines or characters above.
 
-Braces in string literals and comments count as braces.  A method's key is (suite, path, method_seq);
+A method's key is (suite, path, method_seq);
 ``method_seq`` is its ordinal in the file.
 """
 
@@ -26,6 +31,10 @@ from culler.functions.text import clean_code, strip_ws
 
 # Marks before and after a header; such characters in a source file become blanks first.
 HEAD, REST = "\x01", "\x02"
+# Marks around a literal, and the characters that stand for others inside literals (Unicode has none there).
+LITERAL, AFTER = "\x03", "\x04"
+HIDDEN = "\n()[]{};"
+HIDES = "".join(chr(0xFDD0 + i) for i in range(len(HIDDEN)))
 _RANGE = "array<struct<s:int,e:int,ls:int,le:int,head:string>>"
 
 
@@ -59,14 +68,32 @@ def _any_header(r: LR.LangRules) -> str:
     return "|".join(f"(?:{rx})" for rx, _ in r.headers)
 
 
+def _text() -> Column:
+    return F.translate("content", HEAD + REST + LITERAL + AFTER, "    ")
+
+
+def _hidden(text: Column, r: LR.LangRules) -> Column:
+    """The text with HIDES for HIDDEN inside literals and comments; in brace languages line ends stay."""
+    if not r.literals:
+        return text
+    pieces = F.split(F.regexp_replace(text, F.lit(f"({r.literals})"), F.lit(f"{LITERAL}$1{AFTER}")), LITERAL, -1)
+    k = 0 if r.block == "indent" else 1
+    hide = lambda lit: F.translate(lit, HIDDEN[k:], HIDES[k:])
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(
+        F.concat(hide(F.substring_index(p, AFTER, 1)), F.substr(p, F.instr(p, AFTER) + 1)))), "")
+
+
+def _shown(text: Column) -> Column:
+    return F.translate(text, HIDES, HIDDEN)
+
+
 def _marked(rules: dict[str, LR.LangRules]) -> Column:
-    """The text with every header between HEAD and REST."""
-    text = F.translate("content", HEAD + REST, "  ")
-    return _lang_case({k: F.regexp_replace(text, F.lit(f"({_any_header(r)})"), F.lit(f"{HEAD}$1{REST}")) for k, r in rules.items()}, text)
+    """The text, literals hidden, with every header between HEAD and REST."""
+    return _lang_case({k: F.regexp_replace(_hidden(_text(), r), F.lit(f"({_any_header(r)})"), F.lit(f"{HEAD}$1{REST}")) for k, r in rules.items()}, _text())
 
 
-def _field(rules: dict[str, LR.LangRules], name: str, head: Column) -> Column:
-    """A field of a header: the group of the first pattern that matches it."""
+def _field(rules: dict[str, LR.LangRules], name: str, head: Column, show: bool = True) -> Column:
+    """A field of a header: the group of the first pattern that matches it; without ``show`` its literals stay hidden."""
     out = {}
     for k, r in rules.items():
         expr = None
@@ -78,11 +105,12 @@ def _field(rules: dict[str, LR.LangRules], name: str, head: Column) -> Column:
             else:
                 expr = F.when(hit, value) if expr is None else expr.when(hit, value)
         out[k] = expr
-    return F.coalesce(_lang_case(out, F.lit("")), F.lit(""))
+    value = F.coalesce(_lang_case(out, F.lit("")), F.lit(""))
+    return _shown(value) if show else value
 
 
 def _newlines(t: Column) -> Column:
-    return F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"), F.lit("")))
+    return F.char_length(t) - F.char_length(F.translate(t, HIDDEN[0] + HIDES[0], ""))
 
 
 def method_headers(files: DataFrame, rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
@@ -134,7 +162,7 @@ def _emit(s: Column, e: Column, le: Column) -> Column:
     return F.concat(s["out"], F.array(F.struct(s["s"].alias("s"), e.alias("e"), s["ls"].alias("ls"), le.alias("le"), s["head"].alias("head"))))
 
 
-def _ranges(cut: str, step, facts) -> Column:
+def _line_ranges(cut: str, step, facts) -> Column:
     zero = F.struct(*[F.lit(x).alias(k) for k, x in _START.items()], F.lit("").alias("head"), F.array().cast(_RANGE).alias("out"))
     return F.aggregate(_tokens(cut, facts), zero, step, lambda s: F.when(s["open"] <= -2, _emit(s, s["e"], s["le"])).otherwise(s["out"]))
 
@@ -143,14 +171,25 @@ def _brace_facts(t: Column) -> dict[str, Column]:
     return {"by": F.when(t.endswith("{"), 1).when(t.endswith("}"), -1).otherwise(0)}
 
 
+_OPEN = "array<struct<depth:int,s:int,ls:int,n:int,head:string>>"
+
+
 def _brace_step(s: Column, t: Column) -> Column:
-    """Braces: ``open`` is the depth outside the running method, -1 without one."""
-    starts = t["head"] & (s["open"] == -1)
-    ends = ~t["head"] & (t["by"] == -1) & (s["open"] >= 0) & (s["depth"] - 1 == s["open"])
-    # a stray closing brace outside methods doesn't count
-    depth = F.when((s["open"] == -1) & (t["by"] < 0), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"] + t["by"])
-    return _state(s, t, starts, ends, _emit(s, s["off"] + t["n"], s["line"] + t["nl"]), depth=depth,
-                  open=F.when(starts, s["depth"]).when(ends, -1).otherwise(s["open"]))
+    """Braces: ``open`` is a stack of the headers whose bodies are open, with the depth outside and the number of ranges
+    before them. A body that closes takes the place of the ranges inside it; one that never closes leaves them."""
+    top = F.try_element_at(s["open"], F.lit(-1))
+    ends = ~t["head"] & (t["by"] == -1) & F.coalesce(s["depth"] - 1 == top["depth"], F.lit(False))
+    found = F.struct(top["s"].alias("s"), (s["off"] + t["n"]).alias("e"), top["ls"].alias("ls"), (s["line"] + t["nl"]).alias("le"), top["head"].alias("head"))
+    opened = F.struct(s["depth"].alias("depth"), s["off"].alias("s"), s["line"].alias("ls"), F.size(s["out"]).alias("n"), t["text"].alias("head"))
+    depth = F.greatest(s["depth"] + t["by"], F.lit(0))  # a stray closing brace outside methods doesn't count
+    return F.struct((s["off"] + t["n"]).alias("off"), (s["line"] + t["nl"]).alias("line"), depth.alias("depth"),
+                    F.when(t["head"], F.concat(s["open"], F.array(opened))).when(ends, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"]).alias("open"),
+                    F.when(ends, F.concat(F.slice(s["out"], F.lit(1), top["n"]), F.array(found))).otherwise(s["out"]).alias("out"))
+
+
+def _brace_ranges(cut: str, step, facts) -> Column:
+    zero = F.struct(F.lit(0).alias("off"), F.lit(1).alias("line"), F.lit(0).alias("depth"), F.array().cast(_OPEN).alias("open"), F.array().cast(_RANGE).alias("out"))
+    return F.aggregate(_tokens(cut, facts), zero, step, lambda s: s["out"])
 
 
 def _end_facts(t: Column) -> dict[str, Column]:
@@ -165,23 +204,31 @@ def _end_step(s: Column, t: Column) -> Column:
 
 def _indent_facts(t: Column) -> dict[str, Column]:
     stripped = F.regexp_replace(t, r"\s+\z", "")
-    return {"solid": t.rlike(r"\S"), "indent": F.char_length(F.regexp_extract(t, r"\A([ \t]*)", 1)), "last": F.char_length(stripped),
-            "last_nl": _newlines(stripped)}
+    count = lambda cs: F.char_length(t) - F.char_length(F.translate(t, cs, ""))
+    return {"solid": t.rlike(r"\A[ \t\f]*+[^\s#]"), "indent": F.char_length(F.regexp_extract(t, r"\A([ \t]*)", 1)), "last": F.char_length(stripped),
+            "last_nl": _newlines(stripped), "by": count("([{") - count(")]}")}
 
 
 def _indent_step(s: Column, t: Column) -> Column:
-    """Python: ``open`` is -2 - the indent of the running method; e, le are the end of its last non-blank line."""
+    """Python: ``open`` is -2 - the indent of the running method, ``depth`` that of the brackets; e, le are the end of its
+    last line with code. A header starts at depth 0, whatever was left open before it."""
     inside = s["open"] <= -2
-    ends = inside & t["solid"] & ~t["rest"] & (t["indent"] <= -2 - s["open"])
+    ends = inside & t["solid"] & ~t["rest"] & (t["head"] | (s["depth"] == 0)) & (t["indent"] <= -2 - s["open"])
     starts = t["head"] & (ends | ~inside)
     goes_on = starts | (inside & ~ends & t["solid"])
     return _state(s, t, starts, ends, _emit(s, s["e"], s["le"]), open=F.when(starts, -2 - t["indent"]).when(ends, -1).otherwise(s["open"]),
+                  depth=F.when(t["head"], F.lit(0)).otherwise(F.greatest(s["depth"] + t["by"], F.lit(0))),
                   e=F.when(goes_on, s["off"] + t["last"]).otherwise(s["e"]), le=F.when(goes_on, s["line"] + t["last_nl"]).otherwise(s["le"]))
 
 
-# what can close a method, and the fold, per block style
-_BLOCKS = {"brace": (r"(?<=[{}])", _brace_step, _brace_facts), "end": (r"(?<=\bend)\b", _end_step, _end_facts),
-           "indent": (r"(?<=\n)", _indent_step, _indent_facts)}
+# how a block style finds ranges: what can close a method, the fold, the facts that it needs
+_BLOCKS = {"brace": (_brace_ranges, r"(?<=[{}])", _brace_step, _brace_facts), "end": (_line_ranges, r"(?<=\bend)\b", _end_step, _end_facts),
+           "indent": (_line_ranges, r"(?<=\n)", _indent_step, _indent_facts)}
+
+
+def _ranges(block: str) -> Column:
+    find, *how = _BLOCKS[block]
+    return find(*how)
 
 
 def extract_methods(files: DataFrame, languages: list[str] | None = None, rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
@@ -193,10 +240,10 @@ def extract_methods(files: DataFrame, languages: list[str] | None = None, rules:
     if languages:
         files = files.filter(F.col("language").isin(languages))
     acts = {k: r.acts_as or k for k, r in rules.items()}
-    ranges = _lang_case({k: _ranges(*_BLOCKS[r.block]) for k, r in rules.items()}, F.array().cast(_RANGE))
+    ranges = _lang_case({k: _ranges(r.block) for k, r in rules.items()}, F.array().cast(_RANGE))
     up = _lang_case({k: F.lit(LR.DOC_LINES[a]) for k, a in acts.items() if a in LR.DOC_LINES}, F.lit(1))
     window = _lang_case({k: F.lit(LR.DOC_WINDOW[a]) for k, a in acts.items() if a in LR.DOC_WINDOW}, F.lit(0))
-    marked = files.select("suite", "path", "language", F.translate("content", HEAD + REST, "  ").alias("_text"), _marked(rules).alias("_marked"))
+    marked = files.select("suite", "path", "language", _text().alias("_text"), _marked(rules).alias("_marked"))
     # the arguments of the inner transform are bound once per file, not once per method
     file = F.struct(F.col("_text").alias("text"), F.split("_text", "\n", -1).alias("lines"), up.alias("up"), window.alias("window"), ranges.alias("ranges"))
 
@@ -214,8 +261,9 @@ def extract_methods(files: DataFrame, languages: list[str] | None = None, rules:
     m = rows.select("suite", "path", "language", (F.col("_i") + 1).cast("long").alias("method_seq"), "m.*")
     for f in ("name", "modifiers", "receiver", "attrs", "params", "return_type"):
         m = m.withColumn(f, _field(rules, f, F.col("head")))
+    m = m.withColumn("hidden_attrs", _field(rules, "attrs", F.col("head"), show=False))
     m = (m.withColumn("header_line", F.col("line_start") + _newlines(F.col("attrs")))
-         .withColumn("header_text", F.replace(F.col("head"), F.col("attrs"), F.lit("")))
+         .withColumn("header_text", F.replace(_shown(F.col("head")), F.col("attrs"), F.lit("")))
          .withColumn("parameters", _parameters(acts)).withColumn("return_type", F.trim("return_type")))
     return m.withColumn("attributes", attributes(acts)).withColumn("access_modifier", access_modifier(acts)).select(
         "suite", "path", "language", "method_seq", "name", "body", "attributes", "access_modifier", "line_start", "line_end", "header_line",
@@ -240,9 +288,9 @@ def attributes(acts: dict[str, str]) -> Column:
     """Attributes per language."""
     name, mods, doc = F.col("name"), F.col("modifiers"), F.rtrim("doc")
     found = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    python = F.filter(F.transform(F.split("attrs", r"\n(?=[ \t]*@)", -1), lambda t: strip_ws(t)), lambda t: t != "")
-    java = F.regexp_extract_all("attrs", F.lit(r"(@\w+(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?)"), 1)
-    csharp = F.regexp_extract_all("attrs", F.lit(r"(\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\])"), 1)
+    python = F.filter(F.transform(F.split("hidden_attrs", r"\n(?=[ \t]*@)", -1), lambda t: strip_ws(t)), lambda t: t != "")
+    java = F.regexp_extract_all("hidden_attrs", F.lit(r"(@\w+(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?)"), 1)
+    csharp = F.regexp_extract_all("hidden_attrs", F.lit(r"(\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\])"), 1)
     go = found(F.when(F.col("receiver") != "", F.concat(F.lit("receiver: "), F.trim("receiver"))),
                F.when(F.col("doc_line").startswith("//"), F.lit("// documented")),
                F.when(name.startswith("Test"), F.lit("test")).when(name.startswith("Benchmark"), F.lit("benchmark"))
@@ -255,6 +303,7 @@ def attributes(acts: dict[str, str]) -> Column:
                          F.when(mods.contains("abstract"), F.lit("abstract"))))
     ruby = found(F.when(F.col("doc_line").startswith("#"), F.lit("# documented")),
                  F.when(name.endswith("?"), F.lit("predicate")).when(name.endswith("!"), F.lit("mutating")))
+    python, java, csharp = (F.transform(x, _shown) for x in (python, java, csharp))
     return _as(acts, {"python": python, "java": java, "csharp": csharp, "go": go, "javascript": javascript, "php": php, "ruby": ruby},
                F.array().cast("array<string>"))
 
@@ -272,38 +321,38 @@ def access_modifier(acts: dict[str, str]) -> Column:
 
 # ---------------- P1-P4, T1-T4 ----------------
 
-def is_test(methods: DataFrame) -> Column:
+def is_test(methods: DataFrame, rules: dict[str, LR.LangRules] | None = None) -> Column:
     """An attribute or the header text matches a marker (case-insensitive), or
     the name does; Python also by the ``test_`` prefix (V1)."""
     conds = {}
-    for lang, r in LR.RULES.items():
+    for lang, r in (rules or LR.RULES).items():
         mk = LR.marker_regex(r)
         c = (F.exists("attributes", lambda a: a.rlike(mk)) | F.col("header_text").rlike(mk) | F.col("name").rlike(mk))
-        if lang == "python":
+        if (r.acts_as or lang) == "python":
             c = c | F.col("name").startswith("test_")
         conds[lang] = c
     return _lang_case(conds, F.lit(False))
 
 
-def filter_tests(methods: DataFrame) -> DataFrame:
-    return methods.filter(is_test(methods))
+def filter_tests(methods: DataFrame, rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
+    return methods.filter(is_test(methods, rules))
 
 
-def has_mock(text: Column) -> Column:
+def has_mock(text: Column, rules: dict[str, LR.LangRules] | None = None) -> Column:
     """The text matches any mock filter of its language (one alternation)."""
-    return _lang_case({lang: text.rlike(LR.mock_regex(r)) for lang, r in LR.RULES.items()}, F.lit(False))
+    return _lang_case({lang: text.rlike(LR.mock_regex(r)) for lang, r in (rules or LR.RULES).items()}, F.lit(False))
 
 
-def filter_mocks(methods: DataFrame) -> DataFrame:
-    return methods.filter(has_mock(F.col("body")))
+def filter_mocks(methods: DataFrame, rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
+    return methods.filter(has_mock(F.col("body"), rules))
 
 
-def mock_subject(line: Column) -> Column:
+def mock_subject(line: Column, rules: dict[str, LR.LangRules] | None = None) -> Column:
     """Subject of a mock line — the language's strategies in order, first
     hit wins; languages without a strategy keep the trimmed line (V7).  Empty
     string means no subject."""
     vals = {}
-    for lang, r in LR.RULES.items():
+    for lang, r in (rules or LR.RULES).items():
         src = F.trim(line) if r.subject_on_stripped else line
         if r.subject_patterns:
             e = None
@@ -316,18 +365,18 @@ def mock_subject(line: Column) -> Column:
     return _lang_case(vals, F.lit(""))
 
 
-def mock_lines(methods: DataFrame) -> DataFrame:
+def mock_lines(methods: DataFrame, rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
     """P3 exploded: (suite, path, method_seq, pos, line, subject) for lines with a mock."""
     x = methods.select("suite", "path", "language", "method_seq", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
-    x = x.filter(has_mock(F.col("line")))
-    return x.withColumn("subject", mock_subject(F.col("line")))
+    x = x.filter(has_mock(F.col("line"), rules))
+    return x.withColumn("subject", mock_subject(F.col("line"), rules))
 
 
-def strip_to_interactions(methods: DataFrame) -> DataFrame:
+def strip_to_interactions(methods: DataFrame, rules: dict[str, LR.LangRules] | None = None) -> DataFrame:
     """Body replaced by the newline-joined subjects of its mock lines, in line
     order; methods with none keep an empty body.  Row-local higher-order
     functions: no explode, no join back."""
-    subjects = F.transform(F.filter(F.split("body", "\n", -1), lambda l: has_mock(l)), lambda l: mock_subject(l))
+    subjects = F.transform(F.filter(F.split("body", "\n", -1), lambda l: has_mock(l, rules)), lambda l: mock_subject(l, rules))
     return methods.withColumn("body", F.array_join(F.filter(subjects, lambda s: s != ""), "\n"))
 
 

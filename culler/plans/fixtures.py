@@ -73,7 +73,7 @@ CASE
    WHEN 1 THEN concat('private int helperE', event_id, '(int x) {~  return x;~}~')
    WHEN 2 THEN concat('private int HelperE', event_id, '(int x) {~  return x;~}~')
    WHEN 3 THEN concat('func helperE', event_id, '(x int) int {~  return x~}~')
-   WHEN 4 THEN concat('function helperE', event_id, '(x) {~  return x;~}~')
+   WHEN 4 THEN concat(CASE event_id % 3 WHEN 0 THEN 'function ' WHEN 1 THEN '* ' ELSE 'set ' END, 'helperE', event_id, '(x) {~  return x;~}~')
    WHEN 5 THEN concat('private function helperE', event_id, '($x) {~  return $x;~}~')
    ELSE concat('def helper_e', event_id, '(x)~  x~end~') END
  ELSE CASE user_id % 7
@@ -87,8 +87,9 @@ CASE
 END"""
 
 # Other layouts of the same methods: every fifth test has its brace on a line of its own, or a wrapped signature;
-# every fifth after that has its attribute on the header's line.
-F3_LAYOUT_SQL = r"""
+# every fifth after that has its attribute on the header's line; every fifth after that holds literals and comments with
+# braces, brackets and text in column 0.
+F3_LAYOUT_SQL = r'''
 CASE WHEN event_id % 7 = 0 THEN t
  WHEN event_id % 5 = 0 THEN CASE user_id % 7
    WHEN 0 THEN replace(t, '(self, m):', '(self,~        m: int = 3):')
@@ -102,7 +103,15 @@ CASE WHEN event_id % 7 = 0 THEN t
    WHEN 1 THEN replace(t, '@Test~public', '@Test public')
    WHEN 2 THEN replace(t, '[Test]~public', '[Test] public')
    ELSE t END
- ELSE t END"""
+ WHEN event_id % 5 = 2 THEN CASE user_id % 7
+   WHEN 0 THEN replace(t, '(self, m):~', '(self, m):~    q = """~select 1 {~  (# no~"""~# note~')
+   WHEN 1 THEN replace(t, 'throws Exception {~', concat('throws Exception {~  String s = "}{{;("; char c = ', chr(39), '{', chr(39), '; // }~  /* { ~ } } */~'))
+   WHEN 2 THEN replace(t, '() {~', concat('() {~  var s = $"{{" + @"}""{" + ', chr(39), '{', chr(39), '; // }~'))
+   WHEN 3 THEN replace(t, '(t *testing.T) {~', concat('(t *testing.T) {~  s, r := "{" + `}}`, ', chr(39), '{', chr(39), ' // }~'))
+   WHEN 4 THEN replace(t, '() => {~', concat('() => {~  const r = /[{]/, s = `}$', '{a}{`, c = "}"; // }~'))
+   WHEN 5 THEN replace(t, '(): void {~', concat('(): void {~  $s = ', chr(39), '{', chr(39), ' . "}}"; # }~  $h = <<<EOT~}~EOT;~'))
+   ELSE t END
+ ELSE t END'''
 
 F3_LANG_SQL = (
     "CASE user_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'csharp' WHEN 3 THEN 'go' "

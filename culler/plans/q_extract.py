@@ -52,9 +52,10 @@ _SUBJECT_SQL = """CASE lang_id
 # body line positions of mock lines in test methods (0-based within the body)
 _MOCK_POS_SQL = ("list_transform(CASE lang_id WHEN 0 THEN [0, 2, 6] WHEN 1 THEN [3] WHEN 2 THEN [2] ELSE [1] END, "
                  "lambda p: CASE WHEN p = 0 THEN 0 ELSE p + shift END)")
-# lines that a layout adds to a test before its body (brace or parameter on a line of its own) or takes (inline attribute)
+# lines that a layout adds to a test before its mock lines (brace or parameter on a line of its own, literals) or takes (inline attribute)
 _SHIFT_SQL = """CASE WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 5 = 0 AND lang_id <= 5 THEN 1
-     WHEN event_id % 5 = 1 AND lang_id IN (1, 2) THEN -1 ELSE 0 END"""
+     WHEN event_id % 5 = 1 AND lang_id IN (1, 2) THEN -1
+     WHEN event_id % 5 = 2 THEN CASE lang_id WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 5 THEN 4 WHEN 6 THEN 0 ELSE 1 END ELSE 0 END"""
 
 EXP_SQL = f"""
 t AS (SELECT *, event_id % 7 = 0 AS helper, {_SHIFT_SQL} AS shift, strlen(method_text) - strlen(replace(method_text, '~', '')) AS nl
@@ -67,7 +68,7 @@ pos AS (SELECT *, 1 + coalesce(sum(nl + 1) OVER (PARTITION BY user_id ORDER BY e
 em AS (SELECT concat('u', user_id, {F3_EXT_SQL}) AS path, {F3_LANG_SQL} AS language, user_id, event_id, event_type, lang_id,
               helper, ord, prev_helper, prev_shift, shift, base + {_case(0)} AS line_start, base + {_case(1)} + least(shift, 0) AS header_line,
               base + {_case(2)} + shift AS line_end, concat({_case(3, True)}, event_id) AS name,
-              CASE WHEN lang_id = 3 AND shift = 1 THEN concat(chr(10), '  t *testing.T') ELSE {_case(4, True)} END AS parameters, {_case(5, True)} AS return_type,
+              CASE WHEN lang_id = 3 AND NOT helper AND event_id % 5 = 0 THEN concat(chr(10), '  t *testing.T') ELSE {_case(4, True)} END AS parameters, {_case(5, True)} AS return_type,
               {_case(6, True)} AS access_modifier,
               CASE WHEN helper AND lang_id = 3 AND prev_helper = FALSE AND prev_shift = 0 THEN '// documented'
                    WHEN helper THEN ''
@@ -252,10 +253,13 @@ def q_comment_out(spark, sf):
     return out.select("path", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
-@register("language_plugin", _exp("SELECT 'ecmascript' AS language, CAST(count(*) AS BIGINT) AS n_methods FROM em WHERE lang_id = 4"))
+@register("language_plugin", _exp("""SELECT 'ecmascript' AS language, CAST(count(*) AS BIGINT) AS n_methods,
+CAST(count(*) FILTER (NOT helper) AS BIGINT) AS n_tests, CAST(count(*) FILTER (NOT helper) AS BIGINT) AS n_mocks FROM em WHERE lang_id = 4"""))
 def q_language_plugin(spark, sf):
     """UF2: a user rule set passed along (here: the JavaScript rules under another name, bound to
-    ``.js``) is used by detection and extraction."""
-    plug = dataclasses.replace(LR.RULES["javascript"], language="ecmascript", acts_as="javascript")
-    m = X.extract_methods(src_files(spark, sf), rules=LR.with_language(plug))
-    return X.language_stats(m).filter(F.col("language") == "ecmascript").select("language", F.col("n_methods").cast("long").alias("n_methods"))
+    ``.js``) is used by detection, extraction and the filters for tests and mocks."""
+    rules = LR.with_language(dataclasses.replace(LR.RULES["javascript"], language="ecmascript", acts_as="javascript"))
+    m = X.extract_methods(src_files(spark, sf), rules=rules).filter(F.col("language") == "ecmascript")
+    mocks = X.has_mock(F.col("body"), rules)
+    return m.groupBy("language").agg(F.count("*").alias("n_methods"), F.count_if(X.is_test(m, rules)).alias("n_tests"),
+                                     F.count_if(X.is_test(m, rules) & mocks).alias("n_mocks"))

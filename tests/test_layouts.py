@@ -220,3 +220,51 @@ def test_braces_in_go_types_and_function_values_in_javascript(spark):
         "F": "func(int) error", "G": "myinterface", "H": ""}
     assert got["h.go", "A"].parameters == "v interface{}" and got["h.go", "D"].body.endswith("return 1\n}")
     assert got["i.js", "prop"].parameters == "a" and got["i.js", "shared"].parameters == "a, b"
+
+
+LEXICAL = {
+    "a.go": 'package a\nfunc TestA(t *testing.T) {\n\ts := "{"\n\tr := \'{\' // {\n\tq := `{{`\n}\nfunc TestB(t *testing.T) { m.EXPECT() }\n// func no() {\nfunc c() int { return 1 }\n',
+    "b.js": 'it("a {b", () => {\n  x.replace(/{/, "");\n  y = a / 2; z = "}";\n});\nit("c", () => { const t = `}${u}{`; });\n'
+            "class K {\n  get v() { return 1; } #p() { return 2; }\n  static async *gen(a) { yield a; }\n}\nfunction last() { return /[/}]/.test(q); }\n",
+    "c.php": "<p>Don't {</p>\n<?php\nfunction a() { $x = '{'; $y = \"}}\"; # {\n  return <<<EOT\n}\nEOT;\n}\nfunction b() { return 1; }\n?>\nIt's {\n<?php function c() { }\n",
+    "D.java": 'class D {\n  void a() { String s = "{"; char c = \'{\'; }\n  // void no() {\n  void b() { // }\n    x(); /* } */\n  }\n  String t() { return """\n}\n"""; }\n}\n',
+    "E.cs": 'class E {\n  [Case("a)[")]\n  void A() { var s = $"{{"; var t = @"\\"; var u = @"""{"; }\n  void B() { var c = \'}\'; }\n}\n',
+    "open.java": 'class O {\n  void never() { if (a) { b();\n  void after() { c(); }\n  void last() { d(); }\n',
+    "f.py": 'def test_a(self):\n    q = """\nselect 1 (\ndef no():\n"""\n# column 0\n    r = [\n1,\n]\n    s = f(\\\n1)\n    m.assert_called_with(1)\n\n# outside\n'
+            "def b():  # (\n    return ')'\nx = (\ndef c(s='('):\n    return 1\n",
+}
+
+
+def test_literals_and_comments_open_and_close_nothing(spark):
+    got = {}
+    for r in sorted(methods(spark, LEXICAL).collect(), key=lambda r: (r.path, r.line_start, r.method_seq)):
+        got.setdefault(r.path, []).append((r.name, r.line_start, r.line_end))
+    assert got["a.go"] == [("TestA", 2, 6), ("TestB", 7, 7), ("c", 9, 9)]
+    assert got["b.js"] == [("a {b", 1, 4), ("c", 5, 5), ("v", 7, 7), ("#p", 7, 7), ("gen", 8, 8), ("last", 10, 10)]
+    assert got["c.php"] == [("a", 3, 7), ("b", 8, 8), ("c", 11, 11)]
+    assert got["D.java"] == [("a", 2, 2), ("b", 4, 6), ("t", 7, 9)]
+    assert got["E.cs"] == [("A", 2, 3), ("B", 4, 4)]
+    assert got["open.java"] == [("after", 3, 3), ("last", 4, 4)]
+    assert got["f.py"] == [("test_a", 1, 12), ("b", 15, 16), ("c", 18, 19)]
+
+
+def test_bodies_and_attributes_show_what_was_hidden(spark):
+    by = {(r.path, r.name): r for r in methods(spark, LEXICAL).collect()}
+    assert by["E.cs", "A"].attributes == ['[Case("a)[")]'] and '$"{{"' in by["E.cs", "A"].body
+    assert by["f.py", "c"].parameters == "s" and "assert_called_with" in by["f.py", "test_a"].body
+    assert by["b.js", "gen"].attributes == ["async", "static"]
+    assert X.filter_mocks(X.filter_tests(methods(spark, {"f.py": LEXICAL["f.py"]}))).count() == 1
+
+
+def test_rules_passed_along_reach_tests_mocks_and_comments(spark):
+    import dataclasses
+
+    from culler.functions import lang_rules as LR
+
+    rules = LR.with_language(dataclasses.replace(LR.RULES["go"], language="gox", extensions=[".gx"], acts_as="go", comment=";;"))
+    files = X.detect_language(spark.createDataFrame([("s", "a.gx", "func TestA(t *T) {\n  m.EXPECT()\n}\n")], "suite string, path string, content string"), rules=rules)
+    found = X.extract_methods(files, rules=rules)
+    assert X.filter_mocks(X.filter_tests(found, rules), rules).count() == 1
+    assert [r.subject for r in X.mock_lines(found, rules).collect()] == ["m.EXPECT()"]
+    out = T.comment_out(X.explode_lines(files), found, found.filter("false"), rules).collect()
+    assert [r.line for r in sorted(out, key=lambda r: r.line_no)][:3] == [";; func TestA(t *T) {", ";;   m.EXPECT()", ";; }"]
