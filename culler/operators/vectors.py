@@ -1,4 +1,4 @@
-"""Embedding and vector operators.
+"""Embedding and vector operators (B1-B12, B14-B16, K7-K9; B13 is in ``neighbours``).
 
 Vectors are ``array<double>`` columns.  Per-suite statistics use MLlib's
 ``Summarizer`` (a JVM aggregate with map-side partial merge); pairwise work
@@ -8,7 +8,6 @@ goes through the blocked kernels in ``blocks``.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from culler.operators import blocks as BK
-from culler.session import cut_lineage
 
 # Default number of neighbours found and the number kept in the result document.
 TOPK_FIND = 5
@@ -442,69 +440,3 @@ def pair_count(items: DataFrame, block_size: int = BK.DEFAULT_BLOCK) -> DataFram
         F.count_if(F.col("blk") == F.col("lo")).alias("na"), F.count_if(F.col("blk") == F.col("hi")).alias("nb"))
     pairs = F.when(F.col("lo") == F.col("hi"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
     return per_tile.groupBy("suite").agg(F.sum(pairs).cast("long").alias("pairs"))
-
-
-# ---------------- B13 approximate top-k at corpus scale ----------------
-
-# The shape that the query's SQL states; the operator takes its own from lsh_shape.
-LSH_BANDS = 8
-LSH_BITS = 6
-LSH_SEED = 7
-# Share of the neighbours at cosine LSH_COSINE that share a band, and the rows a bucket should hold at most.
-LSH_RECALL, LSH_COSINE, LSH_BUCKET = 0.95, 0.3, 1024
-
-
-def lsh_shape(n: int, recall: float = LSH_RECALL, cosine: float = LSH_COSINE) -> tuple[int, int]:
-    """(bands, bits) for n vectors."""
-    bits = max(LSH_BITS, math.ceil(math.log2(max(1, n) / LSH_BUCKET)))
-    p = (1 - math.acos(cosine) / math.pi) ** bits
-    return math.ceil(math.log(1 - recall) / math.log(1 - p)), bits
-
-
-def lsh_planes(n: int, dims: int, seed: int = LSH_SEED) -> np.ndarray:
-    """n hyperplanes: standard normal components, rounded so that SQL can state them."""
-    return np.random.default_rng(seed).normal(size=(n, dims)).round(6)
-
-
-def ann_topk(items: DataFrame, k: int = TOPK_FIND, vec: str = "vec", bands: int | None = None, bits: int = LSH_BITS,
-             block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
-    """Cosine top-k over the whole corpus (no suite key) with random-hyperplane LSH: items sharing a
-    band signature are candidates; each bucket goes through the blocked kernel (a hot bucket becomes many
-    bounded tiles), candidates are merged over bands and re-ranked exactly.  Without ``bands`` the shape follows
-    from the number of rows (``lsh_shape``: recall 0.95 at cosine 0.3); where so many bands would compare no
-    fewer pairs than there are, all pairs are compared in blocks (recall 1).
-    Items whose buckets hold fewer than k others are compared with all items.  Output (a, rank, b, score)."""
-    items = cut_lineage(items.select("method_seq", vec))
-    first = items.first()
-    if first is None:
-        return items.select(F.col("method_seq").alias("a"), F.lit(0).alias("rank"), F.col("method_seq").alias("b"), F.lit(0.0).alias("score"))
-    if bands is None:
-        bands, bits = lsh_shape(items.count())
-        if bands >= 2 ** bits:
-            every = topk_similar(items.withColumn("suite", F.lit("all")), k=k, metrics=("cosine",), vec=vec, block_size=block_size)
-            return every.select("a", "rank", "b", "score")
-    planes = lsh_planes(bands * bits, len(first[vec]))
-
-    def coded(parts):
-        for part in parts:
-            if len(part):
-                signs = (np.stack(part[vec].to_numpy()) @ planes.T >= 0).reshape(len(part), bands, bits)
-                yield part.assign(codes=list(signs @ (1 << np.arange(bits))))
-
-    placed = items.mapInPandas(coded, T.StructType([*items.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))]))
-    buckets = placed.select(F.posexplode("codes").alias("band", "code"), "method_seq", vec)
-    buckets = buckets.select(F.concat_ws(":", "band", "code").alias("suite"), "method_seq", vec)
-    cand = topk_similar(buckets, k=k, metrics=("cosine",), vec=vec, block_size=block_size)
-    w = Window.partitionBy("a").orderBy(F.col("score").desc(), F.col("b"))
-
-    def best(c: DataFrame) -> DataFrame:
-        merged = c.groupBy("a", "b").agg(F.max("score").alias("score"))
-        return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a", "rank", "b", "score")
-
-    found = cut_lineage(best(cand))
-    full = found.filter(F.col("rank") == k).select(F.col("a").alias("method_seq"))
-    short = cut_lineage(items.select("method_seq").join(full, "method_seq", "left_anti").withColumn("suite", F.lit("all")))
-    if short.isEmpty():
-        return found
-    rest = topk_similar(items.withColumn("suite", F.lit("all")), k=k, metrics=("cosine",), vec=vec, block_size=block_size, queries=short)
-    return found.join(short.select(F.col("method_seq").alias("a")), "a", "left_anti").unionByName(rest.select("a", "rank", "b", "score"))
