@@ -1,7 +1,6 @@
 """Clustering (K0-K11) keyed by suite, for all suites in one job.
 
-* K2/K3 eps: k-th neighbour distances (blocked kernel), then Kneedle with
-  window functions over the sorted curve per (suite, metric).
+* K2/K3 eps: k-th neighbour distances (blocked kernel), then Kneedle over blocks of the sorted curve per (suite, metric).
 * K1/K4 DBSCAN: three blocked passes — neighbourhood sizes (core points),
   spanning-forest edges between core points (each tile emits at most one edge
   per point), border points' smallest neighbouring core label — and connected
@@ -23,11 +22,14 @@ from pyspark.sql import functions as F
 
 from culler.operators import blocks as BK
 from culler.operators import vectors as V
+from culler.operators.ranks import ranked
 from culler.session import cut_lineage
 
 # DBSCAN settings tried in order: (eps factor, min_samples divisor or None for 2)
 DBSCAN_SETTINGS = [(1.0, 10), (0.8, 15), (1.2, 20), (0.6, None), (1.5, 8), (0.4, None)]
 KNEE_S = 1.5
+# Places of a sorted series that one window scans.
+KNEE_BLOCK = 4096
 MAX_OUTLIER_PCT = 30.0
 ELBOW_MAX_K = 10
 KMEANS_SEED = 42
@@ -39,44 +41,57 @@ CENTROID_TOL = 1e-20
 
 # ---------------- K3 knee, K2 optimal eps ----------------
 
-def knee(curve: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
-    """Kneedle (convex, increasing, S=1.5) on the ascending series ``y`` per key.
-    Returns keys + ``knee_y`` (NULL when there is no knee)."""
-    w_all = Window.partitionBy(*keys)
-    w = Window.partitionBy(*keys).orderBy("s")
-    c = curve.withColumn("s", F.row_number().over(Window.partitionBy(*keys).orderBy(y)) - 1)
-    c = (c.withColumn("n", F.count("*").over(w_all))
-         .withColumn("ymin", F.min(y).over(w_all)).withColumn("ymax", F.max(y).over(w_all)))
-    c = c.filter((F.col("n") > 1) & (F.col("ymax") > F.col("ymin")))
+def _placed(curve: DataFrame, keys: list[str], y: str, ids: list[str]) -> DataFrame:
+    """The series with ``s`` (place from 0, ascending), ``n``, ``ymin`` and ``ymax``; ties by ``ids``."""
+    rows = ranked(curve.select(*keys, *ids, F.col(y).alias("y")), keys, [F.col("y"), *map(F.col, ids)], "s").withColumn("s", F.col("s") - 1)
+    return rows.join(curve.groupBy(*keys).agg(F.count("*").alias("n"), F.min(y).alias("ymin"), F.max(y).alias("ymax")), keys)
+
+
+def _knee(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Kneedle in two levels: places fall into blocks of KNEE_BLOCK; a block holds its own rows and a row from each
+    neighbour, so that every local extreme shows inside it; the last threshold of each block is carried to the
+    blocks after it by a window over one row per block."""
+    c = placed.filter((F.col("n") > 1) & (F.col("ymax") > F.col("ymin")))
     # difference curve in the reversed index: D(s) = x_norm(s) - y_norm(s), traversed s = n-1 .. 0
-    c = c.withColumn("D", F.col("s") / (F.col("n") - 1) - (F.col(y) - F.col("ymin")) / (F.col("ymax") - F.col("ymin")))
-    c = c.withColumn("r", F.col("n") - 1 - F.col("s"))
-    wr = Window.partitionBy(*keys).orderBy("r")
-    prev = F.coalesce(F.lag("D").over(wr), F.col("D"))
-    nxt = F.coalesce(F.lead("D").over(wr), F.col("D"))
-    c = (c.withColumn("is_max", (F.col("D") >= prev) & (F.col("D") >= nxt))
-         .withColumn("is_min", (F.col("D") <= prev) & (F.col("D") <= nxt))
-         .withColumn("next_D", F.lead("D").over(wr)))
-    first_max = c.filter("is_max").groupBy(*keys).agg(F.min("r").alias("r0"))
-    c = c.join(first_max, keys).filter(F.col("r") >= F.col("r0"))
-    tmx = F.col("D") - F.lit(KNEE_S) / (F.col("n") - 1)
-    c = (c.withColumn("thr_val", F.when(F.col("is_min"), F.lit(0.0)).when(F.col("is_max"), tmx))
-         .withColumn("thr_idx", F.when(F.col("is_max"), F.col("r"))))
-    run = wr.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = (c.withColumn("thr", F.last("thr_val", ignorenulls=True).over(run))
-         .withColumn("t_idx", F.last("thr_idx", ignorenulls=True).over(run)))
-    hit = c.filter((F.col("r") <= F.col("n") - 2) & (F.col("next_D") < F.col("thr")))
-    first = hit.groupBy(*keys).agg(F.min_by("t_idx", "r").alias("t_idx"), F.first("n").alias("n"))
-    pts = curve.withColumn("s", F.row_number().over(Window.partitionBy(*keys).orderBy(y)) - 1)
-    return first.join(pts, keys).filter(F.col("s") == F.col("n") - 1 - F.col("t_idx")).select(*keys, F.col(y).alias("knee_y"))
-
-
-def optimal_eps(kd: DataFrame, keys: list[str] = ["suite", "metric"]) -> DataFrame:
-    """K2: knee of the sorted k-distances; none -> 90th percentile; 0 -> 95th."""
-    curve = kd.select(*keys, F.col("kdist").alias("y"))
-    k = knee(curve, keys)
-    p = curve.groupBy(*keys).agg(F.percentile("y", 0.9).alias("p90"), F.percentile("y", 0.95).alias("p95"))
-    e = p.join(k, keys, "left").withColumn("eps0", F.coalesce("knee_y", "p90"))
+    c = c.withColumn("D", F.col("s") / (F.col("n") - 1) - (F.col("y") - F.col("ymin")) / (F.col("ymax") - F.col("ymin")))
+    c = c.select(*keys, "n", "D", "y", (F.col("n") - 1 - F.col("s")).alias("r"))
+    own = F.floor(F.col("r") / KNEE_BLOCK)
+    near = F.array_distinct(F.array(own, F.floor((F.col("r") - 1) / KNEE_BLOCK), F.floor((F.col("r") + 1) / KNEE_BLOCK)))
+    c = c.withColumn("own", own).withColumn("blk", F.explode(near))
+    wb = Window.partitionBy(*keys, "blk").orderBy("r")
+    prev, nxt = F.coalesce(F.lag("D").over(wb), F.col("D")), F.coalesce(F.lead("D").over(wb), F.col("D"))
+    c = (c.withColumn("is_max", (F.col("D") >= prev) & (F.col("D") >= nxt)).withColumn("is_min", (F.col("D") <= prev) & (F.col("D") <= nxt))
+         .withColumn("next_D", F.lead("D").over(wb)).filter(F.col("blk") == F.col("own")))
+    c = cut_lineage(c.select(*keys, "n", "D", "y", "r", "blk", "is_max", "is_min", "next_D"))
+    c = c.join(c.filter("is_max").groupBy(*keys).agg(F.min("r").alias("r0")), keys).filter(F.col("r") >= F.col("r0"))
+    c = (c.withColumn("thr_val", F.when(F.col("is_min"), F.lit(0.0)).when(F.col("is_max"), F.col("D") - F.lit(KNEE_S) / (F.col("n") - 1)))
+         .withColumn("thr_idx", F.when(F.col("is_max"), F.struct("r", "y"))))
+    run = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = c.groupBy(*keys, "blk").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("r"))).alias(f"last_{v}") for v in ("thr_val", "thr_idx")])
+    before = Window.partitionBy(*keys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "blk", *[F.last(f"last_{v}", ignorenulls=True).over(before).alias(f"old_{v}") for v in ("thr_val", "thr_idx")])
+    c = c.withColumn("thr", F.last("thr_val", ignorenulls=True).over(run)).withColumn("at", F.last("thr_idx", ignorenulls=True).over(run))
+    c = c.join(carried, [*keys, "blk"])
+    hit = c.filter((F.col("r") <= F.col("n") - 2) & (F.col("next_D") < F.coalesce("thr", "old_thr_val")))
+    return hit.groupBy(*keys).agg(F.min_by(F.coalesce("at", "old_thr_idx"), "r").alias("k")).select(*keys, F.col("k.y").alias("knee_y"))
+
+
+def knee(curve: DataFrame, keys: list[str], y: str = "y", ids: list[str] = []) -> DataFrame:
+    """Kneedle (convex, increasing, S=1.5) on the ascending series ``y`` per key; ``ids`` tell equal values apart.
+    Returns keys + ``knee_y`` (no row where there is no knee)."""
+    return _knee(_placed(curve, keys, y, ids), keys)
+
+
+def optimal_eps(kd: DataFrame, keys: list[str] = ["suite", "metric"], ids: list[str] = ["a"]) -> DataFrame:
+    """K2: knee of the sorted k-distances; none -> 90th percentile; 0 -> 95th. Percentiles are read off the ranks."""
+    placed = cut_lineage(_placed(kd, keys, "kdist", ids))
+    at = lambda i: F.max(F.when(F.col("s") == i, F.col("y")))
+    share = lambda p: (at(F.floor(p * (F.col("n") - 1))), at(F.ceil(p * (F.col("n") - 1))), p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1)))
+    lo90, hi90, f90 = share(0.9)
+    lo95, hi95, f95 = share(0.95)
+    p = placed.groupBy(*keys, "n").agg(lo90.alias("a0"), hi90.alias("a1"), lo95.alias("b0"), hi95.alias("b1"))
+    p = p.select(*keys, (F.col("a0") + (F.col("a1") - F.col("a0")) * f90).alias("p90"), (F.col("b0") + (F.col("b1") - F.col("b0")) * f95).alias("p95"))
+    e = p.join(_knee(placed, keys), keys, "left").withColumn("eps0", F.coalesce("knee_y", "p90"))
     return e.select(*keys, "knee_y", F.when(F.col("eps0") == 0, F.col("p95")).otherwise(F.col("eps0")).alias("eps"))
 
 
@@ -384,8 +399,8 @@ def hierarchical(z: DataFrame, k: DataFrame, vec: str = "z") -> DataFrame:
     """K10 (euclidean -> ward): the tree without its last k - 1 merges, (suite, method_seq, cluster) with clusters
     numbered by their smallest member.  ``k``: (suite, k)."""
     merges = merge_tree(z, "ward", vec).join(k.select("suite", "k"), "suite")
-    last = Window.partitionBy("suite").orderBy(F.col("height").desc(), (F.col("left_size") + F.col("right_size")).desc(), "left")
-    top = merges.withColumn("_r", F.row_number().over(last)).filter((F.col("_r") < F.col("k")) & (F.col("_r") < ELBOW_MAX_K)).select("suite", "left", "right")
+    last = [F.col("height").desc(), (F.col("left_size") + F.col("right_size")).desc(), F.col("left")]
+    top = ranked(merges, ["suite"], last, "_r").filter(F.col("_r") < F.col("k")).select("suite", "left", "right")
     kept = merges.join(top, ["suite", "left", "right"], "left_anti").select("suite", F.col("left").alias("a"), F.col("right").alias("v"))
     roots = connected_components(kept, z.select("suite", F.col("method_seq").alias("a")), ["suite"])
     number = F.dense_rank().over(Window.partitionBy("suite").orderBy("l")) - 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from culler.functions import metrics as M
+from culler.operators.ranks import quantiles
 
 FEATURE_COLS = ["lines_of_code", "cyclomatic_complexity", "nesting_depth", "method_calls", "cognitive_complexity"]
 
@@ -47,18 +48,16 @@ def complexity_summary(feat: DataFrame) -> DataFrame:
 
 
 def describe(feat: DataFrame, col: str = "cyclomatic_complexity") -> DataFrame:
-    """A4: count, mean, sample std, min, quartiles (linear interpolation), max.
-    ``percentile`` keeps a value->count map, small for integer metrics."""
-    return feat.groupBy("suite").agg(
+    """A4: count, mean, sample std, min, quartiles (linear interpolation), max."""
+    moments = feat.groupBy("suite").agg(
         F.count(col).alias("count"),
         F.avg(col).alias("mean"),
         F.stddev_samp(col).alias("std"),
         F.min(col).cast("double").alias("min"),
-        F.percentile(col, 0.25).alias("p25"),
-        F.percentile(col, 0.5).alias("p50"),
-        F.percentile(col, 0.75).alias("p75"),
         F.max(col).cast("double").alias("max"),
     )
+    return moments.join(quantiles(feat, ["suite"], col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "suite", "left").select(
+        "suite", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def run_summary(labeled: DataFrame) -> DataFrame:
@@ -128,9 +127,7 @@ def boxplot(labeled: DataFrame, col: str) -> DataFrame:
     data inside the fences), and the points outside (fliers)."""
     x = F.col(col).cast("double")
     reg = labeled.filter(F.col("cluster") >= 0)
-    q = reg.groupBy("suite", "cluster").agg(
-        F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.5).alias("med"), F.percentile(x, 0.75).alias("q3")
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = quantiles(reg, ["suite", "cluster"], col, {"q1": 0.25, "med": 0.5, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1"))
     j = reg.join(q, ["suite", "cluster"])
     inside = (x >= F.col("q1") - 1.5 * F.col("iqr")) & (x <= F.col("q3") + 1.5 * F.col("iqr"))
     return j.groupBy("suite", "cluster", "q1", "med", "q3").agg(

@@ -47,7 +47,7 @@ def _eps(spark, sf, z=None):
 @register("knee", f"{KNEE_SQL} SELECT suite, metric, round(knee_y, 6) AS knee_y FROM kn")
 def q_knee(spark, sf):
     kd = V.kth_neighbour_distance(_z(spark, sf), vec="z")
-    k = C.knee(kd.select("suite", "metric", F.col("kdist").alias("y")), ["suite", "metric"])
+    k = C.knee(kd, ["suite", "metric"], "kdist", ["a"])
     return k.select("suite", "metric", round6("knee_y").alias("knee_y"))
 
 

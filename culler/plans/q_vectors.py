@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from culler.operators import quality as Q
 from culler.operators import neighbours as N
 from culler.operators import vectors as V
+from culler.operators.ranks import ranked
 from culler.plans.fixtures import F1_SQL, F2_SQL, F2O_SQL, F4_SQL, method_vectors, round6, suite_methods, token_vectors
 from culler.plans.registry import register
 
@@ -179,9 +180,8 @@ def q_kth(spark, sf):
 SELECT suite, metric, CAST(row_number() OVER (PARTITION BY suite, metric ORDER BY kdist, a) AS BIGINT) AS rank, round(kdist, 6) AS kdist FROM kd""")
 def q_sort_kdist(spark, sf):
     """L1: ascending k-distances with rank 1..n per (suite, metric)."""
-    w = Window.partitionBy("suite", "metric").orderBy("kdist", "a")
-    k = _kdist(spark, sf)
-    return k.select("suite", "metric", F.row_number().over(w).cast("long").alias("rank"), round6("kdist").alias("kdist"))
+    k = ranked(_kdist(spark, sf), ["suite", "metric"], [F.col("kdist"), F.col("a")])
+    return k.select("suite", "metric", "rank", round6("kdist").alias("kdist"))
 
 
 @register("rank_windows", f"""{KDIST_SQL}
@@ -190,8 +190,7 @@ FROM kd WHERE metric = 'euclidean'""")
 def q_rank_windows(spark, sf):
     """Items ranked per suite by their k-th neighbour distance (most isolated first)."""
     k = _kdist(spark, sf).filter(F.col("metric") == "euclidean")
-    w = Window.partitionBy("suite").orderBy(F.col("kdist").desc(), "a")
-    return k.select("suite", "a", F.row_number().over(w).cast("long").alias("isolation_rank"))
+    return ranked(k, ["suite"], [F.col("kdist").desc(), F.col("a")], "isolation_rank").select("suite", "a", "isolation_rank")
 
 
 # ---------------- silhouettes, guard, best, matrices ----------------

@@ -41,10 +41,12 @@ def kneedle(y, S=1.5):
     return None
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_knee_matches_sequential(spark, seed):
+@pytest.mark.parametrize("seed", range(4))
+def test_knee_matches_sequential(spark, seed, monkeypatch):
+    monkeypatch.setattr(C, "KNEE_BLOCK", (4096, 3, 1, 7)[seed])  # curves over one block and over many
     rng = np.random.default_rng(seed)
-    curves = {s: np.sort(rng.gamma(1.0 + s, size=rng.integers(5, 40))) for s in range(3)}
+    curves = {s: np.sort(rng.gamma(1.0 + s, size=rng.integers(5, 40))) for s in range(6)}
+    curves[6] = np.repeat(curves[0], 3)
     rows = [(s, float(v)) for s, ys in curves.items() for v in ys]
     got = {r["suite"]: r["knee_y"] for r in C.knee(spark.createDataFrame(rows, "suite int, y double"), ["suite"]).collect()}
     for s, ys in curves.items():
@@ -160,3 +162,11 @@ def test_linkage_table_walks_from_the_root(spark):
     below = sorted(r["size"] for r in tree if r.depth == 1)
     root = next(r for r in tree if r.depth == 0)
     assert below == sorted(n for n in (root.left_size, root.right_size) if n > 1)
+
+
+def test_hierarchical_gives_any_k(spark):
+    rng = np.random.default_rng(12)
+    rows = [("s", i, rng.normal(size=3).tolist()) for i in range(60)]
+    z = spark.createDataFrame(rows, "suite string, method_seq long, z array<double>")
+    lab = C.hierarchical(z, spark.createDataFrame([("s", 30)], "suite string, k int"))
+    assert lab.select("cluster").distinct().count() == 30

@@ -27,3 +27,17 @@ def test_ranks_without_groups_and_of_nothing(spark):
     df = spark.range(100).select((F.col("id") * 37 % 100).alias("id"))
     assert all(r.place == r.id + 1 for r in ranked(df, [], [F.col("id")], "place").collect())
     assert ranked(df.filter("false"), [], [F.col("id")]).count() == 0
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from culler.operators.ranks import quantiles
+
+    rng = np.random.default_rng(1)
+    rows = [(g, None if rng.random() < 0.1 else float(rng.integers(0, 7) if g == "few" else rng.normal())) for g in ["few"] * 500 + ["many"] * 800 + ["one"] + [None] * 9]
+    out = quantiles(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x", {"lo": 0.1, "mid": 0.5, "hi": 0.97}).collect()
+    for r in out:
+        values = [x for g, x in rows if g == r.g and x is not None]
+        assert np.allclose([r.lo, r.mid, r.hi], np.quantile(values, [0.1, 0.5, 0.97]))
+    assert len(out) == len({g for g, x in rows if x is not None})
