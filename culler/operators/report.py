@@ -70,11 +70,10 @@ def run_summary(labeled: DataFrame) -> DataFrame:
 
 
 def group_collect(labeled: DataFrame, name: str = "name") -> DataFrame:
-    """A10: members per cluster, as (suite, cluster, method_seq, name) rows clustered
-    by (suite, cluster) and sorted by item inside each partition — the list form
-    without one unbounded array per cluster."""
+    """A10: members per cluster, as (suite, cluster, method_seq, name) rows in ranges sorted by (suite, cluster, item):
+    the list form without one unbounded array or task per cluster."""
     return (labeled.select("suite", "cluster", "method_seq", name)
-            .repartition("suite", "cluster").sortWithinPartitions("suite", "cluster", "method_seq"))
+            .repartitionByRange("suite", "cluster", "method_seq").sortWithinPartitions("suite", "cluster", "method_seq"))
 
 
 def first_members(labeled: DataFrame, k: int = 5, name: str = "name") -> DataFrame:
@@ -85,6 +84,20 @@ def first_members(labeled: DataFrame, k: int = 5, name: str = "name") -> DataFra
         F.transform(F.array_sort(F.collect_list(F.struct("_r", name))), lambda s: s[name]).alias("first_methods"))
 
 
+def result_document(feat: DataFrame, names: DataFrame, neighbours: DataFrame) -> dict[str, DataFrame]:
+    """The parts of the result document, each nested as the document nests it. ``feat``: features with cluster;
+    ``names``: suite, method_seq, name; ``neighbours``: B12 rows. ``similar_methods`` holds per method and metric its
+    neighbours as (name, score) in rank order, ``summary`` per suite the means and the distribution of the complexity."""
+    near = neighbours.join(names.select("suite", F.col("method_seq").alias("b"), F.col("name").alias("_other")), ["suite", "b"])
+    entry = F.struct("rank", F.col("_other").alias("name"), "score")
+    ranked_of = lambda m: F.transform(F.array_sort(F.collect_list(F.when(F.col("metric") == m, entry))),
+                                      lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"))).alias(m)
+    similar = near.groupBy("suite", F.col("a").alias("method_seq")).agg(F.struct(*[ranked_of(m) for m in ("cosine", "euclidean", "manhattan")]).alias("similar"))
+    distribution = F.struct("count", "mean", "std", "min", "p25", "p50", "p75", "max").alias("complexity_distribution")
+    summary = complexity_summary(feat).join(describe(feat).select("suite", distribution), "suite")
+    return {"features": feat, "similar_methods": similar.join(names, ["suite", "method_seq"]), "profiles": cluster_profile(feat), "summary": summary}
+
+
 def corr_matrix(feat: DataFrame, cols: list[str] = FEATURE_COLS) -> DataFrame:
     """Pearson correlation of every metric pair per suite (constant column -> NULL)."""
     # covar/(std*std) with try_divide: a constant column gives NULL instead of an ANSI error

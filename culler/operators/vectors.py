@@ -323,6 +323,25 @@ def hashing_embed(items: DataFrame, code: str = "code", dims: int = HASH_DIMS, m
     return items.mapInArrow(run, schema)
 
 
+def hashing_embed_idf(items: DataFrame, code: str = "code", dims: int = HASH_DIMS, out: str = "vec", salts: int = 16) -> DataFrame:
+    """B1 with inverse document frequencies: a token weighs ln((1 + items) / (1 + items that hold it)) + 1 an occurrence.
+    (suite, method_seq, ``out``). Tokens are counted per item, their document frequencies summed from those rows and
+    joined back, salted so that a token which most items hold is not one task; buckets and signs as ``hashing_embed``."""
+    found = items.select("suite", "method_seq", F.explode(tokens(code)).alias("tok")).groupBy("suite", "method_seq", "tok").agg(F.count("*").alias("n"))
+    idf = F.log((1.0 + items.count()) / (1.0 + F.count("*"))) + 1.0
+    table = found.groupBy("tok").agg(idf.alias("idf")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    table = table.select(*[F.col(c).alias(c) for c in table.columns])
+    rows = found.withColumn("salt", F.pmod(F.xxhash64("suite", "method_seq"), F.lit(salts)).cast("int")).join(table, ["tok", "salt"])
+    digest = F.md5("tok")
+    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims).cast("int")
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
+    parts = rows.groupBy("suite", "method_seq", bucket.alias("k")).agg(F.sum(F.col("n") * F.col("idf") * sign).alias("v"))
+    made = parts.groupBy("suite", "method_seq").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
+    joined = items.select("suite", "method_seq").join(made, ["suite", "method_seq"], "left")
+    part = lambda i: F.when(F.col("_n") > 0, F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n")).otherwise(F.lit(0.0))
+    return joined.select("suite", "method_seq", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), part).alias(out))
+
+
 def pool_cls(token_vecs: DataFrame, vec: str = "vec") -> DataFrame:
     """The first token's vector per item."""
     return token_vecs.groupBy("suite", "method_seq").agg(F.min_by(vec, "pos").alias(vec))

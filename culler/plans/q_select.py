@@ -122,7 +122,7 @@ def q_join_positional(spark, sf):
     """Method records paired with their cleaned code by (suite, position)."""
     m = suite_methods(spark, sf)
     codes = m.select("suite", "method_seq", clean_code("code").alias("clean"))
-    return m.select("suite", "method_seq", "name").join(codes, ["suite", "method_seq"]).select(
+    return S.join_positional(m.select("suite", "method_seq", "name"), codes).select(
         "suite", "method_seq", "name", F.octet_length("clean").cast("long").alias("code_bytes"))
 
 

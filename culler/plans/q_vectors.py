@@ -409,17 +409,30 @@ def q_embedder_plugin(spark, sf):
     return e.select("suite", "method_seq", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
-@register("embedder_registry", f"""SELECT suite, method_seq, embedder, CASE embedder WHEN 'toy' THEN 4 ELSE {V.HASH_DIMS} END AS dims
-FROM ({F1_SQL}), (VALUES ('toy'), ('hashing')) e(embedder)""")
+@register("embedder_registry", f"""SELECT 'hashing' AS embedder, * FROM ({EMB_SQL}) WHERE value <> 0
+UNION ALL SELECT 'toy', suite, method_seq, CAST(x.i - 1 AS BIGINT), round(x.v, 6) FROM ({F1_SQL}), unnest({_TOY_SQL}) WITH ORDINALITY AS x(v, i) WHERE x.v <> 0""")
 def q_embedder_registry(spark, sf):
-    """B2: embedders looked up by name; every registered one embeds the same items."""
+    """B2: embedders looked up by name embed the same items; the vectors' parts that aren't zero."""
     V.register_embedder("toy", lambda: V.PandasEmbedder(_toy_model))
     m = suite_methods(spark, sf).select("suite", "method_seq", "code")
-    out = None
-    for name in sorted(V.EMBEDDERS):
-        e = V.get_embedder(name).embed(m).select("suite", "method_seq", F.lit(name).alias("embedder"), F.size("vec").alias("dims"))
-        out = e if out is None else out.unionByName(e)
-    return out
+    made = [_long(V.get_embedder(name).embed(m), "vec").filter(F.col("value") != 0).select(F.lit(name).alias("embedder"), "*") for name in ("hashing", "toy")]
+    return made[0].unionByName(made[1])
+
+
+@register("embed_text_idf", f"""
+WITH f AS ({F1_SQL}),
+t AS (SELECT suite, method_seq, unnest(regexp_extract_all(code, '\\S+')) AS tok FROM f),
+df AS (SELECT tok, ln((1.0 + (SELECT count(*) FROM f)) / (1.0 + count(DISTINCT (suite, method_seq)))) + 1 AS idf FROM t GROUP BY tok),
+h AS (SELECT suite, method_seq, CAST(('0x' || substr(md5(tok), 1, 8)) AS UBIGINT) % {V.HASH_DIMS} AS dim,
+             idf * CASE WHEN CAST(('0x' || substr(md5(tok), 9, 1)) AS INTEGER) < 8 THEN 1.0 ELSE -1.0 END AS s FROM t JOIN df USING (tok)),
+g AS (SELECT suite, method_seq, dim, sum(s) AS v FROM h GROUP BY ALL),
+nn AS (SELECT suite, method_seq, sqrt(sum(v * v)) AS nrm FROM g GROUP BY ALL)
+SELECT g.suite, g.method_seq, CAST(g.dim AS BIGINT) AS dim, round(g.v / nn.nrm, 6) AS value FROM g JOIN nn USING (suite, method_seq)
+WHERE abs(round(g.v / nn.nrm, 6)) > 0""")
+def q_embed_text_idf(spark, sf):
+    """B1 with IDF weights: tokens count by how few items hold them."""
+    e = V.hashing_embed_idf(suite_methods(spark, sf), "code")
+    return _long(e, "vec").filter(F.abs("value") > 0)
 
 
 @register("similarity_pairs", f"""{SIM_SQL}

@@ -58,3 +58,14 @@ def test_cip(spark):
     got = {r["suite"]: (r["total"], r["covered"], r["cip"]) for r in C.cip(ex, sel).collect()}
     assert got["a"] == (3, 2, pytest.approx(200 / 3))
     assert got["b"] == (0, 0, 0.0)
+
+
+def test_positional_join_of_different_lengths_is_an_error(spark):
+    from culler.operators import select as S
+
+    a = spark.createDataFrame([("s", 1, "x"), ("s", 2, None)], "suite string, method_seq long, name string")
+    b = spark.createDataFrame([("s", 1, "c"), ("s", 2, "d")], "suite string, method_seq long, clean string")
+    assert S.join_positional(a, b).count() == 2
+    for left, right in ((a, b.limit(1)), (a.limit(1), b)):
+        with pytest.raises(Exception, match="lists of different length"):
+            S.join_positional(left, right).collect()
