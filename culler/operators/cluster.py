@@ -1,9 +1,9 @@
 """Clustering (K0-K11) keyed by suite, for all suites in one job.
 
 * K2/K3 eps: k-th neighbour distances (blocked kernel), then Kneedle over blocks of the sorted curve per (suite, metric).
-* K1/K4 DBSCAN: three blocked passes — neighbourhood sizes (core points),
-  spanning-forest edges between core points (each tile emits at most one edge
-  per point), border points' smallest neighbouring core label — and connected
+* K1/K4 DBSCAN: three passes over the tiles that can hold a pair (``eps_tiles``): neighbourhood sizes (core
+  points), stars of the core points' components in a tile (at most one edge
+  per point), border points' smallest neighbouring core label; and connected
   components by min-label propagation with pointer jumping.  Cluster ids are the
   dense rank of each component's smallest member, which reproduces sequential
   DBSCAN labels.  All 3 metrics x 6 settings run as one frame.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from culler.operators import blocks as BK
+from culler.operators import eps_tiles as EPS
 from culler.operators import vectors as V
 from culler.operators.ranks import ranked
 from culler.session import cut_lineage
@@ -97,26 +98,22 @@ def optimal_eps(kd: DataFrame, keys: list[str] = ["suite", "metric"], ids: list[
 
 # ---------------- K1 DBSCAN ----------------
 
-def _union_find_edges(core_idx: np.ndarray, adj: np.ndarray, rows: np.ndarray, cols: np.ndarray):
-    """Spanning forest of the graph given by ``adj`` (query x candidate booleans)."""
-    parent = {}
-
-    def find(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    edges = []
+def _star_edges(adj: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of a tile's graph (query x candidate booleans) as stars: (vertex, smallest vertex of its component).
+    Roots hook to smaller roots along all edges at once, then paths are halved, until no edge joins two roots."""
     qi, ci = np.nonzero(adj)
-    for a, b in zip(rows[qi], cols[ci]):
-        if a == b:
-            continue
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            edges.append((a, b))
-    return edges
+    ids, place = np.unique(np.concatenate([rows, cols]), return_inverse=True)
+    u, v = place[: len(rows)][qi], place[len(rows) :][ci]
+    root = np.arange(len(ids))
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
 
 
 def _dbscan_kernel(metrics: list[str], n_cfg: int, vec: str, phase: str):
@@ -128,7 +125,8 @@ def _dbscan_kernel(metrics: list[str], n_cfg: int, vec: str, phase: str):
                 continue
             aseq, bseq = qa["method_seq"].to_numpy(), cb["method_seq"].to_numpy()
             eps = np.stack(qa["eps"].to_numpy())  # (nq, metrics*cfg)
-            for mi, m in enumerate(metrics):
+            for m in [pdf["metric"].iloc[0]]:  # a tile is of one metric
+                mi = metrics.index(m)
                 D = BK.distance_tile(va, vb, m)
                 if m == "cosine":
                     D = np.clip(D, 0.0, 2.0)
@@ -144,10 +142,8 @@ def _dbscan_kernel(metrics: list[str], n_cfg: int, vec: str, phase: str):
                         cbm = np.stack(cb["core"].to_numpy())[:, j]
                         adj = within & ca[:, None] & cbm[None, :]
                         if adj.any():
-                            ed = _union_find_edges(None, adj, aseq, bseq)
-                            if ed:
-                                arr = np.array(ed, dtype=np.int64)
-                                out.append(pd.DataFrame({"suite": suite, "cell": j, "a": arr[:, 0], "v": arr[:, 1]}))
+                            one, other = _star_edges(adj, aseq, bseq)
+                            out.append(pd.DataFrame({"suite": suite, "cell": j, "a": one, "v": other}))
                     else:  # border: smallest component id among core neighbours of non-core points
                         ca = np.stack(qa["comp"].to_numpy())[:, j]
                         cbl = np.stack(cb["comp"].to_numpy())[:, j]
@@ -184,12 +180,12 @@ def connected_components(edges: DataFrame, vertices: DataFrame, keys: list[str])
 
 
 def dbscan_grid(z: DataFrame, eps: DataFrame, metrics: list[str] = list(BK.METRICS), vec: str = "z",
-                block_size: int = BK.DEFAULT_BLOCK) -> DataFrame:
-    """K1 for every (suite, metric, setting): labels (suite, metric, cfg, method_seq, cluster).
+                block_size: int = BK.DEFAULT_BLOCK, tried: list[tuple[float, int | None]] = DBSCAN_SETTINGS) -> DataFrame:
+    """K1 for every (suite, metric, setting of ``tried``): labels (suite, metric, cfg, method_seq, cluster).
     ``eps`` has (suite, metric, eps) from ``optimal_eps``."""
-    n_cfg = len(DBSCAN_SETTINGS)
+    n_cfg = len(tried)
     sizes = z.groupBy("suite").agg(F.count("*").alias("n"))
-    cfg_rows = [(c, f, d) for c, (f, d) in enumerate(DBSCAN_SETTINGS)]
+    cfg_rows = [(c, f, d) for c, (f, d) in enumerate(tried)]
     cfg = z.sparkSession.createDataFrame(cfg_rows, "cfg int, factor double, div int")
     met = z.sparkSession.createDataFrame([(i, m) for i, m in enumerate(metrics)], "mi int, metric string")
     settings = (eps.join(F.broadcast(met), "metric").crossJoin(F.broadcast(cfg)).join(sizes, "suite")
@@ -202,7 +198,8 @@ def dbscan_grid(z: DataFrame, eps: DataFrame, metrics: list[str] = list(BK.METRI
         F.transform(F.array_sort(F.collect_list(F.struct("cell", "e"))), lambda s: s["e"]).alias("eps"))
     base = z.select("suite", "method_seq", vec).join(eps_arr, "suite")
     schema = "suite {suite}, cell int, a long, v long"
-    deg = BK.run_pairs(base, ["suite"], _dbscan_kernel(metrics, n_cfg, vec, "degree"), schema, block_size)
+    placed, tiles = EPS.place(z, settings.groupBy("suite", "metric").agg(F.max("e").alias("eps")), vec, tuple(metrics), block_size)
+    deg = EPS.run(base, placed, tiles, _dbscan_kernel(metrics, n_cfg, vec, "degree"), schema)
     deg = deg.groupBy("suite", "cell", "a").agg(F.sum("v").alias("deg"))
     core = deg.join(settings.select("suite", "cell", "min_samples"), ["suite", "cell"]).withColumn(
         "is_core", F.col("deg") >= F.col("min_samples"))
@@ -210,7 +207,7 @@ def dbscan_grid(z: DataFrame, eps: DataFrame, metrics: list[str] = list(BK.METRI
     core_arr = core.groupBy("suite", F.col("a").alias("method_seq")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("cell", "is_core"))), lambda s: s["is_core"]).alias("core"))
     base2 = base.join(core_arr, ["suite", "method_seq"])
-    edges = BK.run_pairs(base2, ["suite"], _dbscan_kernel(metrics, n_cfg, vec, "edges"), schema, block_size)
+    edges = EPS.run(base2, placed, tiles, _dbscan_kernel(metrics, n_cfg, vec, "edges"), schema)
     edges = cut_lineage(edges)
     verts = core.filter("is_core").select("suite", "cell", "a")
     comp = connected_components(edges, verts, ["suite", "cell"])
@@ -219,7 +216,7 @@ def dbscan_grid(z: DataFrame, eps: DataFrame, metrics: list[str] = list(BK.METRI
     comp_arr = comp_all.groupBy("suite", F.col("a").alias("method_seq")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("cell", "l"))), lambda s: s["l"]).alias("comp"))
     base3 = base.join(comp_arr, ["suite", "method_seq"])
-    border = BK.run_pairs(base3, ["suite"], _dbscan_kernel(metrics, n_cfg, vec, "border"), schema, block_size)
+    border = EPS.run(base3, placed, tiles, _dbscan_kernel(metrics, n_cfg, vec, "border"), schema)
     border = border.groupBy("suite", "cell", "a").agg(F.min("v").alias("b"))
     lab = comp_all.join(border, ["suite", "cell", "a"], "left").withColumn(
         "root", F.when(F.col("l") >= 0, F.col("l")).otherwise(F.col("b")))

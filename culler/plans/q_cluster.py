@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from culler.operators import blocks as BK
 from culler.operators import cluster as C
+from culler.operators import eps_tiles as EPS
 from culler.operators import quality as Q
 from culler.operators import vectors as V
 from culler.plans.fixtures import method_vectors, round6
@@ -64,42 +65,70 @@ WHERE (d.metric = 'cosine' AND (p.a = p.b OR p.cosine <= d.eps)) OR (d.metric =
 GROUP BY p.suite, d.metric, p.a""")
 def q_eps_join(spark, sf):
     """Size of each item's eps-neighbourhood (inclusive, self counted) per metric
-    at the optimal eps — the pairs themselves are never materialised."""
-    z = _z(spark, sf)
-    eps = _eps(spark, sf, z)
+    at the optimal eps; the pairs themselves are never materialised, and only tiles that can hold one are compared."""
+    z = cut_lineage(_z(spark, sf))
+    eps = cut_lineage(_eps(spark, sf, z))
     metrics = list(BK.METRICS)
     by_metric = F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric")).alias("p"), "eps")))
     arr = eps.groupBy("suite").agg(F.transform(by_metric, lambda s: s["eps"]).alias("eps"))
     base = z.select("suite", "method_seq", "z").join(arr, "suite")
-    deg = BK.run_pairs(base, ["suite"], C._dbscan_kernel(metrics, 1, "z", "degree"), "suite {suite}, cell int, a long, v long")
+    placed, tiles = EPS.place(z, eps)
+    deg = EPS.run(base, placed, tiles, C._dbscan_kernel(metrics, 1, "z", "degree"), "suite {suite}, cell int, a long, v long")
     deg = deg.groupBy("suite", "cell", "a").agg(F.sum("v").alias("n"))
     met = F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("cell") + 1)
     return deg.select("suite", met.alias("metric"), "a", F.col("n").cast("long").alias("n_neighbours"))
 
 
-def _dbscan(spark, sf):
-    z = _z(spark, sf)
-    return C.dbscan_grid(z, _eps(spark, sf, z))
-
-
-@register("dbscan")
+# all settings of the search on the pairs of KDIST_SQL; components by transitive closure over core points
+DBSCAN_SQL = KNEE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+cfgs(cfg, factor, div) AS (VALUES """ + ", ".join(f"({c}, {f}::DOUBLE, {'NULL' if d is None else d})" for c, (f, d) in enumerate(C.DBSCAN_SETTINGS)) + """),
+sizes AS (SELECT suite, count(*) AS n FROM z GROUP BY suite),
+cell AS (SELECT eps.suite, metric, cfg, eps * factor AS e, CASE WHEN div IS NULL THEN 2 ELSE greatest(2, n // div) END AS min_samples
+         FROM eps JOIN sizes USING (suite), cfgs),
+pd AS (SELECT suite, a, b, 'cosine' AS metric, cosine AS d FROM pairs UNION ALL SELECT suite, a, b, 'euclidean', euclidean FROM pairs
+       UNION ALL SELECT suite, a, b, 'manhattan', manhattan FROM pairs),
+near AS (SELECT suite, metric, cfg, a, b, min_samples FROM pd JOIN cell USING (suite, metric) WHERE a = b OR d <= e),
+core AS (SELECT suite, metric, cfg, a FROM near GROUP BY suite, metric, cfg, a HAVING count(*) >= any_value(min_samples)),
+edge AS (SELECT n.suite, n.metric, n.cfg, n.a, n.b FROM near n SEMI JOIN core c ON c.suite = n.suite AND c.metric = n.metric AND c.cfg = n.cfg AND c.a = n.a
+         SEMI JOIN core c2 ON c2.suite = n.suite AND c2.metric = n.metric AND c2.cfg = n.cfg AND c2.a = n.b),
+reach AS (SELECT suite, metric, cfg, a, a AS b FROM core UNION
+          SELECT r.suite, r.metric, r.cfg, r.a, e.b FROM reach r JOIN edge e ON e.suite = r.suite AND e.metric = r.metric AND e.cfg = r.cfg AND e.a = r.b),
+root AS (SELECT suite, metric, cfg, a, min(b) AS root FROM reach GROUP BY suite, metric, cfg, a),
+touch AS (SELECT n.suite, n.metric, n.cfg, n.a, min(r.root) AS root FROM near n JOIN root r ON r.suite = n.suite AND r.metric = n.metric AND r.cfg = n.cfg AND r.a = n.b GROUP BY ALL),
+found AS (SELECT c.suite, c.metric, c.cfg, c.e AS eps, c.min_samples, z.method_seq, coalesce(r.root, t.root) AS root FROM cell c JOIN z ON z.suite = c.suite
+          LEFT JOIN root r ON r.suite = c.suite AND r.metric = c.metric AND r.cfg = c.cfg AND r.a = z.method_seq
+          LEFT JOIN touch t ON t.suite = c.suite AND t.metric = c.metric AND t.cfg = c.cfg AND t.a = z.method_seq),
+lab AS (SELECT * EXCLUDE (root), CASE WHEN root IS NULL THEN -1
+               ELSE dense_rank() OVER (PARTITION BY suite, metric, cfg ORDER BY root NULLS LAST) - 1 END::INTEGER AS cluster FROM found),
+gate AS (SELECT suite, metric, cfg, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS n_clusters, count(*) FILTER (cluster = -1) AS n_outliers,
+                100.0 * count(*) FILTER (cluster = -1) / count(*) AS outlier_pct FROM lab GROUP BY suite, metric, cfg),
+pick AS (SELECT suite, metric, coalesce(min(cfg) FILTER (n_clusters >= 2 AND outlier_pct < 30), 0) AS cfg FROM gate GROUP BY suite, metric)"""
+
+
+def _dbscan(spark, sf, tried=C.DBSCAN_SETTINGS):
+    z = cut_lineage(_z(spark, sf))
+    return C.dbscan_grid(z, _eps(spark, sf, z), tried=tried)
+
+
+@register("dbscan", f"{DBSCAN_SQL} SELECT suite, metric, method_seq, cluster FROM lab WHERE cfg = 0")
 def q_dbscan(spark, sf):
     """K1: labels of the first setting (optimal eps, max(2, n // 10)) per suite and metric."""
-    lab = _dbscan(spark, sf).filter(F.col("cfg") == 0)
-    return lab.select("suite", "metric", "method_seq", "cluster")
+    return _dbscan(spark, sf, C.DBSCAN_SETTINGS[:1]).select("suite", "metric", "method_seq", "cluster")
 
 
-@register("dbscan_search")
+@register("dbscan_search", f"""{DBSCAN_SQL} SELECT suite, metric, cfg, round(eps, 6) AS eps, CAST(min_samples AS BIGINT) AS min_samples, method_seq, cluster
+FROM lab SEMI JOIN pick USING (suite, metric, cfg)""")
 def q_dbscan_search(spark, sf):
     """K4: chosen setting and its labels per suite and metric."""
     chosen, _ = C.dbscan_search(_dbscan(spark, sf))
     return chosen.select("suite", "metric", "cfg", round6("eps").alias("eps"), "min_samples", "method_seq", "cluster")
 
 
-@register("outlier_rate_gate")
+@register("outlier_rate_gate", f"""{DBSCAN_SQL} SELECT suite, metric, cfg, n_clusters, n_outliers, round(outlier_pct, 6) AS outlier_pct,
+n_clusters >= 2 AND outlier_pct < 30 AS accepted FROM gate""")
 def q_outlier_rate_gate(spark, sf):
     """Outlier % and acceptance of every DBSCAN setting."""
-    _, st = C.dbscan_search(_dbscan(spark, sf))
+    _, st = C.dbscan_search(cut_lineage(_dbscan(spark, sf)))
     return st.select("suite", "metric", "cfg", "n_clusters", "n_outliers", round6("outlier_pct").alias("outlier_pct"), "accepted")
 
 
