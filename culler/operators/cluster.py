@@ -7,8 +7,8 @@
   components by min-label propagation with pointer jumping.  Cluster ids are the
   dense rank of each component's smallest member, which reproduces sequential
   DBSCAN labels.  All 3 metrics x 6 settings run as one frame.
-* K5-K9 k-means: Lloyd iterations as DataFrame joins/aggregates keyed by
-  (suite, k, restart); every k of the elbow scan and every restart run together.
+* K5-K9 k-means: Lloyd iterations of every k of the elbow scan and every restart together, over one copy of the items:
+  chunks of a suite's items meet all its centroids and give partial sums.
 * K10/K11 agglomerative: rounds that merge all mutually nearest clusters at once, each one blocked pass
   over cluster sizes and sums.
 """
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ ELBOW_MAX_K = 10
 KMEANS_SEED = 42
 KMEANS_RESTARTS = 10
 ELBOW_RESTARTS = 5
+# Items of a suite that meet its centroids in one task.
+KMEANS_CHUNK = 4096
 # Squared move below which a centroid stands still (rounding of the means' sums).
 CENTROID_TOL = 1e-20
 
@@ -245,40 +249,58 @@ def dbscan_search(labels: DataFrame, count_points: bool = False) -> DataFrame:
 # ---------------- K5-K9 k-means ----------------
 
 def _init_centroids(z: DataFrame, runs: DataFrame, vec: str) -> DataFrame:
-    """k distinct items per run, chosen by a seeded hash (a partial top-k per run)."""
-    j = z.select("suite", "method_seq", vec).join(runs, "suite")
-    j = j.withColumn("h", F.xxhash64("method_seq", "k", "run", F.lit(KMEANS_SEED)))
-    w = Window.partitionBy("suite", "k", "run").orderBy("h", "method_seq")
+    """k distinct items per run, chosen by a seeded hash: a partial top-k of ids, then the vectors of the picks."""
+    j = z.select("suite", "method_seq").join(runs, "suite")
+    w = Window.partitionBy("suite", "k", "run").orderBy(F.md5(F.concat_ws("/", "method_seq", "k", "run", F.lit(KMEANS_SEED))), "method_seq")
     pick = j.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("k"))
-    return pick.select("suite", "k", "run", (F.col("r") - 1).cast("int").alias("cluster"), F.col(vec).alias("centroid"))
+    return pick.join(z.select("suite", "method_seq", vec), ["suite", "method_seq"]).select(
+        "suite", "k", "run", (F.col("r") - 1).cast("int").alias("cluster"), F.col(vec).alias("centroid"))
 
 
-def kmeans_runs(z: DataFrame, runs: DataFrame, vec: str = "z"):
-    """Lloyd iterations for every run (suite, k, run) at once, until no centroid moves.  Each
-    iteration lowers the inertia of an unfinished run, so the loop ends.  Returns
-    (assignments: suite, k, run, method_seq, cluster, sq_dist; inertia: suite, k, run, inertia)."""
-    cents = cut_lineage(_init_centroids(z, runs, vec))
-    items = cut_lineage(z.select("suite", "method_seq", vec).join(runs, "suite"))
+def _lloyd_kernel(vec: str):
+    """One round for a chunk of a suite's items and all centroids of the suite: per (k, run, cluster) the number and
+    the sum of the items nearest to it and their squared distances. A tie goes to the smaller cluster."""
+
+    def run(items: pd.DataFrame, cents: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(items) and len(cents):
+            x = BK.stack(items[vec])
+            for (k, r), part in cents.sort_values(["k", "run", "cluster"]).groupby(["k", "run"], sort=False):
+                d = BK.distance_tile(x, BK.stack(part["centroid"]), "euclidean") ** 2
+                near = d.argmin(axis=1)
+                mine = (near[None, :] == np.arange(len(part))[:, None]).astype(float)
+                out.append(pd.DataFrame({"suite": items["suite"].iloc[0], "k": k, "run": r, "cluster": part["cluster"].to_numpy(), "n": mine.sum(axis=1),
+                                         "total": list(mine @ x), "sq": mine @ d.min(axis=1)}))
+        columns = ["suite", "k", "run", "cluster", "n", "total", "sq"]
+        made = pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in columns})
+        return made[made["n"] > 0]
+
+    return run
+
+
+def kmeans_runs(z: DataFrame, runs: DataFrame, vec: str = "z") -> tuple[DataFrame, DataFrame]:
+    """Lloyd iterations for every run (suite, k, run) at once, until no centroid moves.  Each iteration lowers the
+    inertia of an unfinished run, so the loop ends.  Returns (inertia: suite, k, run, inertia; centroids: suite, k, run,
+    cluster, centroid).  The items are one table, dealt to chunks once for all runs; a round sends the
+    centroids of a suite to its chunks and gets one partial row per chunk and centroid back."""
     keys = ["suite", "k", "run"]
+    cents = cut_lineage(_init_centroids(z, runs, vec))
+    chunks = z.groupBy("suite").agg(F.ceil(F.count("*") / KMEANS_CHUNK).cast("int").alias("chunks"))
+    items = cut_lineage(z.select("suite", "method_seq", vec).join(chunks, "suite").withColumn("chunk", F.pmod(F.xxhash64("method_seq"), F.col("chunks")).cast("int")))
+    every = cut_lineage(items.select("suite", "chunk").distinct())
+    schema = f"suite {BK.key_type(z)}, k int, run int, cluster int, n double, total array<double>, sq double"
     while True:
-        j = items.join(cents, keys).withColumn("_d", V.sq_dist(F.col(vec), F.col("centroid")))
-        assign = j.groupBy(*keys, "method_seq").agg(F.min_by("cluster", F.struct("_d", "cluster")).alias("cluster"))
-        new = V.centroids(assign.join(items, keys + ["method_seq"]), vec, keys + ["cluster"]).select(*keys, "cluster", "centroid")
+        sent = cents.join(every, "suite").select(*keys, "cluster", "centroid", "chunk")
+        part = items.groupBy("suite", "chunk").cogroup(sent.groupBy("suite", "chunk")).applyInPandas(_lloyd_kernel(vec), schema)
+        part = part.groupBy(*keys, "cluster").agg(Summarizer.sum(array_to_vector("total")).alias("t"), F.sum("n").alias("n"), F.sum("sq").alias("sq"))
+        part = part.select(*keys, "cluster", F.col("n").alias("size"), "sq", vector_to_array("t").alias("t"))
         # empty clusters keep their previous centroid
-        new = cents.join(new.withColumnRenamed("centroid", "nc"), keys + ["cluster"], "left").select(
-            *keys, "cluster", F.coalesce("nc", "centroid").alias("centroid"))
-        new = cut_lineage(new)
-        shift = new.join(cents.withColumnRenamed("centroid", "oc"), keys + ["cluster"]).agg(
-            F.max(V.sq_dist(F.col("centroid"), F.col("oc"))).alias("m")).first()["m"]
-        cents = new
+        mean = F.when(F.col("size") > 0, F.transform("t", lambda x: x / F.col("size"))).otherwise(F.col("centroid"))
+        new = cut_lineage(cents.join(part, [*keys, "cluster"], "left").select(*keys, "cluster", mean.alias("centroid"), "sq", V.sq_dist(mean, F.col("centroid")).alias("moved")))
+        shift = new.agg(F.max("moved").alias("m")).first()["m"]
+        cents = new.select(*keys, "cluster", "centroid")
         if shift is None or shift <= CENTROID_TOL:
-            break
-    j = items.join(cents, keys).withColumn("_d", V.sq_dist(F.col(vec), F.col("centroid")))
-    assign = j.groupBy(*keys, "method_seq").agg(
-        F.min_by("cluster", F.struct("_d", "cluster")).alias("cluster"), F.min("_d").alias("sq_dist"))
-    assign = cut_lineage(assign)
-    inertia = assign.groupBy(*keys).agg(F.sum("sq_dist").alias("inertia"))
-    return assign, inertia, cents
+            return new.groupBy(*keys).agg(F.coalesce(F.sum("sq"), F.lit(0.0)).alias("inertia")), cents
 
 
 def elbow_k_from_inertia(inertia: DataFrame) -> DataFrame:
@@ -295,26 +317,30 @@ def elbow_k_from_inertia(inertia: DataFrame) -> DataFrame:
         "suite", F.when(F.col("m") > 2, F.least(F.col("k_at") + 2, F.col("max_k"))).otherwise(F.lit(3)).alias("k"))
 
 
+def elbow_inertias(z: DataFrame, vec: str = "z") -> DataFrame:
+    """K5: (suite, k, inertia) for k = 2..min(10, n // 3), the best of 5 restarts each."""
+    sizes = z.groupBy("suite").agg(F.least(F.lit(ELBOW_MAX_K), F.floor(F.count("*") / 3)).cast("int").alias("max_k"))
+    ks = sizes.filter(F.col("max_k") >= 2).select("suite", F.explode(F.sequence(F.lit(2), F.col("max_k"))).alias("k"))
+    runs = cut_lineage(ks.select("suite", "k", F.explode(F.sequence(F.lit(0), F.lit(ELBOW_RESTARTS - 1))).alias("run")))
+    inertia, _ = kmeans_runs(z, runs, vec)
+    return inertia.groupBy("suite", "k").agg(F.min("inertia").alias("inertia"))
+
+
+def chosen_k(z: DataFrame, inertias: DataFrame) -> DataFrame:
+    """K5: (suite, k), the elbow of a suite's inertias; 2 where there are none; at most its items."""
+    chosen = z.groupBy("suite").agg(F.count("*").alias("n")).join(elbow_k_from_inertia(inertias), "suite", "left")
+    return chosen.select("suite", F.least(F.coalesce("k", F.lit(2)), "n").cast("int").alias("k"))
+
+
 def kmeans_auto(z: DataFrame, vec: str = "z") -> tuple[DataFrame, DataFrame]:
-    """K5 + K6: elbow over k = 2..min(10, n // 3) (5 restarts each; k = 2 when
-    that range is empty), then the final fit with 10 restarts, best by inertia.
+    """K5 + K6: the k of the elbow, then the best of 10 restarts by inertia.
     Returns (labels: suite, method_seq, cluster; chosen k per suite)."""
-    spark = z.sparkSession
-    sizes = z.groupBy("suite").agg(F.count("*").alias("n")).withColumn(
-        "max_k", F.least(F.lit(ELBOW_MAX_K), F.floor(F.col("n") / 3)).cast("int"))
-    ks = sizes.filter(F.col("max_k") >= 2).select("suite", "n", F.explode(F.sequence(F.lit(2), F.col("max_k"))).alias("k"))
-    runs = ks.select("suite", "k", F.explode(F.sequence(F.lit(0), F.lit(ELBOW_RESTARTS - 1))).alias("run"))
-    _, inert, _ = kmeans_runs(z, runs, vec)
-    best_inert = inert.groupBy("suite", "k").agg(F.min("inertia").alias("inertia"))
-    chosen = elbow_k_from_inertia(best_inert)
-    chosen = sizes.join(chosen, "suite", "left").select(
-        "suite", F.when(F.col("max_k") < 2, F.lit(2)).otherwise(F.col("k")).alias("k"), "n")
-    chosen = chosen.withColumn("k", F.least("k", "n").cast("int")).drop("n")
-    chosen = cut_lineage(chosen)
-    final_runs = chosen.select("suite", "k", F.explode(F.sequence(F.lit(100), F.lit(100 + KMEANS_RESTARTS - 1))).alias("run"))
-    assign, inert2, _ = kmeans_runs(z, final_runs, vec)
-    best = inert2.groupBy("suite").agg(F.min_by("run", F.struct("inertia", "run")).alias("run"))
-    lab = assign.join(best, ["suite", "run"]).select("suite", "method_seq", "cluster")
+    chosen = cut_lineage(chosen_k(z, elbow_inertias(z, vec)))
+    runs = cut_lineage(chosen.select("suite", "k", F.explode(F.sequence(F.lit(100), F.lit(100 + KMEANS_RESTARTS - 1))).alias("run")))
+    inertia, cents = kmeans_runs(z, runs, vec)
+    best = inertia.groupBy("suite").agg(F.min_by("run", F.struct("inertia", "run")).alias("run"))
+    own = cents.join(best, ["suite", "run"]).select("suite", "cluster", "centroid")
+    lab = V.assign_nearest(z.select("suite", "method_seq", vec), own, vec).select("suite", "method_seq", "cluster")
     # number clusters by their smallest member (deterministic order)
     roots = lab.groupBy("suite", "cluster").agg(F.min("method_seq").alias("root"))
     roots = roots.withColumn("c2", (F.dense_rank().over(Window.partitionBy("suite").orderBy("root")) - 1).cast("int"))

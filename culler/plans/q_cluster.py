@@ -132,46 +132,52 @@ def q_outlier_rate_gate(spark, sf):
     return st.select("suite", "metric", "cfg", "n_clusters", "n_outliers", round6("outlier_pct").alias("outlier_pct"), "accepted")
 
 
-# ---------------- elbow on a data-derived inertia table ----------------
+# ---------------- k-means: the elbow's inertias, the labels ----------------
+
+LLOYD_ROUNDS = 25  # more than these inputs need to stand still
+
+
+def _lloyd_sql(name: str, runs: str) -> str:
+    """CTEs {name}_0, {name}_1, ...: the centroids of each round, from the same seeds; {name}_a: the last assignment."""
+    out = [f"""{name}_0 AS MATERIALIZED (SELECT suite, k, run, cluster, c FROM (
+  SELECT z.suite, r.k, r.run, v AS c, row_number() OVER (PARTITION BY z.suite, r.k, r.run
+         ORDER BY md5(concat_ws('/', method_seq, r.k, r.run, {C.KMEANS_SEED})), method_seq) - 1 AS cluster FROM z JOIN {runs} r ON r.suite = z.suite) WHERE cluster < k)"""]
+    near = lambda i, tag: f"""{name}_{tag} AS MATERIALIZED (SELECT c.suite, c.k, c.run, z.method_seq, arg_min(c.cluster, list_distance(z.v, c.c)) AS cluster,
+  min(list_distance(z.v, c.c)) AS d FROM {name}_{i} c JOIN z ON z.suite = c.suite GROUP BY ALL)"""
+    for i in range(LLOYD_ROUNDS):
+        out += [near(i, f"n{i}"), f"""{name}_{i + 1} AS MATERIALIZED (SELECT o.suite, o.k, o.run, o.cluster, coalesce(n.c, o.c) AS c FROM {name}_{i} o LEFT JOIN (
+  SELECT suite, k, run, cluster, list(m ORDER BY dim) AS c FROM (SELECT a.suite, a.k, a.run, a.cluster, l.dim, avg(l.z) AS m
+  FROM {name}_n{i} a JOIN zl l ON l.suite = a.suite AND l.method_seq = a.method_seq GROUP BY ALL) GROUP BY ALL) n
+  ON n.suite = o.suite AND n.k = o.k AND n.run = o.run AND n.cluster = o.cluster)"""]
+    return ",\n".join([*out, near(LLOYD_ROUNDS, "a")])
+
 
 INERTIA_SQL = f"""
 WITH {z_sql()},
-nn AS (SELECT suite, count(*) AS n, least(10, count(*) // 3) AS max_k FROM z GROUP BY suite),
-ks AS (SELECT suite, unnest(generate_series(2, max_k)) AS k FROM nn WHERE max_k >= 2),
-g AS (SELECT zl.suite, ks.k, zl.cluster % ks.k AS grp, zl.dim, zl.z FROM zl JOIN ks USING (suite)),
-mu AS (SELECT suite, k, grp, dim, avg(z) AS m FROM g GROUP BY ALL),
-inert AS (SELECT g.suite, g.k, sum((g.z - mu.m) * (g.z - mu.m)) AS inertia FROM g JOIN mu USING (suite, k, grp, dim) GROUP BY ALL),
+nn AS (SELECT suite, count(*) AS n, least({C.ELBOW_MAX_K}, count(*) // 3) AS max_k FROM z GROUP BY suite),
+er AS (SELECT suite, unnest(generate_series(2, max_k)) AS k, run FROM nn, range({C.ELBOW_RESTARTS}) t(run) WHERE max_k >= 2),
+{_lloyd_sql("e", "er")},
+inert AS MATERIALIZED (SELECT suite, k, min(i) AS inertia FROM (SELECT suite, k, run, sum(d * d) AS i FROM e_a GROUP BY ALL) GROUP BY ALL),
 dw AS (SELECT *, lead(inertia, 1) OVER w - inertia AS d1,
               (lead(inertia, 2) OVER w - lead(inertia, 1) OVER w) - (lead(inertia, 1) OVER w - inertia) AS d2
-       FROM inert WINDOW w AS (PARTITION BY suite ORDER BY k))"""
-
-
-def _inertia_table(spark, sf):
-    """Inertia of the grouping (label % k) for k = 2..min(10, n // 3) — a table
-    derived from the data that the elbow rule reads like k-means inertias."""
-    z = _z(spark, sf)
-    sizes = z.groupBy("suite").agg(F.count("*").alias("n")).withColumn(
-        "max_k", F.least(F.lit(10), F.floor(F.col("n") / 3)).cast("int"))
-    ks = sizes.filter("max_k >= 2").select("suite", F.explode(F.sequence(F.lit(2), F.col("max_k"))).alias("k"))
-    g = z.join(ks, "suite").withColumn("grp", F.col("cluster") % F.col("k"))
-    cents = V.centroids(g, "z", ["suite", "k", "grp"])
-    return V.inertia(g, cents, "z", ["suite", "k", "grp"], ["suite", "k"])
+       FROM inert WINDOW w AS (PARTITION BY suite ORDER BY k)),
+cnt AS (SELECT suite, count(*) AS m, max(k) AS max_k FROM inert GROUP BY suite),
+best AS (SELECT suite, arg_min(k, -d2) AS k_at FROM dw WHERE d2 IS NOT NULL GROUP BY suite),
+ek AS (SELECT cnt.suite, CAST(CASE WHEN m > 2 THEN least(k_at + 2, max_k) ELSE 3 END AS BIGINT) AS k FROM cnt LEFT JOIN best USING (suite))"""
 
 
-@register("elbow_k", f"""{INERTIA_SQL},
-cnt AS (SELECT suite, count(*) AS m, max(k) AS max_k FROM inert GROUP BY suite),
-best AS (SELECT suite, arg_min(k, -d2) AS k_at FROM dw WHERE d2 IS NOT NULL GROUP BY suite)
-SELECT cnt.suite, CAST(CASE WHEN m > 2 THEN least(k_at + 2, max_k) ELSE 3 END AS BIGINT) AS k FROM cnt LEFT JOIN best USING (suite)""")
+@register("elbow_k", f"{INERTIA_SQL} SELECT suite, k FROM ek")
 def q_elbow_k(spark, sf):
-    e = C.elbow_k_from_inertia(_inertia_table(spark, sf))
+    """K5: the elbow of the inertias of fitted runs."""
+    e = C.elbow_k_from_inertia(C.elbow_inertias(cut_lineage(_z(spark, sf))))
     return e.select("suite", F.col("k").cast("long").alias("k"))
 
 
 @register("diff_windows", f"{INERTIA_SQL} SELECT suite, CAST(k AS BIGINT) AS k, round(inertia, 6) AS inertia, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM dw")
 def q_diff_windows(spark, sf):
-    """First and second differences of the inertia series (lead windows)."""
+    """First and second differences of the inertias of fitted runs (lead windows)."""
     from pyspark.sql import Window
-    t = _inertia_table(spark, sf)
+    t = C.elbow_inertias(cut_lineage(_z(spark, sf)))
     w = Window.partitionBy("suite").orderBy("k")
     i1, i2 = F.lead("inertia", 1).over(w), F.lead("inertia", 2).over(w)
     return t.select("suite", F.col("k").cast("long").alias("k"), round6("inertia").alias("inertia"),
@@ -180,10 +186,15 @@ def q_diff_windows(spark, sf):
 
 # ---------------- k-means, hierarchical, linkage, grid, PCA ----------------
 
-@register("kmeans")
+@register("kmeans", f"""{INERTIA_SQL},
+fr AS (SELECT nn.suite, least(coalesce(ek.k, 2), nn.n) AS k, run FROM nn LEFT JOIN ek USING (suite), range(100, {100 + C.KMEANS_RESTARTS}) t(run)),
+{_lloyd_sql("f", "fr")},
+win AS (SELECT suite, arg_min(run, i) AS run FROM (SELECT suite, run, sum(d * d) AS i FROM f_a GROUP BY ALL) GROUP BY suite),
+lab AS (SELECT suite, method_seq, min(method_seq) OVER (PARTITION BY suite, cluster) AS root FROM f_a SEMI JOIN win USING (suite, run))
+SELECT suite, method_seq, CAST(dense_rank() OVER (PARTITION BY suite ORDER BY root) - 1 AS INTEGER) AS cluster FROM lab""")
 def q_kmeans(spark, sf):
     """K6: labels of the elbow-chosen k (best of 10 restarts by inertia)."""
-    lab, _ = C.kmeans_auto(_z(spark, sf))
+    lab, _ = C.kmeans_auto(cut_lineage(_z(spark, sf)))
     return lab
 
 

@@ -90,17 +90,18 @@ def test_dbscan_matches_sequential(spark, seed):
     assert [got[i] for i in range(len(X))] == exp.tolist()
 
 
-def test_kmeans_invariants(spark):
+def test_kmeans_invariants(spark, monkeypatch):
     rng = np.random.default_rng(1)
     X = np.vstack([rng.normal(c, .2, (10, 3)) for c in (0, 4, 8)])
     df = spark.createDataFrame([("s", i, X[i].tolist()) for i in range(len(X))], "suite string, method_seq long, z array<double>")
     runs = spark.createDataFrame([("s", 3, 0)], "suite string, k int, run int")
-    assign, inertia, cents = C.kmeans_runs(df, runs)
-    cmap = {r["cluster"]: np.array(r["centroid"]) for r in cents.collect()}
-    for r in assign.collect():
-        d = {c: ((X[r["method_seq"]] - v) ** 2).sum() for c, v in cmap.items()}
-        assert d[r["cluster"]] == pytest.approx(min(d.values()))
-    assert inertia.first()["inertia"] == pytest.approx(sum(r["sq_dist"] for r in assign.collect()))
+    monkeypatch.setattr(C, "KMEANS_CHUNK", 7)  # several chunks of a suite
+    inertia, cents = C.kmeans_runs(df, runs)
+    c = np.array([r["centroid"] for r in cents.orderBy("cluster").collect()])
+    d = ((X[:, None] - c[None]) ** 2).sum(axis=2)
+    assert inertia.first()["inertia"] == pytest.approx(d.min(axis=1).sum())
+    for k in range(3):  # centroids are the means of their items
+        assert c[k] == pytest.approx(X[d.argmin(axis=1) == k].mean(axis=0))
 
 
 def test_elbow_rule(spark):
