@@ -9,7 +9,7 @@ from culler.operators import cluster as C
 from culler.operators import eps_tiles as EPS
 from culler.operators import quality as Q
 from culler.operators import vectors as V
-from culler.plans.fixtures import method_vectors, round6
+from culler.plans.fixtures import F2_SQL, method_vectors, round6
 from culler.plans.q_vectors import KDIST_SQL, z_sql
 from culler.plans.registry import register
 from culler.session import cut_lineage
@@ -198,25 +198,67 @@ def q_kmeans(spark, sf):
     return lab
 
 
-@register("hierarchical")
+def _merge_sql(name: str, src: str, distance: str) -> str:
+    """CTEs of the tree that merges the globally nearest pair again and again: {name} has every step's clusters (id, the smallest
+    member; m, the mean; mem, the members), the merged one with its height; {name}_m the merges."""
+    return f"""{name} AS (
+  SELECT suite, 0 AS step, method_seq AS id, 1.0::DOUBLE AS n, v AS m, [method_seq] AS mem, NULL::BIGINT AS other, NULL::DOUBLE AS other_n, NULL::DOUBLE AS h FROM {src}
+  UNION ALL
+  SELECT t.suite, t.step + 1, t.id, CASE WHEN t.id = p.a THEN t.n + u.n ELSE t.n END,
+         CASE WHEN t.id = p.a THEN list_transform(list_zip(t.m, u.m), lambda x: (x[1] * t.n + x[2] * u.n) / (t.n + u.n)) ELSE t.m END,
+         CASE WHEN t.id = p.a THEN list_concat(t.mem, u.mem) ELSE t.mem END,
+         CASE WHEN t.id = p.a THEN u.id END, CASE WHEN t.id = p.a THEN u.n END, CASE WHEN t.id = p.a THEN p.d END
+  FROM {name} t JOIN (SELECT suite, arg_min(a, d) AS a, arg_min(b, d) AS b, min(d) AS d
+                      FROM (SELECT i.suite, i.id AS a, j.id AS b, {distance} AS d FROM {name} i JOIN {name} j ON i.suite = j.suite AND i.id < j.id) GROUP BY suite) p
+       ON p.suite = t.suite JOIN {name} u ON u.suite = p.suite AND u.id = p.b WHERE t.id <> p.b),
+{name}_m AS MATERIALIZED (SELECT suite, id AS "left", CAST(n - other_n AS BIGINT) AS left_size, other AS "right", CAST(other_n AS BIGINT) AS right_size, h AS height, CAST(n AS BIGINT) AS size
+  FROM {name} WHERE h IS NOT NULL)"""
+
+
+_WARD = "list_distance(i.m, j.m) * sqrt(2 * i.n * j.n / (i.n + j.n))"
+_AVERAGE = "greatest(0.0, least(2.0, 1 - list_inner_product(i.m, j.m)))"
+
+
+def _levels_sql(name: str, metric: str) -> str:
+    """The merges down to 5 levels from the root."""
+    return f"""{name}_l AS (
+  SELECT m.*, 0 AS depth FROM {name}_m m WHERE size = (SELECT max(size) FROM {name}_m x WHERE x.suite = m.suite)
+  UNION ALL SELECT m.*, l.depth + 1 FROM {name}_l l JOIN {name}_m m ON m.suite = l.suite
+            AND ((m."left" = l."left" AND m.size = l.left_size) OR (m."left" = l."right" AND m.size = l.right_size)) WHERE l.depth < 4),
+{name}_o AS (SELECT suite, '{metric}' AS metric, depth, "left", left_size, "right", right_size, round(height, 6) AS height, size FROM {name}_l)"""
+
+
+_TREE_SRC = f"""WITH RECURSIVE raw AS (SELECT suite, method_seq, vec AS v FROM ({F2_SQL})),
+unit AS (SELECT suite, method_seq, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM raw)"""
+
+
+@register("hierarchical", INERTIA_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+hk AS (SELECT nn.suite, nn.n, least(coalesce(ek.k, 2), nn.n) AS k FROM nn LEFT JOIN ek USING (suite)),
+{_merge_sql("w", "z", _WARD)}
+SELECT suite, unnest(mem) AS method_seq, CAST(c AS INTEGER) AS cluster FROM (
+  SELECT w.suite, mem, dense_rank() OVER (PARTITION BY w.suite ORDER BY id) - 1 AS c FROM w JOIN hk ON hk.suite = w.suite AND w.step = hk.n - hk.k)""")
 def q_hierarchical(spark, sf):
     """Agglomerative labels (Ward), k from the elbow."""
-    z = _z(spark, sf)
-    _, k = C.kmeans_auto(z)
-    return C.hierarchical(z, k)
+    z = cut_lineage(_z(spark, sf))
+    return C.hierarchical(z, C.chosen_k(z, C.elbow_inertias(z)))
+
+
+def _rounded(tree):
+    return tree.withColumn("height", round6("height"))
 
 
-@register("linkage_table")
+@register("linkage_table", f"{_TREE_SRC}, {_merge_sql('c', 'unit', _AVERAGE)}, {_levels_sql('c', 'cosine')} SELECT * FROM c_o")
 def q_linkage_table(spark, sf):
     """Merge tree (cosine -> average) of the raw vectors, 5 levels from the root."""
-    return C.linkage_table(method_vectors(spark, sf), "cosine")
+    return _rounded(C.linkage_table(method_vectors(spark, sf), "cosine"))
 
 
-@register("dendrogram_data")
+@register("dendrogram_data", f"""{_TREE_SRC}, {_merge_sql('c', 'unit', _AVERAGE)}, {_levels_sql('c', 'cosine')},
+{_merge_sql('w', 'raw', _WARD)}, {_levels_sql('w', 'euclidean')} SELECT * FROM c_o UNION ALL SELECT * FROM w_o""")
 def q_dendrogram_data(spark, sf):
     """The merge trees for cosine and euclidean."""
     m = method_vectors(spark, sf)
-    return C.linkage_table(m, "cosine").unionByName(C.linkage_table(m, "euclidean"))
+    return _rounded(C.linkage_table(m, "cosine").unionByName(C.linkage_table(m, "euclidean")))
 
 
 def cluster_grid(spark, sf):
