@@ -389,7 +389,8 @@ def merge_tree(items: DataFrame, linkage: str, vec: str = "vec", block_size: int
     ``ward`` (on Euclidean distance) and ``average`` (on cosine distance) are reducible, so in every round all pairs of
     mutually nearest clusters merge at once and the tree is the one of merging the globally nearest pair each time.
     Both distances follow from a cluster's size and vector sum (of unit vectors for cosine), so a round is one blocked
-    nearest-neighbour pass over clusters, whose number falls by a constant factor per round; no suite is a task."""
+    nearest-neighbour pass over clusters; no suite is a task. At least one pair of a suite merges per round, usually a share of its
+    clusters; points at 1, 2, 4, 8, ... merge one pair a round."""
     if linkage not in ("ward", "average"):
         raise ValueError(f"no reducible summary for linkage: {linkage}")
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))

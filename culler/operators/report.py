@@ -183,7 +183,20 @@ def text_report(labeled: DataFrame, name: str = "name") -> DataFrame:
     return head.unionByName(body)
 
 
-def rank_in_suite(df: DataFrame, order_cols: list, k: int | None = None, name: str = "rank") -> DataFrame:
-    w = Window.partitionBy("suite").orderBy(*order_cols)
-    out = df.withColumn(name, F.row_number().over(w))
-    return out.filter(F.col(name) <= k) if k else out
+def first_rows(names: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` items of each suite by method_seq."""
+    w = Window.partitionBy("suite").orderBy("method_seq")
+    return names.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def similar_block(neighbours: DataFrame, names: DataFrame, first: int = 5, top: int = 3) -> DataFrame:
+    """The report's neighbour block: (suite, line_no, line) for a suite's first ``first`` methods with their ``top`` most
+    similar others. ``neighbours``: B12 rows of one metric; ``names``: suite, method_seq, name."""
+    w = Window.partitionBy("suite").orderBy("method_seq")
+    asked = names.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first)
+    near = neighbours.filter(F.col("rank") <= top).join(asked.select("suite", F.col("method_seq").alias("a"), "name", "_r"), ["suite", "a"])
+    near = near.join(names.select("suite", F.col("method_seq").alias("b"), F.col("name").alias("_other")), ["suite", "b"])
+    entry = F.struct("rank", F.concat("_other", F.lit(" ("), F.round("score", 3).cast("string"), F.lit(")")).alias("t"))
+    rows = near.groupBy("suite", "_r", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), ", ").alias("t"))
+    lines = rows.select("suite", (F.lit(100_000) + F.col("_r")).alias("line_no"), F.concat(F.lit("  "), F.col("name"), F.lit(": "), F.col("t")).alias("line"))
+    return asked.select("suite").distinct().select("suite", F.lit(100_000).alias("line_no"), F.lit("Similar methods:").alias("line")).unionByName(lines)

@@ -284,7 +284,7 @@ def truncate_tokens(toks: Column, max_length: int = MAX_TOKENS) -> Column:
 
 
 class _TokenBuckets(dict):
-    """token -> (bucket, sign); starts anew when it holds a million tokens."""
+    """token -> (bucket, sign); starts anew when it holds a million tokens; long tokens aren't kept."""
 
     def __init__(self, dims: int):
         self.dims = dims
@@ -293,7 +293,9 @@ class _TokenBuckets(dict):
         if len(self) >= 1_000_000:
             self.clear()
         h = hashlib.md5(token).hexdigest()
-        v = self[token] = (int(h[:8], 16) % self.dims, 1.0 if int(h[8], 16) < 8 else -1.0)
+        v = (int(h[:8], 16) % self.dims, 1.0 if int(h[8], 16) < 8 else -1.0)
+        if len(token) <= 64:
+            self[token] = v
         return v
 
 

@@ -186,12 +186,14 @@ def q_diff_windows(spark, sf):
 
 # ---------------- k-means, hierarchical, linkage, grid, PCA ----------------
 
-@register("kmeans", f"""{INERTIA_SQL},
-fr AS (SELECT nn.suite, least(coalesce(ek.k, 2), nn.n) AS k, run FROM nn LEFT JOIN ek USING (suite), range(100, {100 + C.KMEANS_RESTARTS}) t(run)),
+FINAL_SQL = f"""fr AS (SELECT nn.suite, least(coalesce(ek.k, 2), nn.n) AS k, run FROM nn LEFT JOIN ek USING (suite), range(100, {100 + C.KMEANS_RESTARTS}) t(run)),
 {_lloyd_sql("f", "fr")},
 win AS (SELECT suite, arg_min(run, i) AS run FROM (SELECT suite, run, sum(d * d) AS i FROM f_a GROUP BY ALL) GROUP BY suite),
-lab AS (SELECT suite, method_seq, min(method_seq) OVER (PARTITION BY suite, cluster) AS root FROM f_a SEMI JOIN win USING (suite, run))
-SELECT suite, method_seq, CAST(dense_rank() OVER (PARTITION BY suite ORDER BY root) - 1 AS INTEGER) AS cluster FROM lab""")
+km AS (SELECT suite, method_seq, min(method_seq) OVER (PARTITION BY suite, cluster) AS root FROM f_a SEMI JOIN win USING (suite, run))"""
+
+
+@register("kmeans", f"""{INERTIA_SQL}, {FINAL_SQL}
+SELECT suite, method_seq, CAST(dense_rank() OVER (PARTITION BY suite ORDER BY root) - 1 AS INTEGER) AS cluster FROM km""")
 def q_kmeans(spark, sf):
     """K6: labels of the elbow-chosen k (best of 10 restarts by inertia)."""
     lab, _ = C.kmeans_auto(cut_lineage(_z(spark, sf)))
@@ -267,7 +269,29 @@ def cluster_grid(spark, sf):
     return grid(cut_lineage(_z(spark, sf)))
 
 
-@register("cluster_grid")
+# the seven cells' labels from the SQL above, silhouettes from all pairs
+GRID_SQL = DBSCAN_SQL + ",\nnn AS" + INERTIA_SQL.split(",\nnn AS", 1)[1] + f""",
+{FINAL_SQL},
+hk AS (SELECT nn.suite, nn.n, least(coalesce(ek.k, 2), nn.n) AS k FROM nn LEFT JOIN ek USING (suite)),
+{_merge_sql("w", "z", _WARD)},
+ward AS (SELECT suite, unnest(mem) AS method_seq, id AS cluster FROM (SELECT w.suite, w.mem, w.id FROM w JOIN hk ON hk.suite = w.suite AND w.step = hk.n - hk.k)),
+cells AS (SELECT suite, 'dbscan' AS algorithm, metric, method_seq, cluster FROM lab SEMI JOIN pick USING (suite, metric, cfg)
+          UNION ALL SELECT suite, 'kmeans', metric, method_seq, root FROM km, (VALUES ('cosine'), ('euclidean'), ('manhattan')) v(metric)
+          UNION ALL SELECT suite, 'hierarchical', 'euclidean', method_seq, cluster FROM ward),
+side AS (SELECT x.suite, x.algorithm, x.metric, x.method_seq AS a, x.cluster AS own, y.cluster AS other, sum(CASE WHEN p.a <> p.b THEN p.d ELSE 0 END) AS s, count(*) AS n
+         FROM cells x JOIN pd p ON p.suite = x.suite AND p.metric = x.metric AND p.a = x.method_seq
+         JOIN cells y ON y.suite = x.suite AND y.algorithm = x.algorithm AND y.metric = x.metric AND y.method_seq = p.b
+         WHERE x.cluster >= 0 AND y.cluster >= 0 GROUP BY ALL),
+item AS (SELECT suite, algorithm, metric, a, max(n) FILTER (other = own) AS own_n, max(s / (n - 1)) FILTER (other = own AND n > 1) AS ai,
+                min(s / n) FILTER (other <> own) AS bi FROM side GROUP BY ALL),
+sil AS (SELECT suite, algorithm, metric, avg(CASE WHEN own_n = 1 OR greatest(ai, bi) = 0 THEN 0 ELSE (bi - ai) / greatest(ai, bi) END) AS sil FROM item GROUP BY ALL),
+num AS (SELECT suite, algorithm, metric, count(*) AS n, count(DISTINCT cluster) FILTER (cluster >= 0) AS n_clusters, count(*) FILTER (cluster = -1) AS n_outliers
+        FROM cells GROUP BY ALL)
+SELECT suite, algorithm, metric, n_clusters, n_outliers,
+       CASE WHEN n_clusters < 2 OR n_clusters > n - n_outliers - 1 THEN 0.0 ELSE round(sil, 6) END AS quality FROM num LEFT JOIN sil USING (suite, algorithm, metric)"""
+
+
+@register("cluster_grid", GRID_SQL)
 def q_cluster_grid(spark, sf):
     runs, _, _ = cluster_grid(spark, sf)
     return runs.select("suite", "algorithm", "metric", "n_clusters", "n_outliers", round6("quality").alias("quality"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from culler.functions import metrics as M
 from culler.functions.text import clean_code, is_nonblank, split_lines
 from culler.operators import report as R
-from culler.plans.fixtures import F1_SQL, F5_SQL, pages_code, round6, suite_methods
+from culler.operators import vectors as V
+from culler.plans.fixtures import F1_SQL, F2_SQL, F5_SQL, method_vectors, pages_code, round6, suite_methods
+from culler.plans.q_vectors import SIM_SQL
 from culler.plans.registry import dcount, register
 
 WORD_SQL = r"[\pL\pN_]"
@@ -323,7 +325,16 @@ UNION ALL SELECT suite, base, concat(cat, ': ', method_count, ' methods') FROM p
 UNION ALL SELECT suite, base + 1, concat('  avg complexity ', CAST(round(avg_complexity, 2) AS VARCHAR), ', avg lines ',
                                          CAST(round(avg_lines, 2) AS VARCHAR)) FROM pp
 UNION ALL SELECT suite, base + 2, concat('  ', characteristics) FROM pp
-UNION ALL SELECT suite, base + 3, concat('  ', first_methods) FROM pp""")
+UNION ALL SELECT suite, base + 3, concat('  ', first_methods) FROM pp
+UNION ALL SELECT DISTINCT CAST(suite AS VARCHAR), 100000, 'Similar methods:' FROM ({F2_SQL})
+UNION ALL SELECT * FROM ({SIM_SQL},
+  fm AS (SELECT suite, method_seq, row_number() OVER (PARTITION BY suite ORDER BY method_seq) AS r FROM ({F2_SQL}))
+  SELECT CAST(x.suite AS VARCHAR), 100000 + fm.r, concat('  m', x.a, ': ', string_agg(concat('m', x.b, ' (', CAST(round(x.score, 3) AS VARCHAR), ')'), ', ' ORDER BY x.rank))
+  FROM ranked x JOIN fm ON fm.suite = x.suite AND fm.method_seq = x.a WHERE x.metric = 'cosine' AND x.rank <= 3 AND fm.r <= 5 GROUP BY x.suite, x.a, fm.r)""")
 def q_text_report(spark, sf):
-    r = R.text_report(_feat(spark, sf))
+    """Totals and clusters of the F1 suites, the neighbour block of the F2 suites (the ones with vectors)."""
+    vectors = method_vectors(spark, sf).withColumn("suite", F.col("suite").cast("string")).withColumn("name", F.concat(F.lit("m"), F.col("method_seq")))
+    names = vectors.select("suite", "method_seq", "name")
+    asked = V.topk_similar(vectors, k=3, metrics=("cosine",), queries=R.first_rows(names, 5))
+    r = R.text_report(_feat(spark, sf)).unionByName(R.similar_block(asked, names))
     return r.select("suite", F.col("line_no").cast("long").alias("line_no"), "line")

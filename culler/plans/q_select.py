@@ -172,7 +172,7 @@ JOIN p ON k.suite = p.suite AND k.name_key = p.name_key AND p.r = 1"""
 
 @register("join_first_by_name", _by_name_sql(False))
 def q_join_first_by_name(spark, sf):
-    """Record by name, first match (names collide: the first two characters)."""
+    """Record by name, first match (names collide: a hash of the text)."""
     return _by_name(spark, sf, False)
 
 
