@@ -297,18 +297,49 @@ def q_cluster_grid(spark, sf):
     return runs.select("suite", "algorithm", "metric", "n_clusters", "n_outliers", round6("quality").alias("quality"))
 
 
-@register("pca_2d")
+SQUARINGS = 12  # M ** 4096: the other directions are gone
+
+
+def _axis_sql(name: str, start: str) -> str:
+    """CTEs of the first principal axis of the long matrix ``start`` (suite, i, j, v) by repeated squaring: {name} (suite, i, v), of
+    length 1, its largest part positive."""
+    out = [f"{name}_0 AS MATERIALIZED (SELECT suite, i, j, v / max(abs(v)) OVER (PARTITION BY suite) AS v FROM {start})"]
+    for k in range(SQUARINGS):
+        out.append(f"""{name}_{k + 1} AS MATERIALIZED (SELECT suite, i, j, v / max(abs(v)) OVER (PARTITION BY suite) AS v FROM (
+  SELECT a.suite, a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{k} a JOIN {name}_{k} b ON b.suite = a.suite AND b.i = a.j GROUP BY ALL))""")
+    return ",\n".join(out) + f""",
+{name}_c AS (SELECT suite, arg_max(j, v) AS j FROM {name}_{SQUARINGS} WHERE i = j GROUP BY suite),
+{name} AS MATERIALIZED (SELECT m.suite, m.i, m.v / sqrt(sum(m.v * m.v) OVER w) * sign(arg_max(m.v, abs(m.v)) OVER w) AS v
+  FROM {name}_{SQUARINGS} m JOIN {name}_c c ON c.suite = m.suite AND c.j = m.j WINDOW w AS (PARTITION BY m.suite))"""
+
+
+PCA_CTES = f"""px AS (SELECT suite, method_seq, t.i AS i, t.x - avg(t.x) OVER (PARTITION BY suite, t.i) AS x FROM ({F2_SQL}), unnest(vec) WITH ORDINALITY AS t(x, i)),
+p0 AS MATERIALIZED (SELECT a.suite, a.i, b.i AS j, sum(a.x * b.x) AS v FROM px a JOIN px b ON b.suite = a.suite AND b.method_seq = a.method_seq GROUP BY ALL),
+{_axis_sql("v1", "p0")},
+l1 AS (SELECT p0.suite, sum(p0.v * a.v * b.v) AS l FROM p0 JOIN v1 a ON a.suite = p0.suite AND a.i = p0.i JOIN v1 b ON b.suite = p0.suite AND b.i = p0.j GROUP BY p0.suite),
+p1 AS MATERIALIZED (SELECT p0.suite, p0.i, p0.j, p0.v - l1.l * a.v * b.v AS v FROM p0 JOIN l1 ON l1.suite = p0.suite
+                    JOIN v1 a ON a.suite = p0.suite AND a.i = p0.i JOIN v1 b ON b.suite = p0.suite AND b.i = p0.j),
+{_axis_sql("v2", "p1")},
+pca AS (SELECT px.suite, px.method_seq, round(sum(px.x * v1.v), 6) AS x, round(sum(px.x * v2.v), 6) AS y
+        FROM px JOIN v1 ON v1.suite = px.suite AND v1.i = px.i JOIN v2 ON v2.suite = px.suite AND v2.i = px.i GROUP BY ALL)"""
+
+
+@register("pca_2d", f"WITH {PCA_CTES} SELECT * FROM pca")
 def q_pca_2d(spark, sf):
     """2-D projection of the raw vectors per suite."""
     p = V.pca_2d(method_vectors(spark, sf))
     return p.select("suite", "method_seq", round6("x").alias("x"), round6("y").alias("y"))
 
 
-@register("scatter_pca")
+@register("scatter_pca", GRID_SQL[:GRID_SQL.index(",\nside AS")] + f""",
+{PCA_CTES}
+SELECT c.suite, algorithm, metric, c.method_seq, x, y, c.cluster = -1 AS outlier,
+       CASE WHEN c.cluster = -1 THEN -1 ELSE dense_rank() OVER (PARTITION BY c.suite, algorithm, metric, c.cluster = -1 ORDER BY c.cluster) - 1 END::INTEGER AS cluster
+FROM cells c JOIN pca ON pca.suite = c.suite AND pca.method_seq = c.method_seq""")
 def q_scatter_pca(spark, sf):
-    """PCA coordinates with the given labels (outliers flagged)."""
-    m = method_vectors(spark, sf, outliers=True)
-    p = V.pca_2d(m)
-    return p.join(m.select("suite", "method_seq", "cluster"), ["suite", "method_seq"]).select(
-        "suite", "method_seq", round6("x").alias("x"), round6("y").alias("y"), "cluster",
-        (F.col("cluster") == -1).alias("outlier"))
+    """PCA coordinates with the label of every grid cell (outliers flagged)."""
+    _, lab, cells = cluster_grid(spark, sf)
+    name = F.element_at(F.array(*[F.struct(F.lit(a).alias("algorithm"), F.lit(m).alias("metric")) for a, m in cells]), F.col("cell") + 1)
+    lab = lab.select("suite", "method_seq", F.posexplode("labels").alias("cell", "cluster")).withColumn("c", name)
+    return V.pca_2d(method_vectors(spark, sf)).join(lab, ["suite", "method_seq"]).select(
+        "suite", "c.algorithm", "c.metric", "method_seq", round6("x").alias("x"), round6("y").alias("y"), "cluster", (F.col("cluster") == -1).alias("outlier"))
