@@ -18,6 +18,7 @@ HEADLINE = [
     "cip", "select_round_robin", "code_metrics", "cognitive", "clean_code", "embed_text",
     "topk_similar", "kth_neighbour_distance", "silhouette_euclidean", "optimal_eps",
     "extract_methods", "strip_to_interactions", "covariance", "cluster_profile", "hist_nesting",
+    "ann_topk", "dbscan_search", "kmeans", "pca_2d",
 ]
 
 
