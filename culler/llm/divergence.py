@@ -43,6 +43,8 @@ TOP = 10
 PARTS = 1_000_000_000
 BLOCK_TERMS = 4096
 GROUP_BLOCK = 64
+#: Parts that the terms of a language and size are dealt to when they look up their number of blocks.
+SALTS = 64
 #: Widest one-hot matrix of a product, in columns; terms beyond it go to the next slice.
 WIDEST = 3000
 #: A task's partial counts are sent on at so many entries or bytes of terms.
@@ -218,7 +220,10 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     terms = terms.filter(F.col("docs") >= least_documents).select("lang", "term", "whole", F.floor(F.log2("whole")).cast("int").alias("size"))
     terms = written(terms, "terms")
     blocks = terms.groupBy("lang", "size").agg(F.ceil(F.count("*") / block_terms).cast("int").alias("blocks"))
-    dealt = terms.join(blocks, ["lang", "size"]).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+    # salted, as one language and size may hold a third of all terms
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("term", F.lit("salt")), F.lit(SALTS)).cast("int")
+    dealt = terms.withColumn("salt", salt).join(salted, ["lang", "size", "salt"]).drop("salt").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
     counts = written(all_counts.select("lang", "source", "term", "n").join(dealt.drop("blocks"), ["lang", "term"]), "kept-counts")
     groups = written(_groups(docs, counts, terms), "groups")
 
