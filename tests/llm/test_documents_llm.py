@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from culler.llm import backoff_lm, bbit_minhash, qda
@@ -111,6 +112,45 @@ def test_quality_on_held_out_rows(spark):
     assert total > 50 and right / total >= 0.97
 
 
+def test_quality_equals_a_plain_version(spark):
+    """Scores, the settings chosen and the rows that choose them, against numpy over the same statistics."""
+    docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
+    stats = qda.document_statistics(docs)
+    model = qda.fit_labelled(stats, labels)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r.doc_id, zlib.crc32(str(r.doc_id).encode()), qda.text_statistics(r.text)) for r in docs.collect()]
+    x = np.array([r[2] for r in rows])
+    train = np.array([r[0] in quality and r[1] % 4 != 2 for r in rows])
+    fold = np.array([r[1] // 4 % qda.FOLDS for r in rows])
+    y = np.array([quality.get(r[0], -1) for r in rows])
+
+    def odds(chosen, shrinkage, temperature):
+        parts, density = [x[chosen & (y == c)] for c in (0, 1)], []
+        within = [np.cov(p.T, bias=True) for p in parts]
+        pooled = (len(parts[0]) * within[0] + len(parts[1]) * within[1]) / chosen.sum()
+        for p, s in zip(parts, within):
+            s = (1 - shrinkage) * s + shrinkage * (np.diag(np.diag(pooled)) + qda.RIDGE * np.eye(len(s)))
+            z = x - p.mean(axis=0)
+            density.append(-0.5 * np.einsum("ij,ij->i", z @ np.linalg.inv(s), z) - 0.5 * np.linalg.slogdet(s)[1])
+        return np.clip((density[1] - density[0]) / temperature + math.log((len(parts[1]) + 1) / (len(parts[0]) + 1)), -500, 500)
+
+    def loss(shrinkage, temperature):
+        total = 0.0
+        for k in range(qda.FOLDS):
+            o = odds(train & (fold != k), shrinkage, temperature)
+            total += sum(math.log1p(math.exp(-o[i] if y[i] else o[i])) for i in np.flatnonzero(train & (fold == k)))
+        return round(total / train.sum(), 9)
+
+    best = min((loss(a, t), i, a, t) for i, (a, t) in enumerate((a, t) for a in qda.SHRINKAGES for t in qda.TEMPERATURES))
+    assert model.temperature == best[3]
+    want = dict(zip([r[0] for r in rows], 1 / (1 + np.exp(-odds(train, *best[2:])))))
+    got = {r.doc_id: r for r in qda.score_statistics(stats, model).collect()}
+    assert all(abs(got[i].score - want[i]) < 1e-6 and got[i].predicted == (want[i] >= 0.7) for i in want)
+    flipped = labels.withColumn("quality", F.when(qda.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = qda.fit_labelled(stats, flipped)  # held-out labels decide nothing
+    assert other.temperature == model.temperature and np.array_equal(other.whiten, model.whiten)
+
+
 def test_quality_odd_rows(spark):
     rows = [(i, t) for i, t in enumerate(["plain words stand here and there, as they do."] * 30 + ["junk$$$ ### ||| !!! !!!"] * 30 + [None, "", "a" * 200_000])] + [(None, "x"), (3, "y")]
     df = frame(spark, rows)
