@@ -11,8 +11,9 @@ assign  a password-like name, ``:`` or ``=``, and a value of 6 or more character
 access  ``AKIA`` and upper-case letters or digits, 20 or more characters
 hex     lower-case hexadecimal digits, 24 or more
 
-Scale: the first pass hashes texts in the JVM and keeps (row, blob); one version stands for each unseen blob;
-texts move once, in the join that fetches those versions' texts; scanning needs no state.
+Scale: the first pass hashes texts in the JVM and keeps (row, blob); one path stands for each unseen blob, and one
+row of that path and text is scanned; texts move once, in the join on (path, blob) that fetches them and whose
+partitions the grouping by (path, blob) uses again; scanning needs no state.
 Joining the findings back is skewed on popular blobs and left to a sort-merge join whose inputs are plain
 tables, which adaptive execution splits. The ledger is a Parquet folder in the shared folder: appending
 commits whole files, and a run that fails leaves it as it was.
@@ -79,13 +80,15 @@ def scan_versions(versions: DataFrame, ledger: str, rule_version: int = RULE_VER
     rule version, appends them and returns path, blob, findings, one row per version."""
     spark = versions.sparkSession
     prepare(spark)
-    addressed = written(versions.select("path", blob_of(F.col("text")).alias("blob")), "secret-paths")
+    # a path's key is never null: null paths have one of their own
+    key = F.coalesce(F.concat(F.lit("p"), F.col("path").cast("string")), F.lit("n"))
+    blob = blob_of(F.col("text"))
+    addressed = written(versions.select("path", key.alias("key"), blob.alias("blob")), "secret-paths")
     seen = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version).select("blob")
-    unseen = addressed.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti")
-    texts = versions.select("path", F.col("text"))
-    wanted = texts.join(unseen.filter(F.col("path").isNotNull()), "path").filter(blob_of(F.col("text")) == F.col("blob"))
-    nameless = versions.filter(F.col("path").isNull()).select("text", blob_of(F.col("text")).alias("blob")).join(unseen.filter(F.col("path").isNull()), "blob", "left_semi")
-    todo = wanted.select("blob", "text").unionByName(nameless.select("blob", "text"))
+    unseen = addressed.groupBy("blob").agg(F.min("key").alias("key")).join(seen, "blob", "left_anti")
+    wanted = versions.select(key.alias("key"), blob.alias("blob"), "text").join(unseen, ["key", "blob"], "left_semi")
+    # repeated rows of the chosen path meet in the join's own partitions: one of them is scanned
+    todo = wanted.groupBy("key", "blob").agg(F.first("text").alias("text")).select("blob", "text")
     scanned = todo.mapInArrow(_scan, f"blob string, findings {FINDINGS}")
     scanned.select("blob", F.lit(rule_version).alias("rule_version"), "findings").write.mode("append").parquet(ledger)
     known = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rule_version") == rule_version)
