@@ -21,14 +21,18 @@ def query(fn):
 
 @query
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights: the words each document gives to the mix."""
+    """Mixing sources to target weights: the words each document gives to the mix, and in ``pieces`` which shard's
+    drawn blocks they lie in, as shard:pass:block:first word:words, comma-joined. SQL has no such draw: tests hold
+    the pieces against loops and the other columns against ``MIX_SQL``."""
     rows = mix.mix(read_table(spark, sf_dir, "documents"))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["n_words"])
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    pieces = F.transform("pieces", lambda p: F.concat_ws(":", p["shard"], p["pass"], p["block"], p["first_word"], p["n_words"]))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(pieces, ",").alias("pieces"))
 
 
 _W = r"[^\x20\x09-\x0D]+"
-SQL["op1_mix"] = rf"""
+#: The columns of op1_mix but ``pieces``.
+MIX_SQL = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_W}')), 0)::BIGINT AS size,
                   ('0x' || substr(md5('{mix.SEED}/' || coalesce(doc_id::VARCHAR, '-')), 1, 15))::BIGINT AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,

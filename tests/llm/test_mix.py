@@ -1,13 +1,16 @@
 """Mixing and interleaving against plain loops."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from culler.llm import interleave, mix
+from culler.llm import interleave, mix, queries
 
 DOCS = "doc_id long, text string, source string, size int, target string, shard int"
 
@@ -68,6 +71,79 @@ def test_mix(spark):
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def plain_pieces(rows, block_words, n_shards, seed=mix.SEED, whole=False):
+    """doc_id -> (shard, pass, block, first word, words) of each piece by walking each source's stream block by block."""
+    key = lambda i: int(hashlib.md5(f"{seed}/{'-' if i is None else i}".encode()).hexdigest()[:15], 16)
+    streams = defaultdict(list)
+    for i, t, s in rows:
+        streams["z" if s is None else "s" + s].append((key(i), i, len((t or "").split())))
+    sizes = {k: sum(n for *_, n in v) for k, v in streams.items()}
+    order = sorted(sizes)
+    level = level_by_loop(sizes, {k: (3.0, 1.0, 2.0)[i % 3] for i, k in enumerate(order)}, 1.5, 2)
+    stream = {k: int(level[k] + 0.5) for k in order}
+    blocks = [-(-stream[k] // block_words) for k in order]
+    tree = mix.splitting_tree(np.array(blocks), n_shards, seed)
+    out = defaultdict(list)
+    for at, k in enumerate(order):
+        step, offset = mix.permutation(blocks[at], np.random.default_rng([seed, at]))
+        by_place = sorted(range(blocks[at]), key=lambda b: (step * b + offset) % blocks[at])
+        shard = dict(zip(by_place, np.repeat(np.arange(n_shards), tree[:, at]).tolist()))
+        assert len(shard) == blocks[at] == tree[:, at].sum()
+        position = 0
+        for turn in range(3):
+            for _, i, n in sorted(streams[k], key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2])):
+                if whole:
+                    m = position + n // 2
+                    if m < stream[k]:
+                        out[i].append(shard[m // block_words])
+                else:
+                    for b in range(position // block_words, (position + n) // block_words + 1):
+                        low, high = max(position, b * block_words), min(position + n, (b + 1) * block_words, stream[k])
+                        if low < high:
+                            out[i].append((shard[b], turn, b, low - position, high - low))
+                position += n
+    return out
+
+
+def test_pieces_follow_the_tree_and_the_permuted_blocks(spark):
+    rows = [r for r in rows_of(250) if r[0] not in (5, None)]
+    got = {r.doc_id: [tuple(p)[:5] for p in r.pieces] for r in mix.mix(docs_frame(spark, rows), block_words=64, n_shards=5).collect()}
+    want = plain_pieces(rows, 64, 5)
+    assert {i: sorted(p) for i, p in got.items() if p} == {i: sorted(p) for i, p in want.items()}
+
+
+def test_query_equals_its_sql_and_its_pieces(spark):
+    sf = "/root/testdata/sf0.01"
+    out = queries.op1_mix(spark, sf).collect()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        want = db.execute(queries.MIX_SQL).fetchall()
+        rows = db.execute("SELECT doc_id, text, source FROM documents").fetchall()
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 3), r.taken) for r in out) == sorted((*w[:3], round(w[3], 3), w[4]) for w in want)
+    pieces = plain_pieces(rows, mix.BLOCK_WORDS, mix.SHARDS)
+    assert all(r.pieces == ",".join(":".join(map(str, p)) for p in pieces.get(r.doc_id, [])) for r in out)
+
+
+def test_the_draw_decides_the_result(spark, monkeypatch):
+    rows = [r for r in rows_of(250) if r[0] not in (5, None)]
+    df = docs_frame(spark, rows)
+    one = Counter((p.shard, r.doc_id, p.block) for r in mix.mix(df, block_words=64).collect() for p in r.pieces)
+    order = [r.doc_id for r in mix.mix_whole(df, block_words=64).collect()]
+    quotas = mix.shard_quotas
+    monkeypatch.setattr(mix, "shard_quotas", lambda targets, n, words, seed: quotas(targets, n, words, seed + 1))
+    two = Counter((p.shard, r.doc_id, p.block) for r in mix.mix(df, block_words=64).collect() for p in r.pieces)
+    other = [r.doc_id for r in mix.mix_whole(df, block_words=64).collect()]
+    assert one != two and sum(one.values()) == sum(two.values())
+    assert order != other and Counter(order) == Counter(other)
+
+
+def test_blocks_grow_with_the_mix():
+    rows = pd.DataFrame({"skey": ["sa", "sb", "sc"], "source_size": [10**13, 10**12, 0], "target": [2e13, 1.5e12, 0.0]})
+    table = mix.quota_table(rows, 8, mix.BLOCK_WORDS, 1)
+    assert table["blocks"].sum() <= mix.MAX_BLOCKS + 3 and (table["blocks"] * table["block_words"] >= table["stream"]).all()
+    assert [c[-1] for c in table["cuts"]] == table["blocks"].tolist()
+
+
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([7, 0, 100, 33])
     tree = mix.splitting_tree(quotas, 6, 1)
@@ -103,6 +179,20 @@ def test_mix_whole(spark):
     assert mix.mix(empty).count() == 0 and mix.mix_whole(empty).count() == 0
 
 
+def test_mix_whole_stands_in_shard_order(spark):
+    rows = [r for r in rows_of(250) if r[0] not in (5, None)]
+    out = [r.doc_id for r in mix.mix_whole(docs_frame(spark, rows), block_words=64, n_shards=5).collect()]
+    want = plain_pieces(rows, 64, 5, whole=True)
+    assert Counter(out) == Counter({i: len(s) for i, s in want.items()})
+    left, at = {i: sorted(s) for i, s in want.items()}, 0
+    for i in out:  # the rows stand shard by shard: a document's copies come in order of their shards
+        shard = left[i].pop(0)
+        assert shard >= at
+        at = shard
+    nulls = mix.mix_whole(docs_frame(spark, [(None, "a b", "s"), (None, "c", None), (1, "d e f", "s"), (1, "d", "s")]))
+    assert Counter(r.doc_id for r in nulls.collect())[None] == 2
+
+
 def test_interleave(spark):
     rows = rows_of(500)
     df = docs_frame(spark, rows)
