@@ -20,8 +20,9 @@ collects a bucket: blocks bound each task, partners travel as lists of ids insid
 a block as the star edges of its components. A bucket of true copies costs its size once.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; with fewer than five words the whole
-sequence is the one shingle; a row without an id isn't compared (component null, kept); rows with equal ids are one
-vertex and each has its row; an empty table gives an empty result; further columns are ignored.
+sequence is the one shingle; a row without an id isn't compared (component null, kept); rows that repeat an id and a
+set are one vertex and each has its row; rows that repeat an id with other sets are vertices of their own, which the
+id alone doesn't link; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,12 +143,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, b, s in zip(some, band_keys(low), packed(low)):
                 bands[i], sigs[i] = b, s
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, stop - start), pa.array(n), pa.array(sums), pa.array(xors),
+                [batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(n), pa.array(sums), pa.array(xors),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "sum", "xor", "bands", "sig"])
+                names=["doc_id", "content", "n_shingles", "sum", "xor", "bands", "sig"])
 
 
-_SIGNED = "doc_id long, n_shingles long, sum long, xor long, bands array<long>, sig array<long>"
+_SIGNED = "doc_id long, content long, n_shingles long, sum long, xor long, bands array<long>, sig array<long>"
 
 
 def _full_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,20 +221,36 @@ def _stray_partners(tile: pd.DataFrame, limit: int) -> pd.DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``docs``: doc_id, text. Returns doc_id, n_shingles, component_id, kept, one row per row."""
+    return labelled_rows(docs, percent, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _content(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def labelled_rows(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The columns of ``near_duplicates`` with content (a hash of the text) and vertex (the component's vertex; null for
+    rows that aren't compared). A class's vertex is its smallest id, or a negative number made of its set's hashes where
+    several classes share that id; such a component is named by its smallest id in the end."""
     prepare(docs.sparkSession)
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _content(docs["text"]).alias("content"))
     signed = written(narrow.mapInArrow(_signatures, _SIGNED), "signatures")
     same = ["n_shingles", "sum", "xor"]
     classes = written(signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "set-classes")
+        F.min(F.struct("doc_id", "content")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select(
+        *same, F.col("least.doc_id").alias("named"), F.col("least.content").alias("content"), "bands", "sig"), "set-classes")
+    shared = written(classes.groupBy("named").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("named").alias("__shared")), "shared-ids")
+    of_set = F.xxhash64(*same).bitwiseOR(F.lit(-(1 << 63)))
+    classes = classes.join(shared, F.col("named") == F.col("__shared"), "left").withColumn(
+        "rep", F.when(F.col("__shared").isNull(), F.col("named")).otherwise(of_set)).drop("__shared")
     sigs = classes.select("rep", "sig")
 
     # buckets of two or more classes, and their members
     placed = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = placed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).filter("size > 1")
     members = written(placed.join(buckets, ["band", "key"]), "bucket-members")
-    involved = members.select(F.col("rep").alias("doc")).distinct().join(classes.select(F.col("rep").alias("doc"), "sum"), "doc")
-    texts = narrow.join(involved, F.col("doc_id") == F.col("doc")).select("doc", "sum", F.coalesce("text", F.lit("")).alias("text"))
+    involved = members.select(F.col("rep").alias("doc")).distinct().join(classes.select(F.col("rep").alias("doc"), F.col("named").alias("doc_id"), "content", "sum"), "doc")
+    texts = narrow.join(involved, ["doc_id", "content"]).select("doc", "sum", F.coalesce("text", F.lit("")).alias("text"))
     sets = written(texts.mapInPandas(_full_sets, "doc long, same boolean, shingles binary").filter("same").select("doc", "shingles"), "shingle-sets")
 
     def confirm(rows: DataFrame) -> DataFrame:
@@ -273,19 +290,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(later)
     components = connected_components(links)
 
-    of_class = written(classes.select(*same, "rep").join(components, F.col("rep") == F.col("id"), "left").select(
-        *[F.col(c).alias(f"__{c}") for c in same], F.coalesce("component", "rep").alias("component")), "class-components")
-    keyed = signed.select("doc_id", *same)
+    of_class = written(classes.select(*same, "rep", "named").join(components, F.col("rep") == F.col("id"), "left").select(
+        *[F.col(c).alias(f"__{c}") for c in same], "named", F.coalesce("component", "rep").alias("vertex")), "class-components")
+    renamed = of_class.filter("vertex < 0").groupBy(F.col("vertex").alias("__v")).agg(F.min("named").alias("name"))
+    of_class = of_class.join(renamed, F.col("vertex") == F.col("__v"), "left").withColumn("component", F.coalesce("name", "vertex")).drop("named", "name", "__v")
+    keyed = signed.select("doc_id", "content", *same)
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     on = known & (F.col("n_shingles") == F.col("__n_shingles")) & (F.col("sum") == F.col("__sum")) & (F.col("xor") == F.col("__xor"))
     component = F.coalesce("component", "doc_id")
-    return keyed.join(of_class, on, "left").select("doc_id", "n_shingles", component.alias("component_id"),
+    return keyed.join(of_class, on, "left").select("doc_id", "content", "n_shingles", "vertex", component.alias("component_id"),
                                                    F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each component the document with the smallest id, once; rows
-    without an id stay."""
-    kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of ``docs``, all columns, that stay: of each component one row of the document with the smallest id, also where
+    that id stands on rows of other components; of wordless rows of one id each text once; rows without an id stay."""
+    kept = labelled_rows(docs, percent).filter("kept and doc_id is not null")
+    wordless = F.when(F.col("vertex").isNull(), F.col("content"))
+    kept = kept.groupBy(F.col("doc_id").alias("__kept"), "vertex", wordless.alias("wordless")).agg(F.min("content").alias("__content")).select("__kept", "__content").distinct()
+    named = docs.join(kept, (docs["doc_id"].cast("long") == F.col("__kept")) & (_content(docs["text"]) == F.col("__content")))
+    once = named.dropDuplicates(["__kept", "__content"]).drop("__kept", "__content")
+    return once.unionByName(docs.filter(F.col("doc_id").isNull()))

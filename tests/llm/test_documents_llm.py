@@ -79,6 +79,21 @@ def test_minhash_keeps_one(spark):
     assert bbit_minhash.keep_one(df.filter("false")).count() == 0
 
 
+def test_minhash_keeps_texts_of_ids_that_repeat(spark):
+    words = lambda tag, n=120: [f"{tag}{i}" for i in range(n)]
+    x, y, z = words("x"), words("y"), words("z")
+    near = lambda t: " ".join(t[:60] + ["changed"] + t[61:])
+    x, y, z, x1, y1, z1 = " ".join(x), " ".join(y), " ".join(z), near(x), near(y), near(z)
+    texts = lambda rows: sorted((str(r.doc_id), str(r.text)) for r in bbit_minhash.keep_one(frame(spark, rows)).collect())
+    assert texts([(5, x), (5, y), (7, x), (9, y)]) == sorted([("5", x), ("5", y)])
+    rows = [(5, x), (5, y), (5, y), (7, x1), (9, y1), (3, z), (5, z1), (8, x), (4, None), (4, ""), (4, ""), (None, x)]
+    out = bbit_minhash.near_duplicates(frame(spark, rows)).collect()
+    want = [5, 5, 5, 5, 5, 3, 3, 5, 4, 4, 4, None]
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == sorted((str(i), len(shingles(t)), str(c)) for (i, t), c in zip(rows, want))
+    assert texts(rows) == sorted([("5", x), ("5", y), ("3", z), ("4", "None"), ("4", ""), ("None", x)])
+    assert texts([(5, x), (5, x1), (6, x1)]) in ([("5", x)], [("5", x1)])  # one row of a component, though both have its id
+
+
 def test_estimate_follows_the_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.85, 0.95):
