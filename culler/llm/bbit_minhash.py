@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from culler.llm.common import prepare, written
-from culler.llm.components import connected_components
+from culler.llm.components import connected_components, with_component, with_vertex
 from culler.llm.piece_bpe import text_chunks
 from culler.llm.words import mixed, ngrams, word_hashes
 
@@ -239,10 +239,7 @@ def labelled_rows(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFram
     classes = written(signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(
         F.min(F.struct("doc_id", "content")).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select(
         *same, F.col("least.doc_id").alias("named"), F.col("least.content").alias("content"), "bands", "sig"), "set-classes")
-    shared = written(classes.groupBy("named").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("named").alias("__shared")), "shared-ids")
-    of_set = F.xxhash64(*same).bitwiseOR(F.lit(-(1 << 63)))
-    classes = classes.join(shared, F.col("named") == F.col("__shared"), "left").withColumn(
-        "rep", F.when(F.col("__shared").isNull(), F.col("named")).otherwise(of_set)).drop("__shared")
+    classes = with_vertex(classes, *same)
     sigs = classes.select("rep", "sig")
 
     # buckets of two or more classes, and their members
@@ -292,8 +289,7 @@ def labelled_rows(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFram
 
     of_class = written(classes.select(*same, "rep", "named").join(components, F.col("rep") == F.col("id"), "left").select(
         *[F.col(c).alias(f"__{c}") for c in same], "named", F.coalesce("component", "rep").alias("vertex")), "class-components")
-    renamed = of_class.filter("vertex < 0").groupBy(F.col("vertex").alias("__v")).agg(F.min("named").alias("name"))
-    of_class = of_class.join(renamed, F.col("vertex") == F.col("__v"), "left").withColumn("component", F.coalesce("name", "vertex")).drop("named", "name", "__v")
+    of_class = with_component(of_class).drop("named")
     keyed = signed.select("doc_id", "content", *same)
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     on = known & (F.col("n_shingles") == F.col("__n_shingles")) & (F.col("sum") == F.col("__sum")) & (F.col("xor") == F.col("__xor"))

@@ -17,6 +17,21 @@ from pyspark.sql import DataFrame, functions as F
 from culler.llm.common import written
 
 
+def with_vertex(classes: DataFrame, *content: str) -> DataFrame:
+    """``classes`` (named: a class's smallest id) with ``rep``, its vertex: that id, or a negative number made of the columns
+    ``content``, which tell the classes apart, where several classes share the id."""
+    shared = written(classes.groupBy("named").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("named").alias("__shared")), "shared-ids")
+    of_content = F.xxhash64(*content).bitwiseOR(F.lit(-(1 << 63)))
+    rep = F.when(F.col("__shared").isNull(), F.col("named")).otherwise(of_content)
+    return classes.join(shared, F.col("named") == F.col("__shared"), "left").withColumn("rep", rep).drop("__shared")
+
+
+def with_component(classes: DataFrame) -> DataFrame:
+    """``classes`` (named, vertex: the smallest vertex of the component) with ``component``, the smallest id there."""
+    renamed = classes.filter("vertex < 0").groupBy(F.col("vertex").alias("__v")).agg(F.min("named").alias("__name"))
+    return classes.join(renamed, F.col("vertex") == F.col("__v"), "left").withColumn("component", F.coalesce("__name", "vertex")).drop("__name", "__v")
+
+
 def _roots(edges: DataFrame) -> DataFrame:
     """(v, p): every vertex and the root that it reaches through smallest neighbours."""
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))

@@ -14,7 +14,8 @@ into blocks, and each pair of blocks is a task of its own, so no task holds a ho
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without an id link with
 nothing (such a row is its own component and kept; without an id the component is null); vectors of
-different lengths aren't compared; rows with equal ids are one vertex and each has its row; an empty table gives
+different lengths aren't compared; rows that repeat an id and a vector are one vertex and each has its row; rows that
+repeat an id with other vectors are vertices of their own, which the id alone doesn't link; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from culler.llm.common import prepare, written
-from culler.llm.components import connected_components
+from culler.llm.components import connected_components, with_component, with_vertex
 
 SEED = 2
 THRESHOLD = 0.9
@@ -114,7 +115,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     ok = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     rows = vectors.select("vec_id", F.when(ok, F.md5(F.col("embedding").cast("string"))).alias("class"), F.when(ok, F.col("embedding")).alias("v"))
     classes = written(rows.filter("class is not null").groupBy("class").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")), "vector-classes")
+        F.min("vec_id").alias("named"), F.count("*").alias("weight"), F.first("v").alias("v")), "vector-classes")
+    classes = with_vertex(classes, "class")
     bits, tables = tables_for(classes.count(), threshold, recall)
     hashed = written(classes.select("rep", "weight", "v").mapInPandas(
         lambda it: _hashed(it, bits, tables, seed), "rep long, weight long, vector binary, dims int, buckets array<long>, all binary"), "vector-buckets")
@@ -137,8 +139,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     counts = found.filter("other is null").groupBy("rep").agg(F.sum("n").alias("n"))
     components = connected_components(found.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_class = written(
-        classes.select("class", "rep", "weight").join(counts, "rep", "left").join(components, F.col("rep") == F.col("id"), "left")
-        .select("class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vector-results")
+        classes.select("class", "rep", "named", "weight").join(counts, "rep", "left").join(components, F.col("rep") == F.col("id"), "left")
+        .select("class", "named", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("vertex")), "vector-results")
+    of_class = with_component(of_class).drop("named", "vertex")
     component = F.coalesce("component", "vec_id")
     return rows.select("vec_id", "class").join(of_class, "class", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

@@ -85,6 +85,14 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert embed_dedup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_near_duplicates_of_ids_that_repeat(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, x), (5, y), (5, y), (7, [1.0, 0.01, 0.0]), (9, [0.0, 1.0, 0.01]), (3, z), (5, [0.01, 0.0, 1.0]), (8, [2.0, 0.0, 0.0])]
+    out = embed_dedup.near_duplicates(frame(spark, rows), recall=0.9999).collect()
+    want = [(5, 2, 5), (5, 2, 5), (5, 2, 5), (7, 2, 5), (9, 2, 5), (3, 1, 3), (5, 1, 3), (8, 2, 5)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == sorted(want)
+
+
 def test_tables_reach_the_recall():
     rng = np.random.default_rng(0)
     bits, tables = embed_dedup.tables_for(50_000)
