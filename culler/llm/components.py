@@ -28,7 +28,8 @@ def with_vertex(classes: DataFrame, *content: str) -> DataFrame:
 
 def with_component(classes: DataFrame) -> DataFrame:
     """``classes`` (named, vertex: the smallest vertex of the component) with ``component``, the smallest id there."""
-    renamed = classes.filter("vertex < 0").groupBy(F.col("vertex").alias("__v")).agg(F.min("named").alias("__name"))
+    # a table: as a rule it has no rows, and then the classes of a large component aren't brought together on their vertex
+    renamed = written(classes.filter("vertex < 0").groupBy(F.col("vertex").alias("__v")).agg(F.min("named").alias("__name")), "component-names")
     return classes.join(renamed, F.col("vertex") == F.col("__v"), "left").withColumn("component", F.coalesce("__name", "vertex")).drop("__name", "__v")
 
 
