@@ -1,9 +1,10 @@
 """Clustering quality.
 
-Silhouette per grid cell without outliers.  For every point, cell and cluster
-the sum and count of distances to that cluster's members: for cosine from the
-clusters' sums of unit vectors, else in one blocked pass (all cells share one
-replication of the data); the score is then plain aggregation.  Guard (Q4): 0.0 when fewer than two labels, when the
+Silhouette per grid cell without outliers.  Blocks of items meet blocks of
+clusters, and every item folds to its own cluster's sum and its least mean before
+a row leaves the task: Manhattan sums come from sorted prefix sums, cosine sums from
+the clusters' sums of unit vectors, Euclidean ones from a tile.  The score
+is then plain aggregation.  Guard (Q4): 0.0 when fewer than two labels, when the
 labels are one cluster plus outliers, when fewer than two non-outliers, or when
 the silhouette is undefined (fewer than 2 or more than n-1 clusters).
 """
@@ -24,50 +25,110 @@ ALGORITHMS = ["dbscan", "kmeans", "hierarchical"]
 METRICS = ["cosine", "euclidean", "manhattan"]
 
 
-def _sil_kernel(cell_metrics: list[str | None], vec: str):
+#: Distance sums below this share of the magnitudes that they come from are rounding, and count as 0.
+_ROUNDING = 1e-12
+
+
+def manhattan_sums(q: np.ndarray, c: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """[i, g]: sum of the Manhattan distances from ``q[i]`` to the rows of ``c`` in group g, without pairs.
+
+    Per dimension the rows are sorted once; with C rows of a group up to x, whose values sum to P, and N and T for all
+    of them, the sum of |x - y| is x (2 C - N) + T - 2 P."""
+    out, size = np.zeros((len(q), k)), np.bincount(group, minlength=k).astype(np.float64)
+    scale = np.zeros((len(q), k))
+    rows = np.arange(1, len(c) + 1)
+    for d in range(c.shape[1]):
+        order = np.argsort(c[:, d], kind="stable")
+        v, g, x = c[order, d], group[order], q[:, d]
+        upto = np.searchsorted(v, x, side="right")
+        count, total = np.zeros((len(c) + 1, k)), np.zeros((len(c) + 1, k))
+        count[rows, g], total[rows, g] = 1.0, v
+        count, total = np.cumsum(count, axis=0), np.cumsum(total, axis=0)
+        out += x[:, None] * (2 * count[upto] - size) + total[-1] - 2 * total[upto]
+        scale += np.abs(x)[:, None] * size + np.bincount(group, weights=np.abs(c[:, d]), minlength=k)
+    return np.where(out > _ROUNDING * scale, out, 0.0)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1)
+    return x / np.where(n > 0, n, 1.0)[:, None]
+
+
+def _fold_kernel(metrics: list[str]):
+    """Items of one block against one block of clusters: what leaves is one row per item, with its least mean distance
+    to the other clusters that lie whole in the block, and the sum to its own cluster or to the block's split one."""
+
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        suite = pdf["suite"].iloc[0]
-        for qa, va, cb, vb in BK.directions(pdf, vec):
-            if len(qa) == 0 or len(cb) == 0:
-                continue
-            la = np.stack(qa["labels"].to_numpy())
-            lb = np.stack(cb["labels"].to_numpy())
-            cache = {}
-            for c, m in enumerate(cell_metrics):
-                if m is None:
-                    continue
-                qmask = la[:, c] >= 0
-                if not qmask.any():
-                    continue
-                if m not in cache:
-                    D = BK.distance_tile(va, vb, m)
-                    cache[m] = np.clip(D, 0.0, 2.0) if m == "cosine" else D
-                D = cache[m][qmask]
-                aseq = qa["method_seq"].to_numpy()[qmask]
-                for lab in np.unique(lb[:, c]):
-                    if lab < 0:
-                        continue
-                    cm = lb[:, c] == lab
-                    out.append(pd.DataFrame({"suite": suite, "cell": c, "a": aseq, "lab": int(lab),
-                                             "s": D[:, cm].sum(axis=1), "n": int(cm.sum())}))
-        if not out:
-            return pd.DataFrame({"suite": pd.Series(dtype=pdf["suite"].dtype), "cell": [], "a": [], "lab": [], "s": [], "n": []})
-        return pd.concat(out, ignore_index=True)
+        q, c = pdf[pdf["asked"]], pdf[~pdf["asked"]].sort_values("lab", kind="stable")
+        own = q["lab"].to_numpy().astype(np.int64)
+        out = pd.DataFrame({"suite": q["suite"], "cell": q["cell"], "a": q["method_seq"], "own": q["lab"]}).reset_index(drop=True)
+        if q.empty or c.empty:
+            return out.iloc[:0].assign(lab=pd.Series(dtype="Int32"), s=0.0, n=0, least=0.0)
+        x, y = BK.stack(q["v"]), BK.stack(c["v"])
+        labs, group = np.unique(c["lab"].to_numpy().astype(np.int64), return_inverse=True)
+        size = np.bincount(group, weights=c["n"].to_numpy()).astype(np.int64)
+        metric = metrics[int(c["cell"].iloc[0])]
+        if metric == "cosine":  # a cluster's row is the sum of its unit vectors
+            sums = size - _unit(x) @ y.T
+            sums = np.where(sums > _ROUNDING * size, sums, 0.0)
+        elif metric == "manhattan":
+            sums = manhattan_sums(x, y, group, len(labs))
+        else:
+            sums = np.add.reduceat(BK.distance_tile(x, y, metric), np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), axis=1)
+        if c["home"].iloc[0] >= 0:  # a part of one cluster: its sums are not yet means
+            return out.assign(lab=pd.array(np.full(len(q), labs[0]), dtype="Int32"), s=sums[:, 0], n=size[0], least=np.nan)
+        at = np.minimum(np.searchsorted(labs, own), len(labs) - 1)
+        mine, row = labs[at] == own, np.arange(len(q))
+        mean = sums / size
+        mean[row[mine], at[mine]] = np.inf
+        least = mean.min(axis=1)
+        return out.assign(lab=pd.arrays.IntegerArray(own.astype(np.int32), ~mine), s=np.where(mine, sums[row, at], np.nan),
+                          n=pd.arrays.IntegerArray(size[at], ~mine), least=np.where(np.isfinite(least), least, np.nan))
 
     return kernel
 
 
-def _cosine_sums(base: DataFrame, cells: list[int], vec: str) -> DataFrame:
-    """Sums of cosine distances from each item to each cluster without pairs: the sum over a cluster of
-    1 - cos(x, y) is its size minus the unit vector of x times the sum of the cluster's unit vectors."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v))
-    unit = base.withColumn("_n", norm).select("suite", "method_seq", F.posexplode("labels").alias("cell", "lab"), F.transform(
-        vec, lambda v: F.when(F.col("_n") > 0, v / F.col("_n")).otherwise(F.lit(0.0))).alias("u")).filter(F.col("cell").isin(cells) & (F.col("lab") >= 0))
-    totals = unit.groupBy("suite", "cell", "lab").agg(Summarizer.sum(array_to_vector("u")).alias("_t"), F.count("*").alias("n"))
-    totals = totals.select("suite", "cell", "lab", vector_to_array("_t").alias("t"), "n")
-    along = F.aggregate(F.zip_with("u", "t", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return unit.drop("lab").join(totals, ["suite", "cell"]).select("suite", "cell", F.col("method_seq").alias("a"), "lab", (F.col("n") - along).alias("s"), "n")
+def _distance_sums(base: DataFrame, metrics: list[str], vec: str, block_size: int) -> DataFrame:
+    """suite, cell, a, own, lab, s, n, least: see ``_fold_kernel``.
+
+    Clusters of up to an eighth of a block share hashed blocks and stay whole; larger ones get blocks of their own,
+    split by item. So an item meets every block of its cell once, however many clusters there are. Cosine cells
+    have a row per cluster (the sum of its unit vectors) in place of its members."""
+    items = base.select("suite", "method_seq", F.col(vec).alias("v"), F.posexplode("labels").alias("cell", "lab")).filter("lab >= 0")
+    is_cosine = F.col("cell").isin([i for i, m in enumerate(metrics) if m == "cosine"])
+    sizes = items.groupBy("suite", "cell", "lab").agg(F.count("*").alias("size"))
+    whole = is_cosine | (F.col("size") <= max(1, block_size // 8))
+    weight = F.when(is_cosine, 1).otherwise(F.col("size"))
+    parts = lambda n, width: F.greatest(F.lit(1), F.ceil(n / F.lit(width))).cast("int")
+    split = F.when(~whole, F.struct(F.col("lab").alias("home"), parts(F.col("size"), block_size).alias("parts")))
+    layout = sizes.groupBy("suite", "cell").agg(
+        parts(F.sum("size"), block_size).alias("n_item"), parts(2 * F.sum(F.when(whole, weight)), block_size).alias("n_whole"),
+        F.count_if(whole).alias("_w"), F.collect_list(split).alias("split"))
+    layout = layout.withColumn("n_whole", F.when(F.col("_w") > 0, F.col("n_whole")).otherwise(0)).drop("_w")
+
+    items = items.join(layout, ["suite", "cell"]).withColumn("ib", F.pmod(F.xxhash64("method_seq"), F.col("n_item")).cast("int"))
+    blocks = lambda home, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(home.alias("home"), i.alias("part")))
+    all_blocks = F.concat(F.when(F.col("n_whole") > 0, blocks(F.lit(-1), F.col("n_whole"))).otherwise(F.array().cast("array<struct<home:int,part:int>>")),
+                          F.flatten(F.transform("split", lambda x: blocks(x["home"], x["parts"]))))
+    keys = ["suite", "cell", "ib", "home", "part"]
+    asked = items.withColumn("_b", F.explode(all_blocks)).select(
+        "suite", "cell", "ib", "_b.home", "_b.part", F.lit(True).alias("asked"), "method_seq", "v", "lab", F.lit(1).cast("long").alias("n"))
+
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, y: t + y * y))
+    unit = items.filter(is_cosine).withColumn("_n", norm).withColumn(
+        "v", F.transform("v", lambda y: F.when(F.col("_n") > 0, y / F.col("_n")).otherwise(F.lit(0.0))))
+    totals = unit.groupBy("suite", "cell", "lab").agg(Summarizer.sum(array_to_vector("v")).alias("_t"), F.count("*").alias("n"),
+                                                      F.first("n_item").alias("n_item"), F.first("n_whole").alias("n_whole"))
+    totals = totals.withColumn("home", F.lit(-1)).withColumn("part", F.pmod(F.xxhash64("lab"), F.col("n_whole")).cast("int")).select(
+        "suite", "cell", "lab", "n_item", "home", "part", F.lit(None).cast("long").alias("method_seq"), vector_to_array("_t").alias("v"), "n")
+    members = items.filter(~is_cosine).join(sizes, ["suite", "cell", "lab"])
+    at = F.when(F.col("home") < 0, F.pmod(F.xxhash64("lab"), F.col("n_whole"))).otherwise(
+        F.pmod(F.xxhash64("method_seq"), parts(F.col("size"), block_size)))
+    members = members.withColumn("home", F.when(whole, -1).otherwise(F.col("lab"))).withColumn("part", at.cast("int")).select(
+        "suite", "cell", "lab", "n_item", "home", "part", "method_seq", "v", F.lit(1).cast("long").alias("n"))
+    met = totals.unionByName(members).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("n_item") - 1))).withColumn("asked", F.lit(False))
+    schema = f"suite {BK.key_type(base)}, cell int, a long, own int, lab int, s double, n long, least double"
+    return asked.unionByName(met.select(asked.columns)).groupBy(*keys).applyInPandas(_fold_kernel(metrics), schema)
 
 
 def silhouette_grid(labeled: DataFrame, cells: list[tuple[str, str]], vec: str = "z",
@@ -78,23 +139,15 @@ def silhouette_grid(labeled: DataFrame, cells: list[tuple[str, str]], vec: str =
     # the guard comes first: cells whose score is 0.0 by rule compute no distances
     scored = counts.filter(~guarded()).groupBy("suite").agg(F.collect_set("cell").alias("_scored"))
     base = labeled.select("suite", "method_seq", vec, "labels").join(scored, "suite").withColumn(
-        "labels", F.transform("labels", lambda l, i: F.when(F.array_contains("_scored", i), l).otherwise(F.lit(-1)))).drop("_scored")
-    linear = [i for i, (_, m) in enumerate(cells) if m == "cosine"]
-    sums = None
-    if linear:
-        sums = _cosine_sums(base, linear, vec)
-    if len(linear) < len(cells):
-        schema = "suite {suite}, cell int, a long, lab int, s double, n long"
-        part = BK.run_pairs(base, ["suite"], _sil_kernel([None if i in linear else m for i, (_, m) in enumerate(cells)], vec), schema, block_size)
-        pairs = part.groupBy("suite", "cell", "a", "lab").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        sums = pairs if sums is None else sums.unionByName(pairs)
-    own_lab = labeled.select("suite", F.col("method_seq").alias("a"),
-                             F.posexplode("labels").alias("cell", "own"))
-    j = sums.join(own_lab, ["suite", "cell", "a"])
-    per_point = j.groupBy("suite", "cell", "a").agg(
+        "labels", F.transform("labels", lambda l, i: F.when(F.array_contains("_scored", i), l).otherwise(F.lit(-1)).cast("int"))).drop("_scored")
+    point = ["suite", "cell", "a", "own"]
+    # one shuffle by item serves both steps: the parts of split clusters first, then the least mean
+    sums = _distance_sums(base, [m for _, m in cells], vec, block_size).repartition(*point)
+    sums = sums.groupBy(*point, "lab").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("least").alias("least"))
+    per_point = sums.groupBy(*point).agg(
         F.max(F.when(F.col("lab") == F.col("own"), F.try_divide(F.col("s"), F.col("n") - 1))).alias("ai"),
         F.max(F.when(F.col("lab") == F.col("own"), F.col("n"))).alias("own_n"),
-        F.min(F.when(F.col("lab") != F.col("own"), F.col("s") / F.col("n"))).alias("bi"),
+        F.min(F.least("least", F.when(F.col("lab") != F.col("own"), F.col("s") / F.col("n")))).alias("bi"),
     )
     s_i = (F.when(F.col("own_n") == 1, F.lit(0.0))
            .when(F.greatest("ai", "bi") == 0, F.lit(0.0))

@@ -79,6 +79,60 @@ def test_silhouette_matches_bruteforce(spark, variant):
         assert r["quality"] == pytest.approx(silhouette(X, lab, r["metric"]), abs=1e-9)
 
 
+@pytest.mark.parametrize("block", [4, 16, 1024])
+def test_silhouette_of_split_whole_and_tiny_clusters(spark, block):
+    """One cluster over several blocks, some that share a block, pairs, a single item, outliers, copies of points."""
+    rng = np.random.default_rng(8)
+    lab = np.array([0] * 23 + [1] * 9 + [2, 2, 3, 3, 4, 4, 5, 5, 6] + [-1] * 4)
+    X = np.round(rng.normal(size=(len(lab), 4)) + lab[:, None] * 0.4, 2)
+    X[20:23], X[25:28], X[32], X[33] = X[0], X[24], X[0], X[0]
+    df = spark.createDataFrame([("s", i, X[i].tolist(), int(lab[i])) for i in range(len(lab))],
+                               "suite string, method_seq long, z array<double>, cluster int")
+    got = Q.silhouette_grid(df.withColumn("labels", F.array("cluster", "cluster", "cluster")), [("x", m) for m in Q.METRICS], block_size=block)
+    for r in got.collect():
+        assert r["quality"] == pytest.approx(silhouette_zero_safe(X, lab, r["metric"]), abs=1e-9), r["metric"]
+
+
+def silhouette_zero_safe(X, lab, metric):
+    X, lab = X[lab >= 0], lab[lab >= 0]
+    D = dist(X, metric)
+    D[D < 1e-12] = 0.0
+    s = []
+    for i in range(len(X)):
+        own = lab == lab[i]
+        a = D[i, own].sum() / max(1, own.sum() - 1)
+        b = min(D[i, lab == c].mean() for c in set(lab.tolist()) - {lab[i]})
+        s.append(0.0 if own.sum() == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+    return float(np.mean(s))
+
+
+def test_silhouette_rows_do_not_grow_with_the_clusters(spark):
+    """64 items in 4 blocks: an item sends one row per block that it meets, with 2 clusters as with 32."""
+    rng = np.random.default_rng(9)
+    rows = {}
+    for k in (2, 32):
+        df = spark.createDataFrame([(0, i, rng.normal(size=3).tolist(), [i % k] * 3) for i in range(64)],
+                                   "suite int, method_seq long, z array<double>, labels array<int>")
+        sums = Q._distance_sums(df, list(Q.METRICS), "z", 16)
+        rows[k] = {r["cell"]: r["n"] for r in sums.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        met = sums.groupBy("cell", "a").count()
+        assert met.select("cell", "a").count() == 3 * 64
+    # blocks: at most twice the items' number over the block size, plus one per split cluster
+    assert all(n <= 64 * 8 for n in rows[32].values()) and all(n <= 64 * 8 for n in rows[2].values())
+
+
+def test_manhattan_sums_without_pairs():
+    rng = np.random.default_rng(10)
+    q, c, g = rng.normal(size=(7, 5)), rng.normal(size=(40, 5)), rng.integers(0, 6, 40)
+    c[:3], g[:3] = q[0], 2
+    c[g == 5] = q[1]  # a group of copies of an item has the sum 0, not rounding
+    D = np.abs(q[:, None] - c[None]).sum(-1)
+    want = np.stack([D[:, g == k].sum(axis=1) for k in range(6)], axis=1)
+    got = Q.manhattan_sums(q, c, g, 6)
+    np.testing.assert_allclose(got, want, atol=1e-10)
+    assert got[1, 5] == 0.0
+
+
 def test_standardize_and_kdist(spark):
     df, data = make(spark, seed=5)
     z = V.standardize(df)
