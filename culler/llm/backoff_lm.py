@@ -1,15 +1,17 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Every row's n-grams (words and pairs of words) are joined to count tables that are partitioned by the n-gram's
-hash, and the logarithms are summed per document:
+Every row's n-grams (runs of 1 to ``order`` words, 3 by default) are joined to count tables that are partitioned by
+the n-gram's hash, and the logarithms are summed per document. For the longest history h that a word has, and then
+for its shorter ones:
 
     log S(w | h) = log(c(h w) / c(h))       if c(h w) > 0
-                 = log(0.4) + log S(w)      else
+                 = log(0.4) + log S(w | h') else, h' being h without its first word
     log S(w)     = log(c(w) / N)            if c(w) > 0
                  = log(0.4) - log(N)        else
 
 c counts over all rows, N is the number of all words. With ``leave_out`` (the default) the row's own
-n-grams are taken from c(h w), c(h) and c(w), so that a row doesn't vouch for itself; the first word has no h.
+n-grams are taken from c(h w), c(h) and c(w), so that a row doesn't vouch for itself; the first word has no h, the
+second one a word, and so on.
 Words are compared in their own case.
 
 Rows of (document, n-gram) would be several times the text on disk, so they travel packed: documents are dealt
@@ -19,9 +21,9 @@ hashes with counts), and the partition answers each such row with the totals.
 2. partition: count table from all its rows, joined back to each of them -> totals by batch;
 3. documents and totals meet by batch -> scores.
 
-Scale: a frequent n-gram is one entry per batch, whatever its count, so no partition is hot; a batch holds about
+Scale: rows are dealt to batches by id and text, so only wholly equal rows share one for certain. A frequent n-gram is one entry per batch, whatever its count, so no partition is hot; a batch holds about
 ``BATCH_DOCS`` documents, a partition the n-grams of about ``DOCS_PER_PARTITION``, and the number of both follows from
-the row count. Batches depend on the rows' values alone, so a retried task deals them the same.
+the row count. A batch visits only the partitions that its n-grams fall into. Batches depend on the rows' values alone, so a retried task deals them the same.
 
 Defined cases: a null or wordless text scores null with 0 words; null and equal ids and repeated rows keep a row
 each (each counts in full for the others); an empty table gives an empty result; further columns are ignored.
@@ -30,6 +32,7 @@ each (each counts in full for the others); an empty table gives an empty result;
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,9 +45,9 @@ BACKOFF = 0.4
 BATCH_DOCS = 1000
 #: Hash partitions of the count tables: one for every so many documents.
 DOCS_PER_PARTITION = 4000
-ORDERS = (1, 2)
-#: Keeps the orders' hashes apart.
-_ORDER_SALT = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15))
+ORDER = 3
+#: Keeps the orders' hashes apart: order k's are shifted by k - 1 times this odd number.
+_ORDER_SALT = 0x9E3779B97F4A7C15
 _KEYS = "batch int, part int, grams binary, counts binary"
 _TOTALS = "batch int, part int, totals binary"
 
@@ -60,10 +63,10 @@ def _from_planes(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def _batch_grams(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order: (hashes in a row, number per text)."""
+def _batch_grams(texts: list[str | None], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1: (hashes in a row, number per text)."""
     flat, sizes = word_hashes(texts, lower=False)
-    return [(h ^ salt, n) for (h, n), salt in ((ngrams(flat, sizes, k), s) for k, s in zip(ORDERS, _ORDER_SALT))]
+    return [(h ^ np.uint64((k - 1) * _ORDER_SALT % 2**64), n) for k in range(1, order + 1) for h, n in [ngrams(flat, sizes, k)]]
 
 
 def _part(grams: np.ndarray, parts: int) -> np.ndarray:
@@ -71,12 +74,18 @@ def _part(grams: np.ndarray, parts: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _grams_of(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
-    grams = _batch_grams(pdf["text"].tolist())
+def _runs(distinct: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(partition, first, end) of the sorted n-grams, for the partitions that hold any."""
+    part = _part(distinct, parts)
+    starts = np.flatnonzero(np.r_[len(part) > 0, part[1:] != part[:-1]])
+    return zip(part[starts].tolist(), starts.tolist(), np.r_[starts[1:], len(part)].tolist())
+
+
+def _grams_of(pdf: pd.DataFrame, parts: int, order: int) -> pd.DataFrame:
+    grams = _batch_grams(pdf["text"].tolist(), order)
     distinct, counts = np.unique(np.concatenate([g for g, _ in grams]), return_counts=True)
-    cuts = np.searchsorted(_part(distinct, parts), np.arange(parts + 1))
-    rows = [(int(pdf["batch"].iloc[0]), p, _planes(distinct[a:b]), _planes(counts[a:b].astype(np.uint32)))
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    counts = counts.astype(np.uint32)
+    rows = [(int(pdf["batch"].iloc[0]), p, _planes(distinct[a:b]), _planes(counts[a:b])) for p, a, b in _runs(distinct, parts)]
     return pd.DataFrame(rows, columns=["batch", "part", "grams", "counts"])
 
 
@@ -91,51 +100,61 @@ def _totals_of(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": [_planes(a) for a in answers]})
 
 
-def _scores_of(docs: pd.DataFrame, totals: pd.DataFrame, words: int, parts: int, leave_out: bool) -> pd.DataFrame:
-    out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_words": 0, "n_bigrams_seen": 0, "log_score": None})
+def _scores_of(docs: pd.DataFrame, totals: pd.DataFrame, words: int, parts: int, leave_out: bool, order: int) -> pd.DataFrame:
+    seen_names = [_seen(k) for k in range(2, order + 1)]
+    out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_words": 0, **dict.fromkeys(seen_names, 0), "log_score": None})
     out["log_score"] = out["log_score"].astype("float64")
-    (uni, n1), (bi, n2) = _batch_grams(docs["text"].tolist())
+    grams = _batch_grams(docs["text"].tolist(), order)
+    n1 = grams[0][1]
     out["n_words"] = n1
-    if not len(uni):
+    if not n1.sum():
         return out
     # the totals come back per partition in the order of the batch's sorted distinct n-grams
-    distinct, place = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-    sizes = np.diff(np.searchsorted(_part(distinct, parts), np.arange(parts + 1)))
+    distinct, place = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
     answers = dict(zip(totals["part"], totals["totals"]))
-    total = np.concatenate([_from_planes(answers[p], np.int64) for p, n in enumerate(sizes) if n])
-    doc1, doc2 = np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)
-    c = total[place]
+    total = np.concatenate([_from_planes(answers[p], np.int64) for p, _, _ in _runs(distinct, parts)])
+    of_doc = [np.repeat(np.arange(len(n)), n) for _, n in grams]
+    count = total[place]
     if leave_out:
-        key = np.concatenate([doc1, doc2]) * np.int64(len(distinct)) + place
+        key = np.concatenate(of_doc) * np.int64(len(distinct)) + place
         _, at, own = np.unique(key, return_inverse=True, return_counts=True)
-        c = c - own[at]
-    c1, c2 = c[: len(uni)], c[len(uni) :]
-    # a text's pair i is its word i + 1 after its word i
-    first = np.zeros(len(uni), dtype=bool)
-    first[(np.cumsum(n1) - n1)[n1 > 0]] = True
-    head = np.flatnonzero(np.r_[~first[1:], False])  # words that another follows
-    log_c = np.log(np.maximum(c1, 1))
-    single = np.where(c1 > 0, log_c, math.log(BACKOFF)) - math.log(words)
-    score = np.where(first, single, math.log(BACKOFF) + single)
-    seen = c2 > 0
-    score[head[seen] + 1] = np.log(c2[seen]) - log_c[head[seen]]
-    out["n_bigrams_seen"] = np.bincount(doc2[seen], minlength=len(n1))
-    sums = np.bincount(doc1, weights=score, minlength=len(n1))
+        count = count - own[at]
+    count = np.split(count, np.cumsum([len(g) for g, _ in grams])[:-1])
+    first = np.cumsum(n1) - n1  # a text's first word
+    score = np.where(count[0] > 0, np.log(np.maximum(count[0], 1)), math.log(BACKOFF)) - math.log(words)
+    for k in range(2, order + 1):
+        c, n = count[k - 1], grams[k - 1][1]
+        doc = of_doc[k - 1]
+        i = np.arange(len(c)) - (np.cumsum(n) - n)[doc]  # the text's i-th run of k words ends at its word i + k - 1
+        word = first[doc] + i + k - 1
+        shorter = grams[k - 2][1]
+        history = (np.cumsum(shorter) - shorter)[doc] + i
+        seen = c > 0
+        score[word[~seen]] += math.log(BACKOFF)
+        score[word[seen]] = np.log(c[seen]) - np.log(count[k - 2][history[seen]])
+        out[_seen(k)] = np.bincount(doc[seen], minlength=len(n))
+    sums = np.bincount(of_doc[0], weights=score, minlength=len(n1))
     out["log_score"] = np.where(n1 > 0, sums, np.nan)
     return out
 
 
-def score_documents(docs: DataFrame, leave_out: bool = True, batch_docs: int = BATCH_DOCS, docs_per_partition: int = DOCS_PER_PARTITION) -> DataFrame:
-    """doc_id, n_words, n_bigrams_seen, log_score (rounded to 4 digits, null without words), one row per row."""
+def _seen(k: int) -> str:
+    return {2: "n_bigrams_seen", 3: "n_trigrams_seen"}.get(k, f"n_{k}grams_seen")
+
+
+def score_documents(docs: DataFrame, leave_out: bool = True, batch_docs: int = BATCH_DOCS, docs_per_partition: int = DOCS_PER_PARTITION,
+                    order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, n_bigrams_seen, n_trigrams_seen (one such column per order from 2), log_score (rounded to 4
+    digits, null without words), one row per row."""
     prepare(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     n, words = rows.agg(F.count("*"), F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()
     words = max(1, words)
     batches, parts = max(1, -(-n // batch_docs)), max(1, -(-n // docs_per_partition))
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches)).cast("int"))
-    grams = dealt.groupBy("batch").applyInPandas(lambda pdf: _grams_of(pdf, parts), _KEYS)
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
+    grams = dealt.groupBy("batch").applyInPandas(lambda pdf: _grams_of(pdf, parts, order), _KEYS)
     totals = grams.groupBy("part").applyInPandas(_totals_of, _TOTALS)
     scored = dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInPandas(
-        lambda d, t: _scores_of(d, t, words, parts, leave_out),
-        "doc_id long, n_words long, n_bigrams_seen long, log_score double")
+        lambda d, t: _scores_of(d, t, words, parts, leave_out, order),
+        f"doc_id long, n_words long, {''.join(f'{_seen(k)} long, ' for k in range(2, order + 1))}log_score double")
     return scored.withColumn("log_score", F.when(~F.isnan("log_score"), F.round("log_score", 4)))

@@ -125,7 +125,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document under the bigram counts of all other rows."""
+    """Stupid-backoff score of every document under the counts of one to three words in all other rows."""
     return backoff_lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
@@ -133,20 +133,19 @@ def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op10_backoff"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '\x00', ''), '{_W}') AS w FROM documents),
 u AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
-b AS (SELECT r, w, i, lag(w) OVER (PARTITION BY r ORDER BY i) AS h FROM u),
-cu AS (SELECT w, count(*) AS c FROM u GROUP BY w),
-cb AS (SELECT h, w, count(*) AS c FROM b WHERE h IS NOT NULL GROUP BY h, w),
-ou AS (SELECT r, w, count(*) AS c FROM u GROUP BY r, w),
-ob AS (SELECT r, h, w, count(*) AS c FROM b WHERE h IS NOT NULL GROUP BY r, h, w),
+b AS (SELECT r, w, i, lag(w) OVER (PARTITION BY r ORDER BY i) AS h, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS g FROM u),
+c AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS c1,
+             count(*) OVER (PARTITION BY h, w) - count(*) OVER (PARTITION BY r, h, w) AS c2,
+             count(*) OVER (PARTITION BY g, h, w) - count(*) OVER (PARTITION BY r, g, h, w) AS c3 FROM b),
+p AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS h1, lag(c2) OVER (PARTITION BY r ORDER BY i) AS h2 FROM c),
 n AS (SELECT count(*) AS n FROM u),
-s AS (SELECT b.r, CASE WHEN b.h IS NOT NULL AND cb.c - ob.c > 0 THEN ln((cb.c - ob.c) / (ch.c - oh.c)::DOUBLE)
-                       ELSE (CASE WHEN b.h IS NULL THEN 0 ELSE ln(0.4) END)
-                            + CASE WHEN cw.c - ow.c > 0 THEN ln((cw.c - ow.c) / n::DOUBLE) ELSE ln(0.4) - ln(n::DOUBLE) END END AS x,
-             (b.h IS NOT NULL AND cb.c - ob.c > 0)::INT AS hit
-      FROM b CROSS JOIN n JOIN cu cw ON cw.w = b.w JOIN ou ow ON ow.r = b.r AND ow.w = b.w
-      LEFT JOIN cu ch ON ch.w = b.h LEFT JOIN ou oh ON oh.r = b.r AND oh.w = b.h
-      LEFT JOIN cb ON cb.h = b.h AND cb.w = b.w LEFT JOIN ob ON ob.r = b.r AND ob.h = b.h AND ob.w = b.w)
-SELECT d.doc_id, count(s.r) AS n_words, coalesce(sum(s.hit), 0)::BIGINT AS n_bigrams_seen, round(sum(s.x), 4) AS log_score
+s AS (SELECT r, h IS NOT NULL AND c2 > 0 AS hit2, g IS NOT NULL AND c3 > 0 AS hit3,
+             CASE WHEN c1 > 0 THEN ln(c1 / n::DOUBLE) ELSE ln(0.4) - ln(n::DOUBLE) END AS x1,
+             CASE WHEN hit2 THEN ln(c2 / h1::DOUBLE) WHEN h IS NULL THEN x1 ELSE ln(0.4) + x1 END AS x2,
+             CASE WHEN hit3 THEN ln(c3 / h2::DOUBLE) WHEN g IS NULL THEN x2 ELSE ln(0.4) + x2 END AS x
+      FROM p CROSS JOIN n)
+SELECT d.doc_id, count(s.r) AS n_words, coalesce(sum(s.hit2::INT), 0)::BIGINT AS n_bigrams_seen,
+       coalesce(sum(s.hit3::INT), 0)::BIGINT AS n_trigrams_seen, round(sum(s.x), 4) AS log_score
 FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id
 """
 

@@ -182,32 +182,40 @@ def test_quality_odd_rows(spark):
     assert qda.score_statistics(nothing, qda.fit_labelled(nothing, labels.filter("false"))).count() == 0
 
 
-def backoff_by_loop(rows, own_out):
+def backoff_by_loop(rows, own_out, order):
+    """The recursion, written out: (id, words, runs seen per order from 2, score)."""
     words = [WORD.findall(t or "") for _, t in rows]
-    uni, bi = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
-    n, out = sum(uni.values()), []
+    runs = lambda ws: Counter(tuple(ws[i : i + k]) for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+    every, out = Counter(), []
+    for ws in words:
+        every.update(runs(ws))
+    n = sum(map(len, words))
     for (i, _), ws in zip(rows, words):
-        u, b = (uni - Counter(ws), bi - Counter(zip(ws, ws[1:]))) if own_out else (uni, bi)
-        x = seen = 0
-        for k, w in enumerate(ws):
-            single = math.log(u[w] / n) if u[w] > 0 else math.log(0.4 / n)
-            if k and b[ws[k - 1], w] > 0:
-                x, seen = x + math.log(b[ws[k - 1], w] / u[ws[k - 1]]), seen + 1
-            else:
-                x += single + (math.log(0.4) if k else 0)
-        out.append((str(i), len(ws), seen, round(x, 4) if ws else None))
+        own, seen = runs(ws) if own_out else Counter(), [0] * (order - 1)
+        c = lambda g: every[g] - own[g]
+
+        def log_s(g):
+            if len(g) == 1:
+                return math.log(c(g) / n) if c(g) > 0 else math.log(0.4 / n)
+            return math.log(c(g) / c(g[:-1])) if c(g) > 0 else math.log(0.4) + log_s(g[1:])
+
+        x = sum(log_s(tuple(ws[max(0, k - order + 1) : k + 1])) for k in range(len(ws)))
+        for k in range(2, order + 1):
+            seen[k - 2] = sum(c(tuple(ws[j : j + k])) > 0 for j in range(len(ws) - k + 1))
+        out.append((str(i), len(ws), *seen, round(x, 4) if ws else None))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("own_out", [True, False])
-def test_backoff(spark, own_out):
+@pytest.mark.parametrize("own_out, order", [(True, 3), (False, 3), (True, 2), (True, 1), (True, 4)])
+def test_backoff(spark, own_out, order):
     rows = corpus()
-    out = backoff_lm.score_documents(frame(spark, rows), leave_out=own_out, batch_docs=50, docs_per_partition=90).collect()
-    got = sorted(((str(r.doc_id), r.n_words, r.n_bigrams_seen, r.log_score) for r in out), key=str)
-    want = backoff_by_loop(rows, own_out)
-    assert [g[:3] for g in got] == [w[:3] for w in want]
+    out = backoff_lm.score_documents(frame(spark, rows), leave_out=own_out, batch_docs=50, docs_per_partition=90, order=order).collect()
+    names = ["n_words", *[backoff_lm._seen(k) for k in range(2, order + 1)], "log_score"]
+    got = sorted(((str(r.doc_id), *[r[x] for x in names]) for r in out), key=str)
+    want = backoff_by_loop(rows, own_out, order)
+    assert [g[:-1] for g in got] == [w[:-1] for w in want]
     for g, w in zip(got, want):
-        assert (g[3] is None and w[3] is None) or g[3] == pytest.approx(w[3], abs=2e-3)
+        assert (g[-1] is None and w[-1] is None) or g[-1] == pytest.approx(w[-1], abs=2e-3)
     assert backoff_lm.score_documents(frame(spark, rows[:0])).count() == 0
 
 
