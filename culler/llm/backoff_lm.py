@@ -15,8 +15,8 @@ second one a word, and so on.
 Words are compared in their own case.
 
 Rows of (document, n-gram) would be several times the text on disk, so they travel packed: documents are dealt
-to batches by hash, a batch's distinct n-grams become one row per hash partition (sorted 64-bit
-hashes with counts), and the partition answers each such row with the totals.
+to batches by hash, a batch's distinct n-grams become one row per hash partition (gaps between
+sorted 64-bit hashes, with counts, compressed), and the partition answers each such row with the totals.
 1. documents by batch -> n-gram rows by partition (the exploded side, pre-aggregated per batch);
 2. partition: count table from all its rows, joined back to each of them -> totals by batch;
 3. documents and totals meet by batch -> scores.
@@ -36,15 +36,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from culler.llm.common import n_words, prepare
 from culler.llm.words import ngrams, word_hashes
 
 BACKOFF = 0.4
-BATCH_DOCS = 1000
+BATCH_DOCS = 3000
+#: Texts of a batch that are in work at once.
+SLICE_DOCS = 500
 #: Hash partitions of the count tables: one for every so many documents.
-DOCS_PER_PARTITION = 4000
+DOCS_PER_PARTITION = 2000
 ORDER = 3
 #: Keeps the orders' hashes apart: order k's are shifted by k - 1 times this odd number.
 _ORDER_SALT = 0x9E3779B97F4A7C15
@@ -52,15 +55,23 @@ _KEYS = "batch int, part int, grams binary, counts binary"
 _TOTALS = "batch int, part int, totals binary"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of ``x``, all first bytes first: small numbers and sorted hashes leave long runs, which the
-    shuffle's own compression then packs."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """The numbers' bytes, all first bytes first (small numbers leave long runs), compressed behind their length."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _from_planes(raw: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+def _unpacked(raw: bytes, dtype: type) -> np.ndarray:
+    planes = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def _packed_grams(ascending: np.ndarray) -> bytes:
+    return _packed(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def _unpacked_grams(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, np.uint64), dtype=np.uint64)
 
 
 def _batch_grams(texts: list[str | None], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -69,6 +80,22 @@ def _batch_grams(texts: list[str | None], order: int) -> list[tuple[np.ndarray,
     return [(h ^ np.uint64((k - 1) * _ORDER_SALT % 2**64), n) for k in range(1, order + 1) for h, n in [ngrams(flat, sizes, k)]]
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    return ((i, texts[i : i + SLICE_DOCS]) for i in range(0, len(texts), SLICE_DOCS))
+
+
+def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, ascending, the sums of their counts, and where each given one stands."""
+    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
+    return distinct, np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64), place
+
+
+def _batch_table(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's distinct n-grams, ascending, and their counts; its texts are taken slice by slice."""
+    tables = [np.unique(np.concatenate([g for g, _ in _batch_grams(part, order)]), return_counts=True) for _, part in _slices(texts)]
+    return _merged([g for g, _ in tables], [c for _, c in tables])[:2]
+
+
 def _part(grams: np.ndarray, parts: int) -> np.ndarray:
     """Partition by the top bits, so that sorted hashes are sorted by partition as well."""
     return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -82,53 +109,46 @@ def _runs(distinct: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _grams_of(pdf: pd.DataFrame, parts: int, order: int) -> pd.DataFrame:
-    grams = _batch_grams(pdf["text"].tolist(), order)
-    distinct, counts = np.unique(np.concatenate([g for g, _ in grams]), return_counts=True)
-    counts = counts.astype(np.uint32)
-    rows = [(int(pdf["batch"].iloc[0]), p, _planes(distinct[a:b]), _planes(counts[a:b])) for p, a, b in _runs(distinct, parts)]
+    distinct, counts = _batch_table(pdf["text"].tolist(), order)
+    rows = [(int(pdf["batch"].iloc[0]), p, _packed_grams(distinct[a:b]), _packed(counts[a:b])) for p, a, b in _runs(distinct, parts)]
     return pd.DataFrame(rows, columns=["batch", "part", "grams", "counts"])
 
 
 def _totals_of(pdf: pd.DataFrame) -> pd.DataFrame:
     """The partition's count table, joined back to the rows that it came from."""
-    grams = [_from_planes(g, np.uint64) for g in pdf["grams"]]
-    counts = [_from_planes(c, np.uint32) for c in pdf["counts"]]
-    keys, place = np.unique(np.concatenate(grams), return_inverse=True)
-    table = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(table, place, np.concatenate(counts).astype(np.int64))
+    grams = [_unpacked_grams(g) for g in pdf["grams"]]
+    _, table, place = _merged(grams, [_unpacked(c, np.int64) for c in pdf["counts"]])
     answers = np.split(table[place], np.cumsum([len(g) for g in grams])[:-1])
-    return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": [_planes(a) for a in answers]})
+    return pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "totals": [_packed(a) for a in answers]})
 
 
 def _scores_of(docs: pd.DataFrame, totals: pd.DataFrame, words: int, parts: int, leave_out: bool, order: int) -> pd.DataFrame:
-    seen_names = [_seen(k) for k in range(2, order + 1)]
-    out = pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_words": 0, **dict.fromkeys(seen_names, 0), "log_score": None})
-    out["log_score"] = out["log_score"].astype("float64")
-    grams = _batch_grams(docs["text"].tolist(), order)
-    n1 = grams[0][1]
-    out["n_words"] = n1
-    if not n1.sum():
-        return out
+    texts = docs["text"].tolist()
+    distinct, _ = _batch_table(texts, order)
     # the totals come back per partition in the order of the batch's sorted distinct n-grams
-    distinct, place = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
     answers = dict(zip(totals["part"], totals["totals"]))
-    total = np.concatenate([_from_planes(answers[p], np.int64) for p, _, _ in _runs(distinct, parts)])
+    total = np.concatenate([np.zeros(0, dtype=np.int64), *(_unpacked(answers[p], np.int64) for p, _, _ in _runs(distinct, parts))])
+    scored = [_slice_scores(part, distinct, total, words, leave_out, order) for _, part in _slices(texts)]
+    return pd.concat([docs[["doc_id"]].astype("Int64").reset_index(drop=True), pd.concat(scored, ignore_index=True)], axis=1)
+
+
+def _slice_scores(texts: list[str | None], distinct: np.ndarray, total: np.ndarray, words: int, leave_out: bool, order: int) -> pd.DataFrame:
+    grams = _batch_grams(texts, order)
+    n1 = grams[0][1]
+    out = pd.DataFrame({"n_words": n1, **{_seen(k): np.zeros(len(n1), dtype=np.int64) for k in range(2, order + 1)}})
+    place = np.searchsorted(distinct, np.concatenate([g for g, _ in grams]))
     of_doc = [np.repeat(np.arange(len(n)), n) for _, n in grams]
     count = total[place]
     if leave_out:
-        key = np.concatenate(of_doc) * np.int64(len(distinct)) + place
-        _, at, own = np.unique(key, return_inverse=True, return_counts=True)
+        _, at, own = np.unique(np.concatenate(of_doc) * np.int64(len(distinct)) + place, return_inverse=True, return_counts=True)
         count = count - own[at]
     count = np.split(count, np.cumsum([len(g) for g, _ in grams])[:-1])
     first = np.cumsum(n1) - n1  # a text's first word
     score = np.where(count[0] > 0, np.log(np.maximum(count[0], 1)), math.log(BACKOFF)) - math.log(words)
     for k in range(2, order + 1):
-        c, n = count[k - 1], grams[k - 1][1]
-        doc = of_doc[k - 1]
+        c, n, doc, shorter = count[k - 1], grams[k - 1][1], of_doc[k - 1], grams[k - 2][1]
         i = np.arange(len(c)) - (np.cumsum(n) - n)[doc]  # the text's i-th run of k words ends at its word i + k - 1
-        word = first[doc] + i + k - 1
-        shorter = grams[k - 2][1]
-        history = (np.cumsum(shorter) - shorter)[doc] + i
+        word, history = first[doc] + i + k - 1, (np.cumsum(shorter) - shorter)[doc] + i
         seen = c > 0
         score[word[~seen]] += math.log(BACKOFF)
         score[word[seen]] = np.log(c[seen]) - np.log(count[k - 2][history[seen]])

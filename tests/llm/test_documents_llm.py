@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,22 @@ def backoff_by_loop(rows, own_out, order):
     return sorted(out, key=str)
 
 
+def test_backoff_slices(monkeypatch):
+    """Two batches in slices of seven texts, scored in this process, against the loop."""
+    monkeypatch.setattr(backoff_lm, "SLICE_DOCS", 7)
+    rows = corpus()[130:300]
+    docs = pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], dtype="Int64"), "text": [t for _, t in rows], "batch": [k % 2 for k in range(len(rows))]})
+    grams = pd.concat([backoff_lm._grams_of(b, 5, 3) for _, b in docs.groupby("batch")])
+    totals = pd.concat([backoff_lm._totals_of(p) for _, p in grams.groupby("part")])
+    words = sum(len(WORD.findall(t or "")) for _, t in rows)
+    out = pd.concat([backoff_lm._scores_of(b, totals[totals["batch"] == k], words, 5, True, 3) for k, b in docs.groupby("batch")])
+    got = sorted(((str(i), n, b, t) for i, n, b, t in zip(out["doc_id"], out["n_words"], out["n_bigrams_seen"], out["n_trigrams_seen"])), key=str)
+    want = backoff_by_loop(rows, True, 3)
+    assert got == [w[:4] for w in want]
+    scores = sorted(x for x in out["log_score"] if x == x)
+    assert scores == pytest.approx(sorted(w[4] for w in want if w[4] is not None), abs=1e-3)
+
+
 @pytest.mark.parametrize("own_out, order", [(True, 3), (False, 3), (True, 2), (True, 1), (True, 4)])
 def test_backoff(spark, own_out, order):
     rows = corpus()
