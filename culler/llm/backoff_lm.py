@@ -45,7 +45,7 @@ from culler.llm.words import ngrams, word_hashes
 BACKOFF = 0.4
 BATCH_DOCS = 3000
 #: Texts of a batch that are in work at once.
-SLICE_DOCS = 500
+SLICE_DOCS = 100
 #: Hash partitions of the count tables: one for every so many documents.
 DOCS_PER_PARTITION = 2000
 ORDER = 3
@@ -136,11 +136,11 @@ def _slice_scores(texts: list[str | None], distinct: np.ndarray, total: np.ndarr
     grams = _batch_grams(texts, order)
     n1 = grams[0][1]
     out = pd.DataFrame({"n_words": n1, **{_seen(k): np.zeros(len(n1), dtype=np.int64) for k in range(2, order + 1)}})
-    place = np.searchsorted(distinct, np.concatenate([g for g, _ in grams]))
+    mine, place = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
     of_doc = [np.repeat(np.arange(len(n)), n) for _, n in grams]
-    count = total[place]
+    count = total[np.searchsorted(distinct, mine)][place]
     if leave_out:
-        _, at, own = np.unique(np.concatenate(of_doc) * np.int64(len(distinct)) + place, return_inverse=True, return_counts=True)
+        _, at, own = np.unique(np.concatenate(of_doc) * np.int64(len(mine)) + place, return_inverse=True, return_counts=True)
         count = count - own[at]
     count = np.split(count, np.cumsum([len(g) for g, _ in grams])[:-1])
     first = np.cumsum(n1) - n1  # a text's first word
