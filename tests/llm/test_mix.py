@@ -196,7 +196,7 @@ def test_mix_whole_stands_in_shard_order(spark):
 def test_interleave(spark):
     rows = rows_of(500)
     df = docs_frame(spark, rows)
-    out = interleave.interleave(df, bits=3, slices=16).collect()
+    out = interleave.interleave(df, bits=3).collect()
     assert len(out) == len(rows)
     counts = Counter(r.shard for r in out)
     assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
@@ -210,6 +210,17 @@ def test_interleave(spark):
     texts = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == texts
     key = lambda r: (r.doc_id or -1, r.shard, r.slot)
-    other = interleave.interleave(df.repartition(5), bits=6, slices=64).collect()
+    other = interleave.interleave(df.repartition(5), bits=6).collect()
     assert sorted(map(key, out)) == sorted(map(key, other))  # buckets don't change the order
     assert interleave.interleave(df.filter("false")).count() == 0
+
+
+def test_interleave_many_sources_of_one_row(spark):
+    """All rows share the fraction 1/2: the order key decides, and the shards stay even."""
+    df = docs_frame(spark, [(i, "w " * (i % 7), f"s{i}") for i in range(600)])
+    out = interleave.interleave(df.repartition(3)).collect()
+    assert {r.fraction for r in out} == {0.5}
+    assert sorted(r.position for r in out) == list(range(600))
+    assert set(Counter(r.shard for r in out).values()) == {75}
+    again = interleave.interleave(df.repartition(7), bits=4).collect()
+    assert sorted((r.doc_id, r.position) for r in out) == sorted((r.doc_id, r.position) for r in again)
