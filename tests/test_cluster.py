@@ -171,3 +171,24 @@ def test_hierarchical_gives_any_k(spark):
     z = spark.createDataFrame(rows, "suite string, method_seq long, z array<double>")
     lab = C.hierarchical(z, spark.createDataFrame([("s", 30)], "suite string, k int"))
     assert lab.select("cluster").distinct().count() == 30
+
+
+@pytest.mark.parametrize("linkage", ["average", "ward"])
+def test_merge_tree_is_the_same_by_passes_and_in_one_task(spark, linkage, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(40, 3)).round(1)
+    x[9], x[30], x[31] = x[2], x[2], x[17]  # copies: equal distances
+    df = spark.createDataFrame([("s", i, [float(v) for v in r]) for i, r in enumerate(x)], "suite string, method_seq long, vec array<double>")
+    trees = []
+    for few in (0, 7, 4096):
+        monkeypatch.setattr(C, "FINISH", few)
+        trees.append(sorted(map(tuple, C.merge_tree(df, linkage, block_size=10).collect())))
+    assert len(trees[0]) == 39 and trees[0] == trees[1] == trees[2]
+
+
+def test_merge_tree_needs_few_passes(spark, monkeypatch):
+    """Points of which one pair merges a round: no pass of Spark jobs a merge."""
+    passes, run_pairs = [], C.BK.run_pairs
+    monkeypatch.setattr(C.BK, "run_pairs", lambda *a, **k: passes.append(1) or run_pairs(*a, **k))
+    df = spark.createDataFrame([("s", i, [2.0**i]) for i in range(20)], "suite string, method_seq long, vec array<double>")
+    assert C.merge_tree(df, "ward").count() == 19
+    assert len(passes) <= 1
