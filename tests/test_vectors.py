@@ -164,3 +164,29 @@ def test_registry_unknown(spark):
 def test_pair_count(spark):
     df, data = make(spark, seed=9, suites=(40,), dim=6)
     assert V.pair_count(df, block_size=7).first()["pairs"] == 40 * 39 // 2
+
+
+def test_a_tile_is_computed_once_for_both_directions(monkeypatch):
+    """Pair kernels on two blocks: the Manhattan and cosine tiles once, the Euclidean distances of the near pairs only; same numbers as all pairs."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5)).round(1)
+    x[50] = x[3]
+    pdf = pd.DataFrame({"suite": 0, "method_seq": np.arange(60), "v": list(x), "k": 3, "lo": 0, "hi": 1, "blk": np.repeat([0, 1], 30)})
+    tiles, tile = [], V.BK.distance_tile
+    monkeypatch.setattr(V.BK, "distance_tile", lambda a, b, m: tiles.append(m) or tile(a, b, m))
+    kd = V._kdist_kernel(V.BK.METRICS, "v")(pdf)
+    top = V._topk_kernel(4, V.BK.METRICS, "v")(pdf)
+    rows = V._rowsum_kernel(V.BK.METRICS, "v")(pdf)
+    assert sorted(tiles) == ["cosine"] * 3 + ["manhattan"] * 3
+    for m in V.BK.METRICS:
+        d = tile(x, x, m)
+        for a in range(60):
+            other = np.arange(30, 60) if a < 30 else np.arange(30)
+            assert np.sort(kd[(kd.metric == m) & (kd.a == a)].d.iloc[0]) == pytest.approx(np.sort(np.maximum(d[a, other], 0.0))[:3], abs=1e-12)
+            s = V.BK.similarity_from_distance(d[a, other], m)
+            got = top[(top.metric == m) & (top.a == a)]
+            assert got.score.to_numpy() == pytest.approx(-np.sort(-s)[:4], abs=1e-12)
+            r = rows[(rows.metric == m) & (rows.a == a)].iloc[0]
+            assert (r.s, r.mx, r.n) == (pytest.approx(s.sum()), pytest.approx(s.max()), 30)
