@@ -192,3 +192,22 @@ def test_merge_tree_needs_few_passes(spark, monkeypatch):
     df = spark.createDataFrame([("s", i, [2.0**i]) for i in range(20)], "suite string, method_seq long, vec array<double>")
     assert C.merge_tree(df, "ward").count() == 19
     assert len(passes) <= 1
+
+
+def test_dbscan_links_leave_a_tile_once(monkeypatch):
+    """One distance tile and one set of stars for both directions of two blocks; degrees are of both."""
+    import pandas as pd
+
+    x = np.random.default_rng(3).normal(size=(40, 2))
+    pdf = pd.DataFrame({"suite": 0, "metric": "euclidean", "method_seq": np.arange(40), "z": list(x), "eps": [np.array([0.7])] * 40,
+                        "core": [np.array([True])] * 40, "comp": [np.array([i if i % 3 else -1]) for i in range(40)], "lo": 0, "hi": 1, "blk": np.repeat([0, 1], 20)})
+    tiles, tile = [], C.BK.distance_tile
+    monkeypatch.setattr(C.BK, "distance_tile", lambda *a: tiles.append(1) or tile(*a))
+    out = {p: C._dbscan_kernel(["euclidean"], 1, "z", p)(pdf) for p in ("degree", "edges", "border")}
+    assert len(tiles) == 3 and not out["edges"]["a"].duplicated().any()
+    near = tile(x, x, "euclidean") <= 0.7
+    for a in range(40):
+        other = np.arange(20, 40) if a < 20 else np.arange(20)
+        assert out["degree"].set_index("a").v[a] == near[a, other].sum()
+        cores = [o for o in other[near[a, other]] if o % 3]
+        assert out["border"].set_index("a").v.get(a) == (min(cores) if a % 3 == 0 and cores else None)

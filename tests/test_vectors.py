@@ -190,3 +190,32 @@ def test_a_tile_is_computed_once_for_both_directions(monkeypatch):
             assert got.score.to_numpy() == pytest.approx(-np.sort(-s)[:4], abs=1e-12)
             r = rows[(rows.metric == m) & (rows.a == a)].iloc[0]
             assert (r.s, r.mx, r.n) == (pytest.approx(s.sum()), pytest.approx(s.max()), 30)
+
+
+def test_pooling_sorts_no_tokens(spark):
+    rows = [("s", i, p, [float(i + p), float(i * p), -1.0]) for i in range(3) for p in range(4)]
+    t = spark.createDataFrame(rows, "suite string, method_seq long, pos int, vec array<double>")
+    for made, want in ((V.pool_mean(t), lambda i: [i + 1.5, 1.5 * i, -1.0]), (V.pool_cls(t), lambda i: [i, 0.0, -1.0])):
+        plan = made._jdf.queryExecution().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "HashAggregate" in plan
+        assert {r.method_seq: r.vec for r in made.collect()} == {i: pytest.approx(want(i)) for i in range(3)}
+
+
+def test_idf_weights_common_and_rare_tokens_alike(spark, monkeypatch):
+    """Every mix of sent and joined weights gives the vectors of the formula, and an item's sums leave a task only once."""
+    texts = ["a b b c", "a c", "a", "", None, "a zz"]
+    items = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "suite string, method_seq long, code string")
+    words = [(t or "").split() for t in texts]
+    want = []
+    for w in words:
+        v = np.zeros(4)
+        for tok in w:
+            bucket, sign = V._TokenBuckets(4)[tok.encode()]
+            v[bucket] += sign * (np.log((1 + len(texts)) / (1 + sum(tok in o for o in words))) + 1)
+        want.append(v / (np.linalg.norm(v) or 1.0))
+    for least, held in ((0, 1 << 20), (1, 1 << 20), (1, 0), (100, 1 << 20)):
+        monkeypatch.setattr(V, "COMMON_LEAST", least)
+        monkeypatch.setattr(V, "VOCABULARY", held)
+        got = {r.method_seq: r.vec for r in V.hashing_embed_idf(items, dims=4).collect()}
+        for i, v in enumerate(want):
+            assert got[i] == pytest.approx(v)
