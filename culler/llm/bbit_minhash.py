@@ -28,7 +28,7 @@ id alone doesn't link; an empty table gives an empty result; further columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,8 @@ PERCENT = 85
 HASHES, BANDS, BAND_ROWS, BITS = 128, 25, 5, 4
 MARGIN = 4.5
 BLOCK = 512
+#: Rows of the small buckets that are compared in one group.
+GROUP = 4096
 #: Shingles hashed at a time, so that the working arrays stay in a core's cache.
 _PIECE = 1 << 15
 _LANES = 0x1111111111111111
@@ -84,8 +86,11 @@ def minima(sets: list[np.ndarray], seed: int = SEED) -> np.ndarray:
         flat = np.concatenate(sets[start:stop])
         sizes = [len(s) for s in sets[start:stop]]
         at = np.cumsum(sizes) - sizes
+        x = np.empty_like(flat)
         for k in range(HASHES):
-            out[start:stop, k] = np.minimum.reduceat(flat * a[k] + b[k], at)
+            np.multiply(flat, a[k], out=x)
+            np.add(x, b[k], out=x)
+            out[start:stop, k] = np.minimum.reduceat(x, at)
         start = stop
     return out
 
@@ -160,17 +165,52 @@ def _full_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 "shingles": [s.tobytes() for s in sets]})
 
 
-def _confirmed(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Star edges of the components of the confirmed links of a block; a row has a document's shingles and partners."""
-    tile = tile.sort_values("doc", kind="stable")
-    docs = tile["doc"].to_numpy()
-    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-    names = docs[first]
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in tile["shingles"].iloc[first]]
-    sizes = np.array([len(s) for s in sets])
+def _shared(sets: list[np.ndarray], sizes: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """How many shingles a set shares with others, by looking theirs up in it: for sets with few partners."""
+
+    def common(i: int, others: np.ndarray) -> np.ndarray:
+        theirs = np.concatenate([sets[j] for j in others])
+        place = np.minimum(np.searchsorted(sets[i], theirs), len(sets[i]) - 1)
+        return np.add.reduceat((sets[i][place] == theirs).astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+
+    return common
+
+
+def _marked(sets: list[np.ndarray], sizes: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The same, by numbering all shingles once: for sets with many partners."""
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
     local = np.split(local, np.cumsum(sizes)[:-1])
     marks = np.zeros(int(max((x.max() for x in local if len(x)), default=0)) + 1, dtype=np.int64)
+
+    def common(i: int, others: np.ndarray) -> np.ndarray:
+        marks[local[i]] = 1
+        both = np.add.reduceat(marks[np.concatenate([local[j] for j in others])], np.cumsum(sizes[others]) - sizes[others])
+        marks[local[i]] = 0
+        return both
+
+    return common
+
+
+def _tiles(pdf: pd.DataFrame, *within: str) -> Iterator[np.ndarray]:
+    """The places of each block's rows, sorted by ``within``; several blocks share a group."""
+    order = np.lexsort([pdf[c].to_numpy() for c in (*within[::-1], "t2", "t1")])
+    t1, t2 = pdf["t1"].to_numpy()[order], pdf["t2"].to_numpy()[order]
+    return iter(np.split(order, np.flatnonzero((t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1)) if len(order) else iter(())
+
+
+def _confirmed(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Star edges of the components of the confirmed links of each block; a row has a document's shingles and partners."""
+    doc, shingles, partners = (pdf[c].to_numpy() for c in ("doc", "shingles", "partners"))
+    stars = [_confirmed_tile(doc[at], shingles[at], partners[at], percent) for at in _tiles(pdf, "doc")]
+    return pd.DataFrame({c: np.concatenate([s[k] for s in stars] or [np.zeros(0, dtype=np.int64)]) for k, c in enumerate("ab")})
+
+
+def _confirmed_tile(docs: np.ndarray, shingles: np.ndarray, wanted: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    names = docs[first]
+    sets = [np.frombuffer(s, dtype=np.uint64) for s in shingles[first]]
+    sizes = np.array([len(s) for s in sets])
+    common = (_shared if sum(map(len, wanted)) <= 2 * len(names) else _marked)(sets, sizes)
     label = np.arange(len(names))
 
     def root(i: int) -> int:
@@ -179,44 +219,48 @@ def _confirmed(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
             i = label[i]
         return i
 
-    for doc, partners in zip(docs, tile["partners"]):
+    for doc, partners in zip(docs, wanted):
         if not len(partners):
             continue
         i = np.searchsorted(names, doc)
         others = np.unique(np.searchsorted(names, np.asarray(partners, dtype=np.int64)))
-        marks[local[i]] = 1
-        common = np.add.reduceat(marks[np.concatenate([local[j] for j in others])], np.cumsum(sizes[others]) - sizes[others])
-        marks[local[i]] = 0
-        for j in others[100 * common >= percent * (sizes[i] + sizes[others] - common)]:
+        both = common(i, others)
+        for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)]:
             a, b = sorted((root(i), root(j)))
             label[b] = a
     low = np.array([root(i) for i in range(len(names))])
     star = np.flatnonzero(low != np.arange(len(low)))
-    return pd.DataFrame({"a": names[star], "b": names[low[star]]})
-
-
-def _stray_partners(tile: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Of a block of members (left) and a block of strays: each stray's likely partners in other components."""
-    out: dict[str, list] = {"doc": [], "partners": []}
-    left, right = tile[tile["left"]], tile[~tile["left"]]
-    if len(left) and len(right):
-        words = [np.array(p["sig"].tolist(), dtype=np.int64).view(np.uint64) for p in (left, right)]
-        a, al, stray = left["rep"].to_numpy(), left["label"].to_numpy(), left["stray"].to_numpy()
-        used = np.zeros(len(left), dtype=bool)
-        for doc, label, sig in zip(right["rep"], right["label"], words[1]):
-            x = words[0] ^ sig
+    return names[star], names[low[star]]
+
+
+def _stray_partners(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Of blocks of members (left) and of strays: each stray's likely partners in other components."""
+    rep, label, stray, left = (pdf[c].to_numpy() for c in ("rep", "label", "stray", "left"))
+    sigs = np.array(pdf["sig"].tolist(), dtype=np.int64).view(np.uint64)
+    t1, t2 = pdf["t1"].to_numpy(), pdf["t2"].to_numpy()
+    rows, docs, partners = [], [], []
+    for at in _tiles(pdf):
+        members, strays = at[left[at]], at[~left[at]]
+        if not len(members) or not len(strays):
+            continue
+        words, a, al, also = sigs[members], rep[members], label[members], stray[members]
+        used = np.zeros(len(members), dtype=bool)
+        for i in strays:
+            x = words ^ sigs[i]
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             near = np.bitwise_count(x & np.uint64(_LANES)).sum(axis=1) <= limit
-            near &= (al != label) & (~stray | (a < doc))  # two strays meet twice
+            near &= (al != label[i]) & (~also | (a < rep[i]))  # two strays meet twice
             if near.any():
                 used |= near
-                out["doc"].append(doc)
-                out["partners"].append(a[near])
-        out["doc"] += a[used].tolist()
-        out["partners"] += [[]] * int(used.sum())
-    doc, partners = pd.Series(out["doc"], dtype="int64"), pd.Series(out["partners"], dtype=object)
-    return pd.DataFrame({"t1": tile["t1"].iloc[0], "t2": tile["t2"].iloc[0], "doc": doc, "partners": partners})
+                rows.append(i)
+                docs.append(rep[i])
+                partners.append(a[near])
+        rows += members[used].tolist()
+        docs += a[used].tolist()
+        partners += [[]] * int(used.sum())
+    at = np.array(rows, dtype=np.int64)
+    return pd.DataFrame({"t1": t1[at], "t2": t2[at], "doc": pd.Series(docs, dtype="int64"), "partners": pd.Series(partners, dtype=object)})
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -250,9 +294,10 @@ def labelled_rows(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFram
     texts = narrow.join(involved, ["doc_id", "content"]).select("doc", "sum", F.coalesce("text", F.lit("")).alias("text"))
     sets = written(texts.mapInPandas(_full_sets, "doc long, same boolean, shingles binary").filter("same").select("doc", "shingles"), "shingle-sets")
 
-    def confirm(rows: DataFrame) -> DataFrame:
-        """``rows``: t1, t2 (the block), doc, partners."""
-        return rows.join(sets, "doc").groupBy("t1", "t2").applyInPandas(lambda tile: _confirmed(tile, percent), "a long, b long")
+    def confirm(rows: DataFrame, n: int) -> DataFrame:
+        """``rows``: t1, t2 (the block), doc, partners; about ``n`` of them. Small blocks share a group."""
+        groups = F.pmod(F.xxhash64("t1", "t2"), F.lit(max(1, n // block))).alias("group")
+        return rows.join(sets, "doc").groupBy(groups).applyInPandas(lambda pdf: _confirmed(pdf, percent), "a long, b long")
 
     # all members against their bucket's hub
     limit = most_different(percent)
@@ -264,7 +309,7 @@ def labelled_rows(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFram
                                               F.array("hub").alias("partners"))
     hubs = parts.select(F.col("hub").alias("t1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("t2"), F.col("hub").alias("doc"),
                         F.array().cast("array<long>").alias("partners"))
-    found = connected_components(confirm(spread.unionByName(hubs)))
+    found = connected_components(confirm(spread.unionByName(hubs), likely.count()))
 
     # strays: members outside their hub's component
     named = lambda of, to: found.select(F.col("id").alias(of), F.col("component").alias(to))
@@ -277,13 +322,17 @@ def labelled_rows(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFram
     columns_of = F.ceil(F.col("strays") / block).cast("int")
     block_of = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    shape = ["band", "key", "rep", "label", "stray", "sig", "i", "j", "left"]
+    shape = ["band", "key", "rep", "label", "stray", "sig", "i", "j", "left", "whole"]
+    tried = tried.withColumn("whole", F.col("size") <= block)
     lefts = tried.withColumn("i", block_of(rows_of)).withColumn("j", upto(columns_of)).withColumn("left", F.lit(True)).select(*shape)
     rights = tried.filter("stray").withColumn("j", block_of(columns_of)).withColumn("i", upto(rows_of)).withColumn("left", F.lit(False)).select(*shape)
     tiles = lefts.unionByName(rights).select(
-        F.xxhash64("band", "key").alias("t1"), (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("t2"), "rep", "label", "stray", "sig", "left")
-    partners = tiles.groupBy("t1", "t2").applyInPandas(lambda tile: _stray_partners(tile, limit), "t1 long, t2 long, doc long, partners array<long>")
-    later = confirm(written(partners, "stray-partners"))
+        F.xxhash64("band", "key").alias("t1"), (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("t2"), "rep", "label", "stray", "sig", "left", "whole")
+    # buckets of one block share groups, of about GROUP rows
+    group = F.when(F.col("whole"), F.pmod(F.xxhash64("t1", "t2"), F.lit(max(1, labelled.count() // GROUP)))).otherwise(F.xxhash64("t1", "t2"))
+    partners = tiles.groupBy("whole", group.alias("group")).applyInPandas(lambda pdf: _stray_partners(pdf, limit), "t1 long, t2 long, doc long, partners array<long>")
+    partners = written(partners, "stray-partners")
+    later = confirm(partners, partners.count())
     links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(later)
     components = connected_components(links)
 

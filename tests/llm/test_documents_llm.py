@@ -277,3 +277,21 @@ def test_pipeline_on_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "test-stage")
     assert docs.count() == 0
+
+
+def test_small_minhash_blocks_share_a_group():
+    """A group of many small blocks answers for each of them as a group of its own would."""
+    import numpy as np
+    import pandas as pd
+
+    from culler.llm import bbit_minhash as M
+
+    sig = np.arange(8, dtype=np.int64)
+    tile = pd.DataFrame({"rep": [1, 2, 2], "label": [1, 2, 2], "stray": [False, True, True], "sig": [sig] * 3, "left": [True, True, False]})
+    many = pd.concat([tile.assign(t1=t, t2=0, rep=tile["rep"] + 10 * t, label=tile["label"] + 10 * t) for t in range(5)], ignore_index=True).sample(frac=1, random_state=1)
+    out = M._stray_partners(many, 0)
+    assert sorted((r.t1, r.doc, list(r.partners)) for r in out.itertuples()) == sorted(
+        x for t in range(5) for x in ((t, 10 * t + 1, []), (t, 10 * t + 2, [10 * t + 1])))
+    words = np.arange(50, dtype=np.uint64).tobytes()
+    rows = out.assign(shingles=[words] * len(out))
+    assert sorted(map(tuple, M._confirmed(rows, 85).values.tolist())) == [(10 * t + 2, 10 * t + 1) for t in range(5)]
