@@ -211,3 +211,46 @@ def test_dbscan_links_leave_a_tile_once(monkeypatch):
         assert out["degree"].set_index("a").v[a] == near[a, other].sum()
         cores = [o for o in other[near[a, other]] if o % 3]
         assert out["border"].set_index("a").v.get(a) == (min(cores) if a % 3 == 0 and cores else None)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e200])
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_fast_tiles_decide_like_plain_ones(metric, scale, monkeypatch):
+    """Also where an eps is exactly a distance, and for numbers beyond what the fast form holds."""
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(200, 5)) * scale, rng.normal(size=(150, 5)) * scale
+    b[:20] = a[:20]
+    tile, plain = C.BK.distance_tile(a, b, metric), []
+    monkeypatch.setattr(C.BK, "distance_tile", lambda *x: plain.append(1) or tile)
+    within = C.BK.within_tile(a, b, metric, (np.array([3]), np.array([90])))
+    for eps in (0.0, float(tile[30, 40]), float(np.median(tile)), float(tile.max()), float("nan")):
+        want = tile <= eps
+        want[3, 90] |= eps >= 0
+        assert (within(eps) == want).all()
+    assert scale != 1.0 or not plain
+
+
+def test_dbscan_between_blocks_links_components_not_points(monkeypatch):
+    """Two blocks whose points are one component each have one link; without core points no distance is taken."""
+    import pandas as pd
+
+    n = 300
+    x = np.random.default_rng(3).normal(size=(n, 2))
+    pdf = pd.DataFrame({"suite": 0, "metric": "euclidean", "method_seq": np.arange(n), "z": list(x), "eps": [np.array([9.0])] * n, "core": [np.array([True])] * n,
+                        "root": [np.array([0 if i < 150 else 150]) for i in range(n)], "lo": 0, "hi": 1, "blk": np.repeat([0, 1], 150)})
+    kernel = C._dbscan_kernel(["euclidean"], 1, "z", "edges")
+    assert kernel(pdf)[["a", "v"]].values.tolist() == [[150, 0]]
+    monkeypatch.setattr(C.BK, "within_tile", lambda *a: pytest.fail("a tile was computed"))
+    assert len(kernel(pdf.assign(core=[np.array([False])] * n))) == 0
+
+
+def test_stars_of_dense_and_sparse_graphs(monkeypatch):
+    rng = np.random.default_rng(9)
+    for share in (0.001, 0.02, 0.3, 1.0):
+        adj = rng.random((130, 90)) < share
+        adj[:60, 40:] = adj[60:, :40] = False
+        stars = []
+        for dense in (1, 10**9):
+            monkeypatch.setattr(C, "DENSE", dense)
+            stars.append([x.tolist() for x in C._star_edges(adj, np.arange(130) // 2, 1000 + np.arange(90))])
+        assert stars[0] == stars[1]
