@@ -17,12 +17,12 @@ Words are compared in their own case.
 Rows of (document, n-gram) would be several times the text on disk, so they travel packed: documents are dealt
 to batches by hash, a batch's distinct n-grams become one row per hash partition (gaps between
 sorted 64-bit hashes, with counts, compressed), and the partition answers each such row with the totals.
-1. documents by batch -> n-gram rows by partition (the exploded side, pre-aggregated per batch);
+1. documents by batch, texts compressed -> n-gram rows by partition (the exploded side, pre-aggregated per batch);
 2. partition: count table from all its rows, joined back to each of them -> totals by batch;
 3. documents and totals meet by batch -> scores.
 
 Scale: rows are dealt to batches by id and text, so only wholly equal rows share one for certain. A frequent n-gram is one entry per batch, whatever its count, so no partition is hot; a batch holds about
-``BATCH_DOCS`` documents, a partition the n-grams of about ``DOCS_PER_PARTITION``, and the number of both follows from
+``BATCH_DOCS`` documents (the larger, the more of its n-grams are sent only once), a partition the n-grams of about ``DOCS_PER_PARTITION``, and the number of both follows from
 the row count. A batch visits only the partitions that its n-grams fall into. Batches depend on the rows' values alone, so a retried task deals them the same.
 
 Defined cases: a null or wordless text scores null with 0 words; null and equal ids and repeated rows keep a row
@@ -43,7 +43,9 @@ from culler.llm.common import n_words, prepare
 from culler.llm.words import ngrams, word_hashes
 
 BACKOFF = 0.4
-BATCH_DOCS = 3000
+BATCH_DOCS = 6000
+#: Bytes of rows that a task deals to batches, and compresses, at a time.
+PACK_BYTES = 32 << 20
 #: Texts of a batch that are in work at once.
 SLICE_DOCS = 100
 #: Hash partitions of the count tables: one for every so many documents.
@@ -51,6 +53,7 @@ DOCS_PER_PARTITION = 2000
 ORDER = 3
 #: Keeps the orders' hashes apart: order k's are shifted by k - 1 times this odd number.
 _ORDER_SALT = 0x9E3779B97F4A7C15
+_DOCS = "batch int, ids binary, known binary, sizes binary, texts binary"
 _KEYS = "batch int, part int, grams binary, counts binary"
 _TOTALS = "batch int, part int, totals binary"
 
@@ -74,14 +77,60 @@ def _unpacked_grams(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(raw, np.uint64), dtype=np.uint64)
 
 
-def _batch_grams(texts: list[str | None], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _packed_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of batch, doc_id and text (as bytes), packed: one row for each batch that they fall into."""
+    held, size = [], 0
+    for rows in batches:
+        held.append(rows)
+        size += rows.nbytes
+        if size >= PACK_BYTES:
+            yield _packed_rows(pa.Table.from_batches(held))
+            held, size = [], 0
+    if held:
+        yield _packed_rows(pa.Table.from_batches(held))
+
+
+def _packed_rows(rows: pa.Table) -> pa.RecordBatch:
+    rows = rows.sort_by("batch").combine_chunks()
+    batch, doc_id = rows["batch"].to_numpy(), rows["doc_id"]
+    ids, known = doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy()
+    text = pa.concat_arrays(rows["text"].cast(pa.large_binary()).fill_null(b"").chunks or [pa.array([], pa.large_binary())])
+    ends = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, dtype=np.int64)
+    data, zstd = memoryview(text.buffers()[2] or b""), pa.Codec("zstd", compression_level=3)
+    starts = np.flatnonzero(np.r_[len(batch) > 0, batch[1:] != batch[:-1]])
+    runs = list(zip(starts.tolist(), np.r_[starts[1:], len(batch)].tolist()))
+    columns = [[x[a:b].tobytes() for a, b in runs] for x in (ids, known, np.diff(ends))]
+    texts = [zstd.compress(data[ends[a] : ends[b]], asbytes=True) for a, b in runs]
+    return pa.RecordBatch.from_arrays([pa.array(batch[starts], pa.int32()), *(pa.array(c, pa.binary()) for c in (*columns, texts))],
+                                      names=["batch", "ids", "known", "sizes", "texts"])
+
+
+def _docs_of(packed: pd.DataFrame) -> pd.DataFrame:
+    """The rows again: batch, doc_id, text."""
+    texts = []
+    for raw, sizes in zip(packed["texts"], packed["sizes"]):
+        ends = np.cumsum(np.frombuffer(sizes, dtype=np.int64)).tolist()
+        whole = pa.decompress(raw, ends[-1], codec="zstd", asbytes=True) if ends[-1] else b""
+        texts += [whole[a:b] for a, b in zip([0, *ends], ends)]
+    ids = np.frombuffer(b"".join(packed["ids"]), dtype=np.int64)
+    unknown = ~np.frombuffer(b"".join(packed["known"]), dtype=bool)
+    return pd.DataFrame({"batch": packed["batch"].iloc[0], "doc_id": pd.arrays.IntegerArray(ids.copy(), unknown), "text": texts})
+
+
+def _batch_grams(flat: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order from 1: (hashes in a row, number per text)."""
-    flat, sizes = word_hashes(texts, lower=False)
     return [(h ^ np.uint64((k - 1) * _ORDER_SALT % 2**64), n) for k in range(1, order + 1) for h, n in [ngrams(flat, sizes, k)]]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    return ((i, texts[i : i + SLICE_DOCS]) for i in range(0, len(texts), SLICE_DOCS))
+def _hashed(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in a row, and the number of words of each; the words themselves are held slice by slice."""
+    parts = [word_hashes(texts[i : i + SLICE_DOCS], lower=False) for i in range(0, len(texts), SLICE_DOCS)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else word_hashes([], lower=False)
+
+
+def _slices(flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ends = np.r_[0, np.cumsum(sizes)]
+    return ((flat[ends[i] : ends[min(i + SLICE_DOCS, len(sizes))]], sizes[i : i + SLICE_DOCS]) for i in range(0, len(sizes), SLICE_DOCS))
 
 
 def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,10 +139,12 @@ def _merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return distinct, np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64), place
 
 
-def _batch_table(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """A batch's distinct n-grams, ascending, and their counts; its texts are taken slice by slice."""
-    tables = [np.unique(np.concatenate([g for g, _ in _batch_grams(part, order)]), return_counts=True) for _, part in _slices(texts)]
-    return _merged([g for g, _ in tables], [c for _, c in tables])[:2]
+def _batch_table(flat: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's distinct n-grams, ascending, and their counts."""
+    grams = np.concatenate([g for part in _slices(flat, sizes) for g, _ in _batch_grams(*part, order)] or [flat])
+    grams.sort()
+    starts = np.flatnonzero(np.r_[len(grams) > 0, grams[1:] != grams[:-1]])
+    return grams[starts], np.diff(starts, append=len(grams))
 
 
 def _part(grams: np.ndarray, parts: int) -> np.ndarray:
@@ -109,7 +160,7 @@ def _runs(distinct: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _grams_of(pdf: pd.DataFrame, parts: int, order: int) -> pd.DataFrame:
-    distinct, counts = _batch_table(pdf["text"].tolist(), order)
+    distinct, counts = _batch_table(*_hashed(pdf["text"].tolist()), order)
     rows = [(int(pdf["batch"].iloc[0]), p, _packed_grams(distinct[a:b]), _packed(counts[a:b])) for p, a, b in _runs(distinct, parts)]
     return pd.DataFrame(rows, columns=["batch", "part", "grams", "counts"])
 
@@ -123,17 +174,17 @@ def _totals_of(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _scores_of(docs: pd.DataFrame, totals: pd.DataFrame, words: int, parts: int, leave_out: bool, order: int) -> pd.DataFrame:
-    texts = docs["text"].tolist()
-    distinct, _ = _batch_table(texts, order)
+    hashed = _hashed(docs["text"].tolist())
+    distinct, _ = _batch_table(*hashed, order)
     # the totals come back per partition in the order of the batch's sorted distinct n-grams
     answers = dict(zip(totals["part"], totals["totals"]))
     total = np.concatenate([np.zeros(0, dtype=np.int64), *(_unpacked(answers[p], np.int64) for p, _, _ in _runs(distinct, parts))])
-    scored = [_slice_scores(part, distinct, total, words, leave_out, order) for _, part in _slices(texts)]
+    scored = [_slice_scores(*part, distinct, total, words, leave_out, order) for part in _slices(*hashed)]
     return pd.concat([docs[["doc_id"]].astype("Int64").reset_index(drop=True), pd.concat(scored, ignore_index=True)], axis=1)
 
 
-def _slice_scores(texts: list[str | None], distinct: np.ndarray, total: np.ndarray, words: int, leave_out: bool, order: int) -> pd.DataFrame:
-    grams = _batch_grams(texts, order)
+def _slice_scores(flat: np.ndarray, sizes: np.ndarray, distinct: np.ndarray, total: np.ndarray, words: int, leave_out: bool, order: int) -> pd.DataFrame:
+    grams = _batch_grams(flat, sizes, order)
     n1 = grams[0][1]
     out = pd.DataFrame({"n_words": n1, **{_seen(k): np.zeros(len(n1), dtype=np.int64) for k in range(2, order + 1)}})
     mine, place = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
@@ -171,10 +222,11 @@ def score_documents(docs: DataFrame, leave_out: bool = True, batch_docs: int = B
     n, words = rows.agg(F.count("*"), F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()
     words = max(1, words)
     batches, parts = max(1, -(-n // batch_docs)), max(1, -(-n // docs_per_partition))
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
-    grams = dealt.groupBy("batch").applyInPandas(lambda pdf: _grams_of(pdf, parts, order), _KEYS)
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")
+    dealt = rows.select(batch.alias("batch"), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_packed_docs, _DOCS)
+    grams = dealt.groupBy("batch").applyInPandas(lambda pdf: _grams_of(_docs_of(pdf), parts, order), _KEYS)
     totals = grams.groupBy("part").applyInPandas(_totals_of, _TOTALS)
     scored = dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInPandas(
-        lambda d, t: _scores_of(d, t, words, parts, leave_out, order),
+        lambda d, t: _scores_of(_docs_of(d), t, words, parts, leave_out, order),
         f"doc_id long, n_words long, {''.join(f'{_seen(k)} long, ' for k in range(2, order + 1))}log_score double")
     return scored.withColumn("log_score", F.when(~F.isnan("log_score"), F.round("log_score", 4)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
@@ -32,13 +34,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-def word_hashes(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | bytes | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in a row, and the number of words of each. Words are what lies between
-    ASCII white space; ``lower`` turns A-Z to lower case first."""
-    words = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    ASCII white space; ``lower`` turns A-Z to lower case first. Bytes are a text's UTF-8."""
+    words = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
     words = [(b.lower() if lower else b).split() for b in words]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.fromiter((_HASHES[w] for ws in words for w in ws), dtype=np.uint64, count=int(sizes.sum()))
+    flat = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(sizes.sum()))
     return flat, sizes
 
 

@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from culler.llm import backoff_lm, bbit_minhash, qda
+from culler.llm import backoff_lm, bbit_minhash, components, qda
 from culler.llm.common import written
 from culler.session import read_table
 
@@ -236,6 +237,47 @@ def test_backoff(spark, own_out, order):
     assert backoff_lm.score_documents(frame(spark, rows[:0])).count() == 0
 
 
+def test_backoff_packs_texts():
+    """What is dealt to batches is compressed, and comes back whole: nulls, empty texts, other bytes, unknown ids."""
+    rows = [(k % 3, None if k % 7 == 0 else k, t) for k, t in enumerate([None, "", "é \n", "x\x00y", "word " * 2000, *(t for _, t in corpus()[:200])])]
+    table = pa.table({"batch": pa.array([b for b, _, _ in rows], pa.int32()), "doc_id": pa.array([i for _, i, _ in rows], pa.int64()),
+                      "text": pa.array([None if t is None else t.encode() for _, _, t in rows], pa.binary())})
+    packed = [p.to_pandas() for p in backoff_lm._packed_docs(iter(table.to_batches(max_chunksize=30)))]
+    assert [len(p) for p in packed] == [3]
+    assert packed[0]["texts"].str.len().sum() < 0.6 * sum(len(t or "") for _, _, t in rows)
+    for b, part in pd.concat(packed).groupby("batch"):
+        back = backoff_lm._docs_of(part)
+        assert [(b, None if i is pd.NA else i, t) for i, t in zip(back["doc_id"], back["text"])] == [(x, i, (t or "").encode()) for x, i, t in rows if x == b]
+    assert sum(len(p) for p in backoff_lm._packed_docs(iter(table.slice(0, 0).to_batches()))) == 0
+
+
+def test_backoff_deals_texts_once(spark):
+    """The texts are shuffled packed, and one shuffle serves both the counting and the scoring."""
+    out = backoff_lm.score_documents(frame(spark, corpus()[:50]))
+    plan = out._jdf.queryExecution().executedPlan()
+    assert out.count() == 50 and plan.toString().count("MapInArrow") >= 1
+    out.collect()
+    assert "ReusedExchange" in plan.toString()
+
+
+def test_component_rounds_write_few_files(spark, monkeypatch):
+    """A small graph's rounds write a file each, however many shuffle partitions there are."""
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, tag: tables.append(written(df, tag)) or tables[-1])
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("23", "false")):
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 < 19] + [(7, 7), (3, None), (1, 0), (30, 5)], "a long, b long")
+        out = components.connected_components(edges, 100)
+        assert {(r.id, r.component) for r in out.collect()} == {(i, 0 if i < 40 else 40) for i in range(60)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(tables) > 3 and max(len(t.inputFiles()) for t in tables) == 1
+
+
 def test_pipeline(spark):
     docs, seen = read_table(spark, SF, "documents"), {}
     columns = docs.columns
