@@ -309,7 +309,8 @@ def labelled_rows(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFram
                                               F.array("hub").alias("partners"))
     hubs = parts.select(F.col("hub").alias("t1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("t2"), F.col("hub").alias("doc"),
                         F.array().cast("array<long>").alias("partners"))
-    found = connected_components(confirm(spread.unionByName(hubs), likely.count()))
+    n_likely = likely.count()
+    found = connected_components(confirm(spread.unionByName(hubs), n_likely), 2 * n_likely)
 
     # strays: members outside their hub's component
     named = lambda of, to: found.select(F.col("id").alias(of), F.col("component").alias(to))
@@ -332,9 +333,10 @@ def labelled_rows(docs: DataFrame, percent: int, block: int = BLOCK) -> DataFram
     group = F.when(F.col("whole"), F.pmod(F.xxhash64("t1", "t2"), F.lit(max(1, labelled.count() // GROUP)))).otherwise(F.xxhash64("t1", "t2"))
     partners = tiles.groupBy("whole", group.alias("group")).applyInPandas(lambda pdf: _stray_partners(pdf, limit), "t1 long, t2 long, doc long, partners array<long>")
     partners = written(partners, "stray-partners")
-    later = confirm(partners, partners.count())
+    n_partners = partners.count()
+    later = confirm(partners, n_partners)
     links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(later)
-    components = connected_components(links)
+    components = connected_components(links, 4 * n_likely + n_partners)
 
     of_class = written(classes.select(*same, "rep", "named").join(components, F.col("rep") == F.col("id"), "left").select(
         *[F.col(c).alias(f"__{c}") for c in same], "named", F.coalesce("component", "rep").alias("vertex")), "class-components")

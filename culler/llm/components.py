@@ -7,7 +7,7 @@ The smallest vertex of a component is always a root, so the last root is the com
 
 Scale: minima are partial aggregates, so a hub costs one row per task; the joins on a hub's id read
 plain tables on both sides, which adaptive execution splits. Each step is a table in the shared
-folder; the driver sees only whether a table has rows.
+folder, with a file for about ``ROWS_PER_FILE`` rows; the driver sees only how many rows a table of edges has.
 """
 
 from __future__ import annotations
@@ -16,6 +16,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from culler.llm.common import written
 
+#: A round's tables are written by one task for so many rows, not by one for each shuffle partition: on a local file system
+#: every file that a task creates starts processes of its own, each of which shows the executor's memory until it runs its program.
+ROWS_PER_FILE = 100_000
+
+
+def _table(df: DataFrame, tag: str, most: int) -> DataFrame:
+    """``df``, of at most ``most`` rows, as a table."""
+    return written(df.coalesce(most // ROWS_PER_FILE + 1), tag)
+
 
 def with_vertex(classes: DataFrame, *content: str) -> DataFrame:
     """``classes`` (named: a class's smallest id) with ``rep``, its vertex: that id, or a negative number made of the columns
@@ -33,33 +42,36 @@ def with_component(classes: DataFrame) -> DataFrame:
     return classes.join(renamed, F.col("vertex") == F.col("__v"), "left").withColumn("component", F.coalesce("__name", "vertex")).drop("__name", "__v")
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """(v, p): every vertex and the root that it reaches through smallest neighbours."""
+def _roots(edges: DataFrame, most: int) -> DataFrame:
+    """(v, p): every vertex, of at most ``most``, and the root that it reaches through smallest neighbours."""
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
-    parents = written(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("p")), "parents")
+    parents = _table(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("p")), "parents", most)
     while True:
         up = parents.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        parents = written(parents.join(up, "p").select("v", F.col("q").alias("p"), (F.col("q") < F.col("p")).alias("moved")), "parents")
+        parents = _table(parents.join(up, "p").select("v", F.col("q").alias("p"), (F.col("q") < F.col("p")).alias("moved")), "parents", most)
         moved = not parents.filter("moved").isEmpty()
         parents = parents.select("v", "p")
         if not moved:
             return parents
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges``: a, b (long). Returns id, component for every vertex of an edge between two vertices; loops
-    and null ends are ignored, repeated edges count once."""
+def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``edges``: a, b (long), at most ``most`` rows where that is known. Returns id, component for every vertex of an edge
+    between two vertices; loops and null ends are ignored, repeated edges count once."""
     edges = edges.select("a", "b").filter(F.col("a") != F.col("b"))
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    found = None
-    while found is None or not edges.isEmpty():
-        roots = _roots(edges)
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = written(edges, "edges") if most is None else _table(edges, "edges", most)
+    n = edges.count()
+    vertices, found = 2 * n, None
+    while found is None or n:
+        roots = _roots(edges, 2 * n)
         if found is None:
             found = roots.select(F.col("v").alias("id"), F.col("p").alias("component"))
         else:
-            found = written(found, "components").join(roots, F.col("component") == F.col("v"), "left").select(
+            found = _table(found, "components", vertices).join(roots, F.col("component") == F.col("v"), "left").select(
                 "id", F.coalesce("p", "component").alias("component"))
         left = edges.join(roots, F.col("a") == F.col("v")).select(F.col("p").alias("a"), "b")
         both = left.join(roots, F.col("b") == F.col("v")).select("a", F.col("p").alias("b")).filter(F.col("a") != F.col("b"))
-        edges = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return written(found, "components")
+        edges = _table(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", n)
+        n = edges.count()
+    return _table(found, "components", vertices)
