@@ -219,3 +219,19 @@ def test_idf_weights_common_and_rare_tokens_alike(spark, monkeypatch):
         got = {r.method_seq: r.vec for r in V.hashing_embed_idf(items, dims=4).collect()}
         for i, v in enumerate(want):
             assert got[i] == pytest.approx(v)
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_similarity_matrix_has_every_pair(spark, block):
+    df, data = make(spark, suites=(7, 1))
+    got = {(r.suite, r.metric, r.a, r.b): r for r in V.similarity_matrix(df, block_size=block).collect()}
+    assert len(got) == 3 * (7 * 7 + 1)
+    for s, (X, _) in data.items():
+        for m in ["cosine", "euclidean", "manhattan"]:
+            S = 1 - dist(X, m) if m == "cosine" else 1 / (1 + dist(X, m))
+            for a in range(len(X)):
+                others = np.delete(S[a], a)
+                for b in range(len(X)):
+                    r = got[s, m, a, b]
+                    assert r.similarity == pytest.approx(S[a, b])
+                    assert (r.mean_similarity, r.max_similarity) == ((pytest.approx(others.mean()), pytest.approx(others.max())) if len(others) else (None, None))
