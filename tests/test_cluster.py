@@ -104,6 +104,28 @@ def test_kmeans_invariants(spark, monkeypatch):
         assert c[k] == pytest.approx(X[d.argmin(axis=1) == k].mean(axis=0))
 
 
+def test_kmeans_in_tasks_and_by_rounds(spark, monkeypatch):
+    """The same runs with all rounds inside tasks, without a pass of Spark jobs per round, and in passes over chunks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    x[40], x[41] = x[7], x[7]  # copies: centroids may start equal
+    df = spark.createDataFrame([(s, i, x[i].tolist()) for s in ("s", "t") for i in range(300 if s == "s" else 5)], "suite string, method_seq long, z array<double>")
+    runs = spark.createDataFrame([("s", k, r) for k in (2, 5, 9) for r in range(3)] + [("t", 2, 0)], "suite string, k int, run int")
+    passes, cut, found = [], C.cut_lineage, []
+    monkeypatch.setattr(C, "cut_lineage", lambda df: passes.append(1) or cut(df))
+    monkeypatch.setattr(C, "KMEANS_CHUNK", 64)
+    for numbers in (1 << 23, 100):
+        monkeypatch.setattr(C, "KMEANS_NUMBERS", numbers)
+        passes.clear()
+        inertia, cents = C.kmeans_runs(df, runs)
+        assert len(passes) <= 3 or numbers == 100
+        found.append({(r.suite, r.k, r.run): r.inertia for r in inertia.collect()})
+        for (suite, k, run), want in found[-1].items():
+            c = np.array([r.centroid for r in cents.filter(f"suite = '{suite}' and k = {k} and run = {run}").collect()])
+            assert ((x[: 300 if suite == "s" else 5, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum() == pytest.approx(want)
+    assert len(found[0]) == 10 and found[0] == pytest.approx(found[1])
+
+
 def test_elbow_rule(spark):
     t = spark.createDataFrame([("a", k, v) for k, v in zip(range(2, 7), [100., 60., 50., 45., 43.])] + [("b", 2, 5.0), ("b", 3, 4.0)],
                               "suite string, k int, inertia double")
