@@ -207,6 +207,40 @@ def test_merge_tree_is_the_same_by_passes_and_in_one_task(spark, linkage, monkey
     assert len(trees[0]) == 39 and trees[0] == trees[1] == trees[2]
 
 
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_member_tree_is_the_greedy_one(spark, linkage, monkeypatch):
+    """By passes (also with clusters that are split over blocks) and in one task; equal points and a lone one."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 3))
+    x[9], x[30] = x[2], x[2]
+    x[12:25] = x[11] + 0.01 * rng.normal(size=(13, 3))  # a cluster larger than half a block
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) if linkage == "average" else np.abs(x[:, None] - x[None]).sum(-1)
+    groups, want, cut = [[i] for i in range(40)], [], None
+    while len(groups) > 1:
+        fold = np.mean if linkage == "average" else np.max
+        d, i, j = min((fold(far[np.ix_(a, b)]), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        want.append(d)
+        groups[i] = groups[i] + groups.pop(j)
+        cut = [sorted(g) for g in groups] if len(groups) == 6 else cut
+    rows = [("s", i, [float(v) for v in r]) for i, r in enumerate(x)] + [("one", 0, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "suite string, method_seq long, z array<double>")
+    for few in (0, 7, 4096):
+        monkeypatch.setattr(C, "FINISH", few)
+        got = sorted(r.height for r in C.member_tree(df, linkage, block_size=10).collect())
+        assert got == pytest.approx(sorted(want), abs=1e-9)
+    lab = {r.method_seq: r.cluster for r in C.hierarchical(df, spark.createDataFrame([("s", 6), ("one", 1)], "suite string, k int"), linkage=linkage).filter("suite = 's'").collect()}
+    assert sorted([i for i in lab if lab[i] == c] for c in set(lab.values())) == sorted(cut)
+
+
+def test_grid_has_all_nine_cells(spark):
+    from culler.plans.pipeline import cluster_grid
+    rng = np.random.default_rng(2)
+    z = spark.createDataFrame([("s", i, (rng.normal(size=3) + 8 * (i % 3)).tolist()) for i in range(30)], "suite string, method_seq long, z array<double>")
+    runs, _, cells = cluster_grid(z)
+    got = {(r.algorithm, r.metric): r.quality for r in runs.collect()}
+    assert len(cells) == 9 and set(got) == set(cells) and got["hierarchical", "cosine"] > 0 and got["hierarchical", "manhattan"] > 0
+
+
 def test_merge_tree_needs_few_passes(spark, monkeypatch):
     """Points of which one pair merges a round: no pass of Spark jobs a merge."""
     passes, run_pairs = [], C.BK.run_pairs
