@@ -232,6 +232,42 @@ def test_member_tree_is_the_greedy_one(spark, linkage, monkeypatch):
     assert sorted([i for i in lab if lab[i] == c] for c in set(lab.values())) == sorted(cut)
 
 
+def test_largest_distances_by_the_fast_form():
+    """Clusters' largest Manhattan distances from 16-bit numbers are those of the plain tile; asked for the nearest, they are among them."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(420, 4)).round(1)
+    side = lambda at, c: C._cluster_side(pd.DataFrame({"c": c, "method_seq": at, "v": list(x[at]), "w": 1, "split": False}))
+    one, other = side(np.arange(200), np.repeat(np.arange(100), 2)), side(np.arange(200, 420), 200 + np.arange(220) % 70)
+    for a, b in ((one, other), (one, one)):
+        plain = C._between(a, b, "complete")
+        assert (C._largest(a, b, True) == plain).all()
+        apart = np.where(a[2][:, None] == b[2][None, :], np.inf, plain)
+        near = C._largest(a, b, False)
+        near[a[2][:, None] == b[2][None, :]] = np.inf
+        assert (near[np.isfinite(near)] == apart[np.isfinite(near)]).all() and np.isinf(near).any()
+        assert (near.min(axis=1) == apart.min(axis=1)).all() and (near.min(axis=0) == apart.min(axis=0)).all()
+        assert (near.argmin(axis=1) == apart.argmin(axis=1)).all()
+
+
+@pytest.mark.parametrize("linkage", ["average", "ward"])
+def test_merges_without_a_matrix_are_the_passes_ones(linkage, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 3)).round(1)
+    x[40:60] = x[7] + rng.normal(size=(20, 3)).round(1) / 10
+    if linkage == "average":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(C, "ALONE_NUMBERS", 1000)
+    got = []
+    for finish in (0, 20, 90):
+        pdf = pd.DataFrame({"suite": "s", "method_seq": np.arange(90), "size": 1, "v": list(x)})
+        got.append(sorted(map(tuple, C._finish_kernel(linkage, finish)(pdf).to_numpy())))
+    assert len(got[0]) == 89 and got[0] == got[1] == got[2]
+
+
 def test_grid_has_all_nine_cells(spark):
     from culler.plans.pipeline import cluster_grid
     rng = np.random.default_rng(2)
