@@ -37,3 +37,21 @@ def test_no_pair_is_lost(spark, eps):
         assert {r.a: r.n for r in got if r.metric == m} == dict(enumerate(near.sum(axis=1)))
     met = {r.metric: r.tiles / r.all_tiles for r in EPS.share(placed, tiles).collect()}
     assert met["euclidean"] < 0.5 if eps["euclidean"] < 1 else met["manhattan"] > 0.9
+
+
+@pytest.mark.parametrize("copies", [2, 1000])
+def test_items_are_copied_once_for_a_bundle_of_blocks(spark, copies, monkeypatch):
+    """Tiles of bundles are all tiles, each once; an item goes to a bundle pair, not to each pair of blocks."""
+    monkeypatch.setattr(BK, "COPIES", copies)
+    items = spark.createDataFrame([("s", i) for i in range(60)] + [("t", 0)], "suite string, method_seq long")
+
+    def kernel(pdf):
+        a, b, same = BK.split_tile(pdf)
+        pairs = [(i, j) for i in a["method_seq"] for j in b["method_seq"] if not same or i < j]
+        return pd.DataFrame({"suite": pdf["suite"].iloc[0], "a": [min(p) for p in pairs], "b": [max(p) for p in pairs]})
+
+    made = BK.run_pairs(items, ["suite"], kernel, "suite {suite}, a long, b long", block_size=4)
+    got = [(r.a, r.b) for r in made.collect()]
+    assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    per = BK.bundle_of(15)
+    assert -(-15 // per) == (2 if copies == 2 else 15)
